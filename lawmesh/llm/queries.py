@@ -7,6 +7,23 @@ from pyspark.sql import functions as F
 from lawmesh.llm.common import table
 
 
+def op2_bpe(spark, sf_dir):
+    import public_tokenizers
+
+    from lawmesh.llm.bpe import encode_documents
+
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return encode_documents(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+
+
+def op7_packing(spark, sf_dir):
+    import public_tokenizers
+
+    from lawmesh.llm.packing import pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op10_sharding(spark, sf_dir):
     from lawmesh.llm.sharding import shard_documents
 
@@ -14,7 +31,7 @@ def op10_sharding(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {"op10_sharding": op10_sharding}
+    return {f.__name__: f for f in (op2_bpe, op7_packing, op10_sharding)}
 
 
 def oracle_sql() -> dict:
