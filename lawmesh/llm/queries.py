@@ -16,6 +16,12 @@ def op2_bpe(spark, sf_dir):
     return encode_documents(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
 
 
+def op3_pii(spark, sf_dir):
+    from lawmesh.llm.pii import find_personal_data
+
+    return find_personal_data(table(spark, sf_dir, "documents"))
+
+
 def op7_packing(spark, sf_dir):
     import public_tokenizers
 
@@ -31,7 +37,7 @@ def op10_sharding(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_bpe, op7_packing, op10_sharding)}
+    return {f.__name__: f for f in (op2_bpe, op3_pii, op7_packing, op10_sharding)}
 
 
 def oracle_sql() -> dict:
