@@ -22,6 +22,30 @@ def op3_pii(spark, sf_dir):
     return find_personal_data(table(spark, sf_dir, "documents"))
 
 
+def op5_maxscore(spark, sf_dir):
+    from lawmesh.llm.maxscore import top_k
+
+    vectors = table(spark, sf_dir, "embeddings")
+    return top_k(vectors, vectors.where("vec_id % 50 = 0"))
+
+
+OP5_SQL = """
+WITH q AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+  FROM embeddings
+  WHERE len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
+), s AS (
+  SELECT a.vec_id AS query_id, b.vec_id,
+         CAST(list_sum(list_transform(list_zip(a.q, b.q), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM q a JOIN q b ON a.vec_id <> b.vec_id AND len(a.q) = len(b.q)
+  WHERE a.vec_id % 50 = 0
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
 def op7_packing(spark, sf_dir):
     import public_tokenizers
 
@@ -37,8 +61,8 @@ def op10_sharding(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_bpe, op3_pii, op7_packing, op10_sharding)}
+    return {f.__name__: f for f in (op2_bpe, op3_pii, op5_maxscore, op7_packing, op10_sharding)}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {"op5_maxscore": OP5_SQL}
