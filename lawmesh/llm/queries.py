@@ -54,6 +54,12 @@ def op7_packing(spark, sf_dir):
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op8_neardup(spark, sf_dir):
+    from lawmesh.llm.neardup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op9_language_id(spark, sf_dir):
     from lawmesh.llm.langid import identify_languages
 
@@ -67,7 +73,7 @@ def op10_sharding(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_bpe, op3_pii, op5_maxscore, op7_packing, op9_language_id, op10_sharding)}
+    return {f.__name__: f for f in (op2_bpe, op3_pii, op5_maxscore, op7_packing, op8_neardup, op9_language_id, op10_sharding)}
 
 
 def oracle_sql() -> dict:
