@@ -46,6 +46,12 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank
 """
 
 
+def op6_lm_scoring(spark, sf_dir):
+    from lawmesh.llm.lm import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 def op7_packing(spark, sf_dir):
     import public_tokenizers
 
@@ -73,7 +79,7 @@ def op10_sharding(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_bpe, op3_pii, op5_maxscore, op7_packing, op8_neardup, op9_language_id, op10_sharding)}
+    return {f.__name__: f for f in (op2_bpe, op3_pii, op5_maxscore, op6_lm_scoring, op7_packing, op8_neardup, op9_language_id, op10_sharding)}
 
 
 def oracle_sql() -> dict:
