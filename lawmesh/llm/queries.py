@@ -29,6 +29,12 @@ def op5_maxscore(spark, sf_dir):
     return top_k(vectors, vectors.where("vec_id % 50 = 0"))
 
 
+def op4_jaccard(spark, sf_dir):
+    from lawmesh.llm.jaccard import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 OP5_SQL = """
 WITH q AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
@@ -79,7 +85,7 @@ def op10_sharding(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_bpe, op3_pii, op5_maxscore, op6_lm_scoring, op7_packing, op8_neardup, op9_language_id, op10_sharding)}
+    return {f.__name__: f for f in (op2_bpe, op3_pii, op4_jaccard, op5_maxscore, op6_lm_scoring, op7_packing, op8_neardup, op9_language_id, op10_sharding)}
 
 
 def oracle_sql() -> dict:
