@@ -7,6 +7,12 @@ from pyspark.sql import functions as F
 from lawmesh.llm.common import table
 
 
+def op1_html(spark, sf_dir):
+    from lawmesh.llm.html import extract_main_text
+
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op2_bpe(spark, sf_dir):
     import public_tokenizers
 
@@ -84,8 +90,14 @@ def op10_sharding(spark, sf_dir):
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_bpe, op3_pii, op4_jaccard, op5_maxscore, op6_lm_scoring, op7_packing, op8_neardup, op9_language_id, op10_sharding)}
+    return {f.__name__: f for f in (op1_html, op2_bpe, op3_pii, op4_jaccard, op5_maxscore, op6_lm_scoring, op7_packing, op8_neardup, op9_language_id, op10_sharding, pipeline)}
 
 
 def oracle_sql() -> dict:
