@@ -1,11 +1,478 @@
-"""The registered queries over the given tables, and their SQL."""
+"""The registered queries over the given tables, each with its SQL where SQL can express it."""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from lawmesh.functions import text as fn
+from lawmesh.operators import build, conflict, extract, graph, ingest, paths, retrieve
+from lawmesh.operators.answer import answer_all
+from lawmesh.plans import router, tables, templates
+from lawmesh.plans.tables import SQL, table
+from lawmesh.sources import files
+
+QUERIES: dict = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def joined(df, **columns):
+    """Arrays as text, for results that are compared."""
+    return df.withColumns({c: F.array_join(c, by) for c, by in columns.items()})
+
+
+# ------------------------------------------------------------ templates
+
+
+@query("SELECT doc_id, source FROM documents WHERE contains(lower(text), 'license')")
+def scan_filter_contains(spark, sf):
+    return table(spark, sf, "documents").where(fn.contains("text", "license")).select("doc_id", "source")
+
+
+@query(
+    SQL + """SELECT r.text AS requirement, r.citation_text AS source, r.category, r.severity, r.mandatory, p.name AS process
+FROM edges e JOIN nodes r ON e.src = r.id AND r.label = 'Requirement' JOIN nodes p ON e.dst = p.id AND p.label = 'Process'
+WHERE e.type = 'APPLIES_TO' AND contains(lower(p.name), 'ring') ORDER BY r.severity DESC NULLS FIRST, requirement, process LIMIT 500"""
+)
+def template_requirements_for_process(spark, sf):
+    return templates.requirements_for_process(tables.graph(spark, sf), "Ring", 500)
+
+
+@query(
+    SQL + """SELECT r.text AS requirement, r.citation_text AS source, r.scope, coalesce(string_agg(DISTINCT p.name, '|' ORDER BY p.name), '') AS applicable_processes
+FROM nodes r LEFT JOIN (SELECT src, name FROM edges JOIN nodes ON dst = id WHERE type = 'APPLIES_TO' AND label = 'Process') p ON p.src = r.id
+WHERE r.label = 'Requirement' AND (contains(lower(r.text), 'urgent') OR contains(lower(r.scope), 'urgent')) GROUP BY 1, 2, 3 ORDER BY 1, 2, 3 LIMIT 500"""
+)
+def template_applicability(spark, sf):
+    return templates.regulation_applicability(tables.graph(spark, sf), "urgent", 500)
+
+
+@query(
+    SQL + """SELECT source_doc AS from_document, target_doc AS to_document, target_section AS section, reference_type AS type, text AS context FROM nodes
+WHERE label = 'CrossReference' AND (contains(lower(source_doc), 'c1') OR contains(lower(target_doc), 'low')) ORDER BY 1, 2, 5 LIMIT 1000"""
+)
+def template_crossref(spark, sf):
+    return templates.cross_references(tables.graph(spark, sf), "C1", "low", 1000)
+
+
+@query(
+    SQL + """SELECT d.term, d.text AS definition, d.citation_text AS source, d.domain, array_to_string(list_slice(list_sort(list(DISTINCT r.text) FILTER (WHERE r.text IS NOT NULL)), 1, 3), '|') AS related_requirements
+FROM nodes d LEFT JOIN (SELECT src, text FROM edges JOIN nodes ON dst = id WHERE type = 'DEFINES' AND label = 'Requirement') r ON r.src = d.id
+WHERE d.label = 'Definition' AND contains(lower(d.term), 'supplier') GROUP BY 1, 2, 3, 4 ORDER BY 1, 2, 3 LIMIT 500"""
+)
+def template_definitions(spark, sf):
+    return templates.term_definitions(tables.graph(spark, sf), "supplier", 500)
+
+
+@query(
+    SQL + """SELECT a.text AS requirement1, a.citation_text AS source1, b.text AS requirement2, b.citation_text AS source2
+FROM edges e JOIN nodes a ON e.src = a.id JOIN nodes b ON e.dst = b.id
+WHERE e.type = 'CONFLICTS_WITH' AND (contains(lower(a.text), 'medium') OR contains(lower(b.text), 'medium')) ORDER BY 1, 3, 2, 4 LIMIT 500"""
+)
+def template_conflicts(spark, sf):
+    return templates.detect_conflicts(tables.graph(spark, sf), "medium", 500)
+
+
+@query(
+    SQL + """SELECT text AS exemption, citation_text AS source, condition, scope FROM nodes
+WHERE label = 'Exemption' AND (contains(lower(text), 'eco') OR contains(lower(condition), 'eco') OR contains(lower(scope), 'eco')) ORDER BY 1, 2 LIMIT 500"""
+)
+def template_exemptions(spark, sf):
+    return templates.find_exemptions(tables.graph(spark, sf), "eco", 500)
+
+
+def _walk(starts: str, edges: str, depth: int) -> str:
+    out = f", w0 AS (SELECT id AS start, id AS at, [id] AS nodes, CAST([] AS VARCHAR[]) AS eids, CAST([] AS VARCHAR[]) AS types FROM ({starts}))"
+    for k in range(1, depth + 1):
+        out += f""", w{k} AS (SELECT w.start, e.dst AS at, list_append(w.nodes, e.dst) AS nodes, list_append(w.eids, e.eid) AS eids, list_append(w.types, e.type) AS types
+  FROM w{k - 1} w JOIN {edges} e ON w.at = e.src WHERE NOT list_contains(w.eids, e.eid))"""
+    return out + ", walks AS (" + " UNION ALL ".join(f"SELECT *, {k} AS length FROM w{k}" for k in range(1, depth + 1)) + ") "
+
+
+@query(
+    SQL + _walk("SELECT id FROM nodes WHERE label = 'Requirement' AND contains(lower(text), 'urgent order 1')", "(SELECT * FROM edges WHERE type = 'REQUIRES')", 3)
+    + """, best AS (SELECT length, nodes FROM walks ORDER BY length, nodes LIMIT 300)
+SELECT array_to_string(list_transform(nodes, lambda x: t[x]), ' > ') AS dependency_chain, array_to_string(list_transform(nodes, lambda x: c[x]), ' > ') AS sources, length AS chain_length
+FROM best, (SELECT map_from_entries(list((id, text))) AS t, map_from_entries(list((id, citation_text))) AS c FROM nodes WHERE label = 'Requirement')"""
+)
+def dependency_chain(spark, sf):
+    return templates.dependency_chain(tables.graph(spark, sf), "urgent order 1", 300)
+
+
+@query(
+    SQL + """SELECT DISTINCT n.text AS requirement, n.citation_text AS source, n.category FROM nodes n JOIN (
+  SELECT b.src AS id FROM edges a JOIN edges b ON a.dst = b.dst AND a.eid <> b.eid WHERE a.type = 'APPLIES_TO' AND b.type = 'APPLIES_TO' AND a.src = 'o10'
+  UNION ALL SELECT b.dst FROM edges a JOIN edges b ON a.src = b.src AND a.eid <> b.eid WHERE a.type = 'DEFINES' AND b.type = 'DEFINES' AND a.dst = 'o10') r ON n.id = r.id
+WHERE n.label = 'Requirement' ORDER BY 1, 2, 3 LIMIT 2000"""
+)
+def related_requirements(spark, sf):
+    return templates.related_requirements(tables.graph(spark, sf), "o10", 2000)
+
+
+@query(
+    SQL + """SELECT r.text AS requirement, r.citation_text AS source, r.category, r.severity, coalesce(string_agg(DISTINCT p.name, '|' ORDER BY p.name), '') AS processes
+FROM nodes r LEFT JOIN (SELECT src, name FROM edges JOIN nodes ON dst = id WHERE type = 'APPLIES_TO' AND label = 'Process') p ON p.src = r.id
+WHERE r.label = 'Requirement' AND contains(lower(r.text), 'order 1') GROUP BY 1, 2, 3, 4 ORDER BY r.severity DESC NULLS FIRST, 1, 2 LIMIT 500"""
+)
+def search_requirements(spark, sf):
+    return templates.search_requirements(tables.graph(spark, sf), "order 1", 500)
+
+
+@query(
+    SQL + """SELECT n.label AS entity_type, n.text AS content, n.citation_text AS source,
+  string_agg(DISTINCT concat_ws(':', coalesce(r.type, '-'), coalesce(r.label, '-'), coalesce(r.text, '-')), '|' ORDER BY concat_ws(':', coalesce(r.type, '-'), coalesce(r.label, '-'), coalesce(r.text, '-'))) AS relationships
+FROM nodes n LEFT JOIN (SELECT e.src, e.type, t.label, t.text FROM edges e JOIN nodes t ON e.dst = t.id) r ON r.src = n.id
+WHERE n.citation_text = 'C7' OR n.source_doc = 'C7' GROUP BY 1, 2, 3 ORDER BY 1, 2, 3 LIMIT 100"""
+)
+def citation_context(spark, sf):
+    return templates.citation_context(tables.graph(spark, sf), "C7", 100)
+
+
+# ------------------------------------------------------------ counts and paths
+
+
+@query(SQL + "SELECT (SELECT count(*) FROM nodes) AS total_nodes, (SELECT count(*) FROM edges) AS total_relationships")
+def graph_totals(spark, sf):
+    return graph.totals(tables.graph(spark, sf))
+
+
+@query(SQL + "SELECT label, count(*) AS count FROM nodes GROUP BY label")
+def count_by_label(spark, sf):
+    return graph.count_by_label(tables.graph(spark, sf))
+
+
+@query(SQL + "SELECT type, count(*) AS count FROM edges GROUP BY type")
+def count_by_type(spark, sf):
+    return graph.count_by_type(tables.graph(spark, sf))
+
+
+@query(
+    SQL + """, d AS (SELECT id, sum(i) AS in_degree, sum(o) AS out_degree FROM (SELECT dst AS id, 1 AS i, 0 AS o FROM edges UNION ALL SELECT src, 0, 1 FROM edges) GROUP BY id)
+SELECT n.id, n.text, CAST(in_degree AS BIGINT) AS in_degree, CAST(out_degree AS BIGINT) AS out_degree, CAST(in_degree + out_degree AS BIGINT) AS total_degree
+FROM d JOIN nodes n ON d.id = n.id WHERE n.label = 'Requirement' ORDER BY total_degree DESC, n.id LIMIT 200"""
+)
+def degree_centrality(spark, sf):
+    return graph.degree(tables.graph(spark, sf), "Requirement", 200)
+
+
+@query(
+    SQL + """SELECT e.dst AS process_id, n.name AS process, count(*) AS requirement_count, array_to_string(list_slice(list_sort(list(e.src)), 1, 10), ',') AS requirements
+FROM edges e JOIN nodes n ON e.dst = n.id WHERE e.type = 'APPLIES_TO' GROUP BY 1, 2 HAVING count(*) >= 3 ORDER BY requirement_count DESC, process_id LIMIT 50"""
+)
+def communities(spark, sf):
+    return graph.communities(tables.graph(spark, sf), 3, 50)
+
+
+@query(
+    SQL + """SELECT DISTINCT n.id, n.label, coalesce(n.text, n.name, n.term) AS text, n.citation_text, b.type AS relationship
+FROM both_ways b JOIN nodes n ON b.dst = n.id WHERE b.src = 'p3' ORDER BY 1, 5 LIMIT 100"""
+)
+def neighbors(spark, sf):
+    return paths.neighbors(tables.graph(spark, sf), "p3", (), 100)
+
+
+ENDS = _walk("SELECT id FROM nodes WHERE id = 'c1'", "both_ways", 4)
+
+
+@query(SQL + ENDS + """SELECT array_to_string(nodes, '>') AS nodes, array_to_string(types, '>') AS types, CAST(length AS INTEGER) AS length FROM walks WHERE walks."at" = 'c2' ORDER BY walks.length, walks.nodes, walks.types LIMIT 1""")
+def shortest_path(spark, sf):
+    return joined(paths.shortest_path(tables.graph(spark, sf), "c1", "c2", 4), nodes=">", types=">")
+
+
+@query(SQL + ENDS + """SELECT array_to_string(nodes, '>') AS nodes, array_to_string(types, '>') AS types, CAST(length AS INTEGER) AS length FROM walks WHERE walks."at" = 'c2' ORDER BY walks.length, walks.nodes, walks.types LIMIT 50""")
+def all_paths(spark, sf):
+    return joined(paths.all_paths(tables.graph(spark, sf), "c1", "c2", 4, 50), nodes=">", types=">")
+
+
+@query(
+    SQL + _walk("SELECT id FROM nodes WHERE id = 'o3'", "(SELECT * FROM edges WHERE type = 'REQUIRES')", 3)
+    + """SELECT walks."start" AS start, walks."at" AS at, array_to_string(nodes, '>') AS nodes, array_to_string(types, '>') AS types, CAST(length AS INTEGER) AS length FROM walks ORDER BY walks.length, walks.nodes LIMIT 20"""
+)
+def dependencies(spark, sf):
+    return joined(paths.dependencies(tables.graph(spark, sf), "o3"), nodes=">", types=">")
+
+
+@query(
+    SQL + _walk("SELECT id FROM nodes WHERE citation_text = 'R1' OR source_doc = 'R1'", "(SELECT * FROM edges WHERE type IN ('CONTAINS', 'APPLIES_TO'))", 3)
+    + """SELECT walks."start" AS start, walks."at" AS at, array_to_string(nodes, '>') AS nodes, array_to_string(types, '>') AS types, CAST(length AS INTEGER) AS length FROM walks ORDER BY walks.length, walks.nodes LIMIT 500"""
+)
+def citation_chain(spark, sf):
+    return joined(paths.citation_chain(tables.graph(spark, sf), "R1", 3, 500, ("CONTAINS", "APPLIES_TO")), nodes=">", types=">")
+
+
+# ------------------------------------------------------------ entities
+
+
+@query("SELECT doc_id, source FROM (SELECT *, row_number() OVER (PARTITION BY regexp_replace(lower(text), '^\\s+|\\s+$', '', 'g') ORDER BY doc_id) AS k FROM documents WHERE text <> '') WHERE k = 1")
+def dedup_first(spark, sf):
+    return graph.keep_first(table(spark, sf, "documents"), fn.strip(F.lower("text")), "doc_id").select("doc_id", "source")
+
+
+@query("SELECT user_id, event_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k FROM events) WHERE k = 1")
+def upsert_last(spark, sf):
+    return graph.keep_last(table(spark, sf, "events").select("user_id", "event_id", "event_type", "value"), "user_id", "event_id")
+
+
+@query(
+    """SELECT doc_id AS ord, source AS source_chunk_id, lang AS entity_type FROM (SELECT *, row_number() OVER (PARTITION BY source, lang, substr(text, 1, 100) ORDER BY doc_id % 2, doc_id) AS k FROM documents) WHERE k = 1"""
+)
+def merge_entities(spark, sf):
+    e = table(spark, sf, "documents").select(F.col("source").alias("source_chunk_id"), F.col("lang").alias("entity_type"), "text", F.col("doc_id").alias("ord"))
+    return extract.merge(e.where("ord % 2 = 0"), e.where("ord % 2 = 1")).select("ord", "source_chunk_id", "entity_type")
+
+
+@query("SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def resume_anti_join(spark, sf):
+    return extract.remaining(table(spark, sf, "documents"), table(spark, sf, "labels"), key="doc_id").select("doc_id", "source")
+
+
+NODE_ID = r"'requirement_' || replace(lower(source), ' ', '_') || '_' || substr(md5(regexp_replace(lower(text), '^\s+|\s+$', '', 'g')), 1, 8)"
+
+
+@query(f"SELECT doc_id, {NODE_ID} AS node_id FROM documents")
+def node_ids(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", fn.node_id(F.lit("Requirement"), "source", "text").alias("node_id"))
+
+
+SENTENCES = r"list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g')), lambda s: length(s) > 20)"
+
+
+@query(f"SELECT doc_id, CAST(len(s) AS INTEGER) AS sentences, coalesce(CAST(list_sum(list_transform(s, lambda x: length(x))) AS BIGINT), 0) AS characters FROM (SELECT doc_id, {SENTENCES} AS s FROM documents)")
+def sentence_split(spark, sf):
+    s = table(spark, sf, "documents").select("doc_id", fn.sentences("text").alias("s"))
+    return s.select("doc_id", F.size("s").alias("sentences"), F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a + F.length(x)).alias("characters"))
+
+
+@query()
+def chunks(spark, sf):
+    docs = table(spark, sf, "documents")
+    parts = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "source", F.lit("section_1").alias("section_id"), F.lit("Full Document").alias("heading"), F.col("text").alias("content"))
+    return ingest.chunks(parts)
+
+
+@query()
+def sections(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", F.col("text").alias("full_text"))
+    return ingest.sections(docs)
+
+
+WORDS = r"CAST(len(list_filter(string_split_regex(text, '\s+'), lambda w: w <> '')) AS DOUBLE) * 1.3"
+
+
+@query(f"SELECT source, count(*) AS documents, round(avg(length(text)), 6) AS mean_size, round(avg({WORDS}), 6) AS mean_tokens FROM documents GROUP BY source")
+def chunk_stats(spark, sf):
+    return table(spark, sf, "documents").groupBy("source").agg(
+        F.count("*").alias("documents"), F.round(F.avg(F.length("text")), 6).alias("mean_size"), F.round(F.avg(fn.token_estimate("text")), 6).alias("mean_tokens")
+    )
+
+
+# ------------------------------------------------------------ edges by rules
+
+
+@query("SELECT 'CONTAINS|' || source || '|' || doc_id AS eid, source AS src, CAST(doc_id AS VARCHAR) AS dst FROM documents")
+def contains_edges(spark, sf):
+    docs = table(spark, sf, "documents")
+    nodes = graph.as_nodes(docs, id=F.col("doc_id").cast("string"), label="Requirement", source_doc=F.col("source")).unionByName(
+        graph.as_nodes(docs.select("source").distinct(), id=F.col("source"), label="Regulation", source_doc=F.col("source"))
+    )
+    return build.contains_by_source(nodes).select("eid", "src", "dst")
+
+
+@query("SELECT CAST(item_id AS VARCHAR) AS term_id, CAST(doc_id AS VARCHAR) AS text_id FROM benchmark b JOIN documents d ON contains(lower(d.text), lower(b.text))")
+def defines_edges(spark, sf):
+    terms = table(spark, sf, "benchmark").select(F.col("item_id").cast("string").alias("id"), F.col("text").alias("term"))
+    return build.containing(terms, table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("id"), "text"))
+
+
+@query("SELECT DISTINCT p_name AS term_id, CAST(item_id AS VARCHAR) AS text_id FROM (SELECT DISTINCT p_name, substr(p_name, 1, 2) AS t FROM part) JOIN benchmark ON contains(lower(text), lower(t))")
+def applies_to_edges(spark, sf):
+    terms = table(spark, sf, "part").select(F.col("p_name").alias("id"), F.substring("p_name", 1, 2).alias("term")).distinct()
+    return build.containing(terms, table(spark, sf, "benchmark").select(F.col("item_id").cast("string").alias("id"), "text"))
+
+
+@query(
+    """SELECT a.doc_id AS src, b.doc_id AS dst FROM (SELECT doc_id, lower(text) AS t FROM documents) a JOIN (SELECT doc_id, lower(substr(text, 1, 100)) AS s FROM documents WHERE length(substr(text, 1, 100)) > 30) b
+ON contains(a.t, b.s) AND a.doc_id <> b.doc_id"""
+)
+def requires_edges(spark, sf):
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    parts = docs.select("id", F.lower(F.substring("text", 1, 100)).alias("term")).where(F.length("term") > 30)
+    return build.containing(parts, docs).where("text_id <> term_id").select(F.col("text_id").alias("src"), F.col("term_id").alias("dst"))
+
+
+LEXICON = ("license", "reserved", "token", "permission")
+
+
+@query(
+    "SELECT DISTINCT c.conv_id AS src, d.doc_id AS dst FROM (SELECT unnest(['license', 'reserved', 'token', 'permission']) AS w) l "
+    "JOIN conversations c ON contains(lower(c.text), w) JOIN documents d ON contains(lower(d.text), w)"
+)
+def exempt_edges(spark, sf):
+    having = lambda name, key: table(spark, sf, name).select(
+        F.col(key), F.explode(F.array(*(F.when(fn.contains("text", w), w) for w in LEXICON))).alias("word")
+    ).where("word is not null").distinct()
+    return having("conversations", "conv_id").join(having("documents", "doc_id"), "word").select(F.col("conv_id").alias("src"), F.col("doc_id").alias("dst")).distinct()
+
+
+@query(
+    f"""WITH r AS (SELECT d.doc_id, source, lang, quality = 1 AS m, {NODE_ID} AS id, list_distinct(list_filter(string_split_regex(lower(text), '\\s+'), lambda w: length(w) > 4)) AS w
+  FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE quality IS NOT NULL)
+SELECT a.id AS req1_id, b.id AS req2_id, a.source AS source1, b.source AS source2, a.lang AS category,
+  a.lang || ': mandatory in ' || a.source || ' but optional in ' || b.source AS reason, 0.7::DOUBLE AS confidence
+FROM r a JOIN r b ON a.lang = b.lang AND a.doc_id < b.doc_id AND a.source <> b.source AND a.m <> b.m WHERE len(list_intersect(a.w, b.w)) >= 3"""
+)
+def entity_conflicts(spark, sf):
+    return conflict.entity_conflicts(tables.requirements(spark, sf))
+
+
+@query()
+def build_stats(spark, sf):
+    g = build.build_graph(tables.entities(spark, sf))
+    return graph.count_by_label(g).select(F.col("label").alias("kind"), "count").unionByName(graph.count_by_type(g).select(F.col("type").alias("kind"), "count"))
+
+
+# ------------------------------------------------------------ retrieval
+
+
+@query(
+    """WITH q AS (SELECT embedding AS q FROM embeddings WHERE vec_id = (SELECT min(vec_id) FROM embeddings)), s AS (
+  SELECT vec_id AS id, label, round((1 + list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(q AS DOUBLE[]))) / 2, 6) AS score FROM embeddings, q)
+SELECT id, label, score, CAST(k AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, id) AS k FROM s) WHERE k <= 3"""
+)
+def vector_topk(spark, sf):
+    v = table(spark, sf, "embeddings").withColumnRenamed("vec_id", "id")
+    q = v.orderBy("id").select("embedding").first()[0]
+    return retrieve.vector_top(v, q, 3, "label").select("id", "label", "score", "rank")
+
+
+BM25 = r"""WITH t AS (SELECT doc_id, lower(coalesce(text, '')) AS x FROM documents), w AS (SELECT doc_id, list_filter(string_split_regex(x, '\s+'), lambda s: s <> '') AS w FROM t),
+s AS (SELECT count(*)::DOUBLE AS n, avg(len(w)) AS a FROM w), e AS (SELECT doc_id, len(w) AS dl, unnest(w) AS term FROM w),
+tf AS (SELECT term, doc_id, dl, count(*) AS tf FROM e WHERE term IN (TERMS) GROUP BY 1, 2, 3), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1)"""
+
+
+@query(
+    BM25.replace("TERMS", "'license', 'reserved.', 'the', 'rights'")
+    + " SELECT doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / a))), 6) AS score FROM tf JOIN df USING (term), s GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT 50"
+)
+def keyword_bm25(spark, sf):
+    return retrieve.keyword_top(table(spark, sf, "documents"), "the license rights reserved.?", 50, key="doc_id")
+
+
+@query(
+    r"""WITH q AS (SELECT item_id AS query_id, unnest(list_distinct(list_filter(string_split_regex(lower(replace(text, '?', '')), '\s+'), lambda t: length(t) > 2))) AS term FROM benchmark), """
+    + BM25.removeprefix("WITH ").replace("WHERE term IN (TERMS)", "WHERE term IN (SELECT term FROM q)")
+    + """, r AS (SELECT query_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / a))), 6) AS score FROM tf JOIN df USING (term) JOIN q USING (term), s GROUP BY 1, 2)
+SELECT query_id, CAST(doc_id AS VARCHAR) AS node_id, score, CAST(k AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, CAST(doc_id AS VARCHAR)) AS k FROM r) WHERE k <= 5"""
+)
+def batch_retrieval(spark, sf):
+    nodes = graph.as_nodes(table(spark, sf, "documents"), id=F.col("doc_id").cast("string"), label="Requirement", text=F.coalesce("text", F.lit("")))
+    g = graph.Graph(nodes, nodes.select(F.lit("").alias("src")).limit(0))
+    return answer_all(g, table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query")), 5)
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS id, source AS source_doc, 0.8::DOUBLE AS score FROM documents WHERE contains(lower(source), 'src1') OR contains(lower(source), 'src12') ORDER BY id LIMIT 100")
+def citation_search(spark, sf):
+    docs = table(spark, sf, "documents")
+    g = graph.Graph(graph.as_nodes(docs, id=F.col("doc_id").cast("string"), label="Requirement", source_doc=F.col("source")), docs)
+    return retrieve.citation_top(g, "What does src12 say?", 100, ("src1", "src12", "src3")).select("id", "source_doc", F.col("score").cast("double").alias("score"))
+
+
+@query(
+    SQL + """, s AS (SELECT * FROM (VALUES ('o1', 0.9), ('o2', 0.8), ('p3', 0.7)) v(src, score)), n AS (
+  SELECT src, dst, score, row_number() OVER (PARTITION BY src ORDER BY dst) AS k FROM (SELECT DISTINCT src, dst, score::DOUBLE AS score FROM both_ways JOIN s USING (src)))
+SELECT dst AS id, label, round(max(score) * 0.7, 6) AS score FROM n JOIN nodes ON dst = id WHERE k <= 3 GROUP BY 1, 2"""
+)
+def graph_expand(spark, sf):
+    seeds = spark.createDataFrame([("o1", 0.9), ("o2", 0.8), ("p3", 0.7)], "node_id string, relevance_score double")
+    return retrieve.expand(tables.graph(spark, sf), seeds).select("id", "label", F.round("score", 6).alias("score"))
+
+
+@query(
+    """SELECT node_id, relevance_score, ord FROM (SELECT CAST(user_id AS VARCHAR) AS node_id, round(value / 1000, 6) AS relevance_score, event_id AS ord,
+  row_number() OVER (PARTITION BY user_id ORDER BY round(value / 1000, 6) DESC, event_id) AS k FROM events) WHERE k = 1 AND relevance_score >= 0.01 ORDER BY relevance_score DESC, ord LIMIT 100"""
+)
+def hybrid_fuse(spark, sf):
+    c = table(spark, sf, "events").select(F.col("user_id").cast("string").alias("node_id"), F.round(F.col("value") / 1000, 6).alias("relevance_score"), F.col("event_id").alias("ord"))
+    return retrieve.fuse(c, 100, 0.01)
+
+
+@query()
+def hybrid_retrieve(spark, sf):
+    docs = table(spark, sf, "documents")
+    nodes = graph.as_nodes(retrieve.embed(docs), id=F.concat(F.lit("d"), "doc_id"), label="Requirement", source_doc=F.col("source"), category=F.col("lang"), citation_text=F.concat_ws(" ", "source", "doc_id"))
+    same = docs.select("lang", "source", F.concat(F.lit("d"), "doc_id").alias("src"), F.concat(F.lit("d"), F.col("doc_id") + 1).alias("dst"))
+    g = graph.Graph(nodes, graph.as_edges(same, "REFERENCES"))
+    return retrieve.retrieve(g, "the and of license", 20)
+
+
+# ------------------------------------------------------------ functions and sources
+
+
+@query(
+    r"""WITH w AS (SELECT doc_id, list_distinct(list_filter(string_split_regex(lower(text), '\s+'), lambda w: length(w) > 4 AND regexp_full_match(w, '[\p{L}\p{N}]+'))) AS w FROM documents)
+SELECT a.doc_id, CAST(len(list_intersect(a.w, b.w)) AS INTEGER) AS shared FROM w a JOIN w b ON b.doc_id = a.doc_id + 1"""
+)
+def word_overlap(spark, sf):
+    w = table(spark, sf, "documents").select("doc_id", fn.significant_words("text").alias("w"))
+    b = w.select((F.col("doc_id") - 1).alias("doc_id"), F.col("w").alias("v"))
+    return w.join(b, "doc_id").select("doc_id", fn.shared_words("w", "v").alias("shared"))
+
+
+@query(r"""SELECT page_id, coalesce(nullif(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), ' '), ''), nullif(trim(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), ' '), ''), 'Unknown') AS title FROM pages""")
+def html_title(spark, sf):
+    return files.title(table(spark, sf, "pages")).select("page_id", "title")
+
+
+@query()
+def html_sections(spark, sf):
+    parsed = files.parse_html(table(spark, sf, "pages"))
+    return parsed.select("page_id", "title", F.explode("sections").alias("s")).select("page_id", "title", "s.section_id", "s.heading", "s.content", "s.level")
+
+
+@query(f"SELECT 'Requirement' AS label, id AS value, count(*) AS count FROM (SELECT {NODE_ID} AS id FROM documents) GROUP BY id HAVING count(*) > 1")
+def uniqueness_check(spark, sf):
+    nodes = graph.as_nodes(table(spark, sf, "documents"), id=fn.node_id(F.lit("Requirement"), "source", "text"), label="Requirement")
+    return graph.duplicates(graph.Graph(nodes, nodes))
+
+
+@query(
+    "SELECT query_type, top_k, count(*) AS questions FROM (SELECT query_type, CASE query_type "
+    + " ".join(f"WHEN '{k}' THEN {v[0]}" for k, v in router.ROUTES.items())
+    + " END AS top_k FROM (SELECT CASE "
+    + " ".join(f"WHEN regexp_matches(lower(text), '{p}') THEN '{k}'" for k, p in router.KINDS)
+    + " ELSE 'complex' END AS query_type FROM conversations)) GROUP BY 1, 2"
+)
+def route_questions(spark, sf):
+    return router.classify(table(spark, sf, "conversations"), "text").groupBy("query_type", "top_k").agg(F.count("*").alias("questions"))
+
+
+@query(
+    """SELECT event_type AS model, count(*) AS chunks, round(avg(CAST(value > 5 AS INT)) * 100, 6) AS success_rate, round(avg(CAST(value > 2 AS INT)) * 100, 6) AS parse_rate,
+  round(avg(user_id), 6) AS avg_entities, round(avg(value), 6) AS avg_seconds FROM events GROUP BY 1"""
+)
+def model_benchmark(spark, sf):
+    runs = table(spark, sf, "events").select(F.col("event_type").alias("model"), (F.col("value") > 5).alias("success"), (F.col("value") > 2).alias("parsed"), F.col("user_id").alias("entities"), F.col("value").alias("seconds"))
+    made = extract.benchmark(runs)
+    return made.select("model", "chunks", *(F.round(c, 6).alias(c) for c in ("success_rate", "parse_rate", "avg_entities", "avg_seconds")))
+
+
+@query("SELECT source, lang, count(*) AS entities FROM documents GROUP BY 1, 2")
+def entity_counts(spark, sf):
+    return table(spark, sf, "documents").groupBy("source", "lang").agg(F.count("*").alias("entities"))
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return dict(ORACLES)
