@@ -193,16 +193,24 @@ def conflicts(entities: DataFrame) -> DataFrame:
 
 
 def build_graph(entities: DataFrame) -> Graph:
-    """Nodes of all known labels and the edges of all rules; entities of other types are passed over."""
+    """Nodes of all known labels and the edges of all rules; entities of other types are passed over.
+
+    Every rule reads the entities and some the nodes, so both are persisted
+    (memory, then disk; a lost executor's part is made again), and so are the
+    edges. The caller may unpersist the graph.
+    """
+    entities = entities.persist()
     nodes = source_nodes(entities)
-    for label in IDENTITY:
-        nodes = upsert(nodes, entity_nodes(entities, label))
-    found = supersessions(flat(entities).where("entity_type = 'Requirement'"))
-    nodes = upsert(nodes, directive_nodes(found), "id", on_create=True)
+    for label in IDENTITY:  # ids begin with their label, so labels don't meet, but for the regulations of sources
+        made = entity_nodes(entities, label)
+        nodes = upsert(nodes, made) if label == "Regulation" else nodes.unionByName(made)
+    nodes = nodes.persist()
+    found = supersessions(flat(entities).where("entity_type = 'Requirement'")).persist()
+    nodes = upsert(nodes, directive_nodes(found), "id", on_create=True).persist()
     edges = contains_by_source(nodes)
     for more in (contains_by_name(entities), applies_to(entities), defines(entities), requires(entities), exempt_from(entities), supersedes(entities, nodes), conflicts(entities)):
-        edges = edges.unionByName(more)
+        edges = edges.unionByName(more.persist())
     edges = edges.dropDuplicates(["src", "dst", "type"])
     ids = nodes.select("id")
     ends = edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
-    return Graph(nodes, ends)
+    return Graph(nodes, ends.persist())

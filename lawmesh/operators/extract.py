@@ -8,6 +8,7 @@ import re
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from lawmesh.operators.graph import keep_first
 from lawmesh.schema import ENTITY, PROPERTIES
@@ -57,7 +58,7 @@ def repaired(text: str | None) -> str | None:
     return None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def repair(s: pd.Series) -> pd.Series:
     return s.map(repaired)
 
