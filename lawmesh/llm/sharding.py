@@ -15,8 +15,8 @@ def ring_arcs(spark, n_shards: int, vnodes: int, seed: int) -> DataFrame:
     points = (
         spark.range(n_shards * vnodes, numPartitions=1)
         .select(
-            (F.col("id") % n_shards).cast("int").alias("shard"),
-            F.pmod(F.xxhash64(F.lit(seed), F.col("id")), F.lit(RING)).alias("slot"),
+            F.floor(F.col("id") / vnodes).cast("int").alias("shard"),  # a shard's points don't depend on the others
+            F.pmod(F.xxhash64(F.lit(seed), F.floor(F.col("id") / vnodes), F.col("id") % vnodes), F.lit(RING)).alias("slot"),
         )
         .groupBy("slot")
         .agg(F.min("shard").alias("shard"))
