@@ -4,17 +4,22 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import json
+import re
 import zlib
+from array import array
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from lawmesh.llm.common import broadcast_value, map_arrow
 
 WORDS_LIMIT = 1_200_000
-#: Python's split() also parts at these, the tokenizer does not.
-ODD_SPACE = "\x1c\x1d\x1e\x1f"
+#: Splitting at white space also parts at these, the tokenizer does not.
+ODD_SPACE = "[\x1c\x1d\x1e\x1f]"
 
 
 def difference(sizes: list[int], n_windows: int) -> list[list[int]]:
@@ -70,33 +75,82 @@ def windows_of(sizes: list[int], capacity: int) -> list[list[int]]:
 
 
 class Words(dict):
-    """White-space word -> its ids as little-endian bytes; the tokenizer fills it by batches."""
+    """White-space word -> its ids as little-endian bytes; the tokenizer fills it by batches.
 
-    def __init__(self, tokenizer):
-        super().__init__()
-        self.tokenizer = tokenizer
+    If its file says that it lower-cases and then parts a text by a pattern,
+    new words are parted so first: such pieces repeat far more often than
+    words with their capitals and punctuation do, and only pieces not met
+    before go to the tokenizer. Words with characters beyond Latin letters go
+    to it whole, as their normal forms are its own business.
+    """
 
-    def learn(self, words: set[str]) -> None:
+    def __init__(self, tokenizer, spec: str):
+        super().__init__()
+        import regex
+
+        said = json.loads(spec)
+        steps = [n["type"] for n in (said.get("normalizer") or {}).get("normalizers", [])]
+        parting = ((said.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+        pattern = parting.get("pattern", {}).get("Regex") if parting.get("behavior") == "Removed" and parting.get("invert") else None
+        self.tokenizer, self.bare, self.pieces = tokenizer, tokenizer, {}
+        self.parts = regex.compile(pattern).findall if pattern and steps == ["NFC", "Replace", "Lowercase"] else None
+        if self.parts:  # the same tokenizer without the steps that its pieces have behind them
+            from tokenizers import Tokenizer
+
+            rest = said["pre_tokenizer"]["pretokenizers"][1:]
+            self.bare = Tokenizer.from_str(json.dumps(said | {"normalizer": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": rest}, "added_tokens": []}))
+        self.latin = re.compile("[\x21-\x7e\xa1-\u024f]+").fullmatch
+
+    def learn(self, words: list[str]) -> None:
         if len(self) > WORDS_LIMIT:
             self.clear()
-            new = list(words)
-        else:
-            new = [w for w in words if w not in self]
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
-            for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self[w] = np.array(e.ids, dtype="<u4").tobytes()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Words never share a token: the tokenizer's pieces hold no white space."""
-        split = [None if any(c in t for c in ODD_SPACE) else t.split() for t in texts]
-        self.learn(set().union(*(s for s in split if s)))
-        return [
-            np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes()
-            if s is None
-            else b"".join(map(self.__getitem__, s))
-            for t, s in zip(texts, split, strict=True)
-        ]
+        if len(self.pieces) > WORDS_LIMIT:
+            self.pieces.clear()
+        parted, wanted, whole, pieces = {}, {}, {}, self.pieces
+        for w in words:
+            if w not in self:
+                if self.parts and self.latin(w):
+                    parted[w] = found = self.parts(w.lower())
+                    for p in found:
+                        if p not in pieces:
+                            wanted[p] = None
+                else:
+                    whole[w] = None
+        for new, kept, tokenizer in ((wanted, pieces, self.bare), (whole, self, self.tokenizer)):
+            new = list(new)
+            for at in range(0, len(new), 4096):
+                some = new[at : at + 4096]
+                for p, e in zip(some, tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                    kept[p] = array("I", e.ids).tobytes()
+        for w, found in parted.items():
+            self[w] = b"".join([pieces[p] for p in found])
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of all texts, and where each text's begin and end; null texts have none.
+
+        Words never share a token: the tokenizer's pieces hold no white space.
+        Splitting and finding the distinct words is Arrow's work; Python sees
+        only these, and ids are gathered by their numbers.
+        """
+        texts = pc.fill_null(texts, "")
+        odd = pc.match_substring_regex(texts, ODD_SPACE)
+        split = pc.utf8_split_whitespace(pc.if_else(odd, "", texts))
+        coded = split.flatten().dictionary_encode()
+        words, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        self.learn(words)
+        made = [self[w] for w in words]
+        n_of = np.array([len(m) // 4 for m in made], dtype="int64")
+        flat, first = np.frombuffer(b"".join(made), dtype="<u4"), np.cumsum(n_of) - n_of
+        n = n_of[at]
+        ends = np.concatenate(([0], np.cumsum(n)))
+        ids = flat[np.repeat(first[at] - ends[:-1], n) + np.arange(ends[-1])]
+        bounds = ends[split.offsets.to_numpy()]
+        if pc.any(odd).as_py():  # few: such texts go to the tokenizer whole
+            parts = [ids[i:j] for i, j in zip(bounds, bounds[1:], strict=False)]
+            for k in np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist():
+                parts[k] = np.array(self.tokenizer.encode(texts[k].as_py(), add_special_tokens=False).ids, dtype="<u4")
+            ids, bounds = np.concatenate(parts), np.concatenate(([0], np.cumsum([len(p) for p in parts])))
+        return ids, bounds
 
 
 _held: dict[str, Words] = {}
@@ -112,7 +166,7 @@ def words_of(key: str, spec: str) -> Words:
         tokenizer = Tokenizer.from_str(spec)
         tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         _held.clear()
-        _held[key] = Words(tokenizer)
+        _held[key] = Words(tokenizer, spec)
     return _held[key]
 
 
@@ -153,9 +207,9 @@ def pack_documents(
 
         def __call__(self, batch):
             out = []
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for doc_id, packed in zip(batch.column(0).to_pylist(), self.words.encode(texts), strict=True):
-                packed += end
+            ids, bounds = self.words.encode(batch.column(1))
+            for k, doc_id in enumerate(batch.column(0).to_pylist()):
+                packed = ids[bounds[k] : bounds[k + 1]].tobytes() + end
                 n = len(packed) // 4
                 for start in range(0, n, longest_piece):
                     length = min(longest_piece, n - start)
@@ -181,4 +235,5 @@ def pack_documents(
         docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text"),
         Step,
         ", ".join(f"{f} long" for f in fields),
+        4096,
     )
