@@ -27,9 +27,9 @@ def known_language(spark, docs, sf_dir):
     Learns from the labelled documents of its input; without any, a document
     needs letters only.
     """
-    found = identify(docs, docs, keep=True)
+    found = identify(docs, docs, keep=True, into=("_language", "_cosine"))
     learned = docs.where("lang is not null and text is not null").limit(1).count()
-    clean = (F.col("lang_pred") != "und") & (F.col("score") >= LEAST_COSINE) if learned else F.col("text").rlike(r"\p{L}")
+    clean = (F.col("_language") != "und") & (F.col("_cosine") >= LEAST_COSINE) if learned else F.col("text").rlike(r"\p{L}")
     return found.where(clean).select(*docs.columns)
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from lawmesh.llm.common import broadcast_value, map_arrow
 
 N = 3
-CACHE_LIMIT = 200_000
+CACHE_LIMIT = 60_000
 
 
 def hash_mod(column, n: int = 5):
@@ -128,7 +128,13 @@ def learn_prototypes(docs: DataFrame, dims: int, seed: int, per_language: int) -
 
 
 def identify(
-    docs: DataFrame, training: DataFrame, dims: int = 512, seed: int = 11, per_language: int = 2000, keep: bool = False
+    docs: DataFrame,
+    training: DataFrame,
+    dims: int = 512,
+    seed: int = 11,
+    per_language: int = 2000,
+    keep: bool = False,
+    into: tuple[str, str] = ("lang_pred", "score"),
 ) -> DataFrame:
     """lang_pred and score beside doc_id (keep: beside all columns) for every whole text.
 
@@ -137,6 +143,7 @@ def identify(
     name. Null texts, texts without a letter, and all texts when nothing was
     learned: `und`, score 0. No shuffle of texts; prototypes (languages x dims
     doubles) are broadcast. Repeated rows and null ids are rows like others.
+    `into` names the two columns, for documents that have such columns already.
     """
     prototypes = learn_prototypes(training, dims, seed, per_language)
     names = list(prototypes)
@@ -159,12 +166,12 @@ def identify(
                 best = int(cosine.argmax())
                 pred.append(names[best])
                 score.append(min(1.0, max(0.0, float(cosine[best]))))
-            return {c: batch.column(batch.schema.get_field_index(c)) for c in columns} | {"lang_pred": pred, "score": score}
+            return {c: batch.column(batch.schema.get_field_index(c)) for c in columns} | {into[0]: pred, into[1]: score}
 
         return step
 
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema if f.name in columns)
-    return map_arrow(rows, make, schema + "lang_pred string, score double")
+    return map_arrow(rows, make, schema + f"`{into[0]}` string, `{into[1]}` double")
 
 
 def identify_languages(docs: DataFrame, **options) -> DataFrame:
