@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 
@@ -37,10 +39,39 @@ def settle(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def settle_in_batches(df: DataFrame, rows: int) -> DataFrame:
+    """settle() with at most so many rows in an Arrow batch, where rows are wide; the session's own setting comes back."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(name)
+    conf.set(name, str(rows))
+    try:
+        return settle(df)
+    finally:
+        conf.set(name, before)
+
+
 def broadcast_value(df: DataFrame, value):
     return df.sparkSession.sparkContext.broadcast(value)
 
 
+_kept: dict = {}
+
+
+def kept(key, make):
+    """What a Python worker keeps between tasks, one thing at a time: workers are reused by later operators."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
+def give_back() -> None:
+    """Freed memory goes back to the system, else a reused worker holds the most it ever needed."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def map_arrow(df: DataFrame, make, schema: str, rows: int = 512) -> DataFrame:
     """mapInArrow over slices of at most `rows` rows.
 
@@ -67,6 +98,8 @@ def map_arrow(df: DataFrame, make, schema: str, rows: int = 512) -> DataFrame:
                 yield from out(step(batch.slice(at, rows)))
         if hasattr(step, "finish"):
             yield from out(step.finish())
+        del step
+        give_back()
 
     return df.mapInArrow(run, spark_schema)
 

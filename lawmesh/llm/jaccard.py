@@ -8,12 +8,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lawmesh.llm.common import components, map_arrow, settle
+from lawmesh.llm.common import components, give_back, kept, map_arrow, settle, settle_in_batches
 from lawmesh.llm.lm import words_of
 
 SHINGLE = 5
 ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
-BLOCK_ROWS = 2_000_000
+BLOCK_ROWS = 400_000
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -53,8 +53,12 @@ def alike(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def bitmap(s: np.ndarray) -> bytes:
-    """One bit for each of as many hash places as the set has members, to the next power of 2: the parity of who is there."""
-    width = max(64, 1 << (len(s) - 1).bit_length())
+    """A bit for each hash place, the parity of who is there; 4 places a member, 16 in small sets, to the next power of 2.
+
+    The width never falls with the size, so that of two bitmaps the smaller
+    set's is the one to fold the other to.
+    """
+    width = max(64, 1 << (max(4 * len(s), min(16 * len(s), 4096)) - 1).bit_length())
     bits = np.bincount((s & np.uint64(width - 1)).astype("int64"), minlength=width) & 1
     return np.packbits(bits.astype("uint8"), bitorder="little").tobytes()
 
@@ -77,6 +81,8 @@ def set_sizes(docs: DataFrame) -> DataFrame:
     """doc_id, n, cid: the size of each document's set and its class; cid is null without a set."""
 
     def make():
+        kept("shingles", dict)  # what earlier operators kept goes
+
         def step(batch):
             sets = [shingle_set(t) for t in batch.column(1).to_pylist()]
             return {
@@ -155,8 +161,16 @@ def lists(pdf: pd.DataFrame) -> pd.DataFrame:
     n, short = (sizes >> 1).astype("int64"), (sizes & 1).astype(bool)
     i = np.flatnonzero(tokens[1:] == tokens[:-1])
     i = i[(4 * n[i] >= 3 * n[i + 1]) & short[i]]
-    pairs = np.unique(np.stack((np.minimum(cids[i], cids[i + 1]), np.maximum(cids[i], cids[i + 1])), 1), axis=0)
+    # in a fourth of the lists of middle length also neighbours in an order by chance, another one in each list
+    chance = np.flatnonzero((length_of >= 8) & (length_of <= 2048) & (mixed(tokens ^ ODD[3]) % np.uint64(4) == 0))
+    chance = chance[np.lexsort((mixed(cids[chance].view("uint64") ^ tokens[chance]), tokens[chance]))]
+    x, y = chance[:-1], chance[1:]
+    x, y = np.minimum(x, y), np.maximum(x, y)  # by size within a list
+    fine = (tokens[x] == tokens[y]) & (4 * n[x] >= 3 * n[y]) & short[x]
+    x, y = np.concatenate((i, x[fine])), np.concatenate((i + 1, y[fine]))
+    pairs = np.unique(np.stack((np.minimum(cids[x], cids[y]), np.maximum(cids[x], cids[y])), 1), axis=0)
     # lists of three or more, each set of members once
+    give_back()
     more = length_of >= 3
     tokens, cids, n, short = tokens[more], cids[more], n[more], short[more]
     starts = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1]))) if len(tokens) else np.zeros(0, dtype=int)
@@ -173,14 +187,15 @@ def lists(pdf: pd.DataFrame) -> pd.DataFrame:
             "b": np.concatenate((pairs[:, 1], cids[keep])),
             "n": np.concatenate((np.zeros(len(pairs), dtype="int64"), n[keep])),
             "short": np.concatenate((np.zeros(len(pairs), dtype=bool), short[keep])),
+            "m": np.concatenate((np.zeros(len(pairs), dtype="int64"), np.repeat(lengths, lengths)[keep])),
             "pair": np.concatenate((np.ones(len(pairs), dtype=bool), np.zeros(int(keep.sum()), dtype=bool))),
         }
     )
     return made
 
 
-def signatures(docs: DataFrame) -> DataFrame:
-    """cid, n, bits, members of documents' sets."""
+def signatures(docs: DataFrame, members: bool) -> DataFrame:
+    """cid, n, data of documents' sets: their bitmaps or, with members, the sorted sets themselves; one row a class."""
 
     def make():
         met = set()
@@ -192,19 +207,48 @@ def signatures(docs: DataFrame) -> DataFrame:
             return {
                 "cid": [c for c, _ in sets],
                 "n": [len(s) for _, s in sets],
-                "bits": [bitmap(s) for _, s in sets],
-                "members": [s.tobytes() for _, s in sets],
+                "data": [s.tobytes() if members else bitmap(s) for _, s in sets],
             }
 
         return step
 
-    return map_arrow(docs, make, "cid long, n long, bits binary, members binary", 256)
+    made = settle_in_batches(map_arrow(docs, make, "cid long, n long, data binary", 256), 1000)
+    if made.count() > made.select("cid").distinct().count():  # rows that repeat a doc_id, met by several tasks
+        made = settle(made.dropDuplicates(["cid"]))
+    return made
+
+
+class Texts:
+    """The documents, from which the sets of chosen classes are made again: cheaper than keeping all of them."""
+
+    def __init__(self, rows: DataFrame, classes: DataFrame, small: int):
+        self.rows, self.small = rows, small
+        self.classes = classes.where("rep is not null").select("cid", F.col("rep").alias("doc_id"))
+
+    def only(self, df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+        """df's rows with a key in ids, which are 8 bytes each and broadcast only up to `small` of them."""
+        ids = settle(ids)
+        return df.join(F.broadcast(ids) if ids.count() <= self.small else ids, key, "left_semi")
+
+    def signatures(self, cids: DataFrame, members: bool) -> DataFrame:
+        ids = self.only(self.classes, cids, "cid").select("doc_id").distinct()
+        return signatures(self.only(self.rows, ids, "doc_id").select("text"), members)
+
+
+def both(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("cid")).unionAll(pairs.select("b")).distinct()
+
 
+def beside(pairs: DataFrame, data: DataFrame) -> DataFrame:
+    for side in "ab":
+        pairs = pairs.join(data.select(F.col("cid").alias(side), F.col("n").alias(f"n_{side}"), F.col("data").alias(f"data_{side}")), side)
+    return pairs.select("a", "b", "n_a", "n_b", "data_a", "data_b")
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The (a, b) pairs of classes that are as alike as asked for: bitmaps first, then the sets themselves."""
 
-    def by_bits():
+def let_through(pairs: DataFrame, bits: DataFrame) -> DataFrame:
+    """The (a, b) pairs that their bit counts let through."""
+
+    def make():
         def step(batch):
             a, b, n_a, n_b, bits_a, bits_b = (batch.column(i).to_pylist() for i in range(6))
             keep = []
@@ -217,35 +261,34 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
         return step
 
-    def by_sets():
+    return settle_in_batches(map_arrow(beside(pairs, bits), make, "a long, b long", 2048), 2048)
+
+
+def verified(pairs: DataFrame, texts: Texts) -> DataFrame:
+    """The (a, b) pairs of classes whose sorted sets intersect as much as asked for."""
+
+    def make():
         def step(batch):
-            a, b, x, y = (batch.column(i) for i in range(4))
-            keep = [
-                alike(np.frombuffer(s, dtype="<u8"), np.frombuffer(t, dtype="<u8"))
-                for s, t in zip(x.to_pylist(), y.to_pylist(), strict=True)
-            ]
+            x, y = (batch.column(i).to_pylist() for i in (4, 5))
+            keep = [alike(np.frombuffer(s, dtype="<u8"), np.frombuffer(t, dtype="<u8")) for s, t in zip(x, y, strict=True)]
             at = np.flatnonzero(keep)
-            return {"a": a.to_numpy()[at], "b": b.to_numpy()[at]}
+            return {"a": batch.column(0).to_numpy()[at], "b": batch.column(1).to_numpy()[at]}
 
         return step
 
-    def beside(df, columns):
-        for side in "ab":
-            df = df.join(sets.select(F.col("cid").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in columns)), side)
-        return df.select("a", "b", *(f"{c}_{side}" for c in columns for side in "ab"))
-
-    maybe = settle(map_arrow(beside(pairs, ["n", "bits"]), by_bits, "a long, b long", 2048))
-    return settle(map_arrow(beside(maybe, ["members"]), by_sets, "a long, b long", 64))
+    return settle_in_batches(map_arrow(beside(pairs, texts.signatures(both(pairs), True)), make, "a long, b long", 64), 256)
 
 
 def tile_pairs(pdf: pd.DataFrame) -> pd.DataFrame:
     """Within the tiles of one bucket: pairs of different components that their bit counts let through."""
     out_a, out_b = [], []
-    for _, tile in pdf.groupby(["list", "tile"], sort=False):
+    given = pdf[pdf["bits"].notna()]
+    bits_of = dict(zip(given["cid"], given["bits"], strict=True))
+    for _, tile in pdf[pdf["bits"].isna()].groupby(["list", "tile"], sort=False):
         tile = tile.sort_values("n", kind="stable")
         n, cid, comp, short = (tile[c].to_numpy() for c in ("n", "cid", "comp", "short"))
-        left, right = (tile[c].to_numpy() for c in ("left", "right"))
-        bits = tile["bits"].to_list()
+        left, right, short = (tile[c].to_numpy(dtype=bool) for c in ("left", "right", "short"))
+        bits = [bits_of[c] for c in cid.tolist()]
         at = 0
         while at < len(n):
             some = slice(at, min(len(n), at + 64))
@@ -269,13 +312,36 @@ def tile_pairs(pdf: pd.DataFrame) -> pd.DataFrame:
                 out_b.append(np.maximum(cid[at + x[fine]], cid[at + y[fine]]))
             at = some.stop
     if not out_a:
-        return pd.DataFrame({"a": np.zeros(0, "int64"), "b": np.zeros(0, "int64")})
+        return pd.DataFrame({"a": [], "b": [], "pack": []}).astype("int64")
     pairs = np.unique(np.stack((np.concatenate(out_a), np.concatenate(out_b)), 1), axis=0)
-    return pd.DataFrame(pairs, columns=["a", "b"])
+    return pd.DataFrame(pairs, columns=["a", "b"]).assign(pack=pdf["pack"].iloc[0])
+
+
+def pack_verified(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The pairs of one pack whose sets, each of them sent once, intersect as much as asked for."""
+    given = pdf[pdf["data"].notna()]
+    sets = {c: np.frombuffer(d, dtype="<u8") for c, d in zip(given["a"], given["data"], strict=True)}
+    pairs = pdf[pdf["data"].isna()]
+    keep = [alike(sets[a], sets[b]) for a, b in zip(pairs["a"].tolist(), pairs["b"].tolist(), strict=True)]
+    out = pairs.loc[keep, ["a", "b"]].copy()
+    del sets, given, pairs
+    give_back()
+    return out
+
+
+def verified_by_pack(pairs: DataFrame, texts: Texts, pack_pairs: int) -> DataFrame:
+    """As verified(), for pairs with a pack that has most pairs of their members; packs with many pairs are parted by a."""
+    pairs = settle(pairs.groupBy("a", "b").agg(F.min("pack").alias("pack")))
+    parts = pairs.groupBy("pack").agg(F.ceil(F.count("*") / pack_pairs).alias("parts"))
+    pairs = pairs.join(parts, "pack").withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts"))).select("a", "b", "pack", "part")
+    sets = texts.signatures(both(pairs), True).select(F.col("cid").alias("a"), "data")
+    wanted = pairs.select("pack", "part", "a").unionAll(pairs.select("pack", "part", "b")).distinct()
+    rows = pairs.unionByName(wanted.join(sets, "a").withColumn("b", F.lit(0).cast("long")), allowMissingColumns=True)  # no null longs: pandas makes them doubles
+    return settle(rows.groupBy("pack", "part").applyInPandas(pack_verified, "a long, b long"))
 
 
 def tiles(members: DataFrame, tile_rows: int) -> DataFrame:
-    """Members of lists -> rows of tiles: list, tile, left, right beside what they have.
+    """Members of lists (m: how many the list has) -> rows of tiles: list, tile, left, right beside what they have.
 
     A list of at most tile_rows members is one tile. A longer one is cut into
     bands of sizes, each reaching from s to 4s/3, so that partners are in the
@@ -284,10 +350,9 @@ def tiles(members: DataFrame, tile_rows: int) -> DataFrame:
     members on the left and the other's on the right.
     """
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(4.0 / 3.0))).cast("int")
-    sized = members.groupBy("list").count().withColumnRenamed("count", "m")
-    banded = members.join(sized, "list").withColumn("band", F.when(F.col("m") <= tile_rows, 0).otherwise(band))
+    banded = members.withColumn("band", F.when(F.col("m") <= tile_rows, 0).otherwise(band))
     short = banded.where(F.col("m") <= tile_rows).select(
-        *members.columns, F.lit("all").alias("tile"), F.lit(True).alias("left"), F.lit(True).alias("right")
+        *members.columns, F.lit(0).cast("long").alias("tile"), F.lit(True).alias("left"), F.lit(True).alias("right")
     )
     long = banded.where(F.col("m") > tile_rows)
     slices = long.groupBy("list", "band").agg(F.ceil(F.count("*") / (tile_rows // 2)).cast("int").alias("k"))
@@ -298,7 +363,7 @@ def tiles(members: DataFrame, tile_rows: int) -> DataFrame:
     near = near.groupBy("list", "band").agg(F.max("above").alias("above"), F.max("below").alias("below"))
     slices = slices.join(near, ["list", "band"], "left")
     long = long.join(slices, ["list", "band"]).withColumn("own", F.pmod(F.xxhash64("cid"), F.col("k")).cast("int"))
-    name = "concat_ws('.', {}, {}, {}, {})"
+    name = "xxhash64({}, {}, {}, {})"
     goes = [
         # slices of the own band: with each later one on the left, with each earlier one on the right
         f"transform(sequence(0, k - 1), s -> named_struct('tile', {name.format('band', 'least(s, own)', 'band', 'greatest(s, own)')}, 'left', own <= s, 'right', own >= s))",
@@ -309,7 +374,7 @@ def tiles(members: DataFrame, tile_rows: int) -> DataFrame:
     return short.unionByName(long.select(*members.columns, "t.tile", "t.left", "t.right"))
 
 
-def jaccard_components(docs: DataFrame, bucket_rows: int = 500_000, tile_rows: int = 2048, small: int = 2_000_000) -> DataFrame:
+def jaccard_components(docs: DataFrame, bucket_rows: int = 500_000, tile_rows: int = 16_384, pack_pairs: int = 16_384, small: int = 2_000_000) -> DataFrame:
     """doc_id, n_shingles, component_id: documents linked by Jaccard >= 0.75 of their five-word shingle sets.
 
     1. Equal sets are one class (by 64 bits and the size); only classes go on.
@@ -339,39 +404,32 @@ def jaccard_components(docs: DataFrame, bucket_rows: int = 500_000, tile_rows: i
     found = settle(
         postings(rows.select("text"), buckets)
         .groupBy("bucket")
-        .applyInPandas(lists, "list long, a long, b long, n long, short boolean, pair boolean")
+        .applyInPandas(lists, "list long, a long, b long, n long, short boolean, m long, pair boolean")
     )
     pairs = settle(found.where("pair").select("a", "b").distinct())
-    members = found.where("not pair").select("list", F.col("a").alias("cid"), "n", "short").distinct()
-    involved = settle(
-        pairs.select(F.col("a").alias("cid"))
-        .unionAll(pairs.select("b"))
-        .unionAll(members.select("cid"))
-        .distinct()
-        .join(classes, "cid")
-        .where("rep is not null")
-        .select(F.col("rep").alias("doc_id"))
-        .distinct()
-    )
-    # ids of 8 bytes: broadcast only up to `small` of them
-    ids = F.broadcast(involved) if involved.limit(small + 1).count() <= small else involved
-    sets = settle(signatures(rows.join(ids, "doc_id", "left_semi").select("text")))
-    if sets.count() > sets.select("cid").distinct().count():  # rows that repeat a doc_id
-        sets = settle(sets.dropDuplicates(["cid"]))
-    links = verified(pairs, sets)
+    members = settle(found.where("not pair").select("list", F.col("a").alias("cid"), "n", "short", "m").distinct())
+    texts = Texts(rows, classes, small)
+    bits = texts.signatures(both(pairs).unionAll(members.select("cid")).distinct(), False)
+    links = verified(let_through(pairs, bits), texts)
     comps = components(links).withColumnRenamed("node", "cid").withColumnRenamed("component", "comp")
     placed = settle(members.join(comps, "cid", "left").withColumn("comp", F.coalesce("comp", "cid")))
-    mixed_lists = placed.groupBy("list").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
-    open_members = settle(placed.join(mixed_lists.select("list"), "list").join(sets.select("cid", "bits"), "cid"))
-    tiled = tiles(open_members, tile_rows)
-    packs = max(64, open_members.count() // 20_000)
+    several = placed.groupBy("list").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("cid").alias("first"))
+    several = several.where("low <> high").select("list", "first")
+    tiled = tiles(placed.join(several, "list"), tile_rows)
+    # lists with the same first member have most members in common: they go together, with one bitmap for each member
+    packs = max(64, placed.count() // 20_000)
+    pack = F.when(F.col("tile") == 0, F.xxhash64("first")).otherwise(F.xxhash64("list", "tile"))
+    light = settle(tiled.withColumn("pack", F.pmod(pack, F.lit(packs))).drop("first"))
+    given = light.select("pack", "cid").distinct().join(bits.select("cid", F.col("data").alias("bits")), "cid")
+    for c in light.columns:  # no null longs: pandas makes them doubles
+        if c not in given.columns:
+            given = given.withColumn(c, F.lit(0).cast(light.schema[c].dataType))
     more = settle(
-        tiled.withColumn("pack", F.pmod(F.xxhash64("list", "tile"), F.lit(packs)))
+        light.unionByName(given, allowMissingColumns=True)
         .groupBy("pack")
-        .applyInPandas(tile_pairs, "a long, b long")
-        .distinct()
+        .applyInPandas(tile_pairs, "a long, b long, pack long")
     )
-    links = links.unionAll(verified(more, sets))
+    links = links.unionAll(verified_by_pack(more, texts, pack_pairs))
     of = classes.select("cid", "n", "rep")
     by_doc = links.join(of.select(F.col("cid").alias("a"), F.col("rep").alias("rep_a")), "a").join(
         of.select(F.col("cid").alias("b"), F.col("rep").alias("rep_b")), "b"
