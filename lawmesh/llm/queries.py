@@ -41,6 +41,23 @@ def op4_jaccard(spark, sf_dir):
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+OP4_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s
+  FROM w
+), e AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s), pairs AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.g = b.g AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))
+), reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM s UNION SELECT r.a, p.b FROM reach r JOIN pairs p ON r.b = p.a
+)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, c.component_id FROM s JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) c ON s.doc_id = c.a
+"""
+
 OP5_SQL = """
 WITH q AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
@@ -78,6 +95,21 @@ def op8_neardup(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+OP8_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding) AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), pairs AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.93
+), reach AS (
+  SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, p.b FROM reach r JOIN pairs p ON r.b = p.a
+), n AS (SELECT a, count(*) AS n_links FROM pairs GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) c ON vec_id = c.a LEFT JOIN n ON vec_id = n.a
+"""
+
+
 def op9_language_id(spark, sf_dir):
     from lawmesh.llm.langid import identify_languages
 
@@ -101,4 +133,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op5_maxscore": OP5_SQL}
+    return {"op4_jaccard": OP4_SQL, "op5_maxscore": OP5_SQL, "op8_neardup": OP8_SQL}
