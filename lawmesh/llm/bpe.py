@@ -8,7 +8,7 @@ import hashlib
 import numpy as np
 from pyspark.sql import DataFrame
 
-from lawmesh.llm.common import broadcast_value, map_arrow
+from lawmesh.llm.common import broadcast_value, kept, map_arrow
 
 CACHE_LIMIT = 500_000
 
@@ -110,18 +110,15 @@ def read_ranks(data: bytes) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in map(bytes.split, data.splitlines()) if a}
 
 
-_held: dict[str, tuple] = {}
-
-
 def codec(key: str, data: bytes, pattern: str):
     """One per Python worker and vocabulary; workers are reused between tasks."""
     import regex
 
-    if key not in _held:
+    def make():
         bpe = TreeBpe(read_ranks(data))
-        _held.clear()
-        _held[key] = bpe, Pieces(bpe), regex.compile(pattern).findall
-    return _held[key]
+        return bpe, Pieces(bpe), regex.compile(pattern).findall
+
+    return kept(key, make)
 
 
 def encode_documents(

@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lawmesh.llm.common import broadcast_value, map_arrow
+from lawmesh.llm.common import broadcast_value, kept, map_arrow
 
 N = 3
 CACHE_LIMIT = 60_000
@@ -80,14 +80,8 @@ class Space:
         return counts.astype("float32") @ self.rows[at].astype("float32")
 
 
-_held: dict[tuple, Space] = {}
-
-
 def space_of(dims: int, seed: int) -> Space:
-    if (dims, seed) not in _held:
-        _held.clear()
-        _held[dims, seed] = Space(dims, seed)
-    return _held[dims, seed]
+    return kept(("letters", dims, seed), lambda: Space(dims, seed))
 
 
 def learn_prototypes(docs: DataFrame, dims: int, seed: int, per_language: int) -> dict[str, np.ndarray]:

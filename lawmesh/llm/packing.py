@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from lawmesh.llm.common import broadcast_value, map_arrow
+from lawmesh.llm.common import broadcast_value, kept, map_arrow
 
 WORDS_LIMIT = 1_200_000
 #: Splitting at white space also parts at these, the tokenizer does not.
@@ -153,21 +153,18 @@ class Words(dict):
         return ids, bounds
 
 
-_held: dict[str, Words] = {}
-
-
 def words_of(key: str, spec: str) -> Words:
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    if key not in _held:
+    def make():
         tokenizer = Tokenizer.from_str(spec)
         tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        _held.clear()
-        _held[key] = Words(tokenizer, spec)
-    return _held[key]
+        return Words(tokenizer, spec)
+
+    return kept(key, make)
 
 
 def pack_documents(
