@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from functools import lru_cache
 
 import xxhash
 from pyspark.sql import DataFrame, Window
@@ -19,8 +20,10 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: These make up paths; other elements only part or mark up text.
 CONTAINERS = frozenset("html head body main article section div nav header footer aside form table ul ol dl figure details dialog fieldset".split())
 BLOCKS = CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 li dt dd tr td th thead tbody tfoot caption blockquote pre figcaption address hr summary legend option".split())
-#: Elements and names of classes, ids and roles that aren't main text.
-ASIDE = frozenset("head nav header footer aside form dialog button select menu".split())
+#: Elements that aren't main text, and names of classes, ids and roles that small containers of other text have.
+ASIDE = frozenset("head nav header footer aside dialog button select menu".split())
+NEVER_NAMED = frozenset("html body main article".split())
+LISTS = frozenset("table ul ol dl".split())
 ASIDE_NAMES = frozenset(
     "ad ads advert adverts advertisement banner sponsor sponsored promo cookie cookies consent notice notices alert sidebar comment comments respond disqus "
     "newsletter subscribe share sharing social related breadcrumb breadcrumbs menu nav navigation navbar pagination pager popup modal footer header masthead form login signup search contentinfo complementary widget toolbar".split()
@@ -33,7 +36,7 @@ def parse(page: str):
     """The page as events: ("open", path, aside), ("close", path, aside), ("break",) and ("text", string, in a link).
 
     path has the containers above with their classes; aside tells whether one
-    of them isn't main text. Closing tags without an open element are passed
+    of them is an element that never holds main text. Closing tags without an open element are passed
     over; an element that is never closed ends with the one around it.
     """
     stack: list[tuple[str, str, bool]] = []  # tag, path, aside
@@ -79,7 +82,7 @@ def parse(page: str):
             names = [p for _, *v in ATTRIBUTE.findall(attributes) for p in PARTS.split("".join(v).lower()) if p] if attributes else []
             above, off = (stack[-1][1], stack[-1][2]) if stack else ("", False)
             path = f"{above}/{'.'.join([name, *names])}"
-            aside = off or name in ASIDE or not ASIDE_NAMES.isdisjoint(names)
+            aside = off or name in ASIDE
             yield "open", path, aside
             if not attributes.endswith("/"):
                 stack.append((name, path, aside))
@@ -112,17 +115,41 @@ def blocks(page: str):
         yield " ".join(words), *stack[-1], len(words), min(links, len(words))
 
 
+@lru_cache(maxsize=50_000)
+def named_aside(path: str) -> tuple[str, ...]:
+    """The containers of a path that a name, or being a form, would make aside."""
+    out, at = [], ""
+    for part in path.split("/")[1:]:
+        at = f"{at}/{part}"
+        name, *names = part.split(".")
+        if name == "form" or (name not in NEVER_NAMED and not ASIDE_NAMES.isdisjoint(names)):
+            out.append(at)
+    return tuple(out)
+
+
+def within(path: str, slot: str) -> bool:
+    return path == slot or path.startswith(slot + "/")
+
+
+def block_key(path: str, block: str) -> str:
+    return f"{path}\0{xxhash.xxh3_64_hexdigest(block)}"
+
+
 class Tokens:
     """What pages of a host have in common, counted in the tasks first.
 
     A token is a container's opening or closing tag in its path, or a whole
-    block of text in its path. Its occurrence vector over the host's pages
-    is told by the number of pages, the number of occurrences and the XOR of
-    hashes of (page, occurrences on it): equal vectors have equal ones.
+    block of text in its path; the page itself is the container of path "".
+    Its occurrence vector over the host's pages is told by the number of
+    pages, the number of occurrences and the XOR of hashes of (page,
+    occurrences on it): equal vectors have equal ones. bits has one of 64 bits
+    for each page's content, so that copies of one page don't make a template.
+    words, linked and free_all (words not in links) are of all text in a
+    container that isn't aside by its element; free is without named containers.
     """
 
     def __init__(self, flush: int = 200_000):
-        self.held: dict[tuple[str, str, bool], list[int]] = {}
+        self.held: dict[tuple[str, str], list[int]] = {}
         self.flush = flush
 
     def __call__(self, batch):
@@ -131,114 +158,187 @@ class Tokens:
         return self.finish() if len(self.held) > self.flush else []
 
     def add(self, page_id, host: str, page: str) -> None:
-        seen: dict[tuple[str, bool], list[int]] = {}
+        seen: dict[str, list[int]] = {"<": [1, 0, 0, 0, 0], ">": [1, 0, 0, 0, 0]}
         for kind, path, aside in parse(page):
-            if kind == "open" or kind == "close":
-                seen.setdefault(("<" if kind == "open" else ">") + path, [0, 0, 0, aside])[0] += 1
+            if (kind == "open" or kind == "close") and not aside:
+                seen.setdefault(("<" if kind == "open" else ">") + path, [0, 0, 0, 0, 0])[0] += 1
         for block, path, aside, words, linked in blocks(page):
-            seen.setdefault(f"#{path}\0{xxhash.xxh3_64_hexdigest(block)}", [0, words, linked, aside])[0] += 1
-            while path:  # words of a container: those below it that aren't aside
-                if not aside and (got := seen.get("<" + path)):
-                    got[1] += words
-                    got[2] += linked
-                path = path.rpartition("/")[0]
-        for token, (n, words, linked, aside) in seen.items():
+            if aside:
+                continue
+            free = words - linked
+            counts = (words, linked, 0 if named_aside(path) else free, free)
+            got = seen.setdefault("#" + block_key(path, block), [0, 0, 0, 0, 0])
+            got[0] += 1
+            while True:
+                for i, n in enumerate(counts, 1):
+                    got[i] += n
+                if path is None:
+                    break
+                got = seen["<" + path]
+                path = path.rpartition("/")[0] if path else None
+        bit = 1 << (xxhash.xxh3_64_intdigest(page.encode("utf-8", "surrogatepass")) % 63)
+        for token, (n, *counts) in seen.items():
             mark = xxhash.xxh3_64_intdigest(f"{page_id}\0{n}") - (1 << 63)
-            row = self.held.setdefault((host, token, aside), [0, 0, 0, 0, 0])
+            row = self.held.setdefault((host, token), [0] * 8)
             row[0] += 1
             row[1] += n
             row[2] ^= mark
-            row[3] += words
-            row[4] += linked
+            row[3] |= bit
+            for i, x in enumerate(counts, 4):
+                row[i] += x
 
     def finish(self):
         keys, rows = list(self.held), list(self.held.values())
         self.held = {}
-        out = {"host": [k[0] for k in keys], "token": [k[1] for k in keys], "aside": [k[2] for k in keys]}
-        return out | {c: [r[i] for r in rows] for i, c in enumerate(("pages", "total", "vector", "words", "linked"))}
+        out = {"host": [k[0] for k in keys], "token": [k[1] for k in keys]}
+        return out | {c: [r[i] for r in rows] for i, c in enumerate(("pages", "total", "vector", "bits", *COUNTS))}
+
+
+COUNTS = ("words", "linked", "free", "free_all")
 
 
 def deduce_templates(pages: DataFrame, share: float = 0.5, least_pages: int = 3) -> DataFrame:
-    """host, main: the path of the slot that holds the main text, for each host and, as host null, for all.
-
-    Tokens on more than `share` of a host's pages are grouped by their
-    occurrence vectors. A class is valid if it has an opening tag with its
-    closing tag, the same number of times; tokens carry their paths, which
-    nest valid classes into the template. What lies between is a slot, told by
-    its container; the words in it that aren't template text decide. The slot
-    with the main text is the topmost `article`, else the topmost `main`, else
-    the deepest container with most of the words. Hosts with fewer than
-    least_pages pages have no vectors to speak of and take the template of all.
+    """host, main, kept_names, dropped, constants; for each host and, as host null, for all.
+
+    Tokens on more than `share` of a host's pages, and of their different
+    contents, are grouped by their occurrence vectors. A class is valid if it
+    has an opening tag with its closing tag, the same number of times; tokens
+    carry their paths, which nest valid classes into the template. What lies
+    between is a slot, told by its container; free words, in no link and no
+    template text, decide. A named container with most of the host's free
+    words isn't aside (kept_names). main is the topmost `article`, else the
+    topmost `main`, if it has half of the free words, else the deepest
+    container with all of them. dropped are containers all of whose text is
+    template text, and on hosts without article or main those outside the
+    container of most free words that have links and template text only;
+    there constants, template blocks by themselves, go as well, except parts
+    of lists and tables. Hosts with fewer than least_pages pages have no
+    vectors to speak of and take the template of all.
     """
-    sums = [F.sum(c).alias(c) for c in ("pages", "total", "words", "linked")]
+    sums = [F.sum(c).alias(c) for c in ("pages", "total", *COUNTS)]
+    marks = [F.bit_xor("vector").alias("vector"), F.bit_or("bits").alias("bits")]
     told = map_arrow(
         pages.select("page_id", "host", "html"),
         Tokens,
-        "host string, token string, aside boolean, pages long, total long, vector long, words long, linked long",
+        "host string, token string, pages long, total long, vector long, bits long, " + ", ".join(f"{c} long" for c in COUNTS),
     )
-    by_host = settle(told.groupBy("host", "token", "aside").agg(*sums, F.bit_xor("vector").alias("vector")))
-    n_host = pages.groupBy("host").agg(F.count("*").alias("n"))
-    by_all = by_host.groupBy("token", "aside").agg(*sums, F.bit_xor("vector").alias("vector"))
-    n_all = pages.count()
-    frequent = by_host.join(n_host.where(F.col("n") >= least_pages), "host").unionByName(
-        by_all.where("pages > 1").withColumn("n", F.lit(n_all)).withColumn("host", F.lit(None).cast("string"))
+    by_host = settle(told.groupBy("host", "token").agg(*sums, *marks))
+    by_all = by_host.groupBy("token").agg(*sums, *marks).where("pages > 1")
+    root = F.col("token") == "<"
+    whole = by_host.where(root).select("host", F.col("pages").alias("n"), F.bit_count("bits").alias("contents"))
+    n_all = by_host.where(root).agg(F.coalesce(F.sum("pages"), F.lit(0)), F.coalesce(F.bit_count(F.bit_or("bits")), F.lit(0))).first()
+    frequent = by_host.join(whole.where(F.col("n") >= least_pages), "host").unionByName(
+        by_all.withColumn("n", F.lit(n_all[0])).withColumn("contents", F.lit(n_all[1])).withColumn("host", F.lit(None).cast("string"))
     )
-    frequent = settle(frequent.where(F.col("pages") > F.col("n") * share))
-    group = ["host", "pages", "total", "vector"]
+    frequent = settle(frequent.where(F.col("pages") > F.col("n") * share).withColumn("h", F.coalesce(F.concat(F.lit("h"), "host"), F.lit("*"))))
     tag = F.col("token").substr(1, 1)
     path = F.expr("substring(token, 2)")
     paired = (
         frequent.where(tag != "#")
         .withColumn("path", path)
-        .groupBy(*group, "path", "aside", "n")
-        .agg(F.count("*").alias("tags"), F.sum("words").alias("words"), F.sum("linked").alias("linked"))
-        .where("tags = 2 and not aside")
+        .groupBy("h", "host", "pages", "total", "vector", "path")
+        .agg(F.count("*").alias("tags"), *(F.sum(c).alias(c) for c in COUNTS))
+        .where("tags = 2")
     )
-    constant = (
-        frequent.where(tag == "#")
-        .select(F.coalesce("host", F.lit("*")).alias("h"), F.split_part(path, F.lit("\0"), F.lit(1)).alias("at"), F.col("words").alias("fixed"))
+    spread = (F.bit_count("bits") > F.col("contents") * share) & (F.bit_count("bits") >= least_pages)
+    constant = frequent.where((tag == "#") & spread).select(
+        "h", path.alias("key"), F.split_part(path, F.lit("\0"), F.lit(1)).alias("at"), "pages", "vector", *(F.col(c).alias(f"fixed_{c}") for c in COUNTS)
     )
-    slots = paired.withColumn("h", F.coalesce("host", F.lit("*")))
+    constant = settle(constant)
+    inside = (F.col("path") == F.col("at")) | F.col("at").startswith(F.concat("path", F.lit("/")))
     fixed = (
-        slots.join(constant, "h")
-        .where(F.col("at").startswith(F.col("path")))
-        .groupBy("h", "path")
-        .agg(F.sum("fixed").alias("fixed"))
-    )
-    slots = slots.join(fixed, ["h", "path"], "left").withColumn(
-        "free", F.greatest(F.lit(0), F.col("words") - F.col("linked") - F.coalesce("fixed", F.lit(0)))
+        paired.select("h", "path").join(constant.drop("pages", "vector"), "h").where(inside).groupBy("h", "path").agg(*(F.sum(f"fixed_{c}").alias(f"fixed_{c}") for c in COUNTS))
     )
-    most = Window.partitionBy("h")
+    slots = paired.join(fixed, ["h", "path"], "left")
+    for c in COUNTS:
+        slots = slots.withColumn(f"all_{c}", F.col(c)).withColumn(c, F.col(c) - F.coalesce(f"fixed_{c}", F.lit(0)))
+    of_host = Window.partitionBy("h")
+    named = F.udf(lambda p: bool(p) and named_aside(p)[-1:] == (p,), "boolean")
+    slots = slots.withColumn("most", F.max("free_all").over(of_host))
+    slots = slots.withColumn("kept_name", named("path") & (F.col("free_all") * 2 > F.col("most")))
+    slots = slots.withColumn("free", F.when(F.max("kept_name").over(of_host), F.col("free_all")).otherwise(F.col("free")))
+    slots = slots.withColumn("top", F.max("free").over(of_host))
     depth = F.size(F.split("path", "/"))
     last = F.element_at(F.split(F.element_at(F.split("path", "/"), -1), "\\."), 1)
     rank = F.when(last == "article", 0).when((last == "main") | F.col("path").endswith(".main"), 1).otherwise(2)
-    slots = slots.withColumn("rank", rank).withColumn("depth", F.when(F.col("rank") < 2, -depth).otherwise(depth))
-    slots = slots.withColumn("top", F.max("free").over(most)).where("rank < 2 or free >= 0.7 * top")
-    order = Window.partitionBy("h").orderBy("rank", F.desc("depth"), F.desc("words"), "path")
-    return slots.withColumn("k", F.row_number().over(order)).where("k = 1").select("host", F.col("path").alias("main"))
+    slots = slots.withColumn("rank", F.when(F.col("free") * 2 >= F.col("top"), rank).otherwise(2))
+    fits = (F.col("rank") < 2) | (F.col("free") == F.col("top"))
+    order = F.when(fits, F.struct(-F.col("rank"), F.when(F.col("rank") < 2, -depth).otherwise(depth), "words", "path"))
+    core = F.when(F.col("free") >= 0.7 * F.col("top"), F.struct(depth, "words", "path"))
+    slots = settle(
+        slots.withColumn("chosen", F.max(order).over(of_host))
+        .withColumn("core", F.max(core).over(of_host)["path"])
+        .withColumn("main", F.col("chosen.path"))
+        .withColumn("plain", F.col("chosen.col1") == -2)
+    )
+    told_apart = F.col("top") > 0
+    under = lambda a, b: (F.col(a) == F.col(b)) | F.col(a).startswith(F.concat(F.col(b), F.lit("/")))
+    template = (F.col("all_words") > 0) & (F.col("words") == 0)
+    linked = F.col("plain") & (F.col("all_linked") > 0) & (F.col("free_all") == 0) & ~under("path", "core")
+    dropped = told_apart & (template | linked) & ~under("main", "path")
+    hosts = slots.groupBy("h", "host", "main", "plain", "top").agg(
+        F.collect_set(F.when(F.col("kept_name"), F.col("path"))).alias("kept_names"), F.collect_set(F.when(dropped, F.col("path"))).alias("dropped")
+    )
+    alone = (
+        constant.join(slots.where("plain and top > 0").select("h", F.col("path").alias("at"), "pages", "vector"), ["h", "at", "pages", "vector"])
+        .where(~F.element_at(F.split(F.element_at(F.split("at", "/"), -1), "\\."), 1).isin(*LISTS))
+        .groupBy("h")
+        .agg(F.collect_set("key").alias("constants"))
+    )
+    return hosts.join(alone, "h", "left").select("host", "main", "kept_names", "dropped", "constants")
+
+
+class Template:
+    """Of one host or of all: the main slot, and what is and isn't aside in it."""
 
+    def __init__(self, main, kept_names, dropped, constants):
+        self.main = main
+        self.kept_names, self.dropped, self.constants = (frozenset(x or ()) for x in (kept_names, dropped, constants))
 
-def main_text(page: str | None, main: str | None, general: str | None) -> str:
-    """The blocks of the slot `main`, or where the page has none, of `general`; else of the page's own best container."""
+    def holds(self, block: str, path: str) -> bool:
+        if any(p not in self.kept_names for p in named_aside(path)):
+            return False
+        if self.constants and block_key(path, block) in self.constants:
+            return False
+        return not any(within(path, p) for p in self.dropped)
+
+
+def main_text(page: str | None, own: Template | None, general: Template | None) -> str:
+    """The blocks of the host's main slot, or where the page has none, of that of all; else of the page's own best container.
+
+    Where names leave nothing, or there is no template of the host, the page's
+    own named containers with most of its free words aren't aside.
+    """
     if not page:
         return ""
     found = [b for b in blocks(page) if not b[2]]
-    for slot in (main, general):
-        if slot and (own := [b[0] for b in found if b[1] == slot or b[1].startswith(slot + "/")]):
-            return "\n".join(own)
-    for tag in ("article", "main"):
-        inside = re.compile(rf"/{tag}(?:[./]|\Z)").search
-        if own := [b[0] for b in found if inside(b[1])]:
-            return "\n".join(own)
-    return "\n".join(b[0] for b in found)
+    free: dict[str, int] = {}
+    for _, path, _, words, linked in found:
+        for p in named_aside(path):
+            free[p] = free.get(p, 0) + words - linked
+    total = sum(b[3] - b[4] for b in found)
+    wrappers = frozenset(p for p, n in free.items() if n * 2 > total)
+    for template in (own, general) if own is None or own.main else ():
+        if template and template.main and (text := [b[0] for b in found if within(b[1], template.main) and template.holds(b[0], b[1])]):
+            return "\n".join(text)
+    template = own or Template(None, wrappers, (), ())
+    for template in (template, Template(None, wrappers, (), ())):
+        left = [b for b in found if template.holds(b[0], b[1])]
+        for tag in ("article", "main"):
+            inside = re.compile(rf"/{tag}(?:[./]|\Z)").search
+            if text := [b[0] for b in left if inside(b[1])]:
+                return "\n".join(text)
+        if left:
+            break
+    return "\n".join(b[0] for b in left)
 
 
 def extract_main_text(pages: DataFrame, broadcast_hosts: int = 500_000) -> DataFrame:
     """page_id, url, text, n_chars: the main text of every whole page.
 
     Templates are deduced per host over all its pages; a page then gives what
-    its host's main slot holds, less what is aside in it. All that is joined to
-    the pages is one path a host: broadcast up to broadcast_hosts hosts, by a
+    its host's main slot holds, less template containers and what is aside in
+    it. What is joined to the pages is one template a host: broadcast up to broadcast_hosts hosts, by a
     join on the host beyond that (a host with very many pages is split by the
     skew join). Null or empty html: empty text. Null url: as a host without a
     name. Repeated pages: one row each. Pages without containers: all their
@@ -246,19 +346,26 @@ def extract_main_text(pages: DataFrame, broadcast_hosts: int = 500_000) -> DataF
     """
     rows = pages.select("page_id", "url", "html", F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), HOST, 1)).alias("host"))
     templates = settle(deduce_templates(rows))
-    general = templates.where("host is null").select("main").first()
-    general = general[0] if general else None
+    general = templates.where("host is null").drop("host").first()
+    general = tuple(general) if general else None
     of_host = templates.where("host is not null")
     if of_host.limit(broadcast_hosts + 1).count() <= broadcast_hosts:
         of_host = F.broadcast(of_host)
 
     def make():
+        of_all = Template(*general) if general else None
+        of = lru_cache(maxsize=256)(lambda *said: Template(*said))
+
         def step(batch):
-            texts = [main_text(page, main, general) for page, main in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            texts = []
+            for page, said in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                own = of(*(tuple(x) if isinstance(x, list) else x for x in said.values())) if said and said["main"] is not None else None
+                texts.append(main_text(page, own, of_all))
             return {"page_id": batch.column(0), "url": batch.column(1), "text": texts, "n_chars": [len(t) for t in texts]}
 
         return step
 
-    joined = rows.join(of_host, "host", "left").select("page_id", "url", "html", "main")
+    said = F.struct("main", "kept_names", "dropped", "constants").alias("template")
+    joined = rows.join(of_host, "host", "left").select("page_id", "url", "html", said)
     kind = pages.schema["page_id"].dataType.simpleString()
     return map_arrow(joined, make, f"page_id {kind}, url string, text string, n_chars long")
