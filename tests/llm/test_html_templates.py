@@ -1,3 +1,5 @@
+import pytest
+
 from lawmesh.llm import html
 from tests.llm.test_models import pages
 
@@ -21,3 +23,19 @@ def test_pages_that_are_copies_keep_their_text(spark):
     rows = [(i, f"http://a.org/{i}", page) for i in range(6)] + [(6 + i, f"http://a.org/x{i}", other.replace("text", f"text{i}")) for i in range(3)]
     got = {r.page_id: r.text for r in html.extract_main_text(pages(spark, rows)).collect()}
     assert (got[1], got[7]) == (f"Head\n{LONG}", "Other\nother text1")
+
+
+@pytest.mark.parametrize("n", [1, 6])
+@pytest.mark.parametrize(
+    "wrap",
+    [
+        "<body class='has-sidebar'>*</body>",
+        "<body><main class='with-cookie-notice'>*</main></body>",
+        "<body><article class='post no-comments'>*</article></body>",
+        "<body><div id='search-result-article'>*</div></body>",
+        "<body><form><div>*</div></form></body>",
+    ],
+)
+def test_names_do_not_take_the_main_text(spark, wrap, n):
+    page = "<html>" + wrap.replace("*", "<p>{long}</p><div class='comments'><p>Nice {i}</p></div>") + "</html>"
+    assert texts(spark, page, n)[0] == f"{LONG} 0"
