@@ -39,3 +39,17 @@ def test_pages_that_are_copies_keep_their_text(spark):
 def test_names_do_not_take_the_main_text(spark, wrap, n):
     page = "<html>" + wrap.replace("*", "<p>{long}</p><div class='comments'><p>Nice {i}</p></div>") + "</html>"
     assert texts(spark, page, n)[0] == f"{LONG} 0"
+
+
+def test_all_free_text_of_hosts_without_article(spark):
+    page = (
+        "<html><body><div class='top'><a href='/'>Menu</a></div><div class='story'><p>lead {i}</p><ul><li>point {i}</ul><div class='body'><p>{long}</p></div></div>"
+        "<div class='links'><a href='/{i}'>more {i}</a></div><div class='bottom'>Always the same words here</div></body></html>"
+    )
+    got = texts(spark, page)
+    assert got[2] == f"lead 2\npoint 2\n{LONG} 2"
+    rows = [(i, f"http://b.org/{i}", page.replace("{i}", str(i)).replace("{long}", f"{LONG} {i}")) for i in range(6)]
+    rows.append((9, "http://b.org/9", f"<html><body><div class='story'><p>{LONG} lead</p><div class='body'><p>little</p></div></div><p>after</p></body></html>"))
+    got = {r.page_id: r.text for r in html.extract_main_text(pages(spark, rows)).collect()}
+    assert got[9] == f"{LONG} lead\nlittle\nafter"
+    assert got[2] == f"lead 2\npoint 2\n{LONG} 2"
