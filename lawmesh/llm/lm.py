@@ -195,7 +195,7 @@ def score_documents(
     in_model = np.full(len(known) + 1, len(own) + 1)  # the last entry: words beyond the head
     in_model[[index[w] for w in own]] = np.arange(len(own))
     n_all = np.append(n_known, 0)
-    n_end = int(n_known[index[END]]) if END in index else 0
+    n_end = counts.where(F.col("word") == F.lit(END)).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     in_total = int(n_known[[index[w] for w in own]].sum()) + n_end
     base_all = total + 0.5 * (distinct + 1)
     other_all = total - in_total + 0.5 * max(0, distinct - len(own) - (n_end > 0)) + 0.5
