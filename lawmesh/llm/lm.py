@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from itertools import repeat
 
 import numpy as np
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -58,11 +60,11 @@ def frequent(counts: DataFrame, most: int) -> tuple[list[bytes], np.ndarray]:
     return [words[i] for i in order], n[order]
 
 
-def count_pairs(docs: DataFrame, vocabulary: list[bytes]) -> np.ndarray:
-    """How often each token follows each, over all texts; the last two tokens are END and "other".
+def count_pairs(docs: DataFrame, vocabulary: list[bytes], flush: int = 2_000_000) -> DataFrame:
+    """context, word, n: how often each token follows each, over all texts; the last two tokens are END and "other".
 
-    END also stands before a text. The result has (words + 2)^2 entries
-    whatever the input; tasks count into such a table and tell its non-zero cells.
+    END also stands before a text. Pairs are counted in the tasks, about
+    `flush` tokens at a time, and stay apart: a pass over them is weighted by n.
     """
     size = len(vocabulary) + 2
     end, other = size - 2, size - 1
@@ -71,7 +73,7 @@ def count_pairs(docs: DataFrame, vocabulary: list[bytes]) -> np.ndarray:
     class Step:
         def __init__(self):
             self.get = shipped.value.get
-            self.table = np.zeros(size * size, dtype="int64")
+            self.held, self.n = [], 0
 
         def __call__(self, batch):
             ids = []
@@ -80,27 +82,27 @@ def count_pairs(docs: DataFrame, vocabulary: list[bytes]) -> np.ndarray:
                 ids.append(end)
             after = np.array(ids, dtype="int64")
             before = np.concatenate(([end], after[:-1]))
-            self.table += np.bincount(before * size + after, minlength=size * size)
-            return []
+            self.held.append(before * size + after)
+            self.n += len(after)
+            return self.finish() if self.n > flush else []
 
         def finish(self):
-            at = np.flatnonzero(self.table)
-            return {"pair": at, "n": self.table[at]}
+            pair, n = np.unique(np.concatenate(self.held or [np.zeros(0, dtype="int64")]), return_counts=True)
+            self.held, self.n = [], 0
+            return {"context": pair // size, "word": pair % size, "n": n}
 
-    got = map_arrow(docs.select("text"), Step, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
-    table = np.zeros(size * size, dtype="int64")
-    table[got["pair"].to_numpy()] = got["n"].to_numpy()
-    return table.reshape(size, size)
+    return settle(map_arrow(docs.select("text"), Step, "context int, word int, n long"))
 
 
 class LogBilinear:
     """score(w | c) = (r_c C) . q_w + b_w; word vectors r and q, a matrix C for the context's place, biases b."""
 
-    def __init__(self, size: int, dims: int, seed: int):
+    def __init__(self, size: int, dims: int, seed: int, dtype: str = "float64", start: float = 1e-2):
         rng = np.random.default_rng(seed)
-        self.r, self.q = (rng.standard_normal((size, dims)) * 0.1 for _ in range(2))
-        self.c = np.eye(dims)
-        self.b = np.zeros(size)
+        self.r, self.q = ((rng.standard_normal((size, dims)) * 0.1).astype(dtype) for _ in range(2))
+        self.c = np.eye(dims, dtype=dtype)
+        self.b = np.zeros(size, dtype=dtype)
+        self.seen = [np.full_like(p, start) for p in (self.r, self.q, self.c, self.b)]
 
     def train(self, pairs: np.ndarray, steps: int, batch: int, noise: int, rate: float, seed: int) -> LogBilinear:
         """Noise-contrastive estimation over the pair counts, with Adagrad steps.
@@ -118,35 +120,51 @@ class LogBilinear:
             return self
         at = np.flatnonzero(pairs)
         cumulated = np.cumsum(pairs.ravel()[at])
-        seen = [np.full_like(p, 1e-2) for p in (self.r, self.q, self.c, self.b)]
+        for _ in range(steps):
+            pair = at[np.searchsorted(cumulated, rng.integers(0, cumulated[-1], batch), "right")]
+            self.step(*np.divmod(pair, size), np.full(batch, 1 / batch), rng.choice(size, noise, p=p_noise), log_kp, rate)
+        return self
+
+    def step(self, context, word, weight, drawn, log_kp, rate: float) -> None:
+        """One Adagrad step over a batch of pairs with weights and the noise words it shares."""
 
         def descend(k, p, g, rows=None):
+            seen = self.seen[k]
             if rows is None:
-                seen[k] += g * g
-                p -= rate * g / np.sqrt(seen[k])
+                seen += g * g
+                p -= rate * g / np.sqrt(seen)
             else:
-                rows, back = np.unique(rows, return_inverse=True)
-                total = np.zeros((len(rows), *g.shape[1:]))
-                np.add.at(total, back, g)
-                seen[k][rows] += total * total
-                p[rows] -= rate * total / np.sqrt(seen[k][rows])
-
-        for _ in range(steps):
-            pair = at[np.searchsorted(cumulated, rng.integers(0, cumulated[-1], batch), "right")]
-            context, word = np.divmod(pair, size)
-            drawn = rng.choice(size, noise, p=p_noise)
-            rc = self.r[context]
-            h = rc @ self.c
-            true = (h * self.q[word]).sum(1) + self.b[word] - log_kp[word]
-            false = h @ self.q[drawn].T + self.b[drawn] - log_kp[drawn]
-            g_true = (1 / (1 + np.exp(-true)) - 1) / batch
-            g_false = 1 / (1 + np.exp(-false)) / batch
-            g_h = g_true[:, None] * self.q[word] + g_false @ self.q[drawn]
-            descend(1, self.q, np.concatenate((g_true[:, None] * h, g_false.T @ h)), np.concatenate((word, drawn)))
-            descend(3, self.b, np.concatenate((g_true, g_false.sum(0))), np.concatenate((word, drawn)))
-            descend(2, self.c, rc.T @ g_h)
-            descend(0, self.r, g_h @ self.c.T, context)
-        return self
+                order = np.argsort(rows, kind="stable")
+                rows, first = np.unique(rows[order], return_index=True)
+                total = np.add.reduceat(g[order], first, 0)
+                seen[rows] += total * total
+                p[rows] -= rate * total / np.sqrt(seen[rows])
+
+        rc = self.r[context]
+        h = rc @ self.c
+        q_true, q_false = self.q[word], self.q[drawn]
+        true = (h * q_true).sum(1) + self.b[word] - log_kp[word]
+        false = h @ q_false.T + self.b[drawn] - log_kp[drawn]
+        g_true = (1 / (1 + np.exp(-true)) - 1) * weight
+        g_false = weight[:, None] / (1 + np.exp(-false))
+        g_h = g_true[:, None] * q_true + g_false @ q_false
+        c = self.c.copy()
+        both = np.concatenate((word, drawn))
+        descend(1, self.q, np.concatenate((g_true[:, None] * h, g_false.T @ h)), both)
+        descend(3, self.b, np.concatenate((g_true, g_false.sum(0))), both)
+        descend(2, self.c, rc.T @ g_h)
+        descend(0, self.r, g_h @ c.T, context)
+
+    def state(self) -> list[np.ndarray]:
+        """What tasks average: by context, by word, and of the whole model."""
+        seen = self.seen
+        return [np.hstack((self.r, seen[0])), np.hstack((self.q, seen[1], self.b[:, None], seen[3][:, None])), np.stack((self.c, seen[2])).reshape(1, -1)]
+
+    def take(self, state: list[np.ndarray]) -> None:
+        d = self.r.shape[1]
+        self.r, self.q, self.b = state[0][:, :d].copy(), state[1][:, :d].copy(), state[1][:, 2 * d].copy()
+        self.c, seen_c = (x.copy() for x in state[2].reshape(2, d, d))
+        self.seen = [state[0][:, d:].copy(), state[1][:, d : 2 * d].copy(), seen_c, state[1][:, 2 * d + 1].copy()]
 
     def log10_table(self) -> np.ndarray:
         """log10 p(w | c), contexts by rows: batched matrix products, normalised over all words."""
@@ -158,6 +176,109 @@ class LogBilinear:
         return out
 
 
+BLOCK = 64
+
+
+def train_over(pairs: DataFrame, model: LogBilinear, counts: np.ndarray, passes: int, steps: int, batch: int, noise: int, rate: float, seed: int) -> None:
+    """Passes over all counted pairs, split over tasks; what tasks learn is averaged after each pass.
+
+    A task goes over all of its pairs in batches, each pair weighted by its
+    count; where that makes fewer than steps / passes steps, again. A row of
+    the model is averaged over the tasks that have it, by its counts there.
+    Tasks tell blocks of BLOCK rows, which are averaged in Spark: the driver
+    gets one model a pass.
+    """
+    size, floor = len(counts), -(-steps // passes)
+    p_noise = (counts + 0.5) / (counts.sum() + 0.5 * size)
+    log_kp = np.log(noise * p_noise).astype("float32")
+    model.b = np.log(p_noise).astype("float32")
+    widths = [x.shape[1] for x in model.state()]
+
+    for k in range(passes):
+        shipped = broadcast_value(pairs, (model, p_noise, log_kp))
+
+        class Step:
+            def __init__(self, k=k, shipped=shipped):
+                self.k, self.shipped, self.held = k, shipped, []
+
+            def __call__(self, got):
+                self.held.append([got.column(i).to_numpy() for i in range(3)])
+                return []
+
+            def finish(self):
+                if not self.held:
+                    return []
+                context, word, n = (np.concatenate(x) for x in zip(*self.held, strict=True))
+                self.held = []
+                part = TaskContext.get().partitionId()
+                start, p_noise, log_kp = self.shipped.value
+                own = LogBilinear(1, start.r.shape[1], 0, "float32")
+                own.take(start.state())
+                weights = [np.bincount(x, n, size) for x in (context, word)] + [np.array([n.sum()], dtype="float64")]
+                pieces = -(-n // 8)  # heavy pairs are spread over a pass
+                at = np.repeat(np.arange(len(n)), pieces)
+                weight = (n / pieces)[at]
+                weight = (weight / weight.mean()).astype("float32")
+                rng = np.random.default_rng((seed, self.k, part))
+                cumulated, done = np.cumsum(p_noise), 0
+                while done < floor or not done:
+                    order = rng.permutation(len(at))
+                    for i in range(0, len(at), batch):
+                        some = order[i : i + batch]
+                        drawn = np.minimum(np.searchsorted(cumulated, rng.random(noise), "right"), size - 1)
+                        own.step(context[at[some]], word[at[some]], weight[some] / len(some), drawn, log_kp, rate)
+                        done += 1
+                out = {c: [] for c in ("kind", "block", "part", "rows")}
+                for kind, (x, w) in enumerate(zip(own.state(), weights, strict=True)):
+                    x = np.hstack((x * w[:, None], w[:, None])).astype("float32")
+                    for block in range(-(-len(x) // BLOCK)):
+                        rows = x[block * BLOCK : (block + 1) * BLOCK]
+                        if rows[:, -1].any():
+                            for c, value in (("kind", kind), ("block", block), ("part", part), ("rows", rows.tobytes())):
+                                out[c].append(value)
+                return out
+
+        def average(pdf):
+            total = sum(np.frombuffer(x, "<f4").astype("float64") for x in pdf.sort_values("part")["rows"])
+            return pdf.iloc[:1][["kind", "block"]].assign(rows=[total.tobytes()])
+
+        told = map_arrow(pairs, Step, "kind int, block int, part int, rows binary", rows=1 << 20)
+        state = model.state()
+        for r in told.groupBy("kind", "block").applyInPandas(average, "kind int, block int, rows binary").toLocalIterator():
+            x = np.frombuffer(r["rows"]).reshape(-1, widths[r["kind"]] + 1)
+            had = np.flatnonzero(x[:, -1])
+            state[r["kind"]][r["block"] * BLOCK + had] = x[had, :-1] / x[had, -1:]
+        model.take(state)
+        shipped.unpersist()
+
+
+def log_totals(docs: DataFrame, model: LogBilinear, rows: int = 64) -> np.ndarray:
+    """For each context the log of what its words' scores sum up to: exact, over all words, split over tasks."""
+    size = len(model.b)
+    shipped = broadcast_value(docs, (model.r @ model.c, model.q.T.copy(), model.b))
+
+    def make():
+        rc, q, b = shipped.value
+
+        def step(batch):
+            out = {"context": [], "total": []}
+            for at in batch.column(0).to_pylist():
+                s = rc[at * rows : (at + 1) * rows] @ q + b
+                most = s.max(1)
+                total = most + np.log(np.exp(s - most[:, None]).sum(1, dtype="float64"))
+                out["context"] += range(at * rows, at * rows + len(s))
+                out["total"] += total.tolist()
+            return out
+
+        return step
+
+    blocks = docs.sparkSession.range(0, -(-size // rows), 1, max(1, min(64, size // 512)))
+    got = map_arrow(blocks, make, "context long, total double").toArrow()
+    totals = np.empty(size)
+    totals[got["context"].to_numpy()] = got["total"].to_numpy()
+    return totals
+
+
 def score_documents(
     docs: DataFrame,
     head: int = 300_000,
@@ -168,12 +289,15 @@ def score_documents(
     noise: int = 64,
     rate: float = 0.1,
     seed: int = 13,
+    passes: int = 2,
+    start: float = 1e-5,
 ) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every whole text.
 
     Word counts and pair counts are taken over all training texts. The
-    log-bilinear model has the `vocabulary` most frequent words, END and
-    "other"; the probability of another word is that of "other" given the
+    log-bilinear model has the most frequent words, twice the square root of
+    the number of training tokens, at least `vocabulary` and at most `head`,
+    END and "other", and learns from all counted pairs in whole passes; the probability of another word is that of "other" given the
     token before, times its share of the other words' smoothed counts, so that
     scores are those of whole texts. The counts of at most `head` words are
     broadcast; the rest of a text's words get theirs by a join on the word,
@@ -188,9 +312,7 @@ def score_documents(
     counts = settle(count_words(training))
     distinct, total = counts.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     known, n_known = frequent(counts, head)
-    own = [w for w in known if w != END][:vocabulary]
-    table = LogBilinear(len(own) + 2, dims, seed).train(count_pairs(training, own), steps, batch, noise, rate, seed).log10_table()
-
+    own = [w for w in known if w != END][: max(vocabulary, int(2 * total**0.5))]
     index = {w: i for i, w in enumerate(known)}
     in_model = np.full(len(known) + 1, len(own) + 1)  # the last entry: words beyond the head
     in_model[[index[w] for w in own]] = np.arange(len(own))
@@ -203,11 +325,19 @@ def score_documents(
     log_other = np.where(in_model > len(own), np.log10((n_all + 0.5) / other_all), 0.0)
     log_base[-1] = log_other[-1] = 0.0  # comes from the join
     end_base = float(np.log10((n_end + 0.5) / base_all))
-    shipped = broadcast_value(docs, (index, in_model, log_base, log_other, table))
+    model = LogBilinear(len(own) + 2, dims, seed, "float32", start)
+    tokens = np.append(n_known[[index[w] for w in own]], (n_end, total - in_total)).astype("float64")
+    train_over(count_pairs(training, own), model, tokens, passes, steps, batch, noise, rate, seed)
+    totals = log_totals(docs, model)
+    shipped = broadcast_value(docs, (index, in_model, log_base, log_other, model.r @ model.c, model.q, model.b, totals))
 
     def make():
-        index, in_model, log_base, log_other, table = shipped.value
-        get, beyond, end = index.get, len(index), len(table) - 2
+        index, in_model, log_base, log_other, contexts, words_q, biases, totals = shipped.value
+        get, beyond, end = index.get, len(index), len(biases) - 2
+
+        def log10(before, after):
+            s = np.einsum("ij,ij->i", contexts[before], words_q[after])
+            return float((s + biases[after] - totals[before]).sum(dtype="float64")) / math.log(10)
 
         def step(batch):
             out = {c: [] for c in ("n_tokens", "n_known", "base_score", "score", "rest")}
@@ -220,7 +350,7 @@ def score_documents(
                 out["n_tokens"].append(len(words) + 1)
                 out["n_known"].append(len(words) - len(far) + (n_end > 0))
                 out["base_score"].append(float(log_base[at].sum()) + end_base)
-                out["score"].append(float(table[before, after].sum(dtype="float64") + log_other[at].sum()))
+                out["score"].append(sum(log10(before[i : i + 65536], after[i : i + 65536]) for i in range(0, len(after), 65536)) + float(log_other[at].sum()))
                 out["rest"].append([{"word": w, "tf": n} for w, n in Counter(words[i] for i in far).items()])
             return {"doc_id": batch.column(0), "held_out": batch.column(1)} | out
 

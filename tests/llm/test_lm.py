@@ -18,3 +18,11 @@ def test_end_counts_beyond_the_head(spark):
     for i, t in rows:
         want = sum(math.log10((counts[w] + 0.5) / (n + 0.5 * (v + 1))) for w in [*t.split(), None])
         assert abs(got[i].base_score - want) < 1e-6 and got[i].n_known == got[i].n_tokens == 42
+
+
+def test_the_model_grows_with_the_texts(spark):
+    """Words beyond the first thousand are told by the word before them."""
+    rows = [(i, " ".join(f"a{(i * 7 + k) % 1500} b{(i * 7 + k) % 1500}" for k in range(400))) for i in range(1000)]
+    got = lm.score_documents(docs(spark, rows), batch=512).collect()
+    tested = [r for r in got if r.held_out]
+    assert sum(r.score for r in tested) > 0.8 * sum(r.base_score for r in tested)
