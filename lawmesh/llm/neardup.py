@@ -200,7 +200,8 @@ def near_duplicates(
     queries held against all rows. What meets in a cell is verified in double
     precision. A cell tells one row for each of its vectors, the number of its
     links and one link towards its component, not the pairs; a cell with
-    more than slice_rows members is sliced, and its visitors go to each slice.
+    more than slice_rows members, or four times as many visitors, is sliced by
+    both, and each slice of members meets each slice of visitors.
 
     Vectors that are null, zero, or hold null or non-finite components, and
     those without a label: no links, their own component. A null vec_id: no
@@ -288,21 +289,22 @@ def told_by_cells(classes, least, recall, per_cell, sample, queries, slice_rows,
 
     schema = "rep long, n long, label long, cell long, role int, own long, edge double, final long, vec binary"
     met = map_arrow(classes.select("rep", "n", "label", "vec"), make, schema)
-    own = map_arrow(classes.select("rep", "n", "label", "vec"), make, schema).where("role = 0")
-    crowded = own.groupBy("label", "cell").count().where(F.col("count") > slice_rows)
-    crowded = settle(crowded.select("label", "cell", F.ceil(F.col("count") / slice_rows).cast("int").alias("slices")))
-    met = met.join(crowded, ["label", "cell"], "left").withColumn("slices", F.coalesce("slices", F.lit(1)))
-    met = met.withColumn(
-        "slice",
-        F.explode(
-            F.when(F.col("role") == 0, F.array(F.pmod(F.xxhash64("rep"), F.col("slices")).cast("int"))).otherwise(
-                F.sequence(F.lit(0), F.col("slices") - 1)
-            )
-        ),
+    role = F.col("role")
+    crowded = met.groupBy("label", "cell").agg(F.sum(1 - role).alias("members"), F.sum(role).alias("visitors"))
+    slices = lambda c, rows: F.greatest(F.lit(1), F.ceil(F.col(c) / rows)).cast("int").alias(c)
+    crowded = settle(
+        crowded.where((F.col("members") > slice_rows) | (F.col("visitors") > 4 * slice_rows)).select(
+            "label", "cell", slices("members", slice_rows), slices("visitors", 4 * slice_rows)
+        )
     )
+    met = met.join(crowded, ["label", "cell"], "left").fillna(1, ["members", "visitors"])
+    one = lambda c, salt: F.array(F.pmod(F.xxhash64(F.lit(salt), "rep"), F.col(c)).cast("int"))
+    each = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
+    met = met.withColumn("slice", F.explode(F.when(role == 0, one("members", 1)).otherwise(each("members"))))
+    met = met.withColumn("visit", F.explode(F.when(role == 1, one("visitors", 2)).otherwise(each("visitors"))))
     at = shipped
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         return compare(least, at.value)(pdf)
 
-    return met.groupBy("label", "cell", "slice").applyInPandas(run, "node long, links long, to long")
+    return met.groupBy("label", "cell", "slice", "visit").applyInPandas(run, "node long, links long, to long")
