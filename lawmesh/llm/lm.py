@@ -240,12 +240,12 @@ def train_over(pairs: DataFrame, model: LogBilinear, counts: np.ndarray, passes:
 
         def average(pdf):
             total = sum(np.frombuffer(x, "<f4").astype("float64") for x in pdf.sort_values("part")["rows"])
-            return pdf.iloc[:1][["kind", "block"]].assign(rows=[total.tobytes()])
+            return pdf.iloc[:1][["kind", "block"]].assign(rows=[total.astype("<f4").tobytes()])
 
         told = map_arrow(pairs, Step, "kind int, block int, part int, rows binary", rows=1 << 20)
         state = model.state()
-        for r in told.groupBy("kind", "block").applyInPandas(average, "kind int, block int, rows binary").toLocalIterator():
-            x = np.frombuffer(r["rows"]).reshape(-1, widths[r["kind"]] + 1)
+        for r in told.groupBy("kind", "block").applyInPandas(average, "kind int, block int, rows binary").toArrow().to_pylist():
+            x = np.frombuffer(r["rows"], "<f4").reshape(-1, widths[r["kind"]] + 1)
             had = np.flatnonzero(x[:, -1])
             state[r["kind"]][r["block"] * BLOCK + had] = x[had, :-1] / x[had, -1:]
         model.take(state)
