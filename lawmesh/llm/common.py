@@ -72,8 +72,21 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def map_arrow(df: DataFrame, make, schema: str, rows: int = 512) -> DataFrame:
-    """mapInArrow over slices of at most `rows` rows.
+def slices(batch: pa.RecordBatch, rows: int, most: int):
+    """The batch in slices of at most `rows` rows and, but for a single longer row, `most` bytes."""
+    for at in range(0, batch.num_rows, rows):
+        waiting = [batch.slice(at, rows)]
+        while waiting:
+            some = waiting.pop()
+            n = some.num_rows
+            if n > 1 and some.nbytes > most:
+                waiting += [some.slice(n // 2), some.slice(0, n // 2)]
+            else:
+                yield some
+
+
+def map_arrow(df: DataFrame, make, schema: str, rows: int = 512, most: int = 16 << 20) -> DataFrame:
+    """mapInArrow over slices of at most `rows` rows and about `most` bytes.
 
     make() runs once in each task and returns the function that takes a
     RecordBatch and gives a dict of columns, or a list of such dicts; what
@@ -94,8 +107,8 @@ def map_arrow(df: DataFrame, make, schema: str, rows: int = 512) -> DataFrame:
                     yield made
 
         for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                yield from out(step(batch.slice(at, rows)))
+            for some in slices(batch, rows, most):
+                yield from out(step(some))
         if hasattr(step, "finish"):
             yield from out(step.finish())
         del step

@@ -17,7 +17,10 @@ from pyspark.sql import DataFrame
 
 from lawmesh.llm.common import broadcast_value, kept, map_arrow
 
-WORDS_LIMIT = 1_200_000
+#: Bytes of words, and of the pieces they are parted into, that a Python worker keeps between batches.
+WORDS_BYTES, PIECES_BYTES = 96 << 20, 48 << 20
+#: Bytes of an entry of a dict besides its key's and value's characters, about.
+ENTRY = 190
 #: Splitting at white space also parts at these, the tokenizer does not.
 ODD_SPACE = "[\x1c\x1d\x1e\x1f]"
 
@@ -74,7 +77,34 @@ def windows_of(sizes: list[int], capacity: int) -> list[list[int]]:
         n_windows += 1
 
 
-class Words(dict):
+class Recent:
+    """What was met lately, in at most about `most` bytes: of two generations the older one goes when the younger one is full."""
+
+    def __init__(self, most: int):
+        self.young, self.old, self.size, self.half = {}, {}, 0, most // 2
+
+    def turn(self) -> None:
+        if self.size > self.half:
+            self.old, self.young, self.size = self.young, {}, 0
+
+    def put(self, key: str, value: bytes) -> None:
+        self.young[key] = value
+        self.size += ENTRY + len(key) + len(value)
+
+    def missing(self, keys) -> list[str]:
+        """Those of the keys that must be made; the others are in the younger generation from now on."""
+        out, young, old = [], self.young, self.old
+        for k in keys:
+            if k not in young:
+                got = old.get(k)
+                if got is None:
+                    out.append(k)
+                else:
+                    self.put(k, got)
+        return out
+
+
+class Words:
     """White-space word -> its ids as little-endian bytes; the tokenizer fills it by batches.
 
     If its file says that it lower-cases and then parts a text by a pattern,
@@ -85,14 +115,14 @@ class Words(dict):
     """
 
     def __init__(self, tokenizer, spec: str):
-        super().__init__()
         import regex
 
         said = json.loads(spec)
         steps = [n["type"] for n in (said.get("normalizer") or {}).get("normalizers", [])]
         parting = ((said.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
         pattern = parting.get("pattern", {}).get("Regex") if parting.get("behavior") == "Removed" and parting.get("invert") else None
-        self.tokenizer, self.bare, self.pieces = tokenizer, tokenizer, {}
+        self.tokenizer, self.bare = tokenizer, tokenizer
+        self.words, self.pieces = Recent(WORDS_BYTES), Recent(PIECES_BYTES)
         self.parts = regex.compile(pattern).findall if pattern and steps == ["NFC", "Replace", "Lowercase"] else None
         if self.parts:  # the same tokenizer without the steps that its pieces have behind them
             from tokenizers import Tokenizer
@@ -101,29 +131,26 @@ class Words(dict):
             self.bare = Tokenizer.from_str(json.dumps(said | {"normalizer": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": rest}, "added_tokens": []}))
         self.latin = re.compile("[\x21-\x7e\xa1-\u024f]+").fullmatch
 
-    def learn(self, words: list[str]) -> None:
-        if len(self) > WORDS_LIMIT:
-            self.clear()
-        if len(self.pieces) > WORDS_LIMIT:
-            self.pieces.clear()
-        parted, wanted, whole, pieces = {}, {}, {}, self.pieces
-        for w in words:
-            if w not in self:
-                if self.parts and self.latin(w):
-                    parted[w] = found = self.parts(w.lower())
-                    for p in found:
-                        if p not in pieces:
-                            wanted[p] = None
-                else:
-                    whole[w] = None
-        for new, kept, tokenizer in ((wanted, pieces, self.bare), (whole, self, self.tokenizer)):
-            new = list(new)
+    def learn(self, words: list[str]) -> dict[str, bytes]:
+        """The ids of each of a batch's distinct words."""
+        self.words.turn()
+        self.pieces.turn()
+        parted, whole = {}, []
+        for w in self.words.missing(words):
+            if self.parts and self.latin(w):
+                parted[w] = self.parts(w.lower())
+            else:
+                whole.append(w)
+        wanted = self.pieces.missing(dict.fromkeys(p for found in parted.values() for p in found))
+        for new, kept, tokenizer in ((wanted, self.pieces, self.bare), (whole, self.words, self.tokenizer)):
             for at in range(0, len(new), 4096):
                 some = new[at : at + 4096]
                 for p, e in zip(some, tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                    kept[p] = array("I", e.ids).tobytes()
+                    kept.put(p, array("I", e.ids).tobytes())
+        pieces = self.pieces.young
         for w, found in parted.items():
-            self[w] = b"".join([pieces[p] for p in found])
+            self.words.put(w, b"".join([pieces[p] for p in found]))
+        return self.words.young
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of all texts, and where each text's begin and end; null texts have none.
@@ -137,8 +164,8 @@ class Words(dict):
         split = pc.utf8_split_whitespace(pc.if_else(odd, "", texts))
         coded = split.flatten().dictionary_encode()
         words, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-        self.learn(words)
-        made = [self[w] for w in words]
+        ids_of = self.learn(words)
+        made = [ids_of[w] for w in words]
         n_of = np.array([len(m) // 4 for m in made], dtype="int64")
         flat, first = np.frombuffer(b"".join(made), dtype="<u4"), np.cumsum(n_of) - n_of
         n = n_of[at]
