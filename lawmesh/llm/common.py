@@ -39,17 +39,6 @@ def settle(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def settle_in_batches(df: DataFrame, rows: int) -> DataFrame:
-    """settle() with at most so many rows in an Arrow batch, where rows are wide; the session's own setting comes back."""
-    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = conf.get(name)
-    conf.set(name, str(rows))
-    try:
-        return settle(df)
-    finally:
-        conf.set(name, before)
-
-
 def broadcast_value(df: DataFrame, value):
     return df.sparkSession.sparkContext.broadcast(value)
 
@@ -125,15 +114,11 @@ def components(links: DataFrame) -> DataFrame:
     an aggregation and a join on the node; no group is gathered anywhere.
     """
 
-    def mark(df):
-        row = df.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
-        return row[0], row[1]
-
     edges = settle(
         links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     )
-    before = mark(edges)
-    while before[0]:
+    before = edges.count()
+    while before:
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -145,9 +130,9 @@ def components(links: DataFrame) -> DataFrame:
             .unionAll(least.select("u", F.col("m").alias("v")))
             .distinct()
         )
-        edges = settle(small)
-        after = mark(edges)
-        if after == before:
+        was, edges = edges, settle(small)
+        after = edges.count()
+        if after == before and not edges.join(was, ["u", "v"], "left_anti").limit(1).count():
             break
         before = after
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(

@@ -5,15 +5,18 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lawmesh.llm.common import components, give_back, kept, map_arrow, settle, settle_in_batches
+from lawmesh.llm.common import components, give_back, kept, map_arrow, settle
 from lawmesh.llm.lm import words_of
 
 SHINGLE = 5
 ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 BLOCK_ROWS = 400_000
+#: Tokens below it, 35 % of all, are looked at for telling which documents can have a partner.
+ZONE = np.uint64(int(0.35 * 2**64))
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -78,7 +81,7 @@ def may_be_alike(n_a, n_b, different) -> np.ndarray:
 
 
 def set_sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, n, cid: the size of each document's set and its class; cid is null without a set."""
+    """doc_id, n, z, cid: the size of each document's set, how many of it are in the zone, and its class; cid is null without a set."""
 
     def make():
         kept("shingles", dict)  # what earlier operators kept goes
@@ -88,21 +91,33 @@ def set_sizes(docs: DataFrame) -> DataFrame:
             return {
                 "doc_id": batch.column(0),
                 "n": [len(s) for s in sets],
+                "z": [int(np.searchsorted(s, ZONE)) for s in sets],
                 "cid": [class_id(s) if len(s) else None for s in sets],
             }
 
         return step
 
-    return map_arrow(docs, make, "doc_id long, n long, cid long")
+    return map_arrow(docs, make, "doc_id long, n long, z long, cid long")
 
 
-def postings(docs: DataFrame, buckets: int) -> DataFrame:
-    """bucket, tokens, cids, sizes: the prefixes of all sets, as packed arrays dealt out by token.
+def by_bucket(bucket: np.ndarray, columns: dict[str, np.ndarray], out: dict[str, list], **same) -> None:
+    """Adds a row of packed arrays to out for each bucket."""
+    order = np.argsort(bucket, kind="stable")
+    for part in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
+        if len(part):
+            out["bucket"].append(int(bucket[part[0]]))
+            for name, a in columns.items():
+                out[name].append(a[part].tobytes())
+            for name, x in same.items():
+                out[name].append(x)
 
-    Sets are ordered by hash. Two sets as alike as asked for share a token of
-    the smaller one's first n - ceil(6n/7) + 1 and the larger one's first
-    n - ceil(3n/4) + 1. The lowest bit of a size tells whether the token is in
-    the shorter of its own two prefixes.
+
+def zone_postings(docs: DataFrame, buckets: int) -> DataFrame:
+    """bucket, tokens, cids, met, times: who has which token of the zone, as packed arrays dealt out by token.
+
+    A block of documents tells each token once: with its class, or 0 where
+    several of the block have it; those are told in met, with how many of
+    their tokens that are (times). Tokens are cut to 32 bits within a bucket.
     """
 
     class Step:
@@ -112,250 +127,286 @@ def postings(docs: DataFrame, buckets: int) -> DataFrame:
         def __call__(self, batch):
             for text in batch.column(0).to_pylist():
                 s = shingle_set(text)
-                n = len(s)
-                if n:
-                    long, short = n - (3 * n + 3) // 4 + 1, n - (6 * n + 6) // 7 + 1
-                    cid = class_id(s)
-                    if cid not in self.held:
-                        self.held[cid] = s[:long].copy(), n, short
-                        self.rows += long
+                if len(s) and (cid := class_id(s)) not in self.held:
+                    self.held[cid] = s[: int(np.searchsorted(s, ZONE))].copy()
+                    self.rows += len(self.held[cid])
             return self.finish() if self.rows >= BLOCK_ROWS else []
 
         def finish(self):
-            out = {"bucket": [], "tokens": [], "cids": [], "sizes": []}
-            if self.held:
-                lengths = np.array([len(t) for t, _, _ in self.held.values()])
-                tokens = np.concatenate([t for t, _, _ in self.held.values()])
-                cids = np.repeat(np.array(list(self.held), dtype="int64"), lengths)
-                place = np.arange(len(tokens)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-                short = place < np.repeat([s for _, _, s in self.held.values()], lengths)
-                sizes = (np.repeat([n for _, n, _ in self.held.values()], lengths) << 1 | short).astype("int32")
-                bucket = (mixed(tokens) % np.uint64(buckets)).astype("int64")
-                order = np.argsort(bucket, kind="stable")
-                cuts = np.flatnonzero(np.diff(bucket[order])) + 1
-                for part in np.split(order, cuts):
-                    out["bucket"].append(int(bucket[part[0]]))
-                    for name, a in (("tokens", tokens), ("cids", cids), ("sizes", sizes)):
-                        out[name].append(a[part].tobytes())
+            out = {"bucket": [], "tokens": [], "cids": [], "met": [], "times": []}
+            if self.rows:
+                tokens = np.concatenate(list(self.held.values()))
+                cids = np.repeat(np.array(list(self.held), dtype="int64"), [len(t) for t in self.held.values()])
+                tokens, first, of, n = np.unique(tokens, return_index=True, return_inverse=True, return_counts=True)
+                several = n > 1
+                met, times = np.unique(cids[several[of]], return_counts=True)
+                told, none = mixed(tokens), np.zeros(0)
+                empty = {c: none.tobytes() for c in ("tokens", "cids", "met", "times")}
+                by_bucket(
+                    (told % np.uint64(buckets)).astype("int64"),
+                    {"tokens": (told // np.uint64(buckets)).astype("uint32"), "cids": np.where(several, 0, cids[first])},
+                    out, met=empty["met"], times=empty["times"],
+                )
+                by_bucket(
+                    (mixed(met.view("uint64")) % np.uint64(buckets)).astype("int64"),
+                    {"met": met, "times": times.astype("uint32")},
+                    out, tokens=empty["tokens"], cids=empty["cids"],
+                )
             self.held, self.rows = {}, 0
             return out
 
-    return map_arrow(docs, Step, "bucket long, tokens binary, cids binary, sizes binary")
+    return map_arrow(docs, Step, "bucket long, tokens binary, cids binary, met binary, times binary")
 
 
-def lists(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One bucket's tokens with two or more sets: neighbours by size (list null), and the members of lists of three or more."""
-    tokens, cids, sizes = (
-        np.frombuffer(b"".join(pdf[c]), dtype=d) for c, d in (("tokens", "<u8"), ("cids", "<i8"), ("sizes", "<i4"))
-    )
-    order = np.lexsort((cids, sizes >> 1, tokens))
-    tokens, cids, sizes = tokens[order], cids[order], sizes[order]
-    new = np.ones(len(tokens), dtype=bool)
-    new[1:] = (tokens[1:] != tokens[:-1]) | (cids[1:] != cids[:-1])
-    tokens, cids, sizes = tokens[new], cids[new], sizes[new]
-    starts = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1])))
-    lengths = np.diff(np.append(starts, len(tokens)))
-    length_of = np.repeat(lengths, lengths)
-    many = length_of >= 2
-    tokens, cids, sizes, length_of = tokens[many], cids[many], sizes[many], length_of[many]
-    n, short = (sizes >> 1).astype("int64"), (sizes & 1).astype(bool)
-    i = np.flatnonzero(tokens[1:] == tokens[:-1])
-    i = i[(4 * n[i] >= 3 * n[i + 1]) & short[i]]
-    # in a fourth of the lists of middle length also neighbours in an order by chance, another one in each list
-    chance = np.flatnonzero((length_of >= 8) & (length_of <= 2048) & (mixed(tokens ^ ODD[3]) % np.uint64(4) == 0))
-    chance = chance[np.lexsort((mixed(cids[chance].view("uint64") ^ tokens[chance]), tokens[chance]))]
-    x, y = chance[:-1], chance[1:]
-    x, y = np.minimum(x, y), np.maximum(x, y)  # by size within a list
-    fine = (tokens[x] == tokens[y]) & (4 * n[x] >= 3 * n[y]) & short[x]
-    x, y = np.concatenate((i, x[fine])), np.concatenate((i + 1, y[fine]))
-    pairs = np.unique(np.stack((np.minimum(cids[x], cids[y]), np.maximum(cids[x], cids[y])), 1), axis=0)
-    # lists of three or more, each set of members once
+def packed(pdf: pd.DataFrame, column: str, kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(pdf[column]), dtype=kind)
+
+
+def shared_tokens(pdf: pd.DataFrame) -> pd.DataFrame:
+    """cid, k: of each class how many of one bucket's tokens another class has too."""
+    tokens, cids = packed(pdf, "tokens", "<u4"), packed(pdf, "cids", "<i8")
+    order = np.argsort(tokens, kind="stable")
+    tokens, cids = tokens[order], cids[order]
+    same = tokens[1:] == tokens[:-1]
+    several = np.concatenate(([False], same)) | np.concatenate((same, [False])) if len(tokens) else same
+    found = cids[several & (cids != 0)]
+    cids = np.concatenate((found, packed(pdf, "met", "<i8")))
+    k = np.concatenate((np.ones(len(found), dtype="int64"), packed(pdf, "times", "<u4")))
+    cids, at = np.unique(cids, return_inverse=True)
+    made = pd.DataFrame({"cid": cids, "k": np.bincount(at, k, len(cids)).astype("int64")})
     give_back()
-    more = length_of >= 3
-    tokens, cids, n, short = tokens[more], cids[more], n[more], short[more]
-    starts = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1]))) if len(tokens) else np.zeros(0, dtype=int)
-    lengths = np.diff(np.append(starts, len(tokens)))
-    mark = np.add.reduceat(mixed(cids.view("uint64") * ODD[2] + short.astype("uint64")), starts) if len(starts) else np.zeros(0, dtype="uint64")
-    _, first = np.unique(np.stack((mark, lengths.astype("uint64")), 1), axis=0, return_index=True)
-    chosen = np.zeros(len(starts), dtype=bool)
-    chosen[first] = True
-    keep = np.repeat(chosen, lengths)
-    made = pd.DataFrame(
-        {
-            "list": np.concatenate((np.full(len(pairs), -1), np.repeat(mark, lengths)[keep].view("int64"))),
-            "a": np.concatenate((pairs[:, 0], cids[keep])),
-            "b": np.concatenate((pairs[:, 1], cids[keep])),
-            "n": np.concatenate((np.zeros(len(pairs), dtype="int64"), n[keep])),
-            "short": np.concatenate((np.zeros(len(pairs), dtype=bool), short[keep])),
-            "m": np.concatenate((np.zeros(len(pairs), dtype="int64"), np.repeat(lengths, lengths)[keep])),
-            "pair": np.concatenate((np.ones(len(pairs), dtype=bool), np.zeros(int(keep.sum()), dtype=bool))),
-        }
-    )
     return made
 
 
-def signatures(docs: DataFrame, members: bool) -> DataFrame:
-    """cid, n, data of documents' sets: their bitmaps or, with members, the sorted sets themselves; one row a class."""
+def only(df: DataFrame, ids: DataFrame, key: str, small: int) -> DataFrame:
+    """df's rows with a key in ids, which are 8 bytes each and broadcast only up to `small` of them."""
+    ids = settle(ids)
+    return df.join(F.broadcast(ids) if ids.count() <= small else ids, key, "left_semi")
 
-    def make():
-        met = set()
 
-        def step(batch):
-            sets = [shingle_set(t) for t in batch.column(0).to_pylist()]
-            sets = [(class_id(s), s) for s in sets if len(s)]
-            sets = [(c, s) for c, s in sets if not (c in met or met.add(c))]
-            return {
-                "cid": [c for c, _ in sets],
-                "n": [len(s) for _, s in sets],
-                "data": [s.tobytes() if members else bitmap(s) for _, s in sets],
-            }
+def sets_of(texts: DataFrame) -> DataFrame:
+    """block, cid, n, data: the sorted sets of texts, one row a class; a block has about BLOCK_ROWS / 4 tokens of one task."""
 
-        return step
+    class Step:
+        def __init__(self):
+            self.met, self.block, self.rows = set(), TaskContext.get().partitionId() << 32, 0
 
-    made = settle_in_batches(map_arrow(docs, make, "cid long, n long, data binary", 256), 1000)
+        def __call__(self, batch):
+            out = {"block": [], "cid": [], "n": [], "data": []}
+            for text in batch.column(0).to_pylist():
+                s = shingle_set(text)
+                if not len(s) or (cid := class_id(s)) in self.met:
+                    continue
+                self.met.add(cid)
+                if self.rows > BLOCK_ROWS // 4:
+                    self.block, self.rows = self.block + 1, 0
+                self.rows += len(s)
+                for name, x in (("block", self.block), ("cid", cid), ("n", len(s)), ("data", s.tobytes())):
+                    out[name].append(x)
+            return out
+
+    made = settle(map_arrow(texts, Step, "block long, cid long, n long, data binary", 256))
     if made.count() > made.select("cid").distinct().count():  # rows that repeat a doc_id, met by several tasks
         made = settle(made.dropDuplicates(["cid"]))
     return made
 
 
-class Texts:
-    """The documents, from which the sets of chosen classes are made again: cheaper than keeping all of them."""
-
-    def __init__(self, rows: DataFrame, classes: DataFrame, small: int):
-        self.rows, self.small = rows, small
-        self.classes = classes.where("rep is not null").select("cid", F.col("rep").alias("doc_id"))
-
-    def only(self, df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-        """df's rows with a key in ids, which are 8 bytes each and broadcast only up to `small` of them."""
-        ids = settle(ids)
-        return df.join(F.broadcast(ids) if ids.count() <= self.small else ids, key, "left_semi")
+def block_tokens(sets: DataFrame, buckets: int) -> DataFrame:
+    """bucket, block, tokens, counts: the tokens of each block, each of them once with its count."""
 
-    def signatures(self, cids: DataFrame, members: bool) -> DataFrame:
-        ids = self.only(self.classes, cids, "cid").select("doc_id").distinct()
-        return signatures(self.only(self.rows, ids, "doc_id").select("text"), members)
+    def make():
+        def step(batch):
+            out = {"bucket": [], "block": [], "tokens": [], "counts": []}
+            blocks, data = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+            for block in np.unique(blocks).tolist():
+                tokens = np.frombuffer(b"".join(data[i] for i in np.flatnonzero(blocks == block)), dtype="<u8")
+                tokens, counts = np.unique(tokens, return_counts=True)
+                bucket = (mixed(tokens) % np.uint64(buckets)).astype("int64")
+                by_bucket(bucket, {"tokens": tokens, "counts": counts.astype("uint32")}, out, block=block)
+            return out
 
+        return step
 
-def both(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.col("a").alias("cid")).unionAll(pairs.select("b")).distinct()
+    return map_arrow(sets.select("block", "data"), make, "bucket long, block long, tokens binary, counts binary", 1024)
 
 
-def beside(pairs: DataFrame, data: DataFrame) -> DataFrame:
-    for side in "ab":
-        pairs = pairs.join(data.select(F.col("cid").alias(side), F.col("n").alias(f"n_{side}"), F.col("data").alias(f"data_{side}")), side)
-    return pairs.select("a", "b", "n_a", "n_b", "data_a", "data_b")
+def document_counts(pdf: pd.DataFrame) -> pd.DataFrame:
+    """block, tokens, counts: to each block those of one bucket's tokens that several sets have, with how many."""
+    tokens, counts = packed(pdf, "tokens", "<u8"), packed(pdf, "counts", "<u4")
+    blocks = np.repeat(pdf["block"].to_numpy(), [len(x) // 8 for x in pdf["tokens"]])
+    order = np.argsort(tokens, kind="stable")
+    tokens, counts, blocks = tokens[order], counts[order], blocks[order]
+    starts = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1]))) if len(tokens) else np.zeros(0, dtype="int64")
+    total = np.repeat(np.add.reduceat(counts.astype("int64"), starts) if len(starts) else starts, np.diff(np.append(starts, len(tokens))))
+    several = total > 1
+    out = {"bucket": [], "tokens": [], "counts": []}
+    by_bucket(blocks[several], {"tokens": tokens[several], "counts": total[several].astype("<u4")}, out)
+    give_back()
+    return pd.DataFrame({"block": np.array(out["bucket"], dtype="int64"), "tokens": out["tokens"], "counts": out["counts"]})
 
 
-def let_through(pairs: DataFrame, bits: DataFrame) -> DataFrame:
-    """The (a, b) pairs that their bit counts let through."""
+def prefixes(pdf: pd.DataFrame) -> pd.DataFrame:
+    """token, cid, n, short, df of one block's sets: the prefixes that are left when tokens come by how many sets have them.
 
-    def make():
-        def step(batch):
-            a, b, n_a, n_b, bits_a, bits_b = (batch.column(i).to_pylist() for i in range(6))
-            keep = []
-            for k, (x, y) in enumerate(zip(bits_a, bits_b, strict=True)):
-                size = min(len(x), len(y)) // 8
-                different = int(np.bitwise_count(folded(x, size) ^ folded(y, size)).sum())
-                if may_be_alike(n_a[k], n_b[k], different):
-                    keep.append(k)
-            return {"a": [a[k] for k in keep], "b": [b[k] for k in keep]}
+    Tokens that no other set has come first; they fill places of the prefix
+    but can't be met. Two sets as alike as asked for share a token of the
+    smaller one's first n - ceil(6n/7) + 1 (short) and the larger one's first
+    n - ceil(3n/4) + 1.
+    """
+    given, told = pdf[pdf["data"].notna()], pdf[pdf["data"].isna()]
+    known, df = packed(told, "tokens", "<u8"), packed(told, "counts", "<u4")
+    known, first = np.unique(known, return_index=True)
+    df = df[first].astype("int64")
+    made = []
+    for cid, data in zip(given["cid"].tolist(), given["data"], strict=True):
+        s = np.frombuffer(data, dtype="<u8")
+        n = len(s)
+        long, short = n - (3 * n + 3) // 4 + 1, n - (6 * n + 6) // 7 + 1
+        at = np.searchsorted(known, s)
+        met = np.flatnonzero(known[np.minimum(at, len(known) - 1)] == s) if len(known) else at[:0]
+        alone = n - len(met)
+        if alone >= long or not len(met):
+            continue
+        tokens, counts = s[met], df[at[met]]
+        order = np.lexsort((tokens, counts))[: long - alone]
+        made.append((tokens[order], np.full(len(order), cid), np.full(len(order), n), alone + np.arange(len(order)) < short, counts[order]))
+    token, cid, n, short, df = (np.concatenate(x) for x in zip(*made, strict=True)) if made else (np.zeros(0, dtype="int64"),) * 5
+    made = pd.DataFrame({"token": token.view("int64"), "cid": cid, "n": n, "short": short.astype(bool), "df": df})
+    give_back()
+    return made
 
-        return step
 
-    return settle_in_batches(map_arrow(beside(pairs, bits), make, "a long, b long", 2048), 2048)
+def neighbours(pdf: pd.DataFrame) -> pd.DataFrame:
+    """a, b: pairs of neighbours by size in each of a bucket's lists, and in some also by chance."""
+    pdf = pdf.sort_values(["token", "piece", "n", "cid"], kind="stable")
+    tokens, pieces, cids, n, short = (pdf[c].to_numpy() for c in ("token", "piece", "cid", "n", "short"))
+    short = short.astype(bool)
+    new = np.concatenate(([True], (tokens[1:] != tokens[:-1]) | (pieces[1:] != pieces[:-1])))
+    number = np.cumsum(new)
+    length = np.bincount(number)[number]
+    i = np.flatnonzero(~new[1:])
+    i = i[(4 * n[i] >= 3 * n[i + 1]) & short[i]]
+    # in a fourth of the longer lists also neighbours in an order by chance, another one in each list
+    chance = np.flatnonzero((length >= 8) & (mixed(tokens.view("uint64") ^ ODD[3]) % np.uint64(4) == 0))
+    chance = chance[np.lexsort((mixed(cids[chance].view("uint64") ^ tokens[chance].view("uint64")), number[chance]))]
+    x, y = np.minimum(chance[:-1], chance[1:]), np.maximum(chance[:-1], chance[1:])  # by size within a list
+    fine = (number[x] == number[y]) & (4 * n[x] >= 3 * n[y]) & short[x]
+    x, y = np.concatenate((i, x[fine])), np.concatenate((i + 1, y[fine]))
+    pairs = np.unique(np.stack((np.minimum(cids[x], cids[y]), np.maximum(cids[x], cids[y])), 1), axis=0)
+    return pd.DataFrame(pairs.astype("int64"), columns=["a", "b"])
 
 
-def verified(pairs: DataFrame, texts: Texts) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame, small: int) -> DataFrame:
     """The (a, b) pairs of classes whose sorted sets intersect as much as asked for."""
 
     def make():
         def step(batch):
-            x, y = (batch.column(i).to_pylist() for i in (4, 5))
-            keep = [alike(np.frombuffer(s, dtype="<u8"), np.frombuffer(t, dtype="<u8")) for s, t in zip(x, y, strict=True)]
-            at = np.flatnonzero(keep)
+            x, y = (batch.column(i).to_pylist() for i in (2, 3))
+            at = np.flatnonzero([alike(np.frombuffer(s, dtype="<u8"), np.frombuffer(t, dtype="<u8")) for s, t in zip(x, y, strict=True)])
             return {"a": batch.column(0).to_numpy()[at], "b": batch.column(1).to_numpy()[at]}
 
         return step
 
-    return settle_in_batches(map_arrow(beside(pairs, texts.signatures(both(pairs), True)), make, "a long, b long", 64), 256)
-
-
-def tile_pairs(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Within the tiles of one bucket: pairs of different components that their bit counts let through."""
-    out_a, out_b = [], []
-    given = pdf[pdf["bits"].notna()]
-    bits_of = dict(zip(given["cid"], given["bits"], strict=True))
-    for _, tile in pdf[pdf["bits"].isna()].groupby(["list", "tile"], sort=False):
-        tile = tile.sort_values("n", kind="stable")
-        n, cid, comp, short = (tile[c].to_numpy() for c in ("n", "cid", "comp", "short"))
-        left, right, short = (tile[c].to_numpy(dtype=bool) for c in ("left", "right", "short"))
-        bits = [bits_of[c] for c in cid.tolist()]
-        at = 0
-        while at < len(n):
-            some = slice(at, min(len(n), at + 64))
+    wanted = pairs.select(F.col("a").alias("cid")).unionAll(pairs.select("b")).distinct()
+    sets = settle(only(sets.select("cid", "data"), wanted, "cid", small))
+    for side in "ab":
+        pairs = pairs.join(sets.select(F.col("cid").alias(side), F.col("data").alias(f"data_{side}")), side)
+    return settle(map_arrow(pairs.select("a", "b", "data_a", "data_b"), make, "a long, b long"))
+
+
+class Roots:
+    """Which of a pack's classes are in one component by now."""
+
+    def __init__(self, comps: np.ndarray):
+        _, self.root = np.unique(comps, return_inverse=True)
+
+    def join(self, x: int, y: int) -> None:
+        self.root[self.root == self.root[y]] = self.root[x]
+
+
+def tile_links(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Links that join components within the tiles of one pack, at most one for each of its classes but one.
+
+    Each class comes with its set once. The bit counts of a tile's pairs of
+    different components bound their overlaps from above; those let through
+    are intersected one after the other, unless a link found meanwhile has
+    put both into one component.
+    """
+    given, rows = pdf[pdf["data"].notna()], pdf[pdf["data"].isna()]
+    cids, first = np.unique(given["cid"].to_numpy(), return_index=True)
+    sets = [np.frombuffer(d, dtype="<u8") for d in given["data"].to_numpy()[first]]
+    place = np.searchsorted(cids, rows["cid"].to_numpy())
+    comp_of = np.zeros(len(cids), dtype="int64")
+    comp_of[place] = rows["comp"].to_numpy()
+    roots, bits, out = Roots(comp_of), {}, []
+
+    def matrix(at: np.ndarray, size: int) -> np.ndarray:
+        for k in at.tolist():
+            if k not in bits:
+                bits[k] = bitmap(sets[k])
+        return np.stack([folded(bits[k], size) for k in at.tolist()])
+
+    rows = rows.assign(place=place).sort_values(["list", "tile", "n", "cid"], kind="stable")
+    numbers = rows.groupby(["list", "tile"], sort=False).ngroup().to_numpy()
+    columns = [rows[c].to_numpy() for c in ("place", "n", "short", "left", "right")]
+    for part in np.split(np.arange(len(rows)), np.flatnonzero(np.diff(numbers)) + 1):
+        at, n, short, left, right = (c[part] for c in columns)
+        short, left, right = short.astype(bool), left.astype(bool), right.astype(bool)
+        if not len(at) or (roots.root[at] == roots.root[at[0]]).all():
+            continue
+        i, held = 0, (0, 0, 0, None)
+        while i < len(at):
+            some = slice(i, min(len(at), i + 64))
             end = int(np.searchsorted(n, n[some][-1] * 4 // 3, "right"))  # partners are from here on, and not too large
-            size = len(bits[at]) // 8
-            m = np.stack([folded(x, size) for x in bits[at:end]])
-            rows = m[: some.stop - at]
+            mine = roots.root[at[i:end]]
             wanted = (
-                (4 * n[some][:, None] >= 3 * n[None, at:end])
+                (4 * n[some][:, None] >= 3 * n[None, i:end])
                 & short[some][:, None]
-                & (comp[some][:, None] != comp[None, at:end])
-                & (np.arange(at, some.stop)[:, None] < np.arange(at, end)[None, :])
-                & (left[some][:, None] & right[None, at:end] | right[some][:, None] & left[None, at:end])
+                & (mine[: some.stop - i][:, None] != mine[None, :])
+                & (np.arange(i, some.stop)[:, None] < np.arange(i, end)[None, :])
+                & (left[some][:, None] & right[None, i:end] | right[some][:, None] & left[None, i:end])
             )
-            i, j = np.nonzero(wanted)
-            for k in range(0, len(i), 4096):
-                x, y = i[k : k + 4096], j[k : k + 4096]
-                different = np.bitwise_count(rows[x] ^ m[y]).sum(1, dtype="int64")
-                fine = may_be_alike(n[at + x], n[at + y], different)
-                out_a.append(np.minimum(cid[at + x[fine]], cid[at + y[fine]]))
-                out_b.append(np.maximum(cid[at + x[fine]], cid[at + y[fine]]))
-            at = some.stop
-    if not out_a:
-        return pd.DataFrame({"a": [], "b": [], "pack": []}).astype("int64")
-    pairs = np.unique(np.stack((np.concatenate(out_a), np.concatenate(out_b)), 1), axis=0)
-    return pd.DataFrame(pairs, columns=["a", "b"]).assign(pack=pdf["pack"].iloc[0])
-
-
-def pack_verified(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The pairs of one pack whose sets, each of them sent once, intersect as much as asked for."""
-    given = pdf[pdf["data"].notna()]
-    sets = {c: np.frombuffer(d, dtype="<u8") for c, d in zip(given["a"], given["data"], strict=True)}
-    pairs = pdf[pdf["data"].isna()]
-    keep = [alike(sets[a], sets[b]) for a, b in zip(pairs["a"].tolist(), pairs["b"].tolist(), strict=True)]
-    out = pairs.loc[keep, ["a", "b"]].copy()
-    del sets, given, pairs
+            x, y = np.nonzero(wanted)
+            if len(x):
+                if at[i] not in bits:
+                    bits[int(at[i])] = bitmap(sets[at[i]])
+                size = len(bits[int(at[i])]) // 8
+                if held[0] != size or held[2] < end:
+                    held = (size, i, end, matrix(at[i:end], size))
+                m = held[3][i - held[1] :]
+                for k in range(0, len(x), 4096):
+                    p, q = x[k : k + 4096], y[k : k + 4096]
+                    different = np.bitwise_count(m[p] ^ m[q]).sum(1, dtype="int64")
+                    fine = may_be_alike(n[i + p], n[i + q], different)
+                    for a, b in zip(at[i + p[fine]].tolist(), at[i + q[fine]].tolist(), strict=True):
+                        if roots.root[a] != roots.root[b] and alike(sets[a], sets[b]):
+                            roots.join(a, b)
+                            out.append((min(cids[a], cids[b]), max(cids[a], cids[b])))
+            i = some.stop
+    made = pd.DataFrame(np.array(out, dtype="int64").reshape(-1, 2), columns=["a", "b"])
+    del sets, given, rows, bits
     give_back()
-    return out
-
-
-def verified_by_pack(pairs: DataFrame, texts: Texts, pack_pairs: int) -> DataFrame:
-    """As verified(), for pairs with a pack that has most pairs of their members; packs with many pairs are parted by a."""
-    pairs = settle(pairs.groupBy("a", "b").agg(F.min("pack").alias("pack")))
-    parts = pairs.groupBy("pack").agg(F.ceil(F.count("*") / pack_pairs).alias("parts"))
-    pairs = pairs.join(parts, "pack").withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts"))).select("a", "b", "pack", "part")
-    sets = texts.signatures(both(pairs), True).select(F.col("cid").alias("a"), "data")
-    wanted = pairs.select("pack", "part", "a").unionAll(pairs.select("pack", "part", "b")).distinct()
-    rows = pairs.unionByName(wanted.join(sets, "a").withColumn("b", F.lit(0).cast("long")), allowMissingColumns=True)  # no null longs: pandas makes them doubles
-    return settle(rows.groupBy("pack", "part").applyInPandas(pack_verified, "a long, b long"))
+    return made
 
 
-def tiles(members: DataFrame, tile_rows: int) -> DataFrame:
-    """Members of lists (m: how many the list has) -> rows of tiles: list, tile, left, right beside what they have.
+def tiles(members: DataFrame, tile_rows: int, tile_tokens: int) -> DataFrame:
+    """Members of lists (m: how many the list has, weight: their tokens) -> rows of tiles: list, tile, left, right beside what they have.
 
-    A list of at most tile_rows members is one tile. A longer one is cut into
+    A list of at most tile_rows members and tile_tokens tokens is one tile. A longer one is cut into
     bands of sizes, each reaching from s to 4s/3, so that partners are in the
-    same or the next band; a band is dealt into slices of about tile_rows / 2,
+    same or the next band; a band is dealt into slices of half of that,
     and each two slices of a band and its next meet in a tile, with the one's
     members on the left and the other's on the right.
     """
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(4.0 / 3.0))).cast("int")
-    banded = members.withColumn("band", F.when(F.col("m") <= tile_rows, 0).otherwise(band))
-    short = banded.where(F.col("m") <= tile_rows).select(
+    fits = (F.col("m") <= tile_rows) & (F.col("weight") <= tile_tokens)
+    banded = members.withColumn("band", F.when(fits, 0).otherwise(band))
+    short = banded.where(fits).select(
         *members.columns, F.lit(0).cast("long").alias("tile"), F.lit(True).alias("left"), F.lit(True).alias("right")
     )
-    long = banded.where(F.col("m") > tile_rows)
-    slices = long.groupBy("list", "band").agg(F.ceil(F.count("*") / (tile_rows // 2)).cast("int").alias("k"))
+    long = banded.where(~fits)
+    needed = F.greatest(F.count("*") / F.lit(tile_rows // 2), F.sum("n") / F.lit(tile_tokens // 2))
+    slices = long.groupBy("list", "band").agg(F.ceil(needed).cast("int").alias("k"))
     near = slices.select("list", (F.col("band") - 1).alias("band"), F.col("k").alias("above")).unionByName(
         slices.select("list", (F.col("band") + 1).alias("band"), F.lit(None).cast("int").alias("above"), F.col("k").alias("below")),
         allowMissingColumns=True,
@@ -374,62 +425,78 @@ def tiles(members: DataFrame, tile_rows: int) -> DataFrame:
     return short.unionByName(long.select(*members.columns, "t.tile", "t.left", "t.right"))
 
 
-def jaccard_components(docs: DataFrame, bucket_rows: int = 500_000, tile_rows: int = 16_384, pack_pairs: int = 16_384, small: int = 2_000_000) -> DataFrame:
+def jaccard_components(
+    docs: DataFrame, bucket_rows: int = 500_000, tile_rows: int = 16_384, tile_tokens: int = 4_000_000, piece_rows: int = 4096, small: int = 2_000_000
+) -> DataFrame:
     """doc_id, n_shingles, component_id: documents linked by Jaccard >= 0.75 of their five-word shingle sets.
 
     1. Equal sets are one class (by 64 bits and the size); only classes go on.
-    2. The prefixes of all sets are dealt out by token; a token that several
-       classes share makes a list, sorted by size.
-    3. Neighbours in a list are verified: bit counts of the bitmaps bound the
-       overlap from above, then the sorted sets are intersected. A large group
-       of near copies already becomes one component here, with a number of
-       comparisons in proportion to its lists.
-    4. Lists whose members are in different components are compared wholly, in
-       size-banded tiles: all pairs of different components whose bit counts
-       let them through are verified.
+    2. A set can't have a partner if more than a fourth of its tokens is in no
+       other set. That is told from the tokens of a zone, 35 % of all: whoever
+       has enough of them alone is done.
+    3. The sets of the others are kept, in blocks. Their tokens are counted,
+       and the counts go back to the blocks, where each set's tokens come in
+       order of their counts; the prefixes in this order make lists of who
+       shares a token. Few sets are in a list for common passages only.
+    4. Neighbours in a list are verified: a large group of near copies becomes
+       one component here, with comparisons in proportion to its lists.
+    5. Lists whose members are in different components are compared wholly, in
+       size-banded tiles: bit counts of the sets' bitmaps bound the overlap
+       from above, then the sorted sets are intersected. A tile tells links
+       that join components, never its pairs.
     Pairs within a component are not compared again: no component depends on
     them. Nothing is dropped: each pair that is alike shares a list.
 
+    No token's documents are gathered: blocks tell each token once, long lists
+    are dealt in pieces (4) and slices (5).
+
     Null or empty text: no set, n_shingles 0, its own component. Null doc_id:
     the component of the documents with its set, null if there are none.
     Repeated rows: one row each. Empty input: no rows. Sets of hashes differ
     from sets of shingles only where two 64-bit hashes collide.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sized = settle(set_sizes(rows))
-    classes = settle(sized.where("n > 0").groupBy("cid", "n").agg(F.min("doc_id").alias("rep")))
-    total = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    buckets = max(64, -(-total // (4 * bucket_rows)))
-    found = settle(
-        postings(rows.select("text"), buckets)
-        .groupBy("bucket")
-        .applyInPandas(lists, "list long, a long, b long, n long, short boolean, m long, pair boolean")
+    classes = settle(sized.where("n > 0").groupBy("cid", "n", "z").agg(F.min("doc_id").alias("rep")))
+    total = classes.agg(F.coalesce(F.sum("z"), F.lit(0))).first()[0]
+    buckets = max(64, -(-total // bucket_rows))
+    shared = zone_postings(rows.select("text"), buckets).groupBy("bucket").applyInPandas(shared_tokens, "cid long, k long").groupBy("cid").agg(F.sum("k").alias("k"))
+    left = classes.where("rep is not null").join(shared, "cid", "left").where(4 * (F.col("z") - F.coalesce("k", F.lit(0))) <= F.col("n"))
+    sets = sets_of(only(rows, left.select(F.col("rep").alias("doc_id")), "doc_id", small).select("text"))
+    total = sets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    buckets = max(64, -(-total // bucket_rows))
+    told = block_tokens(sets, buckets).groupBy("bucket").applyInPandas(document_counts, "block long, tokens binary, counts binary")
+    none = F.lit(0).cast("long")  # no null longs: pandas makes them doubles
+    postings = settle(
+        sets.select("block", "cid", "data")
+        .unionByName(told.withColumn("cid", none), allowMissingColumns=True)
+        .groupBy("block")
+        .applyInPandas(prefixes, "token long, cid long, n long, short boolean, df long")
     )
-    pairs = settle(found.where("pair").select("a", "b").distinct())
-    members = settle(found.where("not pair").select("list", F.col("a").alias("cid"), "n", "short", "m").distinct())
-    texts = Texts(rows, classes, small)
-    bits = texts.signatures(both(pairs).unionAll(members.select("cid")).distinct(), False)
-    links = verified(let_through(pairs, bits), texts)
+    count = postings.count()
+    piece = F.pmod(F.xxhash64("cid"), F.ceil(F.col("df") / piece_rows))
+    dealt = postings.withColumn("piece", piece).withColumn("bucket", F.pmod(F.xxhash64("token", "piece"), F.lit(max(64, 4 * count // bucket_rows))))
+    pairs = settle(dealt.groupBy("bucket").applyInPandas(neighbours, "a long, b long").distinct())
+    links = verified(pairs, sets, small)
     comps = components(links).withColumnRenamed("node", "cid").withColumnRenamed("component", "comp")
-    placed = settle(members.join(comps, "cid", "left").withColumn("comp", F.coalesce("comp", "cid")))
-    several = placed.groupBy("list").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("cid").alias("first"))
-    several = several.where("low <> high").select("list", "first")
-    tiled = tiles(placed.join(several, "list"), tile_rows)
-    # lists with the same first member have most members in common: they go together, with one bitmap for each member
-    packs = max(64, placed.count() // 20_000)
-    pack = F.when(F.col("tile") == 0, F.xxhash64("first")).otherwise(F.xxhash64("list", "tile"))
-    light = settle(tiled.withColumn("pack", F.pmod(pack, F.lit(packs))).drop("first"))
-    given = light.select("pack", "cid").distinct().join(bits.select("cid", F.col("data").alias("bits")), "cid")
-    for c in light.columns:  # no null longs: pandas makes them doubles
-        if c not in given.columns:
-            given = given.withColumn(c, F.lit(0).cast(light.schema[c].dataType))
-    more = settle(
-        light.unionByName(given, allowMissingColumns=True)
-        .groupBy("pack")
-        .applyInPandas(tile_pairs, "a long, b long, pack long")
-    )
-    links = links.unionAll(verified_by_pack(more, texts, pack_pairs))
+    placed = settle(postings.drop("df").join(comps, "cid", "left").withColumn("comp", F.coalesce("comp", "cid")).withColumnRenamed("token", "list"))
+    lists = placed.groupBy("list").agg(
+        F.count("*").alias("m"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("cid").alias("first"), F.sum("n").alias("weight"),
+        F.bit_xor(F.xxhash64("cid", "short")).alias("mark"),
+    )
+    chosen = lists.where("m >= 3 and low <> high").groupBy("mark", "m", "first", "weight").agg(F.min("list").alias("list"))  # the same members: once
+    tiled = tiles(placed.join(chosen.drop("mark"), "list"), tile_rows, tile_tokens)
+    # lists with the same first member have most members in common: they go together, with one set for each member
+    key = F.when(F.col("tile") == 0, F.xxhash64("first")).otherwise(F.xxhash64("list", "tile"))
+    light = settle(tiled.withColumn("key", key).drop("first", "m", "weight"))
+    total = light.select("key", "cid", "n").distinct().agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    packs = max(64, light.count() // 20_000, 4 * total // tile_tokens)
+    light = light.withColumn("pack", F.pmod("key", F.lit(packs))).drop("key")
+    given = light.select("pack", "cid").distinct().join(only(sets.select("cid", "data"), light.select("cid").distinct(), "cid", small), "cid")
+    for c in ("list", "n", "comp", "tile"):
+        given = given.withColumn(c, none)
+    more = settle(light.unionByName(given, allowMissingColumns=True).groupBy("pack").applyInPandas(tile_links, "a long, b long"))
+    links = links.unionAll(more)
     of = classes.select("cid", "n", "rep")
     by_doc = links.join(of.select(F.col("cid").alias("a"), F.col("rep").alias("rep_a")), "a").join(
         of.select(F.col("cid").alias("b"), F.col("rep").alias("rep_b")), "b"
