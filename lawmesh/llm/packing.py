@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from lawmesh.llm.common import broadcast_value, kept, map_arrow
 
 #: Bytes of words, and of the pieces they are parted into, that a Python worker keeps between batches.
-WORDS_BYTES, PIECES_BYTES = 96 << 20, 48 << 20
+WORDS_BYTES, PIECES_BYTES = 160 << 20, 48 << 20
 #: Bytes of an entry of a dict besides its key's and value's characters, about.
 ENTRY = 190
 #: Splitting at white space also parts at these, the tokenizer does not.
@@ -259,5 +259,5 @@ def pack_documents(
         docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text"),
         Step,
         ", ".join(f"{f} long" for f in fields),
-        4096,
+        1024,
     )
