@@ -485,10 +485,13 @@ def jaccard_components(
         F.bit_xor(F.xxhash64("cid", "short")).alias("mark"),
     )
     chosen = lists.where("m >= 3 and low <> high").groupBy("mark", "m", "first", "weight").agg(F.min("list").alias("list"))  # the same members: once
-    tiled = tiles(placed.join(chosen.drop("mark"), "list"), tile_rows, tile_tokens)
-    # lists with the same first member have most members in common: they go together, with one set for each member
-    key = F.when(F.col("tile") == 0, F.xxhash64("first")).otherwise(F.xxhash64("list", "tile"))
-    light = settle(tiled.withColumn("key", key).drop("first", "m", "weight"))
+    chosen = settle(chosen.drop("mark"))
+    # lists with the same first member have most members in common: they go together, with one set for each member, in parts if they have many rows
+    parts = chosen.groupBy("first").agg(F.ceil(F.sum("m") / tile_rows).alias("parts"))
+    chosen = chosen.join(parts, "first").withColumn("part", F.pmod(F.xxhash64("list"), F.col("parts"))).drop("parts")
+    tiled = tiles(placed.join(chosen, "list"), tile_rows, tile_tokens)
+    key = F.when(F.col("tile") == 0, F.xxhash64("first", "part")).otherwise(F.xxhash64("list", "tile"))
+    light = settle(tiled.withColumn("key", key).drop("first", "part", "m", "weight"))
     total = light.select("key", "cid", "n").distinct().agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     packs = max(64, light.count() // 20_000, 4 * total // tile_tokens)
     light = light.withColumn("pack", F.pmod("key", F.lit(packs))).drop("key")
