@@ -33,7 +33,7 @@ class Space:
         self.row_of: dict[int, int] = {}
         self.rows = np.empty((1024, dims), dtype="int8")
         self.lower = np.zeros(sys.maxunicode + 1, dtype="uint32")  # letters by lower case, all else 0
-        self.known = np.zeros(sys.maxunicode + 1, dtype=bool)
+        self.known, self.alone = (np.zeros(sys.maxunicode + 1, dtype=bool) for _ in range(2))  # alone: letters that aren't marks
 
     def letter(self, code: int) -> np.ndarray:
         got = self.letters.get(code)
@@ -43,15 +43,16 @@ class Space:
         return got
 
     def codes(self, text: str) -> np.ndarray:
-        """Lower-case letters of the text; what lies between words becomes one 0, also at both ends."""
+        """Lower-case letters of the text with their marks; what lies between words becomes one 0, also at both ends. Marks alone are no letters."""
         raw = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
         fresh = raw[~self.known[raw]]
         for c in set(fresh.tolist()):
             ch = chr(c)
-            low = ch.lower() if unicodedata.category(ch)[0] in "LM" else ""
-            self.lower[c], self.known[c] = ord(low[0]) if low else 0, True
+            kind = unicodedata.category(ch)[0]
+            low = ch.lower() if kind in "LM" else ""
+            self.lower[c], self.known[c], self.alone[c] = ord(low[0]) if low else 0, True, kind == "L"
         low = self.lower[raw]
-        if not low.any():
+        if not self.alone[raw].any():
             return low[:0]
         low = np.concatenate(([0], low, [0])).astype("int64")
         keep = np.ones(len(low), dtype=bool)

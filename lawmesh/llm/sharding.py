@@ -43,8 +43,11 @@ def shard_documents(
 
     A document's id is hashed onto a ring of 65,536 places and belongs to the
     next virtual node clockwise. The documents of one arc between virtual
-    nodes are dealt into `parts` groups, so that neither an arc nor an id that
-    many rows repeat is ever one unit. A shard is full from
+    nodes are dealt into `parts` groups by a hash of doc_id, so that where the
+    rows lie in the input decides nothing; only the rows of an id that repeats
+    and has more than a group's share of all bytes are dealt by their places,
+    as such an id must not be one unit (there are at most as many such ids as
+    groups, and they are broadcast). A shard is full from
     (1 + slack) x total / n_shards bytes on; the groups that find it full go on
     clockwise to the next other shard. All shards can't be full before all
     groups are placed, so balance holds up to slack and one group. The law is
@@ -69,7 +72,7 @@ def shard_documents(
         ).alias("place"),
     )
     places = places.groupBy("place").agg(F.max("arc").alias("arc"))
-    rows = settle(
+    told = settle(
         docs.select(
             F.col("doc_id").cast("long").alias("doc_id"),
             (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
@@ -79,11 +82,19 @@ def shard_documents(
         )
         .join(F.broadcast(places), "place")  # RING rows
         .drop("place")
-        .withColumn("part", F.pmod(F.col("at"), F.lit(parts)).cast("int"))
+    )
+    sums = told.groupBy("doc_id").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
+    units = n_shards * vnodes * parts
+    total = told.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    heavy = settle(sums.where((F.col("n") > 1) & (F.col("bytes") * units > total)).select(F.col("doc_id").alias("heavy_id"), F.lit(True).alias("heavy")))
+    by = F.when(F.col("heavy"), F.col("at")).otherwise(F.xxhash64(F.lit(seed + 1), "doc_id"))
+    rows = (
+        told.join(F.broadcast(heavy), F.col("doc_id").eqNullSafe(F.col("heavy_id")), "left")  # at most n_shards x vnodes x parts ids
+        .withColumn("part", F.pmod(by, F.lit(parts)).cast("int"))
+        .drop("heavy_id", "heavy")
     )
     groups = rows.groupBy("arc", "part").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
     state = settle(groups.join(F.broadcast(arcs.select("arc", "turn")), "arc").withColumn("shard", F.lit(None).cast("int")))
-    total = state.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
     room = (1 + slack) * total / n_shards
     for k in range(n_shards):
         if not state.where("shard is null").limit(1).count():

@@ -38,6 +38,64 @@ def test_few_documents_move_when_a_shard_is_added(spark):
     assert sum(a[i] != b[i] for i in a) < 0.4 * len(a)  # dealing anew moves 8 of 9
 
 
+def test_shards_depend_on_ids_alone(spark):
+    r = random.Random(3)
+    rows = [(i, "y" * r.randint(0, 300)) for i in range(3000)]
+    of = lambda d, n=8: {x.doc_id: x.shard for x in sharding.shard_documents(d, n).collect()}
+    a, b = of(docs(spark, rows)), of(docs(spark, rows[::-1]).repartition(7))
+    assert a == b
+    grown = of(docs(spark, rows), 9)
+    moved = [i for i in a if a[i] != grown[i]]
+    assert sum(grown[i] != 8 for i in moved) < 0.15 * len(a)  # bounded loads move some between old shards
+    assert len(moved) < 0.3 * len(a)  # a ninth of the rows must
+
+
+def test_shards_against_a_plain_walk(spark):
+    r = random.Random(8)
+    rows = [(i, "y" * r.randint(0, 900)) for i in range(600)] + [(7, "z" * 500)] * 40
+    d = docs(spark, rows).coalesce(1)
+    n_shards, vnodes, parts, slack, seed = 5, 16, 4, 0.01, 17
+    h = d.select(
+        "doc_id", (F.length("text") + 1).alias("size"), F.monotonically_increasing_id().alias("at"),
+        F.pmod(F.xxhash64("doc_id"), F.lit(sharding.RING)).alias("place"), F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), F.lit(parts)).alias("part"),
+    ).collect()
+    points = {}
+    for s, v, slot in spark.range(n_shards).crossJoin(spark.range(vnodes).withColumnRenamed("id", "v")).select(
+        "id", "v", F.pmod(F.xxhash64(F.lit(seed), "id", "v"), F.lit(sharding.RING))
+    ).collect():
+        points[slot] = min(s, points.get(slot, s))
+    ring = sorted(points)
+    total = sum(x.size for x in h)
+    groups = {}
+    for x in h:
+        arc = next((k for k, slot in enumerate(ring) if slot >= x.place), 0)
+        part = x.at % parts if x.doc_id == 7 else x.part
+        groups.setdefault((arc, part), []).append(x)
+    room, load, shard = (1 + slack) * total / n_shards, Counter(), {}
+    for k in range(n_shards):
+        wants = {}
+        for (arc, part), xs in groups.items():
+            if (arc, part) not in shard:
+                turn = list(dict.fromkeys(points[ring[(arc + j) % len(ring)]] for j in range(len(ring))))
+                wants.setdefault(turn[k], []).append((-sum(x.size for x in xs), arc, part))
+        for s, waiting in wants.items():
+            filled = load[s]
+            for minus, arc, part in sorted(waiting):
+                if filled < room:
+                    shard[arc, part] = s
+                    load[s] -= minus
+                filled -= minus
+    want = Counter((x.doc_id, x.size, shard[g]) for g, xs in groups.items() for x in xs)
+    got = sharding.shard_documents(d, n_shards, vnodes, parts, slack, seed).collect()
+    assert Counter((x.doc_id, x.size, x.shard) for x in got) == want
+
+
+def test_language_of_marks_and_digits_is_undetermined(spark):
+    d = docs(spark, [(i, "plain words of a text") for i in range(20)] + [(50, "\u0301\u0300 12"), (51, "e\u0301te\u0301")])
+    got = {r.doc_id: r.lang_pred for r in langid.identify_languages(d).collect()}
+    assert (got[50], got[51]) == ("und", "en")
+
+
 def test_language_of_documents_not_learned_from(spark, sf):
     d = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang", "source")
     got = langid.identify_languages(d).join(d, "doc_id").where("length(text) > 100")

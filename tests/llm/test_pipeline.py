@@ -39,3 +39,14 @@ def test_stages_against_brute_force(spark, tmp_path):
 def test_stages_on_empty_tables(spark):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, no_docs(spark), "").count() == 0
+
+
+def test_language_stage_keeps_letters_where_nothing_is_learned(spark):
+    d = docs(spark, [(1, "12 34"), (2, None), (3, "some words")]).withColumn("lang", F.when(F.col("doc_id") == 1, "en")).withColumn("_language", F.lit(1))
+    got = corpus_pipeline.known_language(spark, d, "")
+    assert [r.doc_id for r in got.collect()] == [3] and got.columns == d.columns
+
+
+def test_repeated_ids_keep_their_first_text(spark):
+    d = docs(spark, [(1, "b " * 20), (1, "a " * 20), (2, "c d e f g h i")])
+    assert sorted((r.doc_id, r.text[:1]) for r in corpus_pipeline.one_of_each_group(spark, d.repartition(3), "").collect()) == [(1, "a"), (2, "c")]
