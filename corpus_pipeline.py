@@ -25,12 +25,14 @@ def known_language(spark, docs, sf_dir):
     """Documents with a language: those without text or letters ("und") go.
 
     Texts in no learned language are not told apart: which of them go is chance.
-    Learns from the labelled documents of its input; without any, a document
-    needs letters only.
+    Learns from the labelled documents of its input; where none of them has a
+    letter, a document needs letters only.
     """
-    found = identify(docs, docs, keep=True, into=("_language", "_cosine"))
-    learned = docs.where("lang is not null and text is not null").limit(1).count()
-    clean = (F.col("_language") != "und") & (F.col("_cosine") >= LEAST_COSINE) if learned else F.col("text").rlike(r"\p{L}")
+    language, cosine = (next(c for k in range(len(docs.columns) + 1) if (c := f"{name}{k or ''}") not in docs.columns) for name in ("_language", "_cosine"))
+    found = identify(docs, docs, keep=True, into=(language, cosine))
+    letters = F.col("text").rlike(r"\p{L}")
+    learned = docs.where(F.col("lang").isNotNull() & letters).limit(1).count()
+    clean = (F.col(language) != "und") & (F.col(cosine) >= LEAST_COSINE) if learned else letters
     return found.where(clean).select(*docs.columns)
 
 
@@ -38,14 +40,18 @@ def one_of_each_group(spark, docs, sf_dir):
     """Of documents linked by Jaccard >= 0.75 of their shingles, the one with the smallest doc_id stays.
 
     Documents without words or without a doc_id stay, as does one row of a
-    repeated doc_id. The ids that stay are broadcast up to SMALL of them.
+    repeated doc_id: the first by text and then the other columns, nulls first.
+    The ids that stay are broadcast up to SMALL of them.
     """
     keep = settle(jaccard_components(docs).where("component_id = doc_id").select("doc_id"))
     n_rows, n_ids = keep.agg(F.count("*"), F.count_distinct("doc_id")).first()
-    keep = keep.distinct()
-    kept = docs.join(F.broadcast(keep) if n_ids <= SMALL else keep, "doc_id", "left_semi").select(*docs.columns)
+    ids = keep.distinct()
+    kept = docs.join(F.broadcast(ids) if n_ids <= SMALL else ids, "doc_id", "left_semi").select(*docs.columns)
     if n_rows > n_ids:
-        kept = kept.dropDuplicates(["doc_id"])
+        repeated = settle(keep.groupBy("doc_id").count().where("count > 1").select("doc_id"))
+        order = ["text", *(c for c in docs.columns if c != "text")]
+        first = kept.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*order)).alias("row"))
+        kept = kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(first.select("row.*"))
     return kept.unionByName(docs.where("doc_id is null"))
 
 
