@@ -13,7 +13,9 @@ from pyspark.sql import DataFrame
 
 from lawmesh.llm.common import broadcast_value, map_arrow
 
-KINDS = ("email", "ip", "card", "phone")
+#: The base patterns' kinds, and one that only the CRF finds.
+BASE = ("email", "ip", "card", "phone")
+KINDS = (*BASE, "secret")
 LABELS = ("O", *(f"{b}-{k}" for k in KINDS for b in "BI"))
 O = 0
 BUCKETS = 1 << 13
@@ -29,6 +31,9 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 TRIGGER = re.compile(r"[0-9@]")
 TOKEN = re.compile(r"\S+")
+#: Words in which addresses are spelled out; with NEAR tokens on either side they are looked at too.
+SPELLED = re.compile(r"[(\[{<](?:at|dot)[)\]}>]|\bdot\b", re.I)
+NEAR = 4
 
 
 def digits_of(s: str) -> str:
@@ -79,45 +84,68 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 def shape(token: str) -> str:
     """Letters to a or A, digits to 0, each run of a class once; digits in groups keep their length."""
     out, last = [], ""
-    for c in token[:80]:
+    for c in token:
         k = "0" if c.isdigit() else "A" if c.isupper() else "a" if c.isalpha() else c
         if k == "0" or k != last:
             out.append(k)
         last = k
-    return "".join(out)[:40]
+    return "".join(out)
+
+
+STRIPPED = ".,;:!?\"'%$#&*"
+
+
+def seen(token: str) -> tuple:
+    """What is computed of a token once: its shape, this without outer signs, digits, letters, and its spelled word."""
+    own = shape(token)
+    bare = token.strip(STRIPPED)
+    digits, letters = sum(c.isdigit() for c in token), sum(c.isalpha() for c in token)
+    mixed = digits >= 4 and letters >= 3 and bare.isascii() and bare.replace("-", "").replace("_", "").isalnum()
+    word = bare.lower() if len(bare) <= 12 and not digits else ""
+    return own, own.strip(STRIPPED), digits, letters, mixed and min(len(bare) // 8, 5), word
 
 
 def features(tokens: list[str], i: int) -> list[int]:
     """Hashed features of one token: its own shape and counts, and the shapes beside it."""
     t = tokens[i]
-    own, n = shape(t), sum(c.isdigit() for c in t)
-    before = shape(tokens[i - 1]) if i else "^"
-    after = shape(tokens[i + 1]) if i + 1 < len(tokens) else "$"
-    bare = own.strip(".,;:!?\"'%$#&*")
+    own, bare, n, letters, mixed, word = seen(t)
+    before, last = (seen(tokens[i - 1])[0::5]) if i else ("^", "^")
+    after, follows = (seen(tokens[i + 1])[0::5]) if i + 1 < len(tokens) else ("$", "$")
+    earlier = seen(tokens[i - 2])[5] if i > 1 else "^"
     named = (
         f"s={bare}", f"n={min(n, 20)}", f"@={'@' in t}{t.count('.')}", f"d={min(t.count('.'), 5)}{n > 0}",
         f"+={t[:1] == '+'}{n}", f"p={before}|{bare}", f"x={bare}|{after}", f"r={re.sub('0+', '0', bare)}",
-        f"rp={re.sub('0+', '0', before)}|{re.sub('0+', '0', bare)}", "b",
+        f"rp={re.sub('0+', '0', before)}|{re.sub('0+', '0', bare)}", f"m={mixed}", f"mq={mixed}{t[:1] in QUOTES}{before == '='}",
+        f"w={word if word in WORDS else '-'}", f"wb={last if last in WORDS else '-'}|{word if word in WORDS else '-'}|{follows if follows in WORDS else '-'}",
+        f"we={earlier if earlier in WORDS else '-'}{last if last in WORDS else '-'}|{letters > 0}{n > 0}", "b",
     )
-    return [zlib.crc32(f.encode()) % BUCKETS for f in named]
+    return [zlib.crc32(f.encode("utf-8", "surrogatepass")) % BUCKETS for f in named]
 
 
+QUOTES = frozenset("\"'`")
+WORDS = frozenset("at dot (at) (dot) [at] [dot] {at} {dot} com org net edu = : is key token secret password".split())
 N_FEATURES = len(features(["a"], 0))
 
 
 def runs(text: str):
-    """(tokens with their places, first, last): neighbouring tokens with a digit or an @.
+    """(tokens with their places, first, last): neighbouring tokens with a digit or an @, or near a spelled-out sign.
 
     All other tokens are O by construction, which cuts the chain: the best
     labels of a run, with O on both sides, are those of the whole text.
     """
     tokens = [(m[0], m.start()) for m in TOKEN.finditer(text)]
     words = [t for t, _ in tokens]
+    marked = [TRIGGER.search(w) is not None for w in words]
+    if SPELLED.search(text):
+        for k, w in enumerate(words):
+            if SPELLED.search(w):
+                for j in range(max(0, k - NEAR), min(len(words), k + NEAR + 1)):
+                    marked[j] = True
     i, n = 0, len(tokens)
     while i < n:
-        if TRIGGER.search(words[i]):
+        if marked[i]:
             j = i + 1
-            while j < n and TRIGGER.search(words[j]) and "\n" not in text[tokens[j - 1][1] + len(words[j - 1]) : tokens[j][1]]:
+            while j < n and marked[j] and "\n" not in text[tokens[j - 1][1] + len(words[j - 1]) : tokens[j][1]]:
                 j += 1
             yield words, tokens, i, j
             i = j
@@ -125,7 +153,7 @@ def runs(text: str):
             i += 1
 
 
-def labelled_table(n: int = 400, seed: int = 5) -> list[tuple[str, list[tuple[int, int, int]]]]:
+def labelled_table(n: int = 900, seed: int = 5) -> list[tuple[str, list[tuple[int, int, int]]]]:
     """A small labelled table, made by rule: texts with (start, end, kind) spans, and look-alikes without."""
     r = random.Random(seed)
     d = lambda k: "".join(r.choice("0123456789") for _ in range(k))
@@ -138,16 +166,27 @@ def labelled_table(n: int = 400, seed: int = 5) -> list[tuple[str, list[tuple[in
     def spaced(s: str, by: str) -> str:
         return by.join(s[i : i + 4] for i in range(0, len(s), 4))
 
+    at, dot, tld = (lambda xs=x.split(): r.choice(xs) for x in ("(at) [at] {at}", "(dot) [dot] {dot}", "com org net edu"))
+    hold = ("token = ", "key: ", "secret = ", "password: ", "api_key=", "token is ")
+
+    def mix(least: int, most: int) -> str:
+        """Letters and digits by chance: hexadecimal, or of both cases."""
+        signs = r.choice(("0123456789abcdef", "0123456789ABCDEF", "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"))
+        return d(2) + "".join(r.choice(signs) for _ in range(r.randint(least, most) - 6)) + r.choice("abcdef") + d(2) + r.choice("abc")
+
     wanted = [
         lambda: (0, f"{word()}.{d(2)}@{word()}{d(1)}.{word()}.com"), lambda: (0, f"{word()}@{word()}.org"), lambda: (0, f"{word()}_{word()}@{word()}-{word()}.co.uk"),
         lambda: (1, ".".join(str(r.randint(0, 255)) for _ in range(4))),
         lambda: (2, card(16)), lambda: (2, card(15)), lambda: (2, spaced(card(16), " ")), lambda: (2, spaced(card(16), "-")), lambda: (2, card(19)),
+        lambda: (2, spaced(card(16), ".")), lambda: (3, f"{d(3)}-{d(3)}-{d(4)}"), lambda: (3, f"{d(3)}.{d(3)}.{d(4)}"),
+        lambda: (0, f"{word()} {at()} {word()}.com"), lambda: (0, f"{word()}.{word()} {at()} {word()}.org"), lambda: (0, f"{word()} dot {word()} at {word()} dot {tld()}"), lambda: (0, f"{word()} {at()} {word()} {dot()} {tld()}"), lambda: (0, f"{word()} at {word()} dot {tld()}"),
+        lambda: (4, f'"{mix(16, 44)}"'), lambda: (4, f'"{mix(16, 44)}"'), lambda: (4, mix(24, 44)),
         lambda: (3, f"+1 ({d(3)}) {d(3)}-{d(4)}"), lambda: (3, f"+{r.randint(20, 99)} {d(2)} {d(4)} {d(4)}"), lambda: (3, f"({d(3)}) {d(3)}-{d(4)}"), lambda: (3, f"({d(3)}){d(3)}-{d(4)}"), lambda: (3, f"+{d(11)}"),
     ]
     other = [
         lambda: f"{r.randint(1900, 2030)}", lambda: f"{r.randint(1900, 2030)}-{d(2)}-{d(2)}", lambda: f"{d(2)}:{d(2)}", lambda: f"${d(2)}.{d(2)}",
         lambda: f"{d(1)}.{d(1)}", lambda: f"{d(1)}.{d(2)}.{d(1)}", lambda: f"#{d(5)}", lambda: d(r.randint(1, 9)), lambda: f"{d(1)}.", lambda: f"{d(2)}%", lambda: f"({d(1)})", lambda: f"{d(1)})", lambda: f"[{d(2)}]",
-        lambda: f"{d(2)}-{d(2)}", lambda: f'"{hashlib.md5(d(6).encode()).hexdigest()}"', lambda: f"@{word()}", lambda: f"{d(3)}-{d(4)}", lambda: f"{d(3)}-{d(2)}-{d(4)}", lambda: f"{d(3)},{d(3)}", lambda: f"{d(4)} {d(4)}", lambda: f"{d(3)} {d(3)} {d(4)}", lambda: f"{word()}{d(2)}", lambda: d(12), lambda: d(10),
+        lambda: f"{d(2)}-{d(2)}", lambda: f"{word()} at {word()}", lambda: f"the dot {word()} at {word()}", lambda: f"{word()} dot {word()}", lambda: f'"{word()}{d(3)}"', lambda: f"https://{word()}.org/{word()}{d(4)}", lambda: f"{word()}-{d(4)}-{word()}", lambda: f"@{word()}", lambda: f"{d(3)}-{d(4)}", lambda: f"{d(3)}-{d(2)}-{d(4)}", lambda: f"{d(3)},{d(3)}", lambda: f"{d(4)} {d(4)}", lambda: f"{d(3)} {d(3)} {d(4)}", lambda: f"{word()}{d(2)}", lambda: d(12), lambda: d(10),
     ]
     table = []
     for k in range(n):
@@ -156,7 +195,10 @@ def labelled_table(n: int = 400, seed: int = 5) -> list[tuple[str, list[tuple[in
             text += " ".join(word() for _ in range(r.randint(1, 4))) + " "
             if k % 2:
                 kind, s = r.choice(wanted)()
-                spans.append((len(text), len(text) + len(s), kind))
+                if kind == 4 and (r.random() < 0.7 or '"' not in s):
+                    text += r.choice(hold)
+                quoted = s[0] in QUOTES
+                spans.append((len(text) + quoted, len(text) + len(s) - quoted, kind))
             else:
                 s = r.choice(other)()
             text += s + r.choice(("", "", ".", ",", "%%%", "***", "!!")) + r.choice((" ", "\n", " "))
@@ -253,11 +295,14 @@ def train(table, rounds: int = 120, rate: float = 0.15, decay: float = 0.002) ->
 
 
 EDGE = re.compile(r"^[^0-9A-Za-z+(@]+|[^0-9A-Za-z)]+$")
+AT, DOT = re.compile(r"\s*[(\[{<]at[)\]}>]\s*|\s+at\s+", re.I), re.compile(r"\s*[(\[{<]dot[)\]}>]\s*|\s+dot\s+", re.I)
+#: What a span must have, whatever the CRF says: an @ with a dot behind it, also spelled out; four parts; a valid number; enough digits; digits and letters.
 FORMS = {
-    0: lambda s: bool(re.fullmatch(r"[^\s@]+@[^\s@]+\.[^\s@.]+", s)),
+    0: lambda s: bool(re.fullmatch(r"[^\s@]+@[^\s@]+\.[^\s@.]+", DOT.sub(".", AT.sub("@", s)))),
     1: lambda s: bool(IP.fullmatch(s)) and valid_ip(s),
     2: lambda s: bool(re.fullmatch(r"[0-9][0-9 .-]*[0-9]", s)) and valid_card(s),
     3: lambda s: bool(re.fullmatch(r"\+?[0-9(][0-9 ().-]*[0-9]", s)) and 10 <= len(digits_of(s)) <= 15,
+    4: lambda s: bool(re.fullmatch(r"[0-9A-Za-z_-]{16,}", s)) and len(digits_of(s)) >= 3 and any(c.isalpha() for c in s),
 }
 
 
@@ -281,6 +326,8 @@ def crf_spans(texts: list[str], crf: Crf) -> list[list[tuple[int, int, int]]]:
                 t += 1
             start, last = tokens[i + first][1], tokens[i + t - 1]
             s = texts[k][start : last[1] + len(last[0])]
+            s = s.rpartition("=")[2] if kind == 4 else s  # name=value in one token
+            start = last[1] + len(last[0]) - len(s) if kind == 4 else start
             trimmed = EDGE.sub("", s)
             start += s.find(trimmed)
             if trimmed and FORMS[kind](trimmed):
@@ -291,7 +338,7 @@ def crf_spans(texts: list[str], crf: Crf) -> list[list[tuple[int, int, int]]]:
 def find_spans(texts: list[str], crf: Crf):
     """By text: the base spans, and all spans: those plus the CRF's that touch none of them."""
     base = [[] if not t or not TRIGGER.search(t) else base_spans(t) for t in texts]
-    busy = [k for k, t in enumerate(texts) if t and TRIGGER.search(t)]
+    busy = [k for k, t in enumerate(texts) if t and (TRIGGER.search(t) or SPELLED.search(t))]
     every = [list(b) for b in base]
     for k, more in zip(busy, crf_spans([texts[k] for k in busy], crf), strict=True):
         ends = sorted((s, e) for s, _, e in base[k])
@@ -310,13 +357,14 @@ def joined(spans) -> str:
 
 
 def find_personal_data(docs: DataFrame, table=None, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans of every whole text.
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans of every whole text.
 
     The CRF is trained here from a small labelled table (`table`: texts with
     (start, end, kind) spans; by default labelled_table()) and broadcast; its
     size is fixed. One pass, no shuffle. The counts and the digest are those
     of the base patterns; spans has these and what the CRF adds where no base
-    span is. Null text counts as empty: no spans, the digest of nothing. Null
+    span is: numbers and addresses in other forms, and secrets (keys, tokens);
+    n_spans counts them all. Null text counts as empty: no spans, the digest of nothing. Null
     ids, repeated rows and further columns pass or are ignored row by row.
     Time is linear in a text's length.
     """
@@ -328,18 +376,19 @@ def find_personal_data(docs: DataFrame, table=None, text: str = "text", key: str
 
         def step(batch):
             base, every = find_spans([t or "" for t in batch.column(1).to_pylist()], model)
-            counts = [[sum(k == kind for _, k, _ in b) for b in base] for kind in range(len(KINDS))]
+            counts = [[sum(k == kind for _, k, _ in b) for b in base] for kind in range(len(BASE))]
             return {
                 key: batch.column(0),
-                **{f"n_{name}": c for name, c in zip(KINDS, counts, strict=True)},
+                **{f"n_{name}": c for name, c in zip(BASE, counts, strict=True)},
                 "base_sha256": [hashlib.sha256(joined(b).encode()).hexdigest() for b in base],
                 "spans": [joined(e) for e in every],
+                "n_spans": [len(e) for e in every],
             }
 
         return step
 
-    schema = f"{key} {docs.schema[key].dataType.simpleString()}, " + "".join(f"n_{k} long, " for k in KINDS)
-    return map_arrow(docs.select(key, text), make, schema + "base_sha256 string, spans string")
+    schema = f"{key} {docs.schema[key].dataType.simpleString()}, " + "".join(f"n_{k} long, " for k in BASE)
+    return map_arrow(docs.select(key, text), make, schema + "base_sha256 string, spans string, n_spans long")
 
 
 def redact(docs: DataFrame, table=None) -> DataFrame:

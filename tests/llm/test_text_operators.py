@@ -155,3 +155,33 @@ def test_redacting_keeps_rows_and_columns(spark):
     got = {r.doc_id: r for r in pii.redact(d).collect()}
     assert got[1].text == "to [EMAIL] now" and got[1].n_chars == 14 and got[2].text is None and got[3].text == "plain"
     assert pii.redact(d).columns == d.columns
+
+
+def test_what_the_crf_adds_to_the_base_patterns():
+    """Written by hand, apart from the generated table that the CRF learns from."""
+    crf = pii.train(pii.labelled_table())
+    wanted = [
+        ("call 415-555-2671 now", "phone", "415-555-2671"), ("ring (415) 555-2671 today", "phone", "(415) 555-2671"), ("office: 212.555.0187, ask for Ann", "phone", "212.555.0187"),
+        ("pay 4111.1111.1111.1111 ok", "card", "4111.1111.1111.1111"), ("mail jane.doe (at) mail.com today", "email", "jane.doe (at) mail.com"),
+        ("write john dot smith at example dot com please", "email", "john dot smith at example dot com"), ("reach me: sue [at] uni [dot] edu", "email", "sue [at] uni [dot] edu"),
+        ('the token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" is live', "secret", "04dbebab91ab85687d33eeaaf9ac699e1188f962"),
+    ]
+    texts = [t for t, _, _ in wanted]
+    base, every = pii.find_spans(texts, crf)
+    assert not any(base)
+    got = [[(pii.KINDS[k], t[s:e]) for s, k, e in spans] for t, spans in zip(texts, every, strict=True)]
+    assert got == [[(kind, s)] for _, kind, s in wanted]
+    clean = [
+        "in 1999-2001 and on 2020-01-02 at 10:30", "the dot on the i at home is small", "see https://a.b.org/x12345 and chapter 4.2.1", "it cost $12,345.67 or 15 % less", "order 12345678, lot 99-1234",
+        "scored 3-2 at 90 minutes, 10-4 overall", "version 10.15.7 of build 20231105", "room 415, floor 5, block 2671", "a dot com bubble at the end", "ISBN 978-3-16-148410-0 in print",
+    ]
+    assert pii.find_spans(clean, crf)[1] == [[]] * len(clean)
+
+
+def test_planted_and_clean_documents(spark, sf):
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    got = pii.find_personal_data(rows).join(rows, "doc_id").collect()
+    planted = [r for r in got if r.n_email + r.n_ip + r.n_card + r.n_phone or 'token = "' in (r.text or "")]
+    clean = [r for r in got if r not in planted]
+    assert all(r.n_spans for r in planted) and sum(not r.n_spans for r in clean) >= 0.98 * len(clean)
+    assert all(r.n_spans == len([x for x in r.spans.split(",") if x]) for r in got)
