@@ -63,16 +63,17 @@ def top_k(
     k: int = 5,
     vector: str = "embedding",
     key: str = "vec_id",
-    query_block: int = 8192,
+    query_block: int = 65_536,
     shard_rows: int = 4096,
 ) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k best other rows, ties to the smaller vec_id.
 
-    Both sides are quantised first. Queries go round in blocks of at most
-    query_block (the bound on what is broadcast); for each block the candidates
-    are read once, every task searches its shards, carrying each query's k-th
-    best score from shard to shard, and an aggregation by query merges what
-    the tasks found. Only vectors of the query's length are compared. Null
+    Both sides are quantised first. Queries go round in blocks of about
+    query_block (the bound on what is broadcast: 33 MB at 64 components); for
+    each block the candidates are read once, every task searches its shards,
+    carrying each query's k-th best score from shard to shard, and a window by
+    query merges what the tasks found. With several blocks each one's result
+    is written before the next begins, so plans stay as small as one block's. Only vectors of the query's length are compared. Null
     ids, null vectors and those with null or non-finite components take no
     part; a repeated vec_id other than the query's own is as many candidates.
     No queries or no candidates: no rows.
@@ -80,20 +81,18 @@ def top_k(
     spark = vectors.sparkSession
     base = quantised(vectors, key, vector)
     asked = settle(quantised(queries, key, vector))
-    total = asked.count()
-    blocks = max(1, -(-total // query_block))
+    blocks = max(1, -(-asked.count() // query_block))
     found = None
     for b in range(blocks):
         part = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b)
-        rows = part.distinct().collect()
-        by_length: dict[int, list] = {}
-        for r in rows:
-            if r.q:
-                by_length.setdefault(len(r.q), []).append(r)
-        held = {
-            n: (np.array([r.vec_id for r in rs]), np.array([r.q for r in rs], dtype="float64"))
-            for n, rs in by_length.items()
-        }
+        got = part.distinct().toArrow()  # a block
+        ids, values = got["vec_id"].to_numpy(), got["q"].combine_chunks()
+        sizes = np.diff(values.offsets.to_numpy())
+        flat, starts = values.flatten().to_numpy(zero_copy_only=False), values.offsets.to_numpy()[:-1] - values.offsets[0].as_py()
+        held = {}
+        for n in np.unique(sizes[sizes > 0]).tolist():
+            pick = np.flatnonzero(sizes == n)
+            held[n] = ids[pick], flat[starts[pick][:, None] + np.arange(n)].astype("float64")
         shipped = broadcast_value(vectors, held)
 
         def make(shipped=shipped):
@@ -127,10 +126,15 @@ def top_k(
             return step
 
         one = map_arrow(base, make, "query_id long, vec_id long, score long", shard_rows)
-        found = one if found is None else found.unionAll(one)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return (
-        found.withColumn("rank", F.row_number().over(order).cast("int"))
-        .where(F.col("rank") <= k)
-        .select("query_id", "rank", "vec_id", "score")
-    )
+        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        best = (
+            one.withColumn("rank", F.row_number().over(order).cast("int"))
+            .where(F.col("rank") <= k)
+            .select("query_id", "rank", "vec_id", "score")
+        )
+        if blocks == 1:
+            return best
+        best = settle(best)
+        shipped.unpersist()
+        found = best if found is None else found.unionAll(best)
+    return found

@@ -58,7 +58,7 @@ class MultiIndex:
         (i + 1)(j + 1) - 1 others, so only those with (i + 1)(j + 1) <= n matter.
         """
         o1, o2 = np.argsort(d1, 1, kind="stable"), np.argsort(d2, 1, kind="stable")
-        places = [(i, j) for i in range(o1.shape[1]) for j in range(o2.shape[1]) if (i + 1) * (j + 1) <= n]
+        places = [(i, j) for i in range(min(n, o1.shape[1])) for j in range(min(n // (i + 1), o2.shape[1]))]
         i, j = np.array(places).T
         c1, c2 = o1[:, i], o2[:, j]
         rows = np.arange(len(d1))[:, None]
@@ -68,9 +68,13 @@ class MultiIndex:
 
 
 def build_index(classes: DataFrame, per_cell: int, sample: int, seed: int) -> MultiIndex:
-    """Codebooks from at most about `sample` vectors, with cells for about per_cell vectors of a label."""
+    """Codebooks with cells for about per_cell vectors of a label, up to 2048 words each.
+
+    They are fitted on at most about `sample` vectors, 48 for each word if that is more.
+    """
     n, labels = classes.agg(F.count("*"), F.count_distinct("label")).first()
-    k = int(np.clip(np.sqrt(n / max(1, labels) / per_cell), 2, 256))
+    k = int(np.clip(np.sqrt(n / max(1, labels) / per_cell), 2, 2048))
+    sample = max(sample, 48 * k)
     picked = classes.where(F.pmod(F.xxhash64(F.lit(seed), "rep"), F.lit(n)) < sample).select("vec").collect()
     v = unit(np.array([r["vec"] for r in picked], dtype="float64"))
     half = v.shape[1] // 2
@@ -134,6 +138,19 @@ def cells_for_recall(classes: DataFrame, index: MultiIndex, least: float, recall
     return int(max(need, made_up[min(len(made_up) - 1, int(recall * len(made_up)))]))
 
 
+def packed(v: np.ndarray) -> list[bytes]:
+    """Each row as single floats if that loses nothing, else as doubles."""
+    with np.errstate(over="ignore"):
+        single = v.astype("<f4")
+    exact = (single == v).all(1).tolist()
+    return [(single[k] if fine else v[k]).tobytes() for k, fine in enumerate(exact)]
+
+
+def unpacked(rows, dims: int) -> np.ndarray:
+    kind = lambda x: "<f4" if len(x) == 4 * dims else "<f8"
+    return np.stack([np.frombuffer(x, dtype=kind(x)).astype("float64") for x in rows])
+
+
 def compare(least: float, index: MultiIndex):
     """One cell (and slice of its members): who of its visitors links with whom of its members."""
 
@@ -141,7 +158,7 @@ def compare(least: float, index: MultiIndex):
         members, visitors = pdf[pdf.role == 0], pdf[pdf.role == 1]
         out = {"node": [], "links": [], "to": []}
         if len(members) and len(visitors):
-            m, v = (unit(np.stack([np.frombuffer(x, dtype="<f8") for x in part.vec])) for part in (members, visitors))
+            m, v = (unit(unpacked(part.vec, index.first.shape[1] + index.second.shape[1])) for part in (members, visitors))
             m_rep, v_rep = members.rep.to_numpy(), visitors.rep.to_numpy()
             m_n, v_n = members.n.to_numpy(), visitors.n.to_numpy()
             m1, m2 = index.distances(m)
@@ -269,28 +286,15 @@ def told_by_cells(classes, least, recall, per_cell, sample, queries, slice_rows,
             v = rows_of(batch.column(3))
             d1, d2 = index.distances(unit(v))
             cells, sums = index.nearest(d1, d2, visits)
-            own, t = cells[:, 0], cells.shape[1]
-            vec = [x.tobytes() for x in v]
-            again = np.repeat(np.arange(len(rep)), t)
-            both = np.concatenate((np.arange(len(rep)), again))
-            return {
-                "rep": rep[both],
-                "n": n[both],
-                "label": label[both],
-                "cell": np.concatenate((own, cells.ravel())),
-                "role": np.concatenate((np.zeros(len(rep), "int32"), np.ones(len(again), "int32"))),
-                "own": own[both],
-                "edge": sums[both, -1],
-                "final": cells[both, -1],
-                "vec": [vec[i] for i in both],
-            }
+            return {"rep": rep, "n": n, "label": label, "cells": list(cells), "edge": sums[:, -1], "vec": packed(v)}
 
         return step
 
-    schema = "rep long, n long, label long, cell long, role int, own long, edge double, final long, vec binary"
-    met = map_arrow(classes.select("rep", "n", "label", "vec"), make, schema)
+    coded = settle(map_arrow(classes.select("rep", "n", "label", "vec"), make, "rep long, n long, label long, cells array<long>, edge double, vec binary"))
+    goes = F.expr("explode(concat(array(named_struct('cell', cells[0], 'role', 0)), transform(cells, c -> named_struct('cell', c, 'role', 1)))) as goes")
     role = F.col("role")
-    crowded = met.groupBy("label", "cell").agg(F.sum(1 - role).alias("members"), F.sum(role).alias("visitors"))
+    met = coded.select("rep", "n", "label", F.expr("cells[0]").alias("own"), "edge", F.element_at("cells", -1).alias("final"), "vec", goes).select("*", "goes.*").drop("goes")
+    crowded = coded.select("label", goes).groupBy("label", "goes.cell").agg(F.sum(1 - F.col("goes.role")).alias("members"), F.sum("goes.role").alias("visitors"))
     slices = lambda c, rows: F.greatest(F.lit(1), F.ceil(F.col(c) / rows)).cast("int").alias(c)
     crowded = settle(
         crowded.where((F.col("members") > slice_rows) | (F.col("visitors") > 4 * slice_rows)).select(

@@ -120,6 +120,29 @@ def test_near_duplicate_vectors(spark):
     assert neardup.near_duplicates(vectors(spark, [])).count() == 0
 
 
+def test_recall_at_the_default_setting(spark):
+    rng = np.random.default_rng(11)
+    rows = []
+    for k in range(1500):
+        v = rng.standard_normal(32)
+        rows.append((10 * k, v, k % 3))
+        for j in range(1, 1 + k % 3):  # partners at and above the least cosine
+            aside = rng.standard_normal(32)
+            aside -= aside @ v / (v @ v) * v
+            cosine = rng.uniform(0.931, 0.98)
+            aside *= np.sqrt(1 - cosine**2) / cosine * np.linalg.norm(v) / np.linalg.norm(aside)
+            rows.append((10 * k + j, v + aside, k % 3))
+    d = spark.createDataFrame([(i, [float(x) for x in v], lab) for i, v, lab in rows], "vec_id long, embedding array<float>, label int")
+    got = {r.vec_id: r.n_links for r in neardup.near_duplicates(d).collect()}
+    v = np.array([np.asarray(v, "float32") for _, v, _ in rows], "float64")
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    labels = np.array([lab for _, _, lab in rows])
+    near = (v @ v.T >= 0.93) & (labels[:, None] == labels)
+    want = dict(zip((i for i, _, _ in rows), near.sum(1) - 1, strict=True))
+    assert all(got[i] <= n for i, n in want.items())
+    assert sum(want.values()) > 2000 and sum(got.values()) >= 0.9 * sum(want.values())
+
+
 def test_traversal_visits_nearest_cells_first():
     rng = np.random.default_rng(2)
     index = neardup.MultiIndex(rng.standard_normal((7, 4)), rng.standard_normal((5, 4)))
