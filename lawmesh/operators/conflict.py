@@ -11,20 +11,25 @@ from lawmesh.functions.text import (
 
 
 def runtime_conflicts(
-    contexts: DataFrame, pairs=CONTRADICTIONS, severities=SEVERITIES, cross_source_only: bool = False, word_boundary: bool = False, shared: int = 3
-) -> DataFrame:
+    contexts: DataFrame, pairs=CONTRADICTIONS, severities=SEVERITIES, cross_source_only: bool = False, word_boundary: bool = False, shared: int = 3,
+    key: str | None = None, most: int = 1000, provider=None,
+) -> DataFrame:
     """source1, source2, text1, text2, reason, confidence of retrieved contexts that conflict.
 
-    Contexts are those of one question, so few; columns text, source_doc,
-    category, mandatory, severity, ord. The checks come in order, and the
+    Contexts are those of one question, so few: more than `most` are refused,
+    as each is held against each. With `key` they are those of many questions,
+    each of which has few, joined on it; key, ord1 and ord2 come first then.
+    Columns text, source_doc, category, mandatory, severity, ord. The checks come in order, and the
     first that fits gives the reason: mandatory against optional in one
     category, contradicting terms, opposed numbers, severities two or more apart.
     """
+    if key is None and contexts.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} contexts: name the key that parts them")
     c = contexts.select(
-        F.coalesce(F.lower("text"), F.lit("")).alias("t"), "text", F.coalesce("source_doc", F.lit("")).alias("s"), "category", "mandatory", "severity", "ord"
+        *([key] if key else []), F.coalesce(F.lower("text"), F.lit("")).alias("t"), "text", F.coalesce("source_doc", F.lit("")).alias("s"), "category", "mandatory", "severity", "ord"
     ).withColumns({"w": significant_words("t"), "x": numeric_constraints("t"), "r": severity_rank("severity", severities)})
-    a, b = (c.select(*(F.col(x).alias(f"{x}{i}") for x in c.columns)) for i in (1, 2))
-    met = a.join(b, F.col("ord1") < F.col("ord2")).where(shared_words("w1", "w2") >= shared)
+    a, b = (c.select(*(F.col(x) if x == key else F.col(x).alias(f"{x}{i}") for x in c.columns)) for i in (1, 2))
+    met = (a.join(b, key).where("ord1 < ord2") if key else a.join(b, F.col("ord1") < F.col("ord2"))).where(shared_words("w1", "w2") >= shared)
     if cross_source_only:
         met = met.where("s1 <> s2")
     same = (F.col("category1") != "") & (F.col("category1") == F.col("category2")) & (F.col("s1") != F.col("s2"))
@@ -52,11 +57,13 @@ def runtime_conflicts(
             told(text(F.lit("Different severity levels for "), c1, F.lit(": "), F.col("severity1"), F.lit(" ("), s1, F.lit(") vs "), F.col("severity2"), F.lit(" ("), s2, F.lit(")")), 0.6),
         ),
     )
+    if provider is not None:  # a model's opinion on what the rules pass over: null or struct(reason, confidence)
+        found = F.coalesce(found, provider(F.col("text1"), F.col("text2")))
+    out = met.withColumn("found", found).where("found is not null")
     return (
-        met.withColumn("found", found)
-        .where("found is not null")
-        .orderBy("ord1", "ord2")
+        (out if key else out.orderBy("ord1", "ord2"))
         .select(
+            *([key, "ord1", "ord2"] if key else []),
             F.col("s1").alias("source1"),
             F.col("s2").alias("source2"),
             F.substring("text1", 1, 200).alias("text1"),

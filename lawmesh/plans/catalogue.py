@@ -252,27 +252,71 @@ def sentence_split(spark, sf):
     return s.select("doc_id", F.size("s").alias("sentences"), F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a + F.length(x)).alias("characters"))
 
 
-@query()
+STRIPPED = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
+TOKENS = r"CAST(len(list_filter(string_split_regex({}, '\s+'), lambda w: w <> '')) AS DOUBLE) * 1.3"
+# the greedy packing as a fold: a sentence begins a chunk where the last one is full, with its last two pieces if it has more
+CHUNKS = f"""WITH s AS (SELECT doc_id, source, coalesce(text, '') AS t, list_transform({SENTENCES.replace("(text,", "(coalesce(text, ''),")}, lambda x: {{'done': CAST([] AS VARCHAR[]), 'now': [x], 'n': CAST(length(x) AS BIGINT)}}) AS s FROM documents),
+p AS (SELECT doc_id, source, t, CASE WHEN len(s) > 0 THEN list_reduce(s, lambda a, b: CASE WHEN a.n + length(b.now[1]) > 1000 THEN
+    CASE WHEN len(a.now) > 2 THEN {{'done': list_append(a.done, array_to_string(a.now, ' ')), 'now': [array_to_string(a.now[-2:], ' '), b.now[1]], 'n': CAST(length(array_to_string(a.now[-2:], ' ')) + length(b.now[1]) AS BIGINT)}}
+    ELSE {{'done': list_append(a.done, array_to_string(a.now, ' ')), 'now': b.now, 'n': b.n}} END
+  ELSE {{'done': a.done, 'now': list_append(a.now, b.now[1]), 'n': a.n + length(b.now[1])}} END) END AS r FROM s),
+c AS (SELECT doc_id, source, CASE WHEN length({STRIPPED.format("t")}) < 100 THEN [t] WHEN r IS NULL THEN [] ELSE list_append(r.done, array_to_string(r.now, ' ')) END AS c FROM p),
+chunks AS (SELECT doc_id, source, unnest(c) AS raw, generate_subscripts(c, 1) - 1 AS k FROM c)
+"""
+
+
+@query(
+    CHUNKS + f"""SELECT doc_id || '_section_1_' || k AS chunk_id, CAST(doc_id AS VARCHAR) AS doc_id, source, 'section_1' AS section_id, 'Full Document' AS section_heading, {STRIPPED.format("raw")} AS text,
+  CAST(length(raw) AS INTEGER) AS char_count, {TOKENS.format("raw")} AS token_estimate, CAST(k AS INTEGER) AS chunk_index FROM chunks"""
+)
 def chunks(spark, sf):
+    return ingest.chunks(_whole(spark, sf))
+
+
+def _whole(spark, sf):
     docs = table(spark, sf, "documents")
-    parts = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "source", F.lit("section_1").alias("section_id"), F.lit("Full Document").alias("heading"), F.col("text").alias("content"))
-    return ingest.chunks(parts)
+    return docs.select(F.col("doc_id").cast("string").alias("doc_id"), "source", F.lit("section_1").alias("section_id"), F.lit("Full Document").alias("heading"), F.col("text").alias("content"))
 
 
-@query()
+def _heading(k: int, group: int) -> str:
+    return f"regexp_extract(line, '{ingest.HEADINGS[k]}', {group})"
+
+
+CASES = [f"regexp_matches(line, '{p}')" for p in ingest.HEADINGS]
+CASES[4] += " AND length(line) < 100"
+
+
+def _case(*values: str) -> str:
+    return "CASE " + " ".join(f"WHEN {c} THEN {v}" for c, v in zip(CASES, values, strict=True)) + " END"
+
+
+@query(
+    f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents),
+s AS (SELECT doc_id, n, {STRIPPED.format("raw")} AS line FROM l WHERE {STRIPPED.format("raw")} <> ''),
+h AS (SELECT *, {_case(*["true"] * 5)} AS is_heading, {_case(*(f"lower({_heading(k, 1)}) || '_' || {_heading(k, 2)}" for k in range(3)), f"'section_' || {_heading(3, 1)}", "NULL")} AS section_id,
+  {_case(*(f"{_heading(k, 1)} || ' ' || {_heading(k, 2)} || ': ' || {_heading(k, 3)}" for k in range(3)), f"{_heading(3, 1)} || ' ' || {_heading(3, 2)}", "line")} AS heading,
+  {_case(*(f"len(string_split({_heading(k, 2)}, '.'))" for k in range(3)), f"len(string_split({_heading(3, 1)}, '.'))", "1")} AS level FROM s),
+o AS (SELECT *, CAST(sum(CASE WHEN is_heading THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY n) AS BIGINT) AS ord FROM h),
+f AS (SELECT doc_id, ord, coalesce(max(section_id), 'section_' || ord) AS section_id, max(heading) AS heading, coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (WHERE is_heading IS NULL), '') AS content, CAST(max(level) AS INTEGER) AS level FROM o WHERE ord > 0 GROUP BY doc_id, ord)
+SELECT * FROM f UNION ALL SELECT doc_id, 1, 'section_1', 'Full Document', text, 1 FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM f)"""
+)
 def sections(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", F.col("text").alias("full_text"))
     return ingest.sections(docs)
 
 
-WORDS = r"CAST(len(list_filter(string_split_regex(text, '\s+'), lambda w: w <> '')) AS DOUBLE) * 1.3"
+def _rounded(df, *columns):
+    return df.withColumns({c: F.round(c, 6) for c in columns})
 
 
-@query(f"SELECT source, count(*) AS documents, round(avg(length(text)), 6) AS mean_size, round(avg({WORDS}), 6) AS mean_tokens FROM documents GROUP BY source")
+@query(CHUNKS + f"SELECT count(*) AS total_chunks, round(avg(length(raw)), 6) AS avg_chunk_size, round(avg({TOKENS.format('raw')}), 6) AS avg_tokens FROM chunks")
 def chunk_stats(spark, sf):
-    return table(spark, sf, "documents").groupBy("source").agg(
-        F.count("*").alias("documents"), F.round(F.avg(F.length("text")), 6).alias("mean_size"), F.round(F.avg(fn.token_estimate("text")), 6).alias("mean_tokens")
-    )
+    return _rounded(ingest.chunk_stats(ingest.chunks(_whole(spark, sf))), "avg_chunk_size", "avg_tokens")
+
+
+@query(CHUNKS + "SELECT source, count(*) AS chunks FROM chunks GROUP BY source")
+def chunks_by_source(spark, sf):
+    return ingest.chunks_by_source(ingest.chunks(_whole(spark, sf)))
 
 
 # ------------------------------------------------------------ edges by rules
@@ -293,10 +337,11 @@ def defines_edges(spark, sf):
     return build.containing(terms, table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("id"), "text"))
 
 
-@query("SELECT DISTINCT p_name AS term_id, CAST(item_id AS VARCHAR) AS text_id FROM (SELECT DISTINCT p_name, substr(p_name, 1, 2) AS t FROM part) JOIN benchmark ON contains(lower(text), lower(t))")
+@query("SELECT DISTINCT a.p_name AS term_id, CAST(b.p_partkey AS VARCHAR) AS text_id FROM part a JOIN part b ON contains(lower(b.p_brand || ' ' || b.p_name || ' ' || b.p_type), lower(a.p_name))")
 def applies_to_edges(spark, sf):
-    terms = table(spark, sf, "part").select(F.col("p_name").alias("id"), F.substring("p_name", 1, 2).alias("term")).distinct()
-    return build.containing(terms, table(spark, sf, "benchmark").select(F.col("item_id").cast("string").alias("id"), "text"))
+    part = table(spark, sf, "part")
+    texts = part.select(F.col("p_partkey").cast("string").alias("id"), F.concat_ws(" ", "p_brand", "p_name", "p_type").alias("text"))
+    return build.containing(part.select(F.col("p_name").alias("id"), F.col("p_name").alias("term")).distinct(), texts)
 
 
 @query(
@@ -309,18 +354,20 @@ def requires_edges(spark, sf):
     return build.containing(parts, docs).where("text_id <> term_id").select(F.col("text_id").alias("src"), F.col("term_id").alias("dst"))
 
 
-LEXICON = ("license", "reserved", "token", "permission")
+LEXICON = ("tiontion", "ndthtion", "oningnd", "thhetion")
+CANONICAL = f"SELECT min_by({NODE_ID}, doc_id) AS id, {STRIPPED.format('lower(text)')} AS t FROM documents GROUP BY 2"
 
 
 @query(
-    "SELECT DISTINCT c.conv_id AS src, d.doc_id AS dst FROM (SELECT unnest(['license', 'reserved', 'token', 'permission']) AS w) l "
-    "JOIN conversations c ON contains(lower(c.text), w) JOIN documents d ON contains(lower(d.text), w)"
+    f"""SELECT DISTINCT c.id AS src, d.id AS dst FROM (SELECT unnest({list(LEXICON)}) AS w) l
+JOIN (SELECT 'exemption_' || role || '_' || substr(md5({STRIPPED.format("lower(text)")}), 1, 8) AS id, lower(text) AS t FROM conversations) c ON contains(c.t, w)
+JOIN ({CANONICAL}) d ON contains(d.t, w)"""
 )
 def exempt_edges(spark, sf):
-    having = lambda name, key: table(spark, sf, name).select(
-        F.col(key), F.explode(F.array(*(F.when(fn.contains("text", w), w) for w in LEXICON))).alias("word")
-    ).where("word is not null").distinct()
-    return having("conversations", "conv_id").join(having("documents", "doc_id"), "word").select(F.col("conv_id").alias("src"), F.col("doc_id").alias("dst")).distinct()
+    turns, docs = table(spark, sf, "conversations"), table(spark, sf, "documents")
+    e = tables.entity_rows(turns, "Exemption", F.col("conv_id") * 1000 + F.col("turn"), F.col("text"), F.col("role"))
+    e = e.unionByName(tables.entity_rows(docs, "Requirement", F.col("doc_id"), F.col("text"), F.col("source")))
+    return build.exempt_from(e, LEXICON).select("src", "dst")
 
 
 @query(
@@ -334,7 +381,46 @@ def entity_conflicts(spark, sf):
     return conflict.entity_conflicts(tables.requirements(spark, sf))
 
 
-@query()
+PAIRS = ", ".join(f"({i}, '{p}', '{n}')" for i, (p, n) in enumerate(fn.CONTRADICTIONS))
+
+
+@query(
+    rf"""WITH c AS (SELECT conv_id, turn AS ord, role AS s, lower(text || CASE WHEN conv_id % 4 = 1 THEN if(role = 'user', ' must', ' may') WHEN conv_id % 4 = 2 THEN if(role = 'user', ' < 5', ' > 10') ELSE '' END) AS t,
+  conv_id % 4 IN (0, 3) AS c, conv_id % 4 <> 0 OR role = 'user' AS m, CASE WHEN conv_id % 4 = 3 THEN if(role = 'user', 4, 1) END AS r FROM conversations),
+w AS (SELECT *, list_distinct(list_filter(string_split_regex(t, '\s+'), lambda w: length(w) > 4 AND regexp_full_match(w, '[\p{{L}}\p{{N}}]+'))) AS w FROM c), p AS (SELECT * FROM (VALUES {PAIRS}) v(k, a, b)),
+m AS (SELECT a.conv_id, a.ord AS ord1, b.ord AS ord2, a.s AS source1, b.s AS source2, a.c AND b.c AND a.s <> b.s AS same, a.m <> b.m AS differ, a.r - b.r AS far,
+  (SELECT min(k) FROM p WHERE contains(a.t, p.a) AND contains(b.t, p.b) OR contains(a.t, p.b) AND contains(b.t, p.a)) AS hit,
+  contains(a.t, ' < 5') AND contains(b.t, ' > 10') OR contains(a.t, ' > 10') AND contains(b.t, ' < 5') AS num
+  FROM w a JOIN w b ON a.conv_id = b.conv_id AND a.ord < b.ord WHERE len(list_intersect(a.w, b.w)) >= 3),
+f AS (SELECT *, CASE WHEN same AND differ THEN 0.75 WHEN hit IS NOT NULL THEN 0.85 WHEN num THEN 0.8 WHEN same AND abs(far) >= 2 THEN 0.6 END AS confidence FROM m)
+SELECT conv_id, ord1, ord2, source1, source2, CAST(confidence AS DOUBLE) AS confidence FROM f WHERE confidence IS NOT NULL"""
+)
+def runtime_conflicts(spark, sf):
+    """Turns as contexts of their conversation; by its number they differ in being mandatory, in terms, in numbers or in severity."""
+    kind, user = F.col("conv_id") % 4, F.col("role") == "user"
+    told = F.when(kind == 1, F.when(user, " must").otherwise(" may")).when(kind == 2, F.when(user, " < 5").otherwise(" > 10")).otherwise("")
+    c = table(spark, sf, "conversations").select(
+        "conv_id", F.col("turn").alias("ord"), F.concat("text", told).alias("text"), F.col("role").alias("source_doc"), F.when(kind.isin(0, 3), "c").alias("category"),
+        ((kind != 0) | user).alias("mandatory"), F.when(kind == 3, F.when(user, "Critical").otherwise("Low")).alias("severity"),
+    )
+    return conflict.runtime_conflicts(c, key="conv_id").select("conv_id", "ord1", "ord2", "source1", "source2", "confidence")
+
+
+BUILT = f"""WITH r AS ({CANONICAL}), x AS (SELECT r.id, r.t FROM r), d AS (SELECT DISTINCT lower(array_to_string(string_split(text, ' ')[1:4], ' ')) AS t FROM benchmark),
+s AS (SELECT source AS s FROM documents UNION SELECT 'benchmark' UNION SELECT p_brand FROM part),
+q AS (SELECT DISTINCT a.id AS src, b.id AS dst FROM (SELECT DISTINCT x.id, lower(d.text) AS t FROM x JOIN documents d ON {STRIPPED.format('lower(d.text)')} = x.t) a
+  JOIN (SELECT DISTINCT x.id, lower(substr(d.text, 1, 100)) AS t FROM x JOIN documents d ON {STRIPPED.format('lower(d.text)')} = x.t WHERE length(substr(d.text, 1, 100)) > 30) b ON contains(a.t, b.t) AND a.id <> b.id),
+"""
+
+
+@query(
+    BUILT + f"""o AS (SELECT d.doc_id, source, lang, quality = 1 AS m, {NODE_ID} AS id, list_distinct(list_filter(string_split_regex(lower(text), '\\s+'), lambda w: length(w) > 4)) AS w FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE quality IS NOT NULL)
+SELECT * FROM (SELECT 'Requirement' AS kind, count(*) AS count FROM x UNION ALL SELECT 'Definition', count(*) FROM (SELECT DISTINCT {STRIPPED.format("t")} FROM d) UNION ALL SELECT 'Exemption', count(DISTINCT {STRIPPED.format("lower(text)")}) FROM benchmark
+UNION ALL SELECT 'Process', count(DISTINCT lower(p_name)) FROM part UNION ALL SELECT 'Regulation', count(*) FROM s
+UNION ALL SELECT 'CONTAINS', count(*) FROM x UNION ALL SELECT 'DEFINES', count(*) FROM x JOIN d ON contains(x.t, d.t) UNION ALL SELECT 'APPLIES_TO', count(*) FROM x JOIN (SELECT DISTINCT lower(p_name) AS p FROM part) ON contains(x.t, p)
+UNION ALL SELECT 'REQUIRES', count(*) FROM q UNION ALL SELECT 'CONFLICTS_WITH', count(*) FROM (SELECT DISTINCT a.id, b.id FROM o a JOIN o b ON a.lang = b.lang AND a.doc_id < b.doc_id AND a.source <> b.source AND a.m <> b.m
+  WHERE len(list_intersect(a.w, b.w)) >= 3 AND a.id IN (SELECT id FROM x) AND b.id IN (SELECT id FROM x))) WHERE count > 0"""
+)
 def build_stats(spark, sf):
     g = build.build_graph(tables.entities(spark, sf))
     return graph.count_by_label(g).select(F.col("label").alias("kind"), "count").unionByName(graph.count_by_type(g).select(F.col("type").alias("kind"), "count"))
@@ -432,7 +518,23 @@ def html_title(spark, sf):
     return files.title(table(spark, sf, "pages")).select("page_id", "title")
 
 
-@query()
+def _without(html: str) -> str:
+    for tag in files.DROPPED:
+        html = f"regexp_replace({html}, '(?is)<{tag}[ >].*?</{tag}>', '<i>', 'g')"
+    return f"regexp_replace({html}, '(?s)<!--.*?-->', '<i>', 'g')"
+
+
+def _unescaped(text: str) -> str:
+    for name, c in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "''"), ("#x27", "''"), ("copy", "©"), ("middot", "·"), ("nbsp", " "), ("amp", "&")):
+        text = f"replace({text}, '&{name};', '{c}')"
+    return text
+
+
+@query(
+    f"""WITH b AS (SELECT page_id, html, {_without("html")} AS b FROM pages), h AS (SELECT page_id, html, regexp_extract(b, '(?is)<h1[^>]*>(.*?)</h1>', 1) AS h, regexp_extract(b, '(?is)</h1>(.*)$', 1) AS rest FROM b)
+SELECT page_id, {_unescaped("trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1))")} AS title, 'section_1' AS section_id, {_unescaped("trim(h)")} AS heading,
+  array_to_string(list_filter(list_transform(string_split_regex(rest, '<[^>]*>'), lambda x: {STRIPPED.format(_unescaped("x"))}), lambda x: x <> ''), chr(10)) AS content, CAST(1 AS INTEGER) AS level FROM h"""
+)
 def html_sections(spark, sf):
     parsed = files.parse_html(table(spark, sf, "pages"))
     return parsed.select("page_id", "title", F.explode("sections").alias("s")).select("page_id", "title", "s.section_id", "s.heading", "s.content", "s.level")
@@ -444,12 +546,16 @@ def uniqueness_check(spark, sf):
     return graph.duplicates(graph.Graph(nodes, nodes))
 
 
+# the rules written out again, not taken from the router, so that a slip there shows
 @query(
-    "SELECT query_type, top_k, count(*) AS questions FROM (SELECT query_type, CASE query_type "
-    + " ".join(f"WHEN '{k}' THEN {v[0]}" for k, v in router.ROUTES.items())
-    + " END AS top_k FROM (SELECT CASE "
-    + " ".join(f"WHEN regexp_matches(lower(text), '{p}') THEN '{k}'" for k, p in router.KINDS)
-    + " ELSE 'complex' END AS query_type FROM conversations)) GROUP BY 1, 2"
+    r"""WITH q AS (SELECT lower(text) AS t FROM conversations), k AS (SELECT CASE
+  WHEN regexp_matches(t, '(^|\W)(exempt|exception)') THEN 'exemption' WHEN regexp_matches(t, '(^|\W)(difference|compare|(versus|vs)(\W|$))') THEN 'comparative'
+  WHEN regexp_matches(t, '(^|\W)(mention|cross-reference|cite)') THEN 'cross_reference' WHEN regexp_matches(t, '(^|\W)((step|steps|how to)(\W|$)|procedure)') THEN 'procedural'
+  WHEN regexp_matches(t, '^list(\W|$)|(^|\W)list all(\W|$)') THEN 'listing' WHEN regexp_matches(t, '^(when|where)(\W|$)|(^|\W)under what(\W|$)') THEN 'conditional'
+  WHEN regexp_matches(t, '^what is(\W|$)|(^|\W)(defin|meaning(\W|$))') THEN 'definition' WHEN regexp_matches(t, '(^|\W)(require|comply|compliance)') THEN 'requirement'
+  ELSE 'complex' END AS query_type FROM q)
+SELECT query_type, CASE WHEN query_type = 'definition' THEN 3 WHEN query_type = 'requirement' THEN 7 WHEN query_type IN ('listing', 'complex') THEN 10 WHEN query_type IN ('comparative', 'procedural') THEN 6
+  WHEN query_type = 'cross_reference' THEN 8 ELSE 5 END AS top_k, count(*) AS questions FROM k GROUP BY 1, 2"""
 )
 def route_questions(spark, sf):
     return router.classify(table(spark, sf, "conversations"), "text").groupBy("query_type", "top_k").agg(F.count("*").alias("questions"))
@@ -465,9 +571,18 @@ def model_benchmark(spark, sf):
     return made.select("model", "chunks", *(F.round(c, 6).alias(c) for c in ("success_rate", "parse_rate", "avg_entities", "avg_seconds")))
 
 
-@query("SELECT source, lang, count(*) AS entities FROM documents GROUP BY 1, 2")
+ENTITIES = """SELECT 'Requirement' AS entity_type, source AS source_doc FROM documents UNION ALL SELECT 'Definition', 'benchmark' FROM benchmark
+UNION ALL SELECT 'Exemption', 'benchmark' FROM benchmark UNION ALL SELECT 'Process', p_brand FROM part"""
+
+
+@query(f"SELECT entity_type, count(*) AS entities FROM ({ENTITIES}) GROUP BY 1")
 def entity_counts(spark, sf):
-    return table(spark, sf, "documents").groupBy("source", "lang").agg(F.count("*").alias("entities"))
+    return extract.counts(tables.entities(spark, sf), "entity_type")
+
+
+@query(f"SELECT source_doc, count(*) AS entities FROM ({ENTITIES}) GROUP BY 1")
+def entity_counts_by_source(spark, sf):
+    return extract.counts(tables.entities(spark, sf), "source_doc")
 
 
 def queries() -> dict:

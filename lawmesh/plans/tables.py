@@ -92,22 +92,23 @@ def requirements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(F.col("doc_id").alias("ord"), "text", F.col("source").alias("source_doc"), F.col("lang").alias("category"), (F.col("quality") == 1).alias("mandatory"))
 
 
-def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entities of all kinds: documents, benchmark items with their first words as terms, parts as processes."""
+def entity_rows(df: DataFrame, kind: str, ord, text, source, **properties) -> DataFrame:
+    """A table's rows as entities of one kind."""
+    props = F.struct(*((properties.get(p, F.lit(None))).cast("boolean" if p == "mandatory" else "string").alias(p) for p in PROPERTIES))
+    return df.select(
+        F.lit(kind).alias("entity_type"), text.alias("text"), F.lit(None).cast("string").alias("source_chunk_id"), source.alias("source_doc"), F.lit("1").alias("section_id"),
+        F.lit(None).cast("string").alias("section_heading"), props.alias("properties"), F.lit(0.9).alias("confidence"), ord.cast("long").alias("ord"),
+    )
 
-    def rows(df, kind, ord, text, source, **properties):
-        props = F.struct(*((properties.get(p, F.lit(None))).cast("boolean" if p == "mandatory" else "string").alias(p) for p in PROPERTIES))
-        return df.select(
-            F.lit(kind).alias("entity_type"), text.alias("text"), F.lit(None).cast("string").alias("source_chunk_id"), source.alias("source_doc"), F.lit("1").alias("section_id"),
-            F.lit(None).cast("string").alias("section_heading"), props.alias("properties"), F.lit(0.9).alias("confidence"), ord.cast("long").alias("ord"),
-        )
 
+def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entities of all kinds: documents, benchmark items with their first words as terms, parts as processes."""
     req = requirements(spark, sf_dir)
     items, parts = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "part")
     first = F.array_join(F.slice(F.split("text", " "), 1, 4), " ")
     return (
-        rows(req, "Requirement", F.col("ord"), F.col("text"), F.col("source_doc"), category=F.col("category"), mandatory=F.col("mandatory"))
-        .unionByName(rows(items, "Definition", F.col("item_id"), F.col("text"), F.lit("benchmark"), term=first))
-        .unionByName(rows(items, "Exemption", F.col("item_id"), F.col("text"), F.lit("benchmark")))
-        .unionByName(rows(parts, "Process", F.col("p_partkey"), F.col("p_type"), F.col("p_brand"), name=F.col("p_name")))
+        entity_rows(req, "Requirement", F.col("ord"), F.col("text"), F.col("source_doc"), category=F.col("category"), mandatory=F.col("mandatory"))
+        .unionByName(entity_rows(items, "Definition", F.col("item_id"), F.col("text"), F.lit("benchmark"), term=first))
+        .unionByName(entity_rows(items, "Exemption", F.col("item_id"), F.col("text"), F.lit("benchmark")))
+        .unionByName(entity_rows(parts, "Process", F.col("p_partkey"), F.col("p_type"), F.col("p_brand"), name=F.col("p_name")))
     )
