@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from lawmesh.llm.common import broadcast_value, kept, map_arrow
 
 #: Bytes of words, and of the pieces they are parted into, that a Python worker keeps between batches.
-WORDS_BYTES, PIECES_BYTES = 160 << 20, 48 << 20
+WORDS_BYTES, PIECES_BYTES = 128 << 20, 48 << 20
 #: Bytes of an entry of a dict besides its key's and value's characters, about.
 ENTRY = 190
 #: Splitting at white space also parts at these, the tokenizer does not.
@@ -124,11 +124,14 @@ class Words:
         self.tokenizer, self.bare = tokenizer, tokenizer
         self.words, self.pieces = Recent(WORDS_BYTES), Recent(PIECES_BYTES)
         self.parts = regex.compile(pattern).findall if pattern and steps == ["NFC", "Replace", "Lowercase"] else None
-        if self.parts:  # the same tokenizer without the steps that its pieces have behind them
+        if self.parts:  # the same model without the steps that its pieces have behind them
             from tokenizers import Tokenizer
 
-            rest = said["pre_tokenizer"]["pretokenizers"][1:]
-            self.bare = Tokenizer.from_str(json.dumps(said | {"normalizer": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": rest}, "added_tokens": []}))
+            rest = {"type": "Sequence", "pretokenizers": said["pre_tokenizer"]["pretokenizers"][1:]}
+            empty = {"version": said.get("version", "1.0"), "added_tokens": [], "model": said["model"] | {"vocab": {}, "merges": []}, "pre_tokenizer": rest}
+            empty |= dict.fromkeys(("truncation", "padding", "normalizer", "post_processor", "decoder"))
+            self.bare = Tokenizer(tokenizer.model)
+            self.bare.pre_tokenizer = Tokenizer.from_str(json.dumps(empty)).pre_tokenizer
         self.latin = re.compile("[\x21-\x7e\xa1-\u024f]+").fullmatch
 
     def learn(self, words: list[str]) -> dict[str, bytes]:
