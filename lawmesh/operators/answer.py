@@ -6,13 +6,15 @@ import json
 import re
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lawmesh.operators.conflict import runtime_conflicts
 from lawmesh.operators.graph import Graph
-from lawmesh.operators.retrieve import retrieve
-from lawmesh.plans import router
+from lawmesh.operators.retrieve import keyword_all, retrieve, retrieve_all
+from lawmesh.operators.store import written
+from lawmesh.plans import router, templates
 
 
 def formatted(contexts: DataFrame) -> DataFrame:
@@ -94,19 +96,51 @@ def answer(g: Graph, question: str, top_k: int = 7, include_conflicts: bool = Tr
 
 
 def answer_all(g: Graph, questions: DataFrame, top_k: int = 10, key: str = "query_id", text: str = "query") -> DataFrame:
-    """Keyword contexts of many questions at once: query_id, node_id, score, rank, by joins on words rather than a loop."""
-    from lawmesh.operators.retrieve import B, K1, postings
-
+    """Keyword contexts of many questions at once: query_id, node_id, score, rank."""
     items = g.nodes.select("id", F.coalesce("text", "description", "name", "term").alias("text"))
-    q = questions.select(key, F.explode(F.array_distinct(F.filter(F.split(F.lower(F.replace(text, F.lit("?"), F.lit(""))), r"\s+"), lambda t: F.length(t) > 2))).alias("term"))
-    stats = items.select(F.size(F.filter(F.split("text", r"(?U)\s+"), lambda w: w != "")).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("a")).first()
-    p = postings(items).join(q.select("term").distinct(), "term", "left_semi")
-    df = p.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (F.lit(float(stats["n"] or 0)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    score = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(float(stats["a"] or 1))))
-    scored = p.join(df, "term").join(q, "term").groupBy(key, "id").agg(F.round(F.sum(score), 6).alias("score"))
-    w = Window.partitionBy(key).orderBy(F.desc("score"), "id")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_k).select(key, F.col("id").alias("node_id"), "score", "rank")
+    return keyword_all(items, questions, top_k, key, text).select(key, F.col("id").alias("node_id"), "score", "rank")
+
+
+def answer_batch(g: Graph, questions: DataFrame, top_k: int = 7, providers=(extractive,), key: str = "query_id", text: str = "query", path: str | None = None, **options) -> DataFrame:
+    """One row a question: its answer over all ways of retrieval, with citations, contexts, conflicts and related requirements.
+
+    Retrieval, conflicts and neighbours are joins over all questions; the
+    provider is called in the tasks, once a question, with its few contexts.
+    With `path` the rows are written there. A question without contexts is
+    answered from none.
+    """
+    found = written(retrieve_all(g, questions, top_k, key=key, text=text, **options))
+    kind = questions.schema[key].dataType.simpleString()
+    rows = questions.select(key, text).join(found.drop("text").withColumn("context", found["text"]) if text == "text" else found.withColumnRenamed("text", "context"), key, "left")
+
+    def run(pdf):
+        pdf = pdf.sort_values("rank")
+        contexts = [r | {"text": r["context"]} for r in pdf[pdf["rank"].notna()].to_dict("records")]
+        got = reason(pdf[text].iloc[0], contexts, providers)
+        cited = [f"{c.get('source')}: {c.get('excerpt', '')}" for c in got["citations"]]
+        return pd.DataFrame([{key: pdf[key].iloc[0], "query": pdf[text].iloc[0], "answer": got["answer"], "reasoning": got["reasoning"], "citations": cited, "confidence": got["confidence"], "status": got["status"]}])
+
+    answers = rows.groupBy(key).applyInPandas(run, f"{key} {kind}, query string, answer string, reasoning string, citations array<string>, confidence double, status string")
+    against = runtime_conflicts(found.withColumn("ord", F.col("rank").cast("long")), key=key)
+    against = against.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("ord1", "ord2", "reason", "confidence"))).alias("conflicts"))  # of at most top_k contexts
+    first = Window.partitionBy(key).orderBy("rank")
+    seeds = found.where("node_type = 'Requirement'").withColumn("k", F.row_number().over(first)).where("k <= 3").select(key, F.col("node_id").alias("src"))
+    near = g.both_ways("APPLIES_TO", "REQUIRES").select("src", "dst", "type").join(seeds.select("src").distinct(), "src", "left_semi").distinct()
+    near = near.withColumn("k", F.row_number().over(Window.partitionBy("src").orderBy("dst", "type"))).where("k <= 3")
+    near = seeds.join(near, "src").select(key, F.col("dst").alias("id")).distinct().withColumn("k", F.row_number().over(Window.partitionBy(key).orderBy("id"))).where("k <= 10")
+    near = near.groupBy(key).agg(F.array_sort(F.collect_list("id")).alias("related"))
+    used = found.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "node_id"))), lambda x: x["node_id"]).alias("contexts"))
+    out = answers.join(used, key, "left").join(against, key, "left").join(near, key, "left")
+    if path:
+        out.write.mode("overwrite").parquet(path)
+        out = g.nodes.sparkSession.read.parquet(path)
+    return out
+
+
+def run_plan(g: Graph, question: str, **given) -> DataFrame:
+    """The rows of the template that a question's words choose."""
+    name, parameters = router.plan(question, **given)
+    return templates.TEMPLATES[name](g, **parameters)
 
 
 def rendered(a: dict) -> str:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from lawmesh.functions.text import CODE, EXEMPTION_WORDS, SUPERSEDES, node_id, strip
 from lawmesh.operators.conflict import entity_conflicts
-from lawmesh.operators.graph import Graph, as_edges, as_nodes, keep_first, keep_last, upsert
+from lawmesh.operators.graph import Graph, as_edges, as_nodes, keep_first, keep_last, stamped, upsert
+from lawmesh.operators.store import written
 
 #: What is known of four sources.
 REGULATIONS = {
@@ -110,14 +111,19 @@ def containing(terms: DataFrame, texts: DataFrame) -> DataFrame:
         .agg(F.min_by("word", F.struct(F.coalesce("df", F.lit(0)), "word")).alias("word"))
     )
     longer = chosen.join(word, "word").join(x, "text_id").where(F.contains("text", F.col("term")))
-    rest = t.where(F.size("inner") == 0)
+    rest = t.where(F.size("inner") == 0).select("term_id", "term")
     out = longer.select("term_id", "text_id")
-    for n in (3, 2, 1):
-        part = rest.where(F.length("term") >= 3) if n == 3 else rest.where(F.length("term") == n)
-        grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("text") - (n - 1))), lambda i: F.substr("text", i, F.lit(n))))
-        keyed = part.withColumn("gram", F.substring("term", 1, n))
-        have = x.select("text_id", "text", F.explode(grams).alias("gram")).join(keyed.select("gram").distinct(), "gram", "left_semi")
-        out = out.unionByName(have.join(keyed, "gram").where(F.contains("text", F.col("term"))).select("term_id", "text_id"))
+    grams = lambda c, n: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c) - (n - 1))), lambda i: F.substr(c, i, F.lit(n))))
+    of = rest.where(F.length("term") >= 3).select("term_id", "term", F.explode(grams(F.col("term"), 3)).alias("gram"))
+    have = x.select("text_id", F.explode(grams(F.col("text"), 3)).alias("gram")).join(of.select("gram").distinct(), "gram", "left_semi")
+    rare = have.groupBy("gram").agg(F.count("*").alias("df"))
+    chosen = of.join(rare, "gram", "left").groupBy("term_id", "term").agg(F.min_by("gram", F.struct(F.coalesce("df", F.lit(0)), "gram")).alias("gram"))
+    met = chosen.join(have, "gram").select("term_id", "term", "text_id")
+    out = out.unionByName(met.join(x, "text_id").where(F.contains("text", F.col("term"))).select("term_id", "text_id"))
+    for n in (2, 1):  # the term is its gram: who has it contains it
+        keyed = rest.where(F.length("term") == n).withColumnRenamed("term", "gram")
+        one = x.select("text_id", F.explode(grams(F.col("text"), n)).alias("gram"))
+        out = out.unionByName(one.join(keyed, "gram").select("term_id", "text_id"))
     return out.distinct()
 
 
@@ -192,25 +198,37 @@ def conflicts(entities: DataFrame) -> DataFrame:
     return as_edges(found.select(F.col("req1_id").alias("src"), F.col("req2_id").alias("dst"), "reason", "confidence"), "CONFLICTS_WITH", reason=F.col("reason"), confidence=F.col("confidence"))
 
 
-def build_graph(entities: DataFrame) -> Graph:
+def build_graph(entities: DataFrame, at: str | None = None) -> Graph:
     """Nodes of all known labels and the edges of all rules; entities of other types are passed over.
 
-    Every rule reads the entities and some the nodes, so both are persisted
-    (memory, then disk; a lost executor's part is made again), and so are the
-    edges. The caller may unpersist the graph.
+    Every rule reads the entities and some the nodes, so these and the edges
+    are written to the shared folder; nothing stays in memory. `at` is the time
+    that nodes get as that of their creation and update; without it they have none.
     """
-    entities = entities.persist()
+    entities = written(entities)
     nodes = source_nodes(entities)
     for label in IDENTITY:  # ids begin with their label, so labels don't meet, but for the regulations of sources
         made = entity_nodes(entities, label)
         nodes = upsert(nodes, made) if label == "Regulation" else nodes.unionByName(made)
-    nodes = nodes.persist()
-    found = supersessions(flat(entities).where("entity_type = 'Requirement'")).persist()
-    nodes = upsert(nodes, directive_nodes(found), "id", on_create=True).persist()
+    nodes = written(nodes)
+    found = written(supersessions(flat(entities).where("entity_type = 'Requirement'")))
+    nodes = upsert(nodes, directive_nodes(found), "id", on_create=True)
+    nodes = written(stamped(nodes, at) if at else nodes)
     edges = contains_by_source(nodes)
     for more in (contains_by_name(entities), applies_to(entities), defines(entities), requires(entities), exempt_from(entities), supersedes(entities, nodes), conflicts(entities)):
-        edges = edges.unionByName(more.persist())
-    edges = edges.dropDuplicates(["src", "dst", "type"])
+        edges = edges.unionByName(more)
+    edges = written(edges).dropDuplicates(["src", "dst", "type"])
     ids = nodes.select("id")
     ends = edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
-    return Graph(nodes, ends.persist())
+    return Graph(nodes, written(ends))
+
+
+def build_summary(entities: DataFrame, g: Graph, at: str) -> DataFrame:
+    """One row on a build: entities processed and nodes and relationships made, in total and by kind."""
+    by = lambda df, k: df.groupBy(k).agg(F.count("*").alias("n")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(k, "n")))).alias(f"by_{k}"), F.coalesce(F.sum("n"), F.lit(0)).alias(f"n_{k}"))
+    done = entities.agg(F.count("*").alias("total_entities_processed"), F.count_if(~F.coalesce(F.col("entity_type").isin(*IDENTITY), F.lit(False))).alias("passed_over"))
+    rows = [df.withColumn("one", F.lit(1)) for df in (done, by(g.nodes, "label"), by(g.edges, "type"))]  # of one row each
+    return rows[0].join(rows[1], "one").join(rows[2], "one").select(
+        "total_entities_processed", "passed_over", F.col("n_label").alias("nodes"), F.col("n_type").alias("relationships"),
+        F.col("by_label").alias("nodes_by_label"), F.col("by_type").alias("relationships_by_type"), F.lit(at).alias("timestamp"),
+    )

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lawmesh.functions.text import (
     CONTRADICTIONS, SEVERITIES, around, contradiction, node_id, numeric_conflict, numeric_constraints, severity_rank, shared_words, significant_words,
 )
+from lawmesh.operators.store import written
 
 
 def runtime_conflicts(
@@ -78,25 +79,27 @@ def entity_conflicts(requirements: DataFrame, shared: int = 3) -> DataFrame:
     """Pairs of one category, other sources and other mandatoriness that share words; columns as requirements, by ord.
 
     Rows: req1_id, req2_id, source1, source2, category, reason, confidence.
-    Pairs are made through the words they share, never by category alone: the
-    words of both sides are joined on (category, word), mandatory against
-    optional only, and pairs with `shared` words or more stay.
+    Pairs are made through the words they share, never by category alone. A
+    requirement's words that the other side has too are ordered from rare to
+    frequent, and only those before its last shared - 1 are joined on; pairs
+    met so are then verified on all their words.
     """
-    r = requirements.where("category <> '' and mandatory is not null").select(
-        "ord", "category", "mandatory", F.col("source_doc").alias("source"), node_id(F.lit("Requirement"), "source_doc", "text").alias("rid"),
-        F.explode(significant_words("text", alphanumeric=False)).alias("word"),
+    r = written(
+        requirements.where("category <> '' and mandatory is not null").select(
+            "ord", "category", "mandatory", F.col("source_doc").alias("source"), node_id(F.lit("Requirement"), "source_doc", "text").alias("rid"),
+            significant_words("text", alphanumeric=False).alias("words"), F.monotonically_increasing_id().alias("row"),
+        )
     )
-    yes, no = (
-        r.where(cond).select("category", "word", *(F.col(c).alias(f"{c}_{p}") for c in ("ord", "source", "rid")))
-        for cond, p in (("mandatory", "y"), ("not mandatory", "n"))
-    )
-    pairs = (
-        yes.join(no, ["category", "word"])
-        .where("source_y <> source_n")
-        .groupBy("category", "ord_y", "ord_n", "source_y", "source_n", "rid_y", "rid_n")
-        .agg(F.count("*").alias("words"))
-        .where(F.col("words") >= shared)
-    )
+    # who shares `shared` words shares one that isn't among the last shared - 1 of either, by how many have it
+    each = r.select("row", "category", "mandatory", F.explode("words").alias("word"))
+    df = each.groupBy("category", "word").agg(F.count("*").alias("df"), F.count_if("mandatory").alias("yes")).where("yes > 0 and yes < df").drop("yes")
+    place = Window.partitionBy("row").orderBy("df", "word")
+    size = Window.partitionBy("row")
+    prefix = each.join(df, ["category", "word"]).withColumn("k", F.row_number().over(place)).withColumn("of", F.count("*").over(size)).where(F.col("k") <= F.col("of") - (shared - 1))
+    yes, no = (prefix.where(cond).select("category", "word", F.col("row").alias(f"row_{p}")) for cond, p in (("mandatory", "y"), ("not mandatory", "n")))
+    met = yes.join(no, ["category", "word"]).select("row_y", "row_n").distinct()
+    y, n = (r.select(*(F.col(c).alias(f"{c}_{p}") for c in ("row", "ord", "source", "rid", "words")), *(["category"] if p == "y" else [])) for p in "yn")
+    pairs = met.join(y, "row_y").join(n, "row_n").where("source_y <> source_n").where(F.size(F.array_intersect("words_y", "words_n")) >= shared)
     first = lambda c: F.when(F.col("ord_y") < F.col("ord_n"), F.col(f"{c}_y")).otherwise(F.col(f"{c}_n"))
     second = lambda c: F.when(F.col("ord_y") < F.col("ord_n"), F.col(f"{c}_n")).otherwise(F.col(f"{c}_y"))
     return pairs.select(

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import json
 import re
+import time
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from lawmesh.operators.graph import keep_first
+from lawmesh.operators.graph import keep_first, part_of
+from lawmesh.operators.store import written
 from lawmesh.schema import ENTITY, PROPERTIES
 
 #: The lists of an answer, the type of their entities and the key of its text.
@@ -33,28 +35,38 @@ def without_fence(c):
 
 
 def repaired(text: str | None) -> str | None:
-    """A JSON text that breaks off, closed behind its last whole value; null if nothing can be read."""
+    """A JSON text that breaks off, closed behind its last whole value; null if nothing can be read.
+
+    One pass notes, at each sign between values, what closes the text there;
+    then the latest of these places that reads counts.
+    """
     if not text:
         return None
     cut = text.rstrip()
-    while cut:
-        stack, quoted, escaped = [], False, False
-        for c in cut:
-            if quoted:
-                escaped, quoted = (c == "\\" and not escaped), not (c == '"' and not escaped)
-            elif c == '"':
-                quoted = True
-            elif c in "[{":
-                stack.append("]" if c == "[" else "}")
-            elif c in "]}" and stack:
+    stack, quoted, escaped = [], False, False
+    places = []  # where the text may be cut, and how it is closed there
+    for i, c in enumerate(cut):
+        if quoted:
+            escaped, quoted = (c == "\\" and not escaped), not (c == '"' and not escaped)
+        elif c == '"':
+            quoted = True
+        elif c in "[{":
+            stack.append("]" if c == "[" else "}")
+            places.append((i + 1, "".join(reversed(stack))))
+        elif c in "]}":
+            if stack:
                 stack.pop()
-        whole = re.sub(r"[,:\s]+\Z", "", cut) + ('"' if quoted else "") + "".join(reversed(stack))
+            places.append((i + 1, "".join(reversed(stack))))
+        elif c == ",":
+            places.append((i, "".join(reversed(stack))))
+    places.append((len(cut), ('"' if quoted else "") + "".join(reversed(stack))))
+    for at, closing in reversed(places):
+        whole = re.sub(r"[,:\s]+\Z", "", cut[:at]) + closing
         try:
             json.loads(whole)
             return whole
         except ValueError:
-            at = max(cut.rfind(c, 0, len(cut) - 1) for c in "{}[],")
-            cut = cut[: at + 1] if 0 <= at < len(cut) - 1 else cut[:at] if at > 0 else ""
+            continue
     return None
 
 
@@ -108,14 +120,142 @@ def merge(existing: DataFrame, *more: DataFrame) -> DataFrame:
     return keep_first(out, key, ["part", "ord"]).drop("part")
 
 
-def extract(chunks: DataFrame, provider, batch_wait=None) -> DataFrame:
-    """chunk_id and response of a provider: a function from a list of texts to a list of answers, called in the tasks."""
+def prompt(text: str, source: str = "", section_id: str = "", section_heading: str = "") -> str:
+    """What a model is asked: the lists of KINDS, as JSON, of one chunk."""
+    where = ", ".join(x for x in (source, section_id, section_heading) if x)
+    lists = "; ".join(f"{name}: each with {key} and what fits of the properties" for name, (_, key) in KINDS.items())
+    return (
+        f"Read this passage of a regulation ({where}) and give what it states as one JSON object, nothing else.\n"
+        f"Lists: {lists}.\nProperties: {', '.join(PROPERTIES)}.\nLeave a list out if there is nothing for it.\n\nPassage:\n{text}"
+    )
+
+
+def relation_prompt(first: str, second: str, types) -> str:
+    return f"Which of these relations holds from the first to the second passage: {', '.join(types)}, or none? Answer with one word.\n\nFirst: {first}\n\nSecond: {second}"
+
+
+def conflict_prompt(first: str, second: str) -> str:
+    return f'Do these two requirements conflict? Answer as JSON: {{"conflict": true or false, "reason": "...", "confidence": 0 to 1}}.\n\nFirst: {first}\n\nSecond: {second}'
+
+
+def found_nothing(response: str | None) -> bool:
+    """No entity can be read from an answer."""
+    inside = re.search(r"```(?:json)?\s*(.*?)(?:```|\Z)", response or "", re.S)
+    text = repaired(inside[1] if inside else response)
+    try:
+        got = json.loads(text) if text else None
+    except ValueError:
+        return True
+    return not isinstance(got, dict) or not any(got.get(k) for k in KINDS)
+
+
+class Rotation:
+    """A provider made of models, each a function from a prompt to an answer, tried in turn.
+
+    Each model gets `tries` tries with growing waits; the next one takes over
+    where it fails, or finds nothing in a text of more than `substantial`
+    characters. When all have failed once, the round is repeated after
+    `between` seconds; then the chunk's answer is null.
+    """
+
+    def __init__(self, *models, tries: int = 3, waits: tuple[float, float] = (2, 10), cycles: int = 2, between: float = 60, substantial: int = 200, pause: float = 0, sleep=time.sleep):
+        self.models, self.tries, self.waits, self.cycles, self.between = models, tries, waits, cycles, between
+        self.substantial, self.pause, self.sleep = substantial, pause, sleep
+
+    def asked(self, model, question: str) -> str:
+        for k in range(self.tries):
+            try:
+                return model(question)
+            except Exception:
+                if k + 1 == self.tries:
+                    raise
+                self.sleep(min(self.waits[1], self.waits[0] * 2**k))
+
+    def answer(self, text: str, **where) -> str | None:
+        question = prompt(text, **where)
+        for cycle in range(self.cycles):
+            for model in self.models:
+                try:
+                    got = self.asked(model, question)
+                except Exception:  # the next model takes over
+                    continue
+                if len(text) <= self.substantial or not found_nothing(got):
+                    return got
+            if cycle + 1 < self.cycles:
+                self.sleep(self.between)
+        return None
+
+    def __call__(self, texts: list[str], **columns: list) -> list[str | None]:
+        out = []
+        for i, text in enumerate(texts):
+            out.append(self.answer(text or "", **{k: v[i] or "" for k, v in columns.items()}))
+            if self.pause:
+                self.sleep(self.pause)
+        return out
+
+
+WHERE = ("source", "section_id", "section_heading")
+
+
+def extract(chunks: DataFrame, provider) -> DataFrame:
+    """chunk_id and response of a provider, called in the tasks: a Rotation, or a function from a list of texts to a list of answers."""
+    where = [c for c in WHERE if c in chunks.columns] if isinstance(provider, Rotation) else []
 
     def run(batches):
         for pdf in batches:
-            yield pd.DataFrame({"chunk_id": pdf["chunk_id"], "response": provider(pdf["text"].tolist())})
+            yield pd.DataFrame({"chunk_id": pdf["chunk_id"], "response": provider(pdf["text"].tolist(), **{c: pdf[c].tolist() for c in where})})
+
+    return chunks.select("chunk_id", "text", *where).mapInPandas(run, "chunk_id string, response string")
+
+
+def run_extraction(chunks: DataFrame, provider, path: str, batch: int = 10_000, most: int | None = None) -> dict:
+    """Extracts the chunks that a run before hasn't, batch by batch, into path/entities and path/processed; -> statistics.
+
+    A batch's responses are written first, its entities next, and its chunks
+    are logged last, so a run that breaks off goes on with the batch it was
+    in; entities that such a batch had already told are merged away on reading
+    (read_extraction). Chunks that gave nothing are logged as well.
+    """
+    spark = chunks.sparkSession
+    todo = remaining(part_of(chunks, "chunk_id", 0, most) if most else chunks, *([spark.read.parquet(f"{path}/processed")] if exists(spark, f"{path}/processed") else []))
+    todo = written(todo)
+    n = todo.count()
+    parts = -(-n // batch)
+    for k in range(parts):
+        some = todo if parts == 1 else todo.where(F.pmod(F.xxhash64("chunk_id"), F.lit(parts)) == k)
+        answers = written(extract(some, provider))
+        source = F.col("source").alias("source_doc") if "source" in some.columns else F.lit(None).cast("string").alias("source_doc")
+        told = some.select("chunk_id", source, *(c if c in some.columns else F.lit(None).cast("string").alias(c) for c in ("section_id", "section_heading"))).join(answers, "chunk_id")
+        ord_ = F.pmod(F.xxhash64("chunk_id"), F.lit(1 << 40))
+        parse_responses(told.where("response is not null").withColumn("ord", ord_)).write.mode("append").parquet(f"{path}/entities")
+        answers.select("chunk_id", F.col("response").isNotNull().alias("success")).write.mode("append").parquet(f"{path}/processed")
+    return extraction_stats(spark, path) if exists(spark, f"{path}/processed") else {"total_chunks": 0, "successful": 0, "failed": 0, "entities": 0, "by_type": {}}
+
+
+def read_extraction(spark, path: str) -> DataFrame:
+    return merge(spark.read.schema(ENTITY).parquet(f"{path}/entities"))
+
 
-    return chunks.select("chunk_id", "text").mapInPandas(run, "chunk_id string, response string")
+def extraction_stats(spark, path: str) -> dict:
+    done = spark.read.parquet(f"{path}/processed").groupBy("chunk_id").agg(F.max("success").alias("success")).agg(F.count("*").alias("n"), F.count_if("success").alias("ok")).first()
+    by_type = {r["entity_type"]: r["entities"] for r in counts(read_extraction(spark, path), "entity_type").collect()}
+    return {"total_chunks": done["n"], "successful": done["ok"], "failed": done["n"] - done["ok"], "entities": sum(by_type.values()), "by_type": by_type}
+
+
+def exists(spark, path: str) -> bool:
+    """Whether there is something to read at a path of any store that Spark reads."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        spark.read.parquet(path).schema  # noqa: B018
+    except AnalysisException:
+        return False
+    return True
+
+
+def estimated_seconds(chunks: DataFrame, seconds_each: float, workers: int = 1, *done: DataFrame) -> float:
+    """How long the chunks that are left would take."""
+    return remaining(chunks, *done).count() * seconds_each / max(1, workers)
 
 
 def counts(entities: DataFrame, by: str) -> DataFrame:
@@ -123,13 +263,25 @@ def counts(entities: DataFrame, by: str) -> DataFrame:
 
 
 def benchmark(runs: DataFrame) -> DataFrame:
-    """By model: runs, success and parse rates in percent, means; columns model, success, parsed, entities, seconds."""
+    """By model: runs, success and parse rates in percent, means; columns model, success, parsed, entities, seconds.
+
+    With a column by_type (map of entity type to number) also the sums by type.
+    """
     rate = lambda c: F.avg(F.col(c).cast("int")) * 100
-    return runs.groupBy("model").agg(
+    out = runs.groupBy("model").agg(
         F.count("*").alias("chunks"), rate("success").alias("success_rate"), rate("parsed").alias("parse_rate"), F.avg("entities").alias("avg_entities"), F.avg("seconds").alias("avg_seconds")
     )
+    if "by_type" not in runs.columns:
+        return out
+    each = runs.select("model", F.explode("by_type").alias("kind", "n")).groupBy("model", "kind").agg(F.sum("n").alias("n"))
+    return out.join(each.groupBy("model").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("kind", "n")))).alias("by_type")), "model", "left")
 
 
 def recommended(by_model: DataFrame, success: float = 80, parse: float = 90) -> DataFrame:
     """The models that pass both gates, best first."""
     return by_model.where((F.col("success_rate") >= success) & (F.col("parse_rate") >= parse)).orderBy(F.desc("success_rate"), F.desc("avg_entities"), "model")
+
+
+def capacity(models: DataFrame, column: str = "per_day") -> DataFrame:
+    """What the recommended models together can do."""
+    return models.agg(F.count("*").alias("models"), F.coalesce(F.sum(column), F.lit(0)).alias("capacity"))

@@ -45,7 +45,10 @@ def as_nodes(df: DataFrame, **values) -> DataFrame:
 
 
 def as_edges(df: DataFrame, kind: str, evidence=None, reason=None, confidence=None) -> DataFrame:
-    """(src, dst) rows as edges, each once."""
+    """(src, dst) rows as edges, each once; without properties only the ids are shuffled."""
+    if evidence is None and reason is None and confidence is None:
+        eid = F.concat_ws("|", F.lit(kind), "src", "dst").alias("eid")
+        return df.select("src", "dst").distinct().select(eid, "src", "dst", F.lit(kind).alias("type"), F.lit(None).cast(EDGE["props"].dataType).alias("props")).to(EDGE)
     props = F.struct(
         (F.lit(None) if evidence is None else evidence).cast("string").alias("evidence"),
         (F.lit(None) if reason is None else reason).cast("string").alias("reason"),
@@ -111,10 +114,13 @@ def verify(df: DataFrame, schema) -> list[str]:
 
 
 def degree(g: Graph, label: str, limit: int = 20) -> DataFrame:
-    """Nodes of a label by edges in, out and in total; a loop counts both ways. Only ids are shuffled."""
-    out = g.edges.groupBy(F.col("src").alias("id")).agg(F.count_distinct("eid").alias("out_degree"))
-    into = g.edges.groupBy(F.col("dst").alias("id")).agg(F.count_distinct("eid").alias("in_degree"))
-    both = out.withColumn("in_degree", F.lit(0)).unionByName(into.withColumn("out_degree", F.lit(0)))
+    """Nodes of a label by edges in, out and in total; a loop counts both ways.
+
+    A graph has each edge once, so the edges are read once and their ends
+    counted, in the tasks first; only ids are shuffled.
+    """
+    ends = F.explode(F.array(F.struct(F.col("src").alias("id"), F.lit(1).alias("out_degree"), F.lit(0).alias("in_degree")), F.struct(F.col("dst").alias("id"), F.lit(0).alias("out_degree"), F.lit(1).alias("in_degree"))))
+    both = g.edges.select(ends.alias("e")).select("e.*")
     both = both.groupBy("id").agg(F.sum("in_degree").alias("in_degree"), F.sum("out_degree").alias("out_degree"))
     return (
         g.label(label)
@@ -141,3 +147,14 @@ def communities(g: Graph, min_size: int = 3, limit: int = 10, shown: int = 10) -
     first = first.withColumn("k", F.row_number().over(w)).where(F.col("k") <= shown)
     lists = first.groupBy("dst").agg(F.array_sort(F.collect_list("src")).alias("requirements"))
     return top.join(lists, "dst").select(F.col("dst").alias("process_id"), "process", "requirement_count", F.array_join("requirements", ",").alias("requirements"))
+
+
+def part_of(df: DataFrame, order, start: int, count: int) -> DataFrame:
+    """`count` rows from place `start` on, in an order that must tell rows apart."""
+    return df.orderBy(*([order] if isinstance(order, str) else order)).offset(start).limit(count)
+
+
+def stamped(nodes: DataFrame, at: str) -> DataFrame:
+    """Nodes with a given time: of creation where they have none, of their update always."""
+    time = F.lit(at).cast("timestamp")
+    return nodes.withColumns({"created_at": F.coalesce("created_at", time), "updated_at": time})

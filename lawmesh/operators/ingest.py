@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lawmesh.functions.text import sentences, strip, token_estimate
@@ -37,27 +37,21 @@ def heading(line: Column) -> Column:
 def sections(docs: DataFrame, key: str = "doc_id", text: str = "full_text") -> DataFrame:
     """doc_id, ord, section_id, heading, content, level; what comes before the first heading goes.
 
-    Lines are windowed within their document, which is one row's text; a
-    document without headings is one section, `Full Document`.
+    Each row is a document of its own, also where a key repeats; nothing is
+    shuffled. A document without headings is one section, `Full Document`.
     """
-    lines = (
-        docs.select(key, F.posexplode(F.split(text, "\n")).alias("n", "raw"))
-        .withColumn("line", strip("raw"))
-        .where("line <> ''")
-        .withColumn("h", heading(F.col("line")))
-        .withColumn("ord", F.sum(F.when(F.col("h").isNotNull(), 1).otherwise(0)).over(Window.partitionBy(key).orderBy("n")))
-    )
-    body = F.transform(F.array_sort(F.collect_list(F.when(F.col("h").isNull(), F.struct("n", "line")))), lambda x: x["line"])
-    found = (
-        lines.where("ord > 0")
-        .groupBy(key, "ord")
-        .agg(F.first("h", ignorenulls=True).alias("h"), F.array_join(body, "\n").alias("content"))
-        .select(key, "ord", F.coalesce("h.section_id", F.concat(F.lit("section_"), F.col("ord"))).alias("section_id"), "h.heading", "content", "h.level")
-    )
-    whole = docs.join(found.select(key).distinct(), key, "left_anti").select(
-        key, F.lit(1).cast("long").alias("ord"), F.lit("section_1").alias("section_id"), F.lit("Full Document").alias("heading"), F.col(text).alias("content"), F.lit(1).alias("level")
-    )
-    return found.unionByName(whole)
+    lines = F.filter(F.transform(F.split(text, "\n"), strip), lambda x: x != "")
+    found = F.filter(F.transform("lines", lambda x, i: F.struct(i.alias("at"), heading(x).alias("h"))), lambda x: x["h"].isNotNull())
+
+    def told(x, k):
+        after = F.when(k + 1 < F.size("heads"), F.get("heads", k + 1)["at"]).otherwise(F.size("lines"))
+        content = F.array_join(F.slice("lines", x["at"] + 2, after - x["at"] - 1), "\n")
+        section = F.coalesce(x["h"]["section_id"], F.concat(F.lit("section_"), k + 1))
+        return F.struct((k + 1).cast("long").alias("ord"), section.alias("section_id"), x["h"]["heading"].alias("heading"), content.alias("content"), x["h"]["level"].alias("level"))
+
+    whole = F.struct(F.lit(1).cast("long").alias("ord"), F.lit("section_1").alias("section_id"), F.lit("Full Document").alias("heading"), F.col(text).alias("content"), F.lit(1).alias("level"))
+    headed = docs.withColumn("lines", lines).withColumn("heads", found)
+    return headed.select(key, F.explode(F.when(F.size("heads") > 0, F.transform("heads", told)).otherwise(F.array(whole))).alias("s")).select(key, "s.*")
 
 
 def packed(parts: Column, size: int) -> Column:
@@ -106,6 +100,7 @@ def chunk_stats(made: DataFrame) -> DataFrame:
         F.count("*").alias("total_chunks"),
         F.coalesce(F.avg("char_count"), F.lit(0.0)).alias("avg_chunk_size"),
         F.coalesce(F.avg("token_estimate"), F.lit(0.0)).alias("avg_tokens"),
+        *([F.count_if(F.col("embedding").isNotNull()).alias("with_embeddings")] if "embedding" in made.columns else []),
     )
 
 

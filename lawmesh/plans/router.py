@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,13 +31,24 @@ KINDS = (
     ("definition", r"^what is\b|\bdefin|\bmeaning\b"),
     ("requirement", r"\brequire|\bcompl(y|iance)"),
 )
+class Match(NamedTuple):
+    """Words that choose a template; its parameters; the pattern in which the first of these is found, and a word that must be there for it."""
+
+    words: tuple[str, ...]
+    template: str
+    parameters: tuple[str, ...]
+    limit: int
+    pattern: str | None = None
+    needs: str = ""
+
+
 #: Words that choose a template, in order, with the pattern of its parameter.
 MATCHES = (
-    (("requirement", "apply", "applicable"), "requirements_for_process", ("process_name", r"process[es]*\s+(?:of\s+)?([a-z\s]+)"), 20),
-    (("definition", "define", "what is", "what are"), "term_definitions", ("term", r"(?:what is|define|definition of)\s+([a-z\s]+)"), 10),
-    (("cross-reference", "reference", "cite"), "cross_references", ("source_doc", "target_doc"), 20),
-    (("conflict", "contradict", "inconsistent"), "detect_conflicts", ("keyword",), 20),
-    (("exemption", "exception", "exempt"), "find_exemptions", ("keyword",), 20),
+    Match(("requirement", "apply", "applicable"), "requirements_for_process", ("process_name",), 20, r"process[es]*\s+(?:of\s+)?([a-z\s]+)", "process"),
+    Match(("definition", "define", "what is", "what are"), "term_definitions", ("term",), 10, r"(?:what is|define|definition of)\s+([a-z\s]+)"),
+    Match(("cross-reference", "reference", "cite"), "cross_references", ("source_doc", "target_doc"), 20),
+    Match(("conflict", "contradict", "inconsistent"), "detect_conflicts", ("keyword",), 20),
+    Match(("exemption", "exception", "exempt"), "find_exemptions", ("keyword",), 20),
 )
 DOCUMENTS = r"(?i)(MHRA|EU GMP|UK GMP|ICH)"
 
@@ -44,13 +56,14 @@ DOCUMENTS = r"(?i)(MHRA|EU GMP|UK GMP|ICH)"
 def match_template(question: str, **given) -> tuple[str, dict] | None:
     """The template that a question's words choose; the first group of words found decides, even where no parameter is."""
     low = question.lower()
-    for words, name, wanted, limit in MATCHES:
-        if any(w in low for w in words):
-            if len(wanted) == 2 and wanted[1].startswith(("process", "(?:")):
-                found = re.search(wanted[1], low) if name != "requirements_for_process" or "process" in low else None
-                return (name, given | {wanted[0]: found[1].strip(), "limit": given.get("limit", limit)}) if found else None
-            return name, {w: given.get(w, "") for w in wanted} | given | {"limit": given.get("limit", limit)}
-    return None
+    m = next((m for m in MATCHES if any(w in low for w in m.words)), None)
+    if m is None:
+        return None
+    limit = {"limit": given.get("limit", m.limit)}
+    if m.pattern is None:
+        return m.template, {p: given.get(p, "") for p in m.parameters} | given | limit
+    found = re.search(m.pattern, low) if m.needs in low else None
+    return (m.template, given | {m.parameters[0]: found[1].strip()} | limit) if found else None
 
 
 def parameters(question: str) -> dict:

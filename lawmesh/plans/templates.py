@@ -190,3 +190,8 @@ BY_TYPE = {
 
 def template(kind: str):
     return BY_TYPE.get(kind, search_requirements)
+
+
+def all_templates() -> dict[str, tuple[str, ...]]:
+    """Every template by name, with its parameters."""
+    return {name: f.__code__.co_varnames[1 : f.__code__.co_argcount] for name, f in TEMPLATES.items()}

@@ -24,7 +24,7 @@ NODE = struct(
     "id", "label", "name", "term", "text", "description", "source_doc", "source_url", "section_id", "citation_text",
     "category", "severity", "scope", "domain", "condition", "process_type", "industry", "target_doc", "target_section",
     "reference_type", "issued_by", "effective_date", "version", "directive_code",
-    mandatory=BOOLEAN, level=INT, embedding=VECTOR, ord=LONG,
+    mandatory=BOOLEAN, level=INT, embedding=VECTOR, created_at=TIME, updated_at=TIME, ord=LONG,
 )
 EDGE = struct("eid", "src", "dst", "type", props=struct("evidence", "reason", confidence=DOUBLE))
 SECTION = struct("section_id", "heading", "content", level=INT, page_num=INT)

@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lawmesh.functions.text import source_of_path
+from lawmesh.operators import ingest
 from lawmesh.operators.graph import Graph, totals
+from lawmesh.operators.retrieve import embed
 from lawmesh.schema import CHUNK, EDGE, ENTITY, NODE, PARSED
 
 DROPPED = ("script", "style", "nav", "header", "footer")
@@ -64,7 +66,7 @@ def parsed_html(page: str | None) -> dict:
     text = "\n".join(p.lines)
     found = [{"section_id": f"section_{i}", "heading": h, "content": "\n".join(c), "level": int(tag[1]), "page_num": None} for i, (tag, h, c) in enumerate(p.sections, 1)]
     whole = [{"section_id": "section_1", "heading": "Full Document", "content": text, "level": 1, "page_num": None}]
-    return {"title": p.title or p.h1 or "Unknown", "full_text": text, "sections": found or whole, "error": None}
+    return {"title": p.title or p.h1 or "Unknown", "full_text": text, "sections": found or whole, "num_pages": None, "error": None}
 
 
 def parsed_pdf(data: bytes) -> dict:
@@ -74,14 +76,14 @@ def parsed_pdf(data: bytes) -> dict:
 
         from pypdf import PdfReader
     except ImportError:
-        return {"title": None, "full_text": "", "sections": [], "error": "Failed to parse document: pypdf isn't installed"}
+        return {"title": None, "full_text": "", "sections": [], "num_pages": None, "error": "Failed to parse document: pypdf isn't installed"}
     reader = PdfReader(BytesIO(data))
     text = "\n".join(page.extract_text() or "" for page in reader.pages)
     first = next((s.strip() for s in text.splitlines() if s.strip()), "Unknown")
-    return {"title": (reader.metadata or {}).get("/Title") or first[:100], "full_text": text, "sections": [], "error": None}
+    return {"title": (reader.metadata or {}).get("/Title") or first[:100], "full_text": text, "sections": [], "num_pages": len(reader.pages), "error": None}
 
 
-PARSED_ROW = "title string, full_text string, sections array<struct<section_id: string, heading: string, content: string, level: int, page_num: int>>, error string"
+PARSED_ROW = "title string, full_text string, sections array<struct<section_id: string, heading: string, content: string, level: int, page_num: int>>, num_pages int, error string"
 
 
 def parse_html(pages: DataFrame, html: str = "html") -> DataFrame:
@@ -95,7 +97,7 @@ def parse_html(pages: DataFrame, html: str = "html") -> DataFrame:
                 try:
                     rows.append(parsed_html(page))
                 except Exception as e:  # becomes the row's error
-                    rows.append({"title": None, "full_text": "", "sections": [], "error": f"Failed to parse document: {e}"})
+                    rows.append({"title": None, "full_text": "", "sections": [], "num_pages": None, "error": f"Failed to parse document: {e}"})
             yield pd.concat([pdf[names].reset_index(drop=True), pd.DataFrame(rows)], axis=1)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema)
@@ -110,18 +112,28 @@ def title(pages: DataFrame, html: str = "html") -> DataFrame:
 
 def pdf_links(pages: DataFrame, source: str, html: str = "html", url: str = "url") -> DataFrame:
     """Links to PDFs as the source's crawl takes them, whole and once."""
-    links = pages.select(url, F.explode(F.regexp_extract_all(html, F.lit(r'(?i)href\s*=\s*"([^"]+)"'), F.lit(1))).alias("href"))
+    links = pages.select(url, F.explode(F.regexp_extract_all(html, F.lit(r"""(?i)(?<![\w-])href\s*=\s*("[^"]+"|'[^']+'|[^\s"'>]+)"""), F.lit(1))).alias("href"))
+    links = links.withColumn("href", F.regexp_replace("href", r"""^["']|["']$""", ""))
     low = F.lower("href")
     base = F.regexp_extract(url, r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)", 1)
     whole = F.when(F.col("href").rlike("^[a-zA-Z][a-zA-Z0-9+.-]*://"), F.col("href")).otherwise(F.concat(base, F.when(F.col("href").startswith("/"), F.lit("")).otherwise("/"), "href"))
     return links.where(F.contains(low, F.lit(".pdf")) & F.contains(low, F.lit(CRAWLS[source]))).select(whole.alias("url"), F.substring_index("href", "/", -1).alias("filename")).distinct()
 
 
+PARSERS = ("pdf", "html", "htm")
+
+
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """filepath, filename, title, full_text, sections, error, source of all pdf, html and htm files below a path; others as errors."""
+    """filepath, filename, doc_id, title, full_text, sections, num_pages, error, source of all pdf, html and htm files below a path.
+
+    Other files have rows with an error; they are listed, not read. The text
+    of PDFs is parted by its headings, a page's sections are those of its tags.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     ext = F.lower(F.substring_index("path", ".", -1))
-    files = files.select(F.col("path").alias("filepath"), F.substring_index("path", "/", -1).alias("filename"), ext.alias("ext"), "content")
+    named = lambda df: df.select(F.col("path").alias("filepath"), F.substring_index("path", "/", -1).alias("filename"), ext.alias("ext"), *(c for c in ("content",) if c in df.columns))
+    others = named(files.select("path")).where(~F.col("ext").isin(*PARSERS))
+    files = named(files.where(ext.isin(*PARSERS)))
 
     def run(batches):
         for pdf in batches:
@@ -130,15 +142,43 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
                 try:
                     if kind in ("html", "htm"):
                         rows.append(parsed_html(bytes(data).decode("utf-8", "replace")))
-                    elif kind == "pdf":
-                        rows.append(parsed_pdf(bytes(data)))
                     else:
-                        raise ValueError(f"no parser for .{kind}")
+                        rows.append(parsed_pdf(bytes(data)))
                 except Exception as e:  # becomes the row's error
-                    rows.append({"title": None, "full_text": "", "sections": [], "error": f"Failed to parse document: {e}"})
+                    rows.append({"title": None, "full_text": "", "sections": [], "num_pages": None, "error": f"Failed to parse document: {e}"})
             yield pd.concat([pdf[["filepath", "filename"]].reset_index(drop=True), pd.DataFrame(rows)], axis=1)
 
-    return files.mapInPandas(run, f"filepath string, filename string, {PARSED_ROW}").withColumn("source", source_of_path("filepath"))
+    read = files.mapInPandas(run, f"filepath string, filename string, {PARSED_ROW}")
+    error = F.concat(F.lit("Failed to parse document: no parser for ."), "ext")
+    read = read.unionByName(others.select("filepath", "filename", F.lit("").alias("full_text"), error.alias("error")), allowMissingColumns=True)
+    return read.withColumns({"source": source_of_path("filepath"), "doc_id": document_id("filename")})
+
+
+def document_id(filename):
+    """A document's id: its file's name, with _ for dots."""
+    return F.replace(F.coalesce(filename, F.lit("unknown")), F.lit("."), F.lit("_"))
+
+
+def all_sections(parsed: DataFrame) -> DataFrame:
+    """doc_id, source, section_id, heading, content, level of parsed documents: their own sections, or those that headings in the text make."""
+    own = parsed.where(F.size("sections") > 0).select("doc_id", "source", F.explode("sections").alias("s")).select("doc_id", "source", "s.section_id", "s.heading", "s.content", "s.level")
+    plain = parsed.where((F.coalesce(F.size("sections"), F.lit(0)) <= 0) & (F.col("full_text") != ""))
+    made = ingest.sections(plain.withColumn("of", F.struct("doc_id", "source")), "of")
+    return own.unionByName(made.select("of.doc_id", "of.source", "section_id", "heading", "content", "level"))
+
+
+def ingest_documents(spark: SparkSession, path: str, out: str, at: str, size: int = 1000, provider=None) -> DataFrame:
+    """Files below a path -> out/chunks with embeddings, and out/chunk_stats: reading, sections, chunks, vectors, writing.
+
+    The parsed documents are written too (out/parsed), so a run that breaks
+    off behind them needn't parse again. -> the one row of statistics.
+    """
+    read_documents(spark, path).write.mode("overwrite").parquet(f"{out}/parsed")
+    made = ingest.chunks(all_sections(spark.read.parquet(f"{out}/parsed")), size).withColumn("created_at", F.lit(at).cast("timestamp"))
+    embed(made, "text", *([provider] if provider else [])).write.mode("overwrite").parquet(f"{out}/chunks")
+    chunks = spark.read.parquet(f"{out}/chunks")
+    write_json(ingest.chunk_stats(chunks).withColumn("timestamp", F.lit(at)), f"{out}/chunk_stats")
+    return spark.read.json(f"{out}/chunk_stats")
 
 
 def read_parsed(spark: SparkSession, path: str) -> DataFrame:
