@@ -491,13 +491,30 @@ def hybrid_fuse(spark, sf):
     return retrieve.fuse(c, 100, 0.01)
 
 
-@query()
+# nodes are the documents that have a vector; the question's vector is the first one
+HYBRID = r"""WITH n AS (SELECT 'd' || doc_id AS id, text, embedding FROM documents JOIN embeddings ON vec_id = doc_id), q AS (SELECT embedding AS q FROM embeddings WHERE vec_id = (SELECT min(vec_id) FROM embeddings)),
+v AS (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS ord FROM (SELECT id, round((1 + list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(q AS DOUBLE[]))) / 2, 6) AS score FROM n, q) ORDER BY score DESC, id LIMIT 20),
+w AS (SELECT id, list_filter(string_split_regex(lower(coalesce(text, '')), '\s+'), lambda s: s <> '') AS w FROM n), s AS (SELECT count(*)::DOUBLE AS n, avg(len(w)) AS a FROM w),
+e AS (SELECT id, len(w) AS dl, unnest(w) AS term FROM w), tf AS (SELECT term, id, dl, count(*) AS tf FROM e WHERE term IN ('the', 'and', 'license') GROUP BY 1, 2, 3), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+b AS (SELECT id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / a))), 6) AS score FROM tf JOIN df USING (term), s GROUP BY id ORDER BY score DESC, id LIMIT 20),
+k AS (SELECT id, score, 1000 + row_number() OVER (ORDER BY score DESC, id) AS ord FROM (SELECT id, least(score / 10, 1.0) AS score FROM b)),
+f AS (SELECT id, score, ord, 'vector' AS m FROM v UNION ALL SELECT id, score, ord, 'keyword' FROM k), seeds AS (SELECT id AS src, score FROM f ORDER BY score DESC, ord LIMIT 3),
+g AS (SELECT 'd' || doc_id AS src, 'd' || (doc_id + 1) AS dst FROM documents), ends AS (SELECT src, dst FROM g UNION ALL SELECT dst, src FROM g),
+near AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY dst) AS r FROM (SELECT DISTINCT src, dst, score FROM ends JOIN seeds USING (src))),
+x AS (SELECT dst AS id, max(score) * 0.7 AS score FROM near JOIN n ON n.id = dst WHERE r <= 3 GROUP BY 1),
+every AS (SELECT * FROM f UNION ALL SELECT id, score, 3000 + row_number() OVER (ORDER BY score DESC, id), 'graph' FROM x)
+SELECT id AS node_id, m AS retrieval_method, round(score, 6) AS relevance_score, ord FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, ord) AS r FROM every) WHERE r = 1 AND score >= 0.2 ORDER BY score DESC, ord LIMIT 20"""
+
+
+@query(HYBRID)
 def hybrid_retrieve(spark, sf):
-    docs = table(spark, sf, "documents")
-    nodes = graph.as_nodes(retrieve.embed(docs), id=F.concat(F.lit("d"), "doc_id"), label="Requirement", source_doc=F.col("source"), category=F.col("lang"), citation_text=F.concat_ws(" ", "source", "doc_id"))
-    same = docs.select("lang", "source", F.concat(F.lit("d"), "doc_id").alias("src"), F.concat(F.lit("d"), F.col("doc_id") + 1).alias("dst"))
-    g = graph.Graph(nodes, graph.as_edges(same, "REFERENCES"))
-    return retrieve.retrieve(g, "the and of license", 20)
+    docs, vectors = table(spark, sf, "documents"), table(spark, sf, "embeddings")
+    with_vectors = docs.join(vectors.select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id")
+    nodes = graph.as_nodes(with_vectors, id=F.concat(F.lit("d"), "doc_id"), label="Requirement", source_doc=F.col("source"), category=F.col("lang"), citation_text=F.concat_ws(" ", "source", "doc_id"))
+    following = docs.select(F.concat(F.lit("d"), "doc_id").alias("src"), F.concat(F.lit("d"), F.col("doc_id") + 1).alias("dst"))
+    first = vectors.orderBy("vec_id").select("embedding").first()[0]
+    found = retrieve.retrieve(graph.Graph(nodes, graph.as_edges(following, "REFERENCES")), "the and of license", 20, provider=lambda question: first)
+    return found.select("node_id", "retrieval_method", F.round("relevance_score", 6).alias("relevance_score"), "ord")
 
 
 # ------------------------------------------------------------ functions and sources
