@@ -113,17 +113,22 @@ def containing(terms: DataFrame, texts: DataFrame) -> DataFrame:
     longer = chosen.join(word, "word").join(x, "text_id").where(F.contains("text", F.col("term")))
     rest = t.where(F.size("inner") == 0).select("term_id", "term")
     out = longer.select("term_id", "text_id")
-    grams = lambda c, n: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c) - (n - 1))), lambda i: F.substr(c, i, F.lit(n))))
-    of = rest.where(F.length("term") >= 3).select("term_id", "term", F.explode(grams(F.col("term"), 3)).alias("gram"))
-    have = x.select("text_id", F.explode(grams(F.col("text"), 3)).alias("gram")).join(of.select("gram").distinct(), "gram", "left_semi")
+
+    def grams(df, c, n):
+        """df with its distinct runs of n characters, one a row; the characters are taken apart once, as a place in a text is found by counting to it."""
+        signs = df.withColumn("signs", F.regexp_extract_all(c, F.lit("(?s)."), F.lit(0)))
+        run = lambda i: F.concat(*(F.get("signs", i + k) for k in range(n)))
+        return signs.select(*(x for x in df.columns if x not in ("text",)), F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("signs") - n)), run))).alias("gram"))
+
+    of = grams(rest.where(F.length("term") >= 3), "term", 3)
+    have = grams(x, "text", 3).join(of.select("gram").distinct(), "gram", "left_semi")
     rare = have.groupBy("gram").agg(F.count("*").alias("df"))
     chosen = of.join(rare, "gram", "left").groupBy("term_id", "term").agg(F.min_by("gram", F.struct(F.coalesce("df", F.lit(0)), "gram")).alias("gram"))
     met = chosen.join(have, "gram").select("term_id", "term", "text_id")
     out = out.unionByName(met.join(x, "text_id").where(F.contains("text", F.col("term"))).select("term_id", "text_id"))
     for n in (2, 1):  # the term is its gram: who has it contains it
         keyed = rest.where(F.length("term") == n).withColumnRenamed("term", "gram")
-        one = x.select("text_id", F.explode(grams(F.col("text"), n)).alias("gram"))
-        out = out.unionByName(one.join(keyed, "gram").select("term_id", "text_id"))
+        out = out.unionByName(grams(x, "text", n).join(keyed, "gram").select("term_id", "text_id"))
     return out.distinct()
 
 
