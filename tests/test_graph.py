@@ -1,7 +1,6 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from lawmesh.operators import answer, build, graph, paths, retrieve
 from lawmesh.operators.graph import Graph, as_edges, as_nodes
