@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-
 from lawmesh.llm.common import table
 
 
