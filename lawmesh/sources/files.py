@@ -120,6 +120,21 @@ def pdf_links(pages: DataFrame, source: str, html: str = "html", url: str = "url
     return links.where(F.contains(low, F.lit(".pdf")) & F.contains(low, F.lit(CRAWLS[source]))).select(whole.alias("url"), F.substring_index("href", "/", -1).alias("filename")).distinct()
 
 
+def links_by_source(pages: DataFrame, sources=tuple(CRAWLS), source: str = "source", **columns) -> DataFrame:
+    """source, url, filename: the PDF links of pages, each by the crawl of its source; pages of sources not asked for are passed over."""
+    out = None
+    for name in sources:
+        if name.lower() in CRAWLS:
+            one = pdf_links(pages.where(F.lower(source) == name.lower()), name.lower(), **columns).withColumn("source", F.lit(name.lower()))
+            out = one if out is None else out.unionByName(one)
+    return out.select("source", "url", "filename") if out is not None else pages.sparkSession.createDataFrame([], "source string, url string, filename string")
+
+
+def write_records(links: DataFrame, path: str, at: str) -> None:
+    """A record beside each landed file: source, url, filename, landed_at; one JSON line a file, by source."""
+    links.withColumn("landed_at", F.lit(at)).write.mode("overwrite").partitionBy("source").json(path)
+
+
 PARSERS = ("pdf", "html", "htm")
 
 
@@ -211,10 +226,15 @@ def clear_graph(spark: SparkSession, path: str) -> None:
     save_graph(Graph(spark.createDataFrame([], NODE), spark.createDataFrame([], EDGE)), path)
 
 
+def plain(df: DataFrame) -> DataFrame:
+    """df with all times as ISO text, for readers that know no others."""
+    return df.withColumns({f.name: F.date_format(f.name, "yyyy-MM-dd'T'HH:mm:ss") for f in df.schema if f.dataType.typeName() in ("timestamp", "timestamp_ntz", "date")})
+
+
 def export_graph(g: Graph, path: str) -> None:
-    """Nodes, relationships and their numbers as JSON; a graph without edges has a zero."""
-    write_json(g.nodes, f"{path}/nodes")
-    write_json(g.edges, f"{path}/relationships")
+    """Nodes, relationships and their numbers as JSON, times as text; a graph without edges has a zero."""
+    write_json(plain(g.nodes), f"{path}/nodes")
+    write_json(plain(g.edges), f"{path}/relationships")
     write_json(totals(g).withColumn("exported_at", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss")), f"{path}/metadata")
 
 

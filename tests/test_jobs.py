@@ -6,10 +6,11 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lawmesh.operators import answer, build, conflict, extract, graph, ingest, retrieve
+from lawmesh.operators import answer, build, conflict, extract, graph, ingest, paths, retrieve
 from lawmesh.operators.graph import Graph, as_edges, as_nodes
 from lawmesh.operators.store import small
 from lawmesh.plans import templates
+from lawmesh.plans.sample import sample_graph
 from lawmesh.schema import ENTITY
 from lawmesh.sources import files
 from tests.test_graph import entity, sample  # noqa: F401
@@ -194,3 +195,24 @@ def test_links_in_any_quotes(spark):
     page = "<a href='/x/a.pdf'>a</a><a href=\"b.pdf\">b</a><a href=c.PDF>c</a><a data-href='d.pdf'>d</a>"
     d = spark.createDataFrame([("http://h.org/p", page)], "url string, html string")
     assert {r.url for r in files.pdf_links(d, "mhra").collect()} == {"http://h.org/x/a.pdf", "http://h.org/b.pdf", "http://h.org/c.PDF"}
+
+
+def test_links_of_several_sources(spark, tmp_path):
+    rows = [("mhra", "http://h.org/p", "<a href='/x.pdf'>x</a>"), ("EU", "http://e.org/p", "<a href='/annex1.pdf'>x</a><a href='/other.pdf'>y</a>"), ("none", "http://n.org", "<a href='/z.pdf'>z</a>")]
+    d = spark.createDataFrame(rows, "source string, url string, html string")
+    got = files.links_by_source(d)
+    assert {tuple(r) for r in got.collect()} == {("mhra", "http://h.org/x.pdf", "x.pdf"), ("eu", "http://e.org/annex1.pdf", "annex1.pdf")}
+    assert files.links_by_source(d, ("mhra", "unknown")).count() == 1
+    files.write_records(got, str(tmp_path / "records"), AT)
+    assert {(r.source, r.landed_at) for r in spark.read.json(str(tmp_path / "records")).collect()} == {("mhra", AT), ("eu", AT)}
+
+
+def test_sample_graph(spark, tmp_path):
+    g = sample_graph(spark)
+    assert templates.requirements_for_process(g, "aseptic filling").count() == 3 and templates.search_requirements(g, "aseptic").count() == 3
+    assert {r.source for r in templates.related_requirements(g, "sample-req-001").collect()} == {"MHRA GMP 5.1.2", "MHRA GMP 5.1.3"}
+    assert templates.citation_context(g, "MHRA GMP").count() == 6
+    assert paths.shortest_path(g, "sample-req-001", "sample-req-002").first().nodes == ["sample-req-001", "sample-proc-001", "sample-req-002"]
+    assert [r.length for r in paths.all_paths(g, "sample-reg-001", "sample-proc-001", 4).collect()] == [4, 4, 4]
+    files.export_graph(Graph(graph.stamped(g.nodes, AT), g.edges), str(tmp_path / "x"))
+    assert {r.created_at for r in spark.read.option("inferTimestamp", False).json(str(tmp_path / "x" / "nodes")).collect()} == {AT.replace(" ", "T")}
