@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lawmesh.functions.text import CODE, EXEMPTION_WORDS, SUPERSEDES, node_id, strip
+from lawmesh.operators.automaton import search
 from lawmesh.operators.conflict import entity_conflicts
 from lawmesh.operators.graph import Graph, as_edges, as_nodes, keep_first, keep_last, stamped, upsert
-from lawmesh.operators.store import written
+from lawmesh.operators.store import small, written
 
 #: What is known of four sources.
 REGULATIONS = {
@@ -44,8 +45,13 @@ def entity_nodes(entities: DataFrame, label: str, digits: int = 8) -> DataFrame:
     return keep_last(nodes, "id") if label == "CrossReference" else keep_first(nodes, "id")
 
 
-def canonical(entities: DataFrame, label: str, digits: int = 8) -> DataFrame:
-    """Every entity of a label with the id of the node that stands for it, so that no edge is lost with a duplicate."""
+def canonical(entities: DataFrame, label: str, digits: int = 8, made: dict | None = None) -> DataFrame:
+    """Every entity of a label with the id of the node that stands for it, so that no edge is lost with a duplicate.
+
+    made: by label, what was made before and written, for rules that follow each other.
+    """
+    if made and label in made:
+        return made[label]
     made_of, unique = IDENTITY[label]
     e = flat(entities).where(F.col("entity_type") == label)
     own = node_id(F.lit(label), "source_doc", made_of, digits)
@@ -84,9 +90,29 @@ def directive_nodes(found: DataFrame) -> DataFrame:
     return as_nodes(keep_first(both, "directive_code"), id=F.concat(F.lit("regulation_directive_"), F.replace("directive_code", F.lit("/"), F.lit("_"))), label="Regulation", issued_by=issuer)
 
 
-def containing(terms: DataFrame, texts: DataFrame) -> DataFrame:
+def containing(terms: DataFrame, texts: DataFrame, most: int = 8 << 20, longest: int = 1 << 14) -> DataFrame:
     """(term_id, text_id) where a text contains a term, both in lower case; columns id, term and id, text.
 
+    Up to `most` bytes of distinct terms, none longer than `longest`, are put
+    into automata that go to the tasks, and each text is read once for each of
+    these (`automaton.search`): no row is made for what doesn't match. More
+    terms than that meet the texts by joins (`containing_by_join`). Both give
+    the same rows. Null or empty terms and null texts match nothing.
+    """
+    t = terms.select(F.col("id").alias("term_id"), F.lower("term").alias("term")).where("term <> ''")
+    distinct = t.select("term").distinct()
+    size = distinct.agg(F.sum(F.octet_length("term")).alias("bytes"), F.max(F.octet_length("term")).alias("longest")).first()
+    if not size["bytes"] or size["bytes"] > most or size["longest"] > longest:
+        return containing_by_join(terms, texts)
+    wanted = [r.term.encode() for r in distinct.toLocalIterator()]  # at most `most` bytes
+    found = search(wanted, texts.select(F.col("id").alias("text_id"), F.lower("text").alias("text")))
+    found = found.withColumn("text_id", F.col("text_id").cast(texts.schema["id"].dataType))
+    return found.join(small(t), "term").select("term_id", "text_id").distinct()
+
+
+def containing_by_join(terms: DataFrame, texts: DataFrame) -> DataFrame:
+    """`containing` for any number of terms.
+
     A text that contains a term of three white-space words or more contains
     its inner words as whole words: such terms are joined on their rarest inner
     word and then verified. The others have no inner word: they may begin and
@@ -132,29 +158,29 @@ def containing(terms: DataFrame, texts: DataFrame) -> DataFrame:
     return out.distinct()
 
 
-def applies_to(entities: DataFrame, digits: int = 8) -> DataFrame:
-    req, proc = canonical(entities, "Requirement", digits), canonical(entities, "Process", digits)
+def applies_to(entities: DataFrame, digits: int = 8, made: dict | None = None) -> DataFrame:
+    req, proc = canonical(entities, "Requirement", digits, made), canonical(entities, "Process", digits, made)
     texts = req.select("id", "text").unionByName(req.select("id", F.col("scope").alias("text")))
     hits = containing(proc.select("id", F.col("name").alias("term")).distinct(), texts)
     return as_edges(hits.select(F.col("text_id").alias("src"), F.col("term_id").alias("dst")), "APPLIES_TO")
 
 
-def defines(entities: DataFrame, digits: int = 8) -> DataFrame:
-    hits = containing(canonical(entities, "Definition", digits).select("id", "term").distinct(), canonical(entities, "Requirement", digits).select("id", "text"))
+def defines(entities: DataFrame, digits: int = 8, made: dict | None = None) -> DataFrame:
+    hits = containing(canonical(entities, "Definition", digits, made).select("id", "term").distinct(), canonical(entities, "Requirement", digits, made).select("id", "text"))
     return as_edges(hits.select(F.col("term_id").alias("src"), F.col("text_id").alias("dst")), "DEFINES")
 
 
-def requires(entities: DataFrame, digits: int = 8, keep_loops: bool = False) -> DataFrame:
+def requires(entities: DataFrame, digits: int = 8, keep_loops: bool = False, made: dict | None = None) -> DataFrame:
     """Requirements whose text holds the first 100 characters of another's, if these are more than 30."""
-    req = canonical(entities, "Requirement", digits)
+    req = canonical(entities, "Requirement", digits, made)
     parts = req.select("id", F.lower(F.substring("text", 1, 100)).alias("term")).where(F.length("term") > 30).distinct()
     hits = containing(parts, req.select("id", "text").distinct()).select(F.col("text_id").alias("src"), F.col("term_id").alias("dst"))
     return as_edges(hits if keep_loops else hits.where("src <> dst"), "REQUIRES")
 
 
-def exempt_from(entities: DataFrame, lexicon=EXEMPTION_WORDS, digits: int = 8) -> DataFrame:
+def exempt_from(entities: DataFrame, lexicon=EXEMPTION_WORDS, digits: int = 8, made: dict | None = None) -> DataFrame:
     """Exemptions and requirements that have a word of the lexicon in common, joined on it."""
-    having = lambda label, name: canonical(entities, label, digits).select(
+    having = lambda label, name: canonical(entities, label, digits, made).select(
         F.col("id").alias(name), F.explode(F.array(*(F.when(F.contains(F.lower("text"), F.lit(w)), w) for w in lexicon))).alias("word")
     ).where("word is not null").distinct()
     return as_edges(having("Exemption", "src").join(having("Requirement", "dst"), "word").select("src", "dst"), "EXEMPT_FROM")
@@ -166,10 +192,10 @@ def contains_by_source(nodes: DataFrame) -> DataFrame:
     return as_edges(reg.join(req, "source_doc"), "CONTAINS")
 
 
-def contains_by_name(entities: DataFrame, digits: int = 8) -> DataFrame:
+def contains_by_name(entities: DataFrame, digits: int = 8, made: dict | None = None) -> DataFrame:
     """Regulation entities and requirements whose sources name each other; decided between the few sources, then joined on them."""
-    reg = canonical(entities, "Regulation", digits).select(F.col("id").alias("src"), F.lower("source_doc").alias("a"), F.lower("name").alias("name"))
-    req = canonical(entities, "Requirement", digits).select(F.col("id").alias("dst"), F.lower("source_doc").alias("b"))
+    reg = canonical(entities, "Regulation", digits, made).select(F.col("id").alias("src"), F.lower("source_doc").alias("a"), F.lower("name").alias("name"))
+    req = canonical(entities, "Requirement", digits, made).select(F.col("id").alias("dst"), F.lower("source_doc").alias("b"))
     sources = req.select(F.col("b").alias("id"), F.col("b").alias("text")).distinct()
     left = containing(reg.select(F.col("a").alias("id"), F.col("a").alias("term")).distinct(), sources).select(F.col("term_id").alias("a"), F.col("text_id").alias("b"))
     right = containing(sources.select("id", F.col("text").alias("term")), reg.select(F.col("src").alias("id"), F.col("name").alias("text")))
@@ -177,7 +203,7 @@ def contains_by_name(entities: DataFrame, digits: int = 8) -> DataFrame:
     return as_edges(pairs.distinct().join(req, "b").select("src", "dst"), "CONTAINS")
 
 
-def supersedes(entities: DataFrame, nodes: DataFrame) -> DataFrame:
+def supersedes(entities: DataFrame, nodes: DataFrame, made: dict | None = None) -> DataFrame:
     """By wording in requirements, and by cross-references whose type says so."""
     reg = nodes.where("label = 'Regulation'").select("id", "name", "directive_code")
     found = supersessions(flat(entities).where("entity_type = 'Requirement'"))
@@ -188,7 +214,7 @@ def supersedes(entities: DataFrame, nodes: DataFrame) -> DataFrame:
     new, old = (of.select(F.col("term_id").alias(c), F.col("text_id").alias(n)) for c, n in (("new", "src"), ("old", "dst")))
     by_text = found.join(new, "new").join(old, "old").select("src", "dst", "evidence")
     cref = flat(entities).where("entity_type = 'CrossReference' and lower(reference_type) like '%supersede%'").select("source_doc", "target_doc").distinct()
-    names = canonical(entities, "Regulation").select("id", "name").distinct()
+    names = canonical(entities, "Regulation", made=made).select("id", "name").distinct()
     ends = cref.select(F.explode(F.array("source_doc", "target_doc")).alias("id")).where("id is not null").distinct()
     at = containing(ends.select("id", F.col("id").alias("term")), names.select("id", F.col("name").alias("text")))
     at = at.join(names.withColumnRenamed("id", "text_id"), "text_id").where(F.contains("name", F.col("term_id")))
@@ -219,8 +245,10 @@ def build_graph(entities: DataFrame, at: str | None = None) -> Graph:
     found = written(supersessions(flat(entities).where("entity_type = 'Requirement'")))
     nodes = upsert(nodes, directive_nodes(found), "id", on_create=True)
     nodes = written(stamped(nodes, at) if at else nodes)
+    made = {label: written(canonical(entities, label)) for label in IDENTITY if label != "CrossReference"}
     edges = contains_by_source(nodes)
-    for more in (contains_by_name(entities), applies_to(entities), defines(entities), requires(entities), exempt_from(entities), supersedes(entities, nodes), conflicts(entities)):
+    rules = (contains_by_name, applies_to, defines, requires, exempt_from)
+    for more in (*(rule(entities, made=made) for rule in rules), supersedes(entities, nodes, made), conflicts(entities)):
         edges = edges.unionByName(more)
     edges = written(edges).dropDuplicates(["src", "dst", "type"])
     ids = nodes.select("id")

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from lawmesh.operators import answer, build, graph, paths, retrieve
+from lawmesh.operators import answer, automaton, build, graph, paths, retrieve
 from lawmesh.operators.graph import Graph, as_edges, as_nodes
 from lawmesh.plans import templates
 from lawmesh.schema import ENTITY, NODE, PROPERTIES
@@ -73,6 +73,42 @@ def test_trails_against_a_walk(spark):
     assert sorted((x.length, x.at) for x in paths.dependencies(g, "n0", 3, 10**6).collect()) == want
 
 
+def test_paths_against_a_walk(spark):
+    r = random.Random(12)
+    rows = sorted({(f"n{r.randint(0, 11)}", f"n{r.randint(0, 11)}", r.choice(("REQUIRES", "REFERENCES"))) for _ in range(22)})
+    g = Graph(as_nodes(spark.createDataFrame([(f"n{i}", "Requirement") for i in range(13)], "id string, label string")), edges(spark, rows))
+    steps = [(i, a, b, k) for i, (a, b, k) in enumerate(rows)] + [(i, b, a, k) for i, (a, b, k) in enumerate(rows) if a != b]
+
+    def trails(nodes, used, types):
+        if used:
+            yield len(used), nodes, types
+        if len(used) < 4:
+            for i, a, b, k in steps:
+                if a == nodes[-1] and i not in used:
+                    yield from trails([*nodes, b], [*used, i], [*types, k])
+
+    every = {f"n{i}": sorted(trails([f"n{i}"], [], [])) for i in range(13)}
+    pairs = [(a, b) for a in every for b in every] + [("n0", "n1"), ("n0", None), ("n0", "nowhere")]
+    want = {(a, b): next(t for t in every[a] if t[1][-1] == b) for a in every for b in every if a != b and any(t[1][-1] == b for t in every[a])}
+    got = paths.shortest_paths(g, spark.createDataFrame(pairs, "start string, end string"), 4).collect()
+    assert {(x.start, x.end): (x.length, x.nodes, x.types) for x in got} == want and len(got) == len(want)
+    for limit, beam in ((5, 8), (7, 1), (40, 1)):
+        all_of = [(x.length, x.nodes, x.types) for x in paths.all_paths(g, "n0", "n5", 4, limit, beam).collect()]
+        assert all_of == [t for t in every["n0"] if t[1][-1] == "n5"][:limit]
+
+
+def test_paths_across_hubs(spark):
+    """Two hubs with 600 leaves each that join them: the trails of length 4 are the square of 600, the rows of the search are not."""
+    leaves = [(hub, f"{hub}{i}") for hub in ("a", "b") for i in range(600)]
+    rows = [(x, y, "REQUIRES") for x, y in leaves] + [(f"a{i}", f"m{i % 3}", "REFERENCES") for i in range(600)] + [(f"b{i}", f"m{i % 3}", "REFERENCES") for i in range(600)]
+    g = Graph(as_nodes(spark.createDataFrame([("a", "Requirement"), ("b", "Requirement")], "id string, label string")), edges(spark, rows))
+    p = paths.shortest_path(g, "a", "b", 4).first()
+    assert (p.length, p.nodes) == (4, ["a", "a0", "m0", "b0", "b"])
+    first = [x.nodes for x in paths.all_paths(g, "a", "b", 4, 10).collect()]
+    ends = sorted(f"b{i}" for i in range(0, 600, 3))
+    assert first == [["a", "a0", "m0", e, "b"] for e in ends[:10]]
+
+
 def test_containing_against_all_pairs(spark):
     r = random.Random(8)
     text = lambda n: "".join(r.choice("ab c") for _ in range(n))
@@ -81,6 +117,24 @@ def test_containing_against_all_pairs(spark):
     got = build.containing(spark.createDataFrame(terms, "id string, term string"), spark.createDataFrame(texts, "id string, text string"))
     want = {(i, j) for i, t in terms for j, x in texts if t and x is not None and t.lower() in x.lower()}
     assert {tuple(x) for x in got.collect()} == want
+    for frames in (lambda t, x: build.containing(t, x, most=0), lambda t, x: build.containing(t, x, longest=4)):  # by joins
+        assert {tuple(x) for x in frames(spark.createDataFrame(terms, "id string, term string"), spark.createDataFrame(texts, "id string, text string")).collect()} == want
+    plan = build.containing(spark.createDataFrame(terms, "id string, term string"), spark.createDataFrame(texts, "id string, text string"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan  # no row for each word or run of characters
+
+
+def test_automaton_against_all_pairs():
+    r = random.Random(4)
+    some = lambda n, signs: bytes(r.choice(signs) for _ in range(n))
+    for trial in range(60):
+        signs = b"ab" if trial % 2 else "abé日".encode()
+        terms = list({some(r.randint(1, 8), signs) for _ in range(r.randint(1, 30))})
+        texts = [some(r.randint(0, 60), signs + b"z") for _ in range(r.randint(1, 20))]
+        text, term = automaton.Automaton(terms).found(texts, stretch=r.choice((1, 7, 4096)))
+        assert set(zip(text.tolist(), term.tolist(), strict=True)) == {(i, j) for i, x in enumerate(texts) for j, y in enumerate(terms) if y in x}
+    assert [len(s) for s in automaton.shards([b"a" * n for n in (5, 1, 2, 900)], 8 * 4 * 128)] == [3, 1]
+    nested = automaton.Automaton([b"a", b"aa", b"aaa", b"ba"])
+    assert sorted(nested.found([b"baaa", b"", b"b"])[1].tolist()) == [0, 1, 2, 3]
 
 
 def entity(kind, text, source, ord, **p):
