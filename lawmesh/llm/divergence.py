@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections import Counter
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -17,43 +15,77 @@ BILLION = 1_000_000_000
 
 
 def fold_stripes(most: int):
-    """A step that folds whole documents into stripes and gives them out at the end, or earlier where there are over `most` counts."""
+    """A step that folds whole documents into stripes and gives them out at the end, or earlier where there are over `most` counts.
+
+    The stripes of a language are a hash of its terms to rows, the documents of
+    each row, and its counts by source as triples (row, source, count) that
+    are added up now and then. What a batch tells is counted in arrays.
+    """
 
     class Fold:
         def __init__(self):
-            self.stripes, self.size = {}, 0
+            self.clear()
+
+        def clear(self):
+            self.rows, self.sources, self.df, self.keys, self.counts, self.size = {}, {}, {}, [], [], 0
 
         def __call__(self, batch):
-            out = []
-            for lang, source, text in zip(*(batch.column(c).to_pylist() for c in ("lang", "source", "text")), strict=True):
-                of = self.stripes.setdefault(lang, {})
-                for term, n in Counter(text.translate(TERM_BYTES).split()).items():
-                    stripe = of.get(term)
-                    if stripe is None:
-                        of[term] = [1, {source: n}]
-                        self.size += 2
-                    else:
-                        stripe[0] += 1
-                        counts = stripe[1]
-                        if source in counts:
-                            counts[source] += n
-                        else:
-                            counts[source] = n
-                            self.size += 1
-                if self.size > most:
-                    out.append(self.finish())
-            return out
+            of = dict.fromkeys(langs := batch.column("lang").to_pylist())
+            sources, texts = batch.column("source").to_pylist(), batch.column("text").to_pylist()
+            for lang in of:
+                mine = [k for k, x in enumerate(langs) if x == lang]
+                self.add(lang, np.array([self.sources.setdefault(sources[k], len(self.sources)) for k in mine]), [texts[k].translate(TERM_BYTES) for k in mine])
+            if self.size > most:
+                self.add_up()
+                if self.size > most / 2:
+                    return self.finish()
+            return []
+
+        def add(self, lang, source, texts):
+            words = pa.array(b" \xff ".join([b"", *texts]).split(), pa.binary()).dictionary_encode()
+            names, ids = words.dictionary.to_pylist(), words.indices.to_numpy()
+            stop = names.index(b"\xff")
+            doc = np.cumsum(ids == stop) - 1
+            each, n = np.unique((doc * len(names) + ids)[ids != stop], return_counts=True)
+            doc, term = np.divmod(each, len(names))
+            rows = self.rows.setdefault(lang, {})
+            row = np.array([-1 if t == b"\xff" else rows.setdefault(t, len(rows)) for t in names])
+            df = self.df.get(lang, np.zeros(0, np.int64))
+            self.df[lang] = np.bincount(row[term], minlength=len(rows)) + np.pad(df, (0, len(rows) - len(df)))
+            key, n = summed(row[term] << 24 | source[doc], n)
+            self.keys.append((lang, key))
+            self.counts.append(n)
+            self.size += len(key)
+
+        def add_up(self):
+            by_lang = {lang: summed(*(np.concatenate(x) for x in zip(*((k, n) for (was, k), n in zip(self.keys, self.counts, strict=True) if was == lang), strict=True))) for lang in self.rows}
+            self.keys, self.counts = [(lang, k) for lang, (k, _) in by_lang.items()], [n for _, n in by_lang.values()]
+            self.size = sum(map(len, self.counts))
 
         def finish(self):
-            rows = [(lang, term.decode(), df, list(counts.items())) for lang, of in self.stripes.items() for term, (df, counts) in of.items()]
-            self.stripes, self.size = {}, 0
-            lang, term, df, stripe = zip(*rows, strict=True) if rows else ((), (), (), ())
-            return {"lang": lang, "term": term, "df": df, "stripe": [[{"source": s, "n": n} for s, n in x] for x in stripe]}
+            self.add_up()
+            names, out = pa.array(list(self.sources), pa.string()), []
+            for (lang, key), n in zip(self.keys, self.counts, strict=True):
+                if len(key):
+                    terms = [t.decode() for t in self.rows[lang]]
+                    starts = np.append(np.flatnonzero(np.diff(key >> 24, prepend=-1)), len(key)).astype(np.int32)
+                    stripe = pa.StructArray.from_arrays([names.take(pa.array(key & 0xFFFFFF)), pa.array(n)], ["source", "n"])
+                    out.append({"lang": pa.array([lang] * len(terms)), "term": pa.array(terms), "df": self.df[lang], "stripe": pa.ListArray.from_arrays(pa.array(starts), stripe)})
+            self.clear()
+            return out
 
     return Fold
 
 
-def merged_stripes(docs: DataFrame, most: int = 300_000) -> DataFrame:
+def summed(key, n):
+    """Each key once, with the sum of its numbers."""
+    order = np.argsort(key, kind="stable")
+    key, n = key[order], n[order]
+    first = np.flatnonzero(np.diff(key, prepend=-1))
+    return key[first], np.add.reduceat(n, first) if len(first) else n
+
+
+def merged_stripes(docs: DataFrame, most: int = 1_000_000) -> DataFrame:
     """lang, term, df, stripe: for each term of a language its documents and its count by source.
 
     A task gives at most one row for a term and source between spills, so the
