@@ -21,9 +21,14 @@ def shared_dir(spark: SparkSession) -> str:
     return spark._lawmesh_store
 
 
+def new_path(spark: SparkSession) -> str:
+    """A place in the shared folder that nothing has yet."""
+    return f"{shared_dir(spark)}/lawmesh-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame) -> DataFrame:
     """df as a Parquet table: what reads it again doesn't make it again, nor does losing an executor."""
-    path = f"{shared_dir(df.sparkSession)}/lawmesh-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

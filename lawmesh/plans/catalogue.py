@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lawmesh.functions import text as fn
-from lawmesh.operators import build, conflict, extract, graph, ingest, paths, retrieve
-from lawmesh.operators.answer import answer_all
+from lawmesh.operators import build, conflict, extract, fulltext, graph, ingest, merge, paths, retrieve
+from lawmesh.operators.store import new_path
 from lawmesh.plans import router, tables, templates
 from lawmesh.plans.tables import SQL, table
 from lawmesh.sources import files
@@ -105,7 +105,7 @@ SELECT array_to_string(list_transform(nodes, lambda x: t[x]), ' > ') AS dependen
 FROM best, (SELECT map_from_entries(list((id, text))) AS t, map_from_entries(list((id, citation_text))) AS c FROM nodes WHERE label = 'Requirement')"""
 )
 def dependency_chain(spark, sf):
-    return templates.dependency_chain(tables.graph(spark, sf), "urgent order 1", 300)
+    return templates.dependency_chain(tables.stored_graph(spark, sf), "urgent order 1", 300)
 
 
 @query(
@@ -115,7 +115,7 @@ def dependency_chain(spark, sf):
 WHERE n.label = 'Requirement' ORDER BY 1, 2, 3 LIMIT 2000"""
 )
 def related_requirements(spark, sf):
-    return templates.related_requirements(tables.graph(spark, sf), "o10", 2000)
+    return templates.related_requirements(tables.stored_graph(spark, sf), "o10", 2000)
 
 
 @query(
@@ -134,7 +134,7 @@ FROM nodes n LEFT JOIN (SELECT e.src, e.type, t.label, t.text FROM edges e JOIN
 WHERE n.citation_text = 'C7' OR n.source_doc = 'C7' GROUP BY 1, 2, 3 ORDER BY 1, 2, 3 LIMIT 100"""
 )
 def citation_context(spark, sf):
-    return templates.citation_context(tables.graph(spark, sf), "C7", 100)
+    return templates.citation_context(tables.stored_graph(spark, sf), "C7", 100)
 
 
 # ------------------------------------------------------------ counts and paths
@@ -177,7 +177,7 @@ def communities(spark, sf):
 FROM both_ways b JOIN nodes n ON b.dst = n.id WHERE b.src = 'p3' ORDER BY 1, 5 LIMIT 100"""
 )
 def neighbors(spark, sf):
-    return paths.neighbors(tables.graph(spark, sf), "p3", (), 100)
+    return paths.neighbors(tables.stored_graph(spark, sf), "p3", (), 100)
 
 
 ENDS = _walk("SELECT id FROM nodes WHERE id = 'c1'", "both_ways", 4)
@@ -185,12 +185,25 @@ ENDS = _walk("SELECT id FROM nodes WHERE id = 'c1'", "both_ways", 4)
 
 @query(SQL + ENDS + """SELECT array_to_string(nodes, '>') AS nodes, array_to_string(types, '>') AS types, CAST(length AS INTEGER) AS length FROM walks WHERE walks."at" = 'c2' ORDER BY walks.length, walks.nodes, walks.types LIMIT 1""")
 def shortest_path(spark, sf):
-    return joined(paths.shortest_path(tables.graph(spark, sf), "c1", "c2", 4), nodes=">", types=">")
+    return joined(paths.shortest_path(tables.stored_graph(spark, sf), "c1", "c2", 4), nodes=">", types=">")
+
+
+# a supplier reaches a region by an order, its customer and the customer's nation, and in no shorter way
+@query(
+    """WITH w AS (SELECT DISTINCT 's' || s_suppkey AS s, 'r' || n.n_regionkey AS r, ['s' || s_suppkey, 'o' || o_orderkey, 'c' || c_custkey, 'n' || c_nationkey, 'r' || n.n_regionkey] AS nodes
+  FROM supplier JOIN nation m ON s_nationkey = m.n_nationkey JOIN lineitem ON l_suppkey = s_suppkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation n ON c_nationkey = n.n_nationkey
+  WHERE n.n_regionkey = m.n_regionkey)
+SELECT s AS "start", r AS "end", array_to_string(min(nodes), '>') AS nodes, 'DEFINES>CONTAINS>CONTAINS>CONTAINS' AS types, 4 AS length FROM w GROUP BY s, r"""
+)
+def shortest_paths(spark, sf):
+    """From each supplier to the region of its nation."""
+    pairs = table(spark, sf, "supplier").join(table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.concat(F.lit("s"), "s_suppkey").alias("start"), F.concat(F.lit("r"), "n_regionkey").alias("end"))
+    return joined(paths.shortest_paths(tables.stored_graph(spark, sf), pairs, 4), nodes=">", types=">")
 
 
 @query(SQL + ENDS + """SELECT array_to_string(nodes, '>') AS nodes, array_to_string(types, '>') AS types, CAST(length AS INTEGER) AS length FROM walks WHERE walks."at" = 'c2' ORDER BY walks.length, walks.nodes, walks.types LIMIT 50""")
 def all_paths(spark, sf):
-    return joined(paths.all_paths(tables.graph(spark, sf), "c1", "c2", 4, 50), nodes=">", types=">")
+    return joined(paths.all_paths(tables.stored_graph(spark, sf), "c1", "c2", 4, 50), nodes=">", types=">")
 
 
 @query(
@@ -198,7 +211,7 @@ def all_paths(spark, sf):
     + """SELECT walks."start" AS start, walks."at" AS at, array_to_string(nodes, '>') AS nodes, array_to_string(types, '>') AS types, CAST(length AS INTEGER) AS length FROM walks ORDER BY walks.length, walks.nodes LIMIT 20"""
 )
 def dependencies(spark, sf):
-    return joined(paths.dependencies(tables.graph(spark, sf), "o3"), nodes=">", types=">")
+    return joined(paths.dependencies(tables.stored_graph(spark, sf), "o3"), nodes=">", types=">")
 
 
 @query(
@@ -206,7 +219,7 @@ def dependencies(spark, sf):
     + """SELECT walks."start" AS start, walks."at" AS at, array_to_string(nodes, '>') AS nodes, array_to_string(types, '>') AS types, CAST(length AS INTEGER) AS length FROM walks ORDER BY walks.length, walks.nodes LIMIT 500"""
 )
 def citation_chain(spark, sf):
-    return joined(paths.citation_chain(tables.graph(spark, sf), "R1", 3, 500, ("CONTAINS", "APPLIES_TO")), nodes=">", types=">")
+    return joined(paths.citation_chain(tables.stored_graph(spark, sf), "R1", 3, 500, ("CONTAINS", "APPLIES_TO")), nodes=">", types=">")
 
 
 # ------------------------------------------------------------ entities
@@ -222,6 +235,17 @@ def upsert_last(spark, sf):
     return graph.keep_last(table(spark, sf, "events").select("user_id", "event_id", "event_type", "value"), "user_id", "event_id")
 
 
+# the events as two batches, the later one over the earlier one
+@query("SELECT user_id, event_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k FROM events) WHERE k = 1")
+def upsert_stored(spark, sf):
+    rows = table(spark, sf, "events").select("user_id", "event_id", "event_type", "value")
+    half = rows.agg(F.max("event_id")).first()[0] // 2
+    kept = merge.stored(spark, new_path(spark), rows.schema, "user_id")
+    for batch in (rows.where(F.col("event_id") <= half), rows.where(F.col("event_id") > half)):
+        merge.upsert_stored(kept, batch, "event_id")
+    return kept.rows()
+
+
 @query(
     """SELECT doc_id AS ord, source AS source_chunk_id, lang AS entity_type FROM (SELECT *, row_number() OVER (PARTITION BY source, lang, substr(text, 1, 100) ORDER BY doc_id % 2, doc_id) AS k FROM documents) WHERE k = 1"""
 )
@@ -447,10 +471,10 @@ tf AS (SELECT term, doc_id, dl, count(*) AS tf FROM e WHERE term IN (TERMS) GROU
 
 @query(
     BM25.replace("TERMS", "'license', 'reserved.', 'the', 'rights'")
-    + " SELECT doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / a))), 6) AS score FROM tf JOIN df USING (term), s GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT 50"
+    + " SELECT doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / a))), 6) AS score FROM tf JOIN df USING (term), s GROUP BY doc_id ORDER BY score DESC, CAST(doc_id AS VARCHAR) LIMIT 50"
 )
 def keyword_bm25(spark, sf):
-    return retrieve.keyword_top(table(spark, sf, "documents"), "the license rights reserved.?", 50, key="doc_id")
+    return fulltext.search(_indexed(spark, sf), "the license rights reserved.?", 50).select(F.col("id").cast("long").alias("doc_id"), "score")
 
 
 @query(
@@ -460,9 +484,43 @@ def keyword_bm25(spark, sf):
 SELECT query_id, CAST(doc_id AS VARCHAR) AS node_id, score, CAST(k AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, CAST(doc_id AS VARCHAR)) AS k FROM r) WHERE k <= 5"""
 )
 def batch_retrieval(spark, sf):
-    nodes = graph.as_nodes(table(spark, sf, "documents"), id=F.col("doc_id").cast("string"), label="Requirement", text=F.coalesce("text", F.lit("")))
-    g = graph.Graph(nodes, nodes.select(F.lit("").alias("src")).limit(0))
-    return answer_all(g, table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query")), 5)
+    found = fulltext.search_all(_indexed(spark, sf), table(spark, sf, "benchmark"), 5, key="item_id", text="text")
+    return found.select(F.col("item_id").alias("query_id"), F.col("id").alias("node_id"), "score", "rank")
+
+
+_indexes: dict = {}
+
+
+def _indexed(spark, sf):
+    """The documents' full-text index: two segments, written once for a session and the table as it is now."""
+    docs = table(spark, sf, "documents")
+    key = (spark.sparkContext.applicationId, sf, docs.select(F.max("_metadata.file_modification_time")).first()[0])
+    if key not in _indexes:
+        path, odd = new_path(spark), F.pmod("doc_id", F.lit(2)) == 1
+        fulltext.add(docs.where(~odd), path, "doc_id")
+        fulltext.add(docs.where(odd), path, "doc_id")
+        _indexes.clear()
+        _indexes[key] = path
+    return fulltext.load(spark, _indexes[key])
+
+
+#: DuckDB counts edits in bytes: letters beyond ASCII become capitals, which no word in lower case has.
+ONE_BYTE = "translate({}, 'àâäáçéèêëîïíìñôöóòùûüúßœæ¿¡', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ#')"
+
+
+# questions in words that the turns may have in another spelling
+@query(
+    rf"""WITH a AS (SELECT item_id, unnest(list_distinct(list_filter(string_split_regex(lower(replace(text, '?', '')), '\s+'), lambda t: length(t) > 2))) AS asked FROM benchmark),
+d AS (SELECT conv_id || '-' || turn AS id, list_filter(string_split_regex(lower(text), '\s+'), lambda s: s <> '') AS w FROM conversations), e AS (SELECT id, len(w) AS dl, unnest(w) AS term FROM d), s AS (SELECT count(*)::DOUBLE AS n, avg(len(w)) AS a FROM d),
+near AS (SELECT a.asked, v.term FROM (SELECT DISTINCT asked FROM a) a JOIN (SELECT DISTINCT term FROM e) v ON abs(length(a.asked) - length(v.term)) <= 1 AND levenshtein({ONE_BYTE.format('a.asked')}, {ONE_BYTE.format('v.term')}) <= 1),
+q AS (SELECT DISTINCT item_id, term FROM a JOIN near USING (asked)), tf AS (SELECT term, id, dl, count(*) AS tf FROM e GROUP BY 1, 2, 3), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+r AS (SELECT item_id, id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / a))), 6) AS score FROM tf JOIN df USING (term) JOIN q USING (term), s GROUP BY 1, 2)
+SELECT item_id, id, score, CAST(k AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, id) AS k FROM r) WHERE k <= 5"""
+)
+def fuzzy_batch(spark, sf):
+    path = new_path(spark)
+    fulltext.add(table(spark, sf, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("id"), "text"), path)
+    return fulltext.search_all(fulltext.load(spark, path), table(spark, sf, "benchmark"), 5, 1, "item_id", "text")
 
 
 @query("SELECT CAST(doc_id AS VARCHAR) AS id, source AS source_doc, 0.8::DOUBLE AS score FROM documents WHERE contains(lower(source), 'src1') OR contains(lower(source), 'src12') ORDER BY id LIMIT 100")
@@ -479,7 +537,7 @@ SELECT dst AS id, label, round(max(score) * 0.7, 6) AS score FROM n JOIN nodes O
 )
 def graph_expand(spark, sf):
     seeds = spark.createDataFrame([("o1", 0.9), ("o2", 0.8), ("p3", 0.7)], "node_id string, relevance_score double")
-    return retrieve.expand(tables.graph(spark, sf), seeds).select("id", "label", F.round("score", 6).alias("score"))
+    return retrieve.expand(tables.stored_graph(spark, sf), seeds).select("id", "label", F.round("score", 6).alias("score"))
 
 
 @query(

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lawmesh.operators.graph import Graph, as_edges, as_nodes
+from lawmesh.operators.store import new_path
 from lawmesh.schema import PROPERTIES
+from lawmesh.sources.files import load_graph, save_graph
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +60,20 @@ def graph(spark: SparkSession, sf_dir: str) -> Graph:
     return Graph(nodes, edges)
 
 
+_stored: dict = {}
+
+
+def stored_graph(spark: SparkSession, sf_dir: str) -> Graph:
+    """`graph` saved by label and type in the shared folder, once for a session and the files as they are now; paths and neighbours read that."""
+    key = (spark.sparkContext.applicationId, sf_dir, *(table(spark, sf_dir, n).select(F.max("_metadata.file_modification_time")).first()[0] for n in ("orders", "lineitem")))
+    if key not in _stored:
+        path = new_path(spark)
+        save_graph(graph(spark, sf_dir), path)
+        _stored.clear()
+        _stored[key] = path
+    return load_graph(spark, _stored[key])
+
+
 SQL = """
 WITH nodes AS (
   SELECT 'o' || o_orderkey AS id, 'Requirement' AS label, NULL AS name, NULL AS term, o_orderpriority || ' order ' || o_orderkey AS text, 'C' || o_custkey AS source_doc,
