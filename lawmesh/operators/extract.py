@@ -34,40 +34,46 @@ def without_fence(c):
     return F.when(F.contains(c, F.lit("```")), inside).otherwise(c)
 
 
+BODY = r"""[^"\\\x00-\x1f]*(?:\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4})[^"\\\x00-\x1f]*)*"""
+#: A string, a number or word, or a sign of a JSON text, with the white space before it.
+TOKEN = re.compile(rf"""[ \t\n\r]*(?:(?P<string>"{BODY}")|(?P<word>(?:-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][-+]?[0-9]+)?|true|false|null|NaN|-?Infinity)(?![\w.+-]))|(?P<sign>[][{{}},:]))""")
+CUT = re.compile(rf"""[ \t\n\r]*("{BODY})\Z""")
+
+
 def repaired(text: str | None) -> str | None:
     """A JSON text that breaks off, closed behind its last whole value; null if nothing can be read.
 
-    One pass notes, at each sign between values, what closes the text there;
-    then the latest of these places that reads counts.
+    One pass over its tokens with a stack of what is open; it remembers the
+    last place where all that could be closed. At the first token that can't
+    stand where it is, or at the end, the text is cut there and closed; a
+    string that the end cuts is closed too, if it is a value.
     """
     if not text:
         return None
-    cut = text.rstrip()
-    stack, quoted, escaped = [], False, False
-    places = []  # where the text may be cut, and how it is closed there
-    for i, c in enumerate(cut):
-        if quoted:
-            escaped, quoted = (c == "\\" and not escaped), not (c == '"' and not escaped)
-        elif c == '"':
-            quoted = True
-        elif c in "[{":
-            stack.append("]" if c == "[" else "}")
-            places.append((i + 1, "".join(reversed(stack))))
-        elif c in "]}":
-            if stack:
-                stack.pop()
-            places.append((i + 1, "".join(reversed(stack))))
-        elif c == ",":
-            places.append((i, "".join(reversed(stack))))
-    places.append((len(cut), ('"' if quoted else "") + "".join(reversed(stack))))
-    for at, closing in reversed(places):
-        whole = re.sub(r"[,:\s]+\Z", "", cut[:at]) + closing
-        try:
-            json.loads(whole)
-            return whole
-        except ValueError:
-            continue
-    return None
+    text = text.rstrip()
+    open_, awaits, at, good = [], "value", 0, None
+    while m := TOKEN.match(text, at):
+        kind, at = m.lastgroup, m.end()
+        sign = m[kind] if kind == "sign" else ""
+        if awaits in ("value", "first value") and (kind != "sign" or sign in "[{"):
+            if sign:
+                open_.append("]" if sign == "[" else "}")
+            awaits, good = {"[": "first value", "{": "first key"}.get(sign, "after"), at
+        elif awaits in ("key", "first key") and kind == "string":
+            awaits = "colon"
+        elif awaits == "colon" and sign == ":":
+            awaits = "value"
+        elif open_ and sign == open_[-1] and awaits in ("after", "first value", "first key"):
+            open_.pop()
+            awaits, good = "after", at
+        elif open_ and awaits == "after" and sign == ",":
+            awaits = "value" if open_[-1] == "]" else "key"
+        else:
+            return text[:good] + "".join(reversed(open_)) if good else None
+    cut = CUT.match(text, at) if awaits in ("value", "first value") else None
+    if cut:
+        return re.sub(r"[,:\s]+\Z", "", text) + '"' + "".join(reversed(open_))
+    return text[:good] + "".join(reversed(open_)) if good else None
 
 
 @F.pandas_udf(StringType())

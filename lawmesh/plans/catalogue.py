@@ -594,7 +594,7 @@ def html_title(spark, sf):
 
 
 def _without(html: str) -> str:
-    for tag in files.DROPPED:
+    for tag in ("script", "style", "nav", "header", "footer"):
         html = f"regexp_replace({html}, '(?is)<{tag}[ >].*?</{tag}>', '<i>', 'g')"
     return f"regexp_replace({html}, '(?s)<!--.*?-->', '<i>', 'g')"
 
@@ -605,10 +605,11 @@ def _unescaped(text: str) -> str:
     return text
 
 
+# behind each page's h1 a <p> stays open to the end of the article: the one sibling, with all texts of it in one
 @query(
-    f"""WITH b AS (SELECT page_id, html, {_without("html")} AS b FROM pages), h AS (SELECT page_id, html, regexp_extract(b, '(?is)<h1[^>]*>(.*?)</h1>', 1) AS h, regexp_extract(b, '(?is)</h1>(.*)$', 1) AS rest FROM b)
+    f"""WITH b AS (SELECT page_id, html, {_without("html")} AS b FROM pages), h AS (SELECT page_id, html, regexp_extract(b, '(?is)<h1[^>]*>(.*?)</h1>', 1) AS h, regexp_extract(b, '(?is)</h1>(.*?)</article>', 1) AS rest FROM b)
 SELECT page_id, {_unescaped("trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1))")} AS title, 'section_1' AS section_id, {_unescaped("trim(h)")} AS heading,
-  array_to_string(list_filter(list_transform(string_split_regex(rest, '<[^>]*>'), lambda x: {STRIPPED.format(_unescaped("x"))}), lambda x: x <> ''), chr(10)) AS content, CAST(1 AS INTEGER) AS level FROM h"""
+  array_to_string(list_filter(list_transform(string_split_regex(rest, '<[^>]*>'), lambda x: {STRIPPED.format(_unescaped("x"))}), lambda x: x <> ''), '') AS content, CAST(1 AS INTEGER) AS level FROM h"""
 )
 def html_sections(spark, sf):
     parsed = files.parse_html(table(spark, sf, "pages"))

@@ -76,11 +76,6 @@ def plan(question: str, **given) -> tuple[str, dict]:
     return match_template(question, **given) or ("search_requirements", given | {"search_term": question, "limit": given.get("limit", 20)})
 
 
-def balanced(query: str) -> bool:
-    """A rough check of a written graph query: brackets in equal numbers, and a clause that does something."""
-    return all(query.count(a) == query.count(b) for a, b in ("()", "[]", "{}")) and any(k in query.upper() for k in ("MATCH", "CREATE", "MERGE"))
-
-
 def classify(questions: DataFrame, column: str = "query", provider=None) -> DataFrame:
     """query_type, top_k and node_focus for each question; a provider's answer outside the kinds is complex."""
     low = F.lower(column)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -16,71 +17,98 @@ from lawmesh.schema import CHUNK, EDGE, ENTITY, NODE, PARSED
 
 DROPPED = ("script", "style", "nav", "header", "footer")
 HEADING = ("h1", "h2", "h3", "h4", "h5", "h6")
+#: Elements that have no end tag.
+EMPTY = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr")
 #: By source: what a link's path must have beside .pdf.
 CRAWLS = {"mhra": "", "eu": "annex", "uk": "", "ich": "quality"}
 
 
-class Sections(HTMLParser):
-    """Title, text and sections between headings; what is in dropped elements goes."""
+class Tree(HTMLParser):
+    """A page's elements with their parents, children and order, in one pass over its tags.
 
-    def __init__(self):
+    An end tag closes the last open element of its name and what is open in
+    that; one without such an element closes nothing. Elements lie in lists by
+    number, texts in the order of the page, so that an element's whole text is
+    a run of them. What is in dropped elements has no texts.
+    """
+
+    def __init__(self, page: str):
         super().__init__(convert_charrefs=True)
-        self.off, self.at, self.title, self.h1 = 0, None, "", ""
-        self.sections, self.lines = [], []
+        self.tags, self.parents, self.children, self.dropped, self.runs = [""], [0], [[]], [False], [[0, 0]]
+        self.texts, self.waiting, self.open, self.number = [], [], [0], Counter()
+        self.feed(page)
+        self.close()
+        self.told()
+        while self.open:
+            self.shut()
+
+    def told(self):
+        """The data since the last tag is one text, less white space at its ends."""
+        text = "".join(self.waiting).strip()
+        self.waiting = []
+        if text and not self.dropped[self.open[-1]]:
+            self.children[self.open[-1]].append((None, len(self.texts)))
+            self.texts.append(text)
+
+    def shut(self):
+        last = self.open.pop()
+        self.number[self.tags[last]] -= 1
+        self.runs[last][1] = len(self.texts)
 
     def handle_starttag(self, tag, attrs):
-        if tag in DROPPED:
-            self.off += 1
-        elif tag in HEADING or tag == "title":
-            self.at = tag
-            if tag in HEADING and not self.off:
-                self.sections.append([tag, "", []])
+        self.told()
+        parent, new = self.open[-1], len(self.tags)
+        self.tags.append(tag)
+        self.parents.append((parent, len(self.children[parent])))
+        self.children[parent].append((new, None))
+        self.children.append([])
+        self.dropped.append(self.dropped[parent] or tag in DROPPED)
+        self.runs.append([len(self.texts), len(self.texts)])
+        if tag not in EMPTY:
+            self.open.append(new)
+            self.number[tag] += 1
 
     def handle_endtag(self, tag):
-        if tag in DROPPED:
-            self.off = max(0, self.off - 1)
-        elif tag == self.at:
-            self.at = None
+        self.told()
+        if self.number[tag] > 0:
+            while self.tags[self.open[-1]] != tag:
+                self.shut()
+            self.shut()
 
     def handle_data(self, data):
-        data = data.strip()
-        if not data:
-            return
-        if self.at == "title":
-            self.title = f"{self.title} {data}".strip()
-            return
-        if self.off:
-            return
-        self.lines.append(data)
-        if self.at in HEADING and self.sections:
-            self.sections[-1][1] = f"{self.sections[-1][1]} {data}".strip()
-            if self.at == "h1":
-                self.h1 = self.h1 or self.sections[-1][1]
-        elif self.sections:
-            self.sections[-1][2].append(data)
+        self.waiting.append(data)
 
+    def handle_comment(self, data):
+        self.told()
 
-def parsed_html(page: str | None) -> dict:
-    p = Sections()
-    p.feed(page or "")
-    text = "\n".join(p.lines)
-    found = [{"section_id": f"section_{i}", "heading": h, "content": "\n".join(c), "level": int(tag[1]), "page_num": None} for i, (tag, h, c) in enumerate(p.sections, 1)]
-    whole = [{"section_id": "section_1", "heading": "Full Document", "content": text, "level": 1, "page_num": None}]
-    return {"title": p.title or p.h1 or "Unknown", "full_text": text, "sections": found or whole, "num_pages": None, "error": None}
+    def text(self, element: int) -> str:
+        return "".join(self.texts[slice(*self.runs[element])])
 
+    def sections(self) -> list[tuple[int, str, list[str]]]:
+        """(level, heading, texts): with each heading the siblings that follow it, up to the next heading if that is one of them."""
+        found = [k for k, tag in enumerate(self.tags) if tag in HEADING and not self.dropped[k]]
+        out = []
+        for k, following in zip(found, [*found[1:], None], strict=True):
+            parent, at = self.parents[k]
+            texts = []
+            for element, text in self.children[parent][at + 1 :]:
+                if element is not None and element == following:
+                    break
+                texts.append(self.texts[text] if element is None else self.text(element))
+            out.append((int(self.tags[k][1]), self.text(k), [t for t in texts if t]))
+        return out
 
-def parsed_pdf(data: bytes) -> dict:
-    """With pypdf where it is installed; else an error record."""
-    try:
-        from io import BytesIO
 
-        from pypdf import PdfReader
-    except ImportError:
-        return {"title": None, "full_text": "", "sections": [], "num_pages": None, "error": "Failed to parse document: pypdf isn't installed"}
-    reader = PdfReader(BytesIO(data))
-    text = "\n".join(page.extract_text() or "" for page in reader.pages)
-    first = next((s.strip() for s in text.splitlines() if s.strip()), "Unknown")
-    return {"title": (reader.metadata or {}).get("/Title") or first[:100], "full_text": text, "sections": [], "num_pages": len(reader.pages), "error": None}
+def parsed_html(page: str | None) -> dict:
+    tree = Tree(page or "")
+    sections = tree.sections()
+    titles = [k for k, tag in enumerate(tree.tags) if tag == "title"]
+    title = next((t for t in map(tree.text, titles) if t), "") or next((h for level, h, _ in sections if level == 1 and h), "") or "Unknown"
+    of_titles = {n for k in titles for n in range(*tree.runs[k])}
+    text = "\n".join(t for n, t in enumerate(tree.texts) if n not in of_titles)
+    found = [{"section_id": f"section_{i}", "heading": h, "content": "\n".join(c), "level": level, "page_num": None} for i, (level, h, c) in enumerate(sections, 1)]
+    whole = [{"section_id": "section_1", "heading": "Full Document", "content": text, "level": 1, "page_num": None}]
+    return {"title": title, "full_text": text, "sections": found or whole, "num_pages": None, "error": None}
 
 
 PARSED_ROW = "title string, full_text string, sections array<struct<section_id: string, heading: string, content: string, level: int, page_num: int>>, num_pages int, error string"
@@ -135,35 +163,33 @@ def write_records(links: DataFrame, path: str, at: str) -> None:
     links.withColumn("landed_at", F.lit(at)).write.mode("overwrite").partitionBy("source").json(path)
 
 
-PARSERS = ("pdf", "html", "htm")
+#: Kinds of files that are read, and how their names end in any case.
+PARSERS = ("html", "htm")
+NAMED = "*.[hH][tT][mM]{,[lL]}"
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """filepath, filename, doc_id, title, full_text, sections, num_pages, error, source of all pdf, html and htm files below a path.
+    """filepath, filename, doc_id, title, full_text, sections, num_pages, error, source of all files below a path.
 
-    Other files have rows with an error; they are listed, not read. The text
-    of PDFs is parted by its headings, a page's sections are those of its tags.
+    Of html and htm files the content is read; the others are listed without
+    theirs, whatever its size, and have rows with an error. The text of a page
+    without headings is parted by those in its lines.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    ext = F.lower(F.substring_index("path", ".", -1))
-    named = lambda df: df.select(F.col("path").alias("filepath"), F.substring_index("path", "/", -1).alias("filename"), ext.alias("ext"), *(c for c in ("content",) if c in df.columns))
-    others = named(files.select("path")).where(~F.col("ext").isin(*PARSERS))
-    files = named(files.where(ext.isin(*PARSERS)))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    named = lambda df, *more: df.select(F.col("path").alias("filepath"), F.substring_index("path", "/", -1).alias("filename"), F.lower(F.substring_index("path", ".", -1)).alias("ext"), *more)
+    others = named(files.load(path)).where(~F.col("ext").isin(*PARSERS))
 
     def run(batches):
         for pdf in batches:
             rows = []
-            for kind, data in zip(pdf["ext"], pdf["content"], strict=True):
+            for data in pdf["content"]:
                 try:
-                    if kind in ("html", "htm"):
-                        rows.append(parsed_html(bytes(data).decode("utf-8", "replace")))
-                    else:
-                        rows.append(parsed_pdf(bytes(data)))
+                    rows.append(parsed_html(bytes(data).decode("utf-8", "replace")))
                 except Exception as e:  # becomes the row's error
                     rows.append({"title": None, "full_text": "", "sections": [], "num_pages": None, "error": f"Failed to parse document: {e}"})
             yield pd.concat([pdf[["filepath", "filename"]].reset_index(drop=True), pd.DataFrame(rows)], axis=1)
 
-    read = files.mapInPandas(run, f"filepath string, filename string, {PARSED_ROW}")
+    read = named(files.option("pathGlobFilter", NAMED).load(path), "content").mapInPandas(run, f"filepath string, filename string, {PARSED_ROW}")
     error = F.concat(F.lit("Failed to parse document: no parser for ."), "ext")
     read = read.unionByName(others.select("filepath", "filename", F.lit("").alias("full_text"), error.alias("error")), allowMissingColumns=True)
     return read.withColumns({"source": source_of_path("filepath"), "doc_id": document_id("filename")})
@@ -222,10 +248,6 @@ def load_graph(spark: SparkSession, path: str) -> Graph:
     return Graph(spark.read.schema(NODE).parquet(f"{path}/nodes"), spark.read.schema(EDGE).parquet(f"{path}/edges"))
 
 
-def clear_graph(spark: SparkSession, path: str) -> None:
-    save_graph(Graph(spark.createDataFrame([], NODE), spark.createDataFrame([], EDGE)), path)
-
-
 def plain(df: DataFrame) -> DataFrame:
     """df with all times as ISO text, for readers that know no others."""
     return df.withColumns({f.name: F.date_format(f.name, "yyyy-MM-dd'T'HH:mm:ss") for f in df.schema if f.dataType.typeName() in ("timestamp", "timestamp_ntz", "date")})
@@ -236,12 +258,3 @@ def export_graph(g: Graph, path: str) -> None:
     write_json(plain(g.nodes), f"{path}/nodes")
     write_json(plain(g.edges), f"{path}/relationships")
     write_json(totals(g).withColumn("exported_at", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss")), f"{path}/metadata")
-
-
-def run_query(spark: SparkSession, sql: str, parameters: dict | None = None, **frames: DataFrame) -> DataFrame:
-    """A parameterised query over frames; values are bound, never pasted."""
-    return spark.sql(sql, args=parameters or {}, **frames)
-
-
-def healthy(spark: SparkSession) -> bool:
-    return spark.range(1).count() == 1

@@ -120,7 +120,6 @@ def test_template_matching(question, want):
 def test_routing(spark):
     assert router.parameters('find "cold chain" in eu gmp') == {"keyword": "cold chain", "source_doc": "eu gmp"}
     assert router.plan("anything else")[0] == "search_requirements"
-    assert router.balanced("MATCH (a) RETURN a") and not router.balanced("MATCH (a RETURN a") and not router.balanced("RETURN 1")
     q = spark.createDataFrame([("What is aseptic filling?",), ("Are there exemptions?",), ("hm",)], "query string")
     got = {r.query: (r.query_type, r.top_k, r.node_focus) for r in router.classify(q).collect()}
     assert got["What is aseptic filling?"] == ("definition", 3, ["Definition", "Process"])
@@ -148,12 +147,30 @@ def test_resume_and_merge(spark):
 
 def test_html_files(spark, tmp_path):
     (tmp_path / "eu_gmp").mkdir()
-    (tmp_path / "eu_gmp" / "a.html").write_text("<html><head><title>Tí</title></head><body><nav>n</nav><h1>One</h1><p>x<p>y<h2>Two</h2>z</body></html>")
+    (tmp_path / "eu_gmp" / "a.html").write_text("<html><head><title>Tí</title></head><body><nav>n</nav><h1>One</h1><p>x</p><p>y</p><h2>Two</h2>z</body></html>")
     (tmp_path / "eu_gmp" / "b.txt").write_text("?")
     (tmp_path / "c.pdf").write_bytes(b"%PDF-1.4")
     got = {r.filename: r for r in files.read_documents(spark, str(tmp_path)).collect()}
     assert (got["a.html"].title, got["a.html"].source, [(s.heading, s.content, s.level) for s in got["a.html"].sections]) == ("Tí", "EU GMP", [("One", "x\ny", 1), ("Two", "z", 2)])
     assert got["b.txt"].error and got["c.pdf"].error
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", 300)
+    (tmp_path / "large.bin").write_bytes(b"x" * 1000)
+    got = {r.filename: r for r in files.read_documents(spark, str(tmp_path)).collect()}
+    spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+    assert got["large.bin"].error.endswith(".bin") and got["a.html"].title == "Tí"
+
+
+def test_sections_are_the_siblings_of_headings():
+    def of(page):
+        return [(s["heading"], s["content"], s["level"]) for s in files.parsed_html(page)["sections"]]
+
+    assert of("<div><h1>A</h1><p>one <b>two</b> three</p></div><p>outside</p>") == [("A", "onetwothree", 1)]
+    assert of("<h1>A</h1>x<!-- c -->y<p> z </p><div>u<h2>B <i>b</i></h2>v</div>w<h3>C</h3><script>s</script>") == [("A", "x\ny\nz\nuBbv\nw\nC", 1), ("Bb", "v", 2), ("C", "", 3)]
+    assert of("<nav><h1>N</h1></nav><p>a<p>b<h2>T</h2>c</p>d") == [("T", "c", 2)]
+    assert of("<h1>A</h1></p></div><br>x<h1>A</h1>y") == [("A", "x", 1), ("A", "y", 1)]
+    assert of("a<b>c</b> d") == [("Full Document", "a\nc\nd", 1)] and of("") == [("Full Document", "", 1)] and files.parsed_html(None)["title"] == "Unknown"
+    deep = files.parsed_html("<p>" * 20000 + "<h1>A</h1>b" + "</i>" * 20000)
+    assert [s["content"] for s in deep["sections"]] == ["b"]
 
 
 def test_links(spark):

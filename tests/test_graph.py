@@ -179,10 +179,6 @@ def test_files(spark, sample, tmp_path):
     assert files.load_graph(spark, str(tmp_path / "g")).nodes.count() == 7
     files.export_graph(sample, str(tmp_path / "x"))
     assert spark.read.json(str(tmp_path / "x" / "metadata")).first().total_relationships == 8
-    files.clear_graph(spark, str(tmp_path / "g"))
-    assert files.load_graph(spark, str(tmp_path / "g")).edges.count() == 0
-    assert files.run_query(spark, "SELECT id FROM {n} WHERE label = :label", {"label": "Process"}, n=sample.nodes).first()[0] == "proc"
-    assert files.healthy(spark)
 
 
 def test_retrieval_and_answer(spark, sample):

@@ -2,6 +2,8 @@
 
 import json
 import random
+import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -102,6 +104,45 @@ def test_repair_is_quick_and_keeps_whole_values():
     got = json.loads(extract.repaired('{"requirements": [' + items + ', {"text": "cut o'))
     assert len(got["requirements"]) >= 4000
     assert extract.repaired("nothing") is None and extract.repaired('{"a": [1, 2') == '{"a": [1, 2]}'
+    took = []
+    for n in (20_000, 40_000):
+        behind = '{"requirements": [{"text": bad}, ' + ", ".join(['{"text": "t"}'] * n)
+        began = time.time()
+        assert extract.repaired(behind) == '{"requirements": [{}]}'
+        whole = '{"requirements": [' + ", ".join(['{"text": "t"}'] * n) + ', {"text": bad}, {"text": "u"'
+        assert len(json.loads(extract.repaired(whole))["requirements"]) == n + 1
+        took.append(time.time() - began)
+    assert took[1] < 4 * took[0] + 0.5  # linear
+
+
+def test_repair_closes_every_beginning_of_a_text():
+    """Any cut of a text is closed as the longest of its beginnings that can be."""
+    text = json.dumps({"a": [1, -2.5e3, {"b": 'x\\ "y", z: ', "c": [], "d": {}}, None, True], "é\u00e9": "\\n", "e": ["p,q", []]}) + " tail"
+    for n in range(len(text) + 1):
+        cut = text[:n].rstrip()
+        best = None
+        for at in range(len(cut) + 1):
+            closing, quoted, escaped = [], False, False
+            for c in cut[:at]:
+                if quoted:
+                    escaped, quoted = (c == "\\" and not escaped), not (c == '"' and not escaped)
+                elif c == '"':
+                    quoted = True
+                elif c in "[{":
+                    closing.append("]" if c == "[" else "}")
+                elif c in "]}":
+                    closing.pop()
+            if quoted and at < len(cut):
+                continue
+            one = re.sub(r"[,:\s]+\Z", "", cut[:at]) + ('"' if quoted else "") + "".join(reversed(closing))
+            if not quoted and re.search(r"[\w.+-]\Z", cut[:at]) and re.match(r"[\w.+-]", cut[at:]):
+                continue  # within a number or word
+            try:
+                best = json.loads(one)
+            except ValueError:
+                continue
+        got = extract.repaired(text[:n])
+        assert (json.loads(got) if got else None) == best, text[:n]
 
 
 def test_models_are_compared(spark):
