@@ -118,6 +118,8 @@ class Words:
         import regex
 
         said = json.loads(spec)
+        # texts with the string of an added token, in any case, go to the tokenizer whole, which knows when it is one
+        self.added = "(?i)" + "|".join(re.escape(t["content"]) for t in said.get("added_tokens", []) if t["content"]) if said.get("added_tokens") else "[^\\x00-\\x{10ffff}]"
         steps = [n["type"] for n in (said.get("normalizer") or {}).get("normalizers", [])]
         parting = ((said.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
         pattern = parting.get("pattern", {}).get("Regex") if parting.get("behavior") == "Removed" and parting.get("invert") else None
@@ -163,7 +165,7 @@ class Words:
         only these, and ids are gathered by their numbers.
         """
         texts = pc.fill_null(texts, "")
-        odd = pc.match_substring_regex(texts, ODD_SPACE)
+        odd = pc.or_(pc.match_substring_regex(texts, ODD_SPACE), pc.match_substring_regex(texts, self.added))
         split = pc.utf8_split_whitespace(pc.if_else(odd, "", texts))
         coded = split.flatten().dictionary_encode()
         words, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
@@ -191,7 +193,6 @@ def words_of(key: str, spec: str) -> Words:
 
     def make():
         tokenizer = Tokenizer.from_str(spec)
-        tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         return Words(tokenizer, spec)
 
     return kept(key, make)

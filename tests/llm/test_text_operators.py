@@ -51,8 +51,9 @@ def test_packing_has_every_id_once(spark):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(WORDS)
-    t.encode_special_tokens = True
-    got = [r.asDict() for r in packing.pack_documents(docs(spark).coalesce(1), WORDS, block_tokens=4096).collect()]
+    texts = [*odd_texts(), (20, "hello<|endoftext|>world"), (21, "a <|STARTOFTEXT|> b <|endoftext|>"), (22, "<|endoftext|><|endoftext|>  x")]
+    assert t.encode("hello<|endoftext|>world", add_special_tokens=False).ids == [3306, 49407, 1002]
+    got = [r.asDict() for r in packing.pack_documents(docs(spark, texts).coalesce(1), WORDS, block_tokens=4096).collect()]
     pieces, sequences = {}, {}
     for r in got:
         pieces.setdefault((r["doc_id"], r["doc_tokens"]), []).append(r)
@@ -62,7 +63,7 @@ def test_packing_has_every_id_once(spark):
         rows.sort(key=lambda r: r["offset"])
         assert [r["offset"] for r in rows] == np.cumsum([0, *(r["length"] for r in rows)])[:-1].tolist()
         assert sum(r["length"] for r in rows) <= 2048
-    for doc_id, text in odd_texts():
+    for doc_id, text in texts:
         ids = [*t.encode(text or "", add_special_tokens=False).ids, 1]
         for start in range(0, len(ids), 512):
             part = ids[start : start + 512]
