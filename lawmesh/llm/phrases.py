@@ -78,8 +78,8 @@ def counted(docs: DataFrame, length: int, bits: int = 0, frequent=None, edges=No
     among `edges` and none of these among `told`, and if its part without the
     last word (where the first is an edge) or without the first one (where the
     last is) is `known`. All of these are bitmaps, so a phrase is counted at
-    each of its places or at none. after and before: the word that follows or
-    precedes it everywhere, '' if words differ or a piece ends.
+    each of its places or at none. after and before: 15 bits of the hash of
+    the words that follow or precede it, 0 if these differ or a piece ends.
     """
 
     def make():
@@ -93,11 +93,12 @@ def counted(docs: DataFrame, length: int, bits: int = 0, frequent=None, edges=No
             if length == 1:
                 n = np.bincount(ids, minlength=len(names))
                 keep = np.flatnonzero(np.arange(len(n)) != stop)
-                return {"lang": pa.array([lang] * len(keep)), "phrase": names.take(pa.array(keep)), "a": n[keep], "after": pa.array([""] * len(keep)), "before": pa.array([""] * len(keep))}
+                return {"lang": pa.array([lang] * len(keep)), "phrase": names.take(pa.array(keep)), "a": n[keep], "after": np.zeros(len(keep), np.int32), "before": np.zeros(len(keep), np.int32)}
             h = hashes(lang, names.to_pylist())
             ok = holds(maps["frequent"], h, bits)
             ok[stop] = False
             edge = holds(maps["edges"], h, bits) & ok
+            sign = np.where(ok, (h >> np.uint64(49)).astype(np.int32) + 1, 0).astype(np.int32)
             n = len(ids) - length + 1
             if n < 1:
                 return None
@@ -124,11 +125,10 @@ def counted(docs: DataFrame, length: int, bits: int = 0, frequent=None, edges=No
 
             def always(next_to):
                 if length == longest:
-                    return pa.array([""] * len(begins))
-                ids_there = ids[next_to]  # a block begins and ends with END, so there is a token on both sides
-                low, high = np.minimum.reduceat(ids_there, begins), np.maximum.reduceat(ids_there, begins)
-                same = (low == high) & ok[low]
-                return pc.if_else(pa.array(same), names.take(pa.array(low)), pa.scalar(b"", pa.binary())).cast(pa.string())
+                    return np.zeros(len(begins), np.int32)
+                there = sign[ids[next_to]]  # a block begins and ends with END, so there is a token on both sides
+                low = np.minimum.reduceat(there, begins)
+                return np.where(low == np.maximum.reduceat(there, begins), low, 0)
 
             phrase = pc.binary_join_element_wise(*(names.take(pa.array(ids[spots[begins] + k])) for k in range(length)), pa.scalar(b" ", pa.binary()))
             return {"lang": pa.array([lang] * len(begins)), "phrase": phrase, "a": ends - begins, "after": always(spots + length), "before": always(spots - 1)}
@@ -142,8 +142,8 @@ def counted(docs: DataFrame, length: int, bits: int = 0, frequent=None, edges=No
 
         return step
 
-    found = map_arrow(docs, make, "lang string, phrase string, a long, after string, before string", rows=8192)
-    return found.groupBy("lang", "phrase").agg(F.sum("a").alias("a"), *(F.when(F.min(c) == F.max(c), F.min(c)).otherwise("").alias(c) for c in ("after", "before")))
+    found = map_arrow(docs, make, "lang string, phrase string, a long, after int, before int", rows=8192)
+    return found.groupBy("lang", "phrase").agg(F.sum("a").alias("a"), *(F.when(F.min(c) == F.max(c), F.min(c)).otherwise(0).alias(c) for c in ("after", "before")))
 
 
 def scored(phrases: DataFrame, length: int, counts: DataFrame, totals: DataFrame) -> DataFrame:
@@ -161,6 +161,13 @@ def scored(phrases: DataFrame, length: int, counts: DataFrame, totals: DataFrame
     return whole.withColumn("best", best).select("lang", "phrase", "a", "best.l", "best.r", "n", "best.score")
 
 
+def without_longer(phrases: DataFrame, made: DataFrame, length: int) -> DataFrame:
+    """Those of the phrases that no phrase of `length` words, one more than theirs, has within at all their places."""
+    words = F.split("phrase", " ")
+    parts = F.array(F.array_join(F.slice(words, 1, length - 1), " "), F.array_join(F.slice(words, 2, length - 1), " "))
+    return phrases.join(made.select("lang", "a", F.explode(parts).alias("phrase")), ["lang", "phrase", "a"], "left_anti").select(*phrases.columns)
+
+
 def ranked(found: DataFrame, first: int) -> DataFrame:
     w = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
     return found.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= first)
@@ -177,8 +184,9 @@ def collocations(docs: DataFrame, least: int = 100, first: int = 2000, longest:
     time at both ends while the bound of their outer words reaches the score
     that is now the `first`-th; a phrase is counted only where its known part
     is frequent. Nothing that could reach that score, ties included, is left
-    out. What survives is told by the words next to a phrase: it goes if one
-    word always follows or precedes it.
+    out. A phrase survives if the words after it and those before it have
+    different hashes; if not it waits for the phrases of one word more, and
+    goes if one of them that has it within is as frequent.
 
     Tasks count in arrays for about 8 MB of text at a time and Spark adds up
     what they tell. Which words and phrases matter goes to the tasks in
@@ -201,13 +209,19 @@ def collocations(docs: DataFrame, least: int = 100, first: int = 2000, longest:
     mass = mass.withColumn("mass", F.sum("mass").over(Window.partitionBy("lang").orderBy("size"))).join(totals, "lang")
     cut = mass.where(F.col("mass") <= share * F.col("n")).groupBy("lang").agg(F.max("size").alias("cut"))
     edges = settle(words.join(cut, "lang").where(size <= F.col("cut")).select("lang", "phrase"))
-    counts, best, told, known, length = words.select("lang", "phrase", "a"), None, None, None, 2
+    counts, best, waiting, told, known, length = words.select("lang", "phrase", "a"), None, None, None, None, 2
     while length <= longest:
         shared = bitmap(edges, bits)
         made = counted(docs, length, bits, frequent, shared, told, known, longest).where(F.col("a") >= least)
-        made = settle(made)
-        ahead = settle(scored(made.where("after = '' and before = ''"), length, counts, totals))
-        best = settle(ranked(ahead if best is None else best.select(*ahead.columns).unionByName(ahead), first))
+        made = settle(made.withColumn("sure", (F.col("after") == 0) & (F.col("before") == 0)).drop("after", "before"))
+        ahead = settle(scored(made, length, counts, totals))
+        sure = ahead.join(made.where("sure").select("lang", "phrase"), ["lang", "phrase"], "left_semi")
+        unsure = ahead.join(made.where("not sure").select("lang", "phrase"), ["lang", "phrase"], "left_semi")
+        if length > 2:
+            sure, waiting = sure.unionByName(without_longer(waiting, made, length)), unsure
+        else:
+            waiting = unsure if waiting is None else waiting.unionByName(unsure)
+        best = settle(ranked(sure if best is None else best.drop("rank").unionByName(sure), first))
         counts = counts.unionByName(made.select("lang", "phrase", "a"))
         reached = best.where(F.col("rank") == first).select("lang", F.col("score").alias("reached"))
         edges = words.join(totals, "lang").join(reached, "lang", "left").where(F.call_function("div", 1000 * F.col("n"), F.col("a")) >= F.coalesce("reached", F.lit(0)))
