@@ -88,7 +88,7 @@ class Tree(HTMLParser):
         """(level, heading, texts): with each heading the siblings that follow it, up to the next heading if that is one of them."""
         found = [k for k, tag in enumerate(self.tags) if tag in HEADING and not self.dropped[k]]
         out = []
-        for k, following in zip(found, [*found[1:], None], strict=True):
+        for k, following in zip(found, [*found[1:], None], strict=False):
             parent, at = self.parents[k]
             texts = []
             for element, text in self.children[parent][at + 1 :]:
