@@ -173,8 +173,13 @@ def defines(entities: DataFrame, digits: int = 8, made: dict | None = None) -> D
 def requires(entities: DataFrame, digits: int = 8, keep_loops: bool = False, made: dict | None = None) -> DataFrame:
     """Requirements whose text holds the first 100 characters of another's, if these are more than 30."""
     req = canonical(entities, "Requirement", digits, made)
-    parts = req.select("id", F.lower(F.substring("text", 1, 100)).alias("term")).where(F.length("term") > 30).distinct()
-    hits = containing(parts, req.select("id", "text").distinct()).select(F.col("text_id").alias("src"), F.col("term_id").alias("dst"))
+    return requires_between(req, req, keep_loops)
+
+
+def requires_between(parts: DataFrame, texts: DataFrame, keep_loops: bool = False) -> DataFrame:
+    """`requires` with the beginnings of some requirements and the texts of others."""
+    parts = parts.select("id", F.lower(F.substring("text", 1, 100)).alias("term")).where(F.length("term") > 30).distinct()
+    hits = containing(parts, texts.select("id", "text").distinct()).select(F.col("text_id").alias("src"), F.col("term_id").alias("dst"))
     return as_edges(hits if keep_loops else hits.where("src <> dst"), "REQUIRES")
 
 
@@ -205,16 +210,21 @@ def contains_by_name(entities: DataFrame, digits: int = 8, made: dict | None = N
 
 def supersedes(entities: DataFrame, nodes: DataFrame, made: dict | None = None) -> DataFrame:
     """By wording in requirements, and by cross-references whose type says so."""
+    return supersedes_in(flat(entities), nodes, canonical(entities, "Regulation", made=made))
+
+
+def supersedes_in(rows: DataFrame, nodes: DataFrame, regulations: DataFrame) -> DataFrame:
+    """`supersedes` over entities with their properties as columns, and regulations with their ids."""
     reg = nodes.where("label = 'Regulation'").select("id", "name", "directive_code")
-    found = supersessions(flat(entities).where("entity_type = 'Requirement'"))
+    found = supersessions(rows.where("entity_type = 'Requirement'"))
     codes = found.select(F.explode(F.array("new", "old")).alias("code")).distinct()
     named = containing(codes.select(F.col("code").alias("id"), F.col("code").alias("term")), reg.select("id", F.col("name").alias("text")))
     exact = codes.join(reg, F.col("code") == F.col("directive_code")).select(F.col("code").alias("term_id"), F.col("id").alias("text_id"))
     of = named.join(reg.select(F.col("id").alias("text_id"), "name"), "text_id").where(F.contains("name", F.col("term_id"))).select("term_id", "text_id").unionByName(exact).distinct()
     new, old = (of.select(F.col("term_id").alias(c), F.col("text_id").alias(n)) for c, n in (("new", "src"), ("old", "dst")))
     by_text = found.join(new, "new").join(old, "old").select("src", "dst", "evidence")
-    cref = flat(entities).where("entity_type = 'CrossReference' and lower(reference_type) like '%supersede%'").select("source_doc", "target_doc").distinct()
-    names = canonical(entities, "Regulation", made=made).select("id", "name").distinct()
+    cref = rows.where("entity_type = 'CrossReference' and lower(reference_type) like '%supersede%'").select("source_doc", "target_doc").distinct()
+    names = regulations.select("id", "name").distinct()
     ends = cref.select(F.explode(F.array("source_doc", "target_doc")).alias("id")).where("id is not null").distinct()
     at = containing(ends.select("id", F.col("id").alias("term")), names.select("id", F.col("name").alias("text")))
     at = at.join(names.withColumnRenamed("id", "text_id"), "text_id").where(F.contains("name", F.col("term_id")))
@@ -224,8 +234,11 @@ def supersedes(entities: DataFrame, nodes: DataFrame, made: dict | None = None)
 
 
 def conflicts(entities: DataFrame) -> DataFrame:
-    req = flat(entities).where("entity_type = 'Requirement'")
-    found = entity_conflicts(req)
+    return conflicts_in(flat(entities).where("entity_type = 'Requirement'"))
+
+
+def conflicts_in(requirements: DataFrame) -> DataFrame:
+    found = entity_conflicts(requirements)
     return as_edges(found.select(F.col("req1_id").alias("src"), F.col("req2_id").alias("dst"), "reason", "confidence"), "CONFLICTS_WITH", reason=F.col("reason"), confidence=F.col("confidence"))
 
 

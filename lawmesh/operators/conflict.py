@@ -82,22 +82,25 @@ def entity_conflicts(requirements: DataFrame, shared: int = 3) -> DataFrame:
     Pairs are made through the words they share, never by category alone. A
     requirement's words that the other side has too are ordered from rare to
     frequent, and only those before its last shared - 1 are joined on; pairs
-    met so are then verified on all their words.
+    met so are then verified on all their words. With a boolean column `fresh`
+    only pairs with a fresh requirement are made.
     """
+    fresh = F.col("fresh") if "fresh" in requirements.columns else F.lit(True)
     r = written(
         requirements.where("category <> '' and mandatory is not null").select(
             "ord", "category", "mandatory", F.col("source_doc").alias("source"), node_id(F.lit("Requirement"), "source_doc", "text").alias("rid"),
-            significant_words("text", alphanumeric=False).alias("words"), F.monotonically_increasing_id().alias("row"),
+            significant_words("text", alphanumeric=False).alias("words"), F.monotonically_increasing_id().alias("row"), fresh.alias("fresh"),
         )
     )
     # who shares `shared` words shares one that isn't among the last shared - 1 of either, by how many have it
-    each = r.select("row", "category", "mandatory", F.explode("words").alias("word"))
+    each = r.select("row", "category", "mandatory", "fresh", F.explode("words").alias("word"))
     df = each.groupBy("category", "word").agg(F.count("*").alias("df"), F.count_if("mandatory").alias("yes")).where("yes > 0 and yes < df").drop("yes")
     place = Window.partitionBy("row").orderBy("df", "word")
     size = Window.partitionBy("row")
     prefix = each.join(df, ["category", "word"]).withColumn("k", F.row_number().over(place)).withColumn("of", F.count("*").over(size)).where(F.col("k") <= F.col("of") - (shared - 1))
-    yes, no = (prefix.where(cond).select("category", "word", F.col("row").alias(f"row_{p}")) for cond, p in (("mandatory", "y"), ("not mandatory", "n")))
-    met = yes.join(no, ["category", "word"]).select("row_y", "row_n").distinct()
+    yes, no = (prefix.where(cond).select("category", "word", F.col("row").alias(f"row_{p}"), F.col("fresh").alias(f"fresh_{p}")) for cond, p in (("mandatory", "y"), ("not mandatory", "n")))
+    keys = ["category", "word"]
+    met = yes.where("fresh_y").join(no, keys).unionByName(yes.where("not fresh_y").join(no.where("fresh_n"), keys)).select("row_y", "row_n").distinct()
     y, n = (r.select(*(F.col(c).alias(f"{c}_{p}") for c in ("row", "ord", "source", "rid", "words")), *(["category"] if p == "y" else [])) for p in "yn")
     pairs = met.join(y, "row_y").join(n, "row_n").where("source_y <> source_n").where(F.size(F.array_intersect("words_y", "words_n")) >= shared)
     first = lambda c: F.when(F.col("ord_y") < F.col("ord_n"), F.col(f"{c}_y")).otherwise(F.col(f"{c}_n"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lawmesh.functions.text import words
 from lawmesh.operators.retrieve import B, K1, postings, question_terms
-from lawmesh.operators.store import small, written
+from lawmesh.operators.store import exists, small, written
 
 #: So many question words or fewer are put into the scan's filter; more are joined.
 FILTERED = 200
@@ -64,11 +64,7 @@ def add(items: DataFrame, path: str, key: str = "id", text: str = "text", bucket
 
 def segments(spark: SparkSession, path: str) -> DataFrame | None:
     """The index's segments that were written whole; none where there is no index."""
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(f"{path}/segments")
-    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
-        return None
-    return spark.read.parquet(f"{path}/segments")
+    return spark.read.parquet(f"{path}/segments") if exists(spark, f"{path}/segments") else None
 
 
 def load(spark: SparkSession, path: str) -> Index:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from lawmesh.operators.graph import Graph, keep_last
-from lawmesh.operators.store import shared_dir
+from lawmesh.operators.store import folder, shared_dir
 from lawmesh.schema import EDGE, NODE
 
 PART = "_part"
@@ -34,9 +34,8 @@ class Stored:
 
 def create(spark: SparkSession, name: str, path: str, schema: StructType, key: str, parts: int, buckets: int) -> None:
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(at)
+    fs, at = folder(spark, path)
+    fs.mkdirs(at)
     spark.sql(f"CREATE TABLE {name} ({columns}, `{PART}` int) USING parquet PARTITIONED BY (`{PART}`) CLUSTERED BY (`{key}`) SORTED BY (`{key}`) INTO {buckets} BUCKETS LOCATION '{path}'")
 
 

@@ -26,6 +26,17 @@ def new_path(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/lawmesh-{uuid.uuid4().hex}"
 
 
+def folder(spark: SparkSession, path: str):
+    """The file system of a path, and the path as that knows it."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, at = folder(spark, path)
+    return fs.exists(at)
+
+
 def written(df: DataFrame) -> DataFrame:
     """df as a Parquet table: what reads it again doesn't make it again, nor does losing an executor."""
     path = new_path(df.sparkSession)
