@@ -73,17 +73,14 @@ def add_entities(spark: SparkSession, path: str, entities: DataFrame, batch: str
     whole = old.unionByName(new.drop("met"))
 
     # nodes: of what is met for the first time; a regulation's own entity stands over what is known of its source
-    changed = merge.upsert_stored(nodes, source_nodes(entities), None, on_create=True)
-    for label in IDENTITY:
-        made = entity_nodes(entities, label)
-        if label == "CrossReference":
-            changed += merge.upsert_stored(nodes, made)
-            continue
-        fresh = made.join(new.where((F.col("entity_type") == label) & ~F.col("met")).select("id").distinct(), "id", "left_semi")
-        if label == "Regulation":
-            fresh = fresh.join(nodes.rows().where("label = 'Regulation' and ord >= 0").select("id"), "id", "left_anti")
-        changed += merge.upsert_stored(nodes, written(fresh), None, on_create=label != "Regulation")
-    changed += merge.upsert_stored(nodes, written(directive_nodes(supersessions(flat(entities).where("entity_type = 'Requirement'")))), None, on_create=True)
+    def first_met(label: str) -> DataFrame:
+        return entity_nodes(entities, label).join(new.where((F.col("entity_type") == label) & ~F.col("met")).select("id").distinct(), "id", "left_semi").select(*NODE.names)
+
+    directives = directive_nodes(supersessions(flat(entities).where("entity_type = 'Requirement'")))
+    made = union([source_nodes(entities), directives, *(first_met(label) for label in IDENTITY if label not in ("CrossReference", "Regulation"))])
+    changed = merge.upsert_stored(nodes, written(made), None, on_create=True)
+    own = first_met("Regulation").join(nodes.rows().where("label = 'Regulation' and ord >= 0").select("id"), "id", "left_anti").select(*NODE.names)
+    changed += merge.upsert_stored(nodes, written(own.unionByName(entity_nodes(entities, "CrossReference"))), None)
 
     def of(rows: DataFrame, label: str) -> DataFrame:
         return rows.where(F.col("entity_type") == label).drop("met")

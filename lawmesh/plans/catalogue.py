@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lawmesh.functions import text as fn
-from lawmesh.operators import build, conflict, extract, fulltext, graph, ingest, merge, paths, retrieve
+from lawmesh.operators import answer, build, conflict, delta, extract, fulltext, graph, ingest, merge, paths, retrieve
 from lawmesh.operators.store import new_path
 from lawmesh.plans import router, tables, templates
 from lawmesh.plans.tables import SQL, table
@@ -408,16 +409,27 @@ def entity_conflicts(spark, sf):
 PAIRS = ", ".join(f"({i}, '{p}', '{n}')" for i, (p, n) in enumerate(fn.CONTRADICTIONS))
 
 
+# the place of a term with 30 characters on both sides, of which 50 are told
+def _near(t: str, x: str, y: str) -> str:
+    at = lambda k: rf"regexp_replace(substr({t}, greatest(1, instr({t}, {k}) - 30), instr({t}, {k}) + length({k}) + 30 - greatest(1, instr({t}, {k}) - 30)), '^\s+|\s+$', '', 'g')"
+    return f"substr(CASE WHEN contains({t}, {x}) THEN {at(x)} ELSE {at(y)} END, 1, 50)"
+
+
 @query(
     rf"""WITH c AS (SELECT conv_id, turn AS ord, role AS s, lower(text || CASE WHEN conv_id % 4 = 1 THEN if(role = 'user', ' must', ' may') WHEN conv_id % 4 = 2 THEN if(role = 'user', ' < 5', ' > 10') ELSE '' END) AS t,
   conv_id % 4 IN (0, 3) AS c, conv_id % 4 <> 0 OR role = 'user' AS m, CASE WHEN conv_id % 4 = 3 THEN if(role = 'user', 4, 1) END AS r FROM conversations),
 w AS (SELECT *, list_distinct(list_filter(string_split_regex(t, '\s+'), lambda w: length(w) > 4 AND regexp_full_match(w, '[\p{{L}}\p{{N}}]+'))) AS w FROM c), p AS (SELECT * FROM (VALUES {PAIRS}) v(k, a, b)),
-m AS (SELECT a.conv_id, a.ord AS ord1, b.ord AS ord2, a.s AS source1, b.s AS source2, a.c AND b.c AND a.s <> b.s AS same, a.m <> b.m AS differ, a.r - b.r AS far,
+m AS (SELECT a.conv_id, a.ord AS ord1, b.ord AS ord2, a.s AS source1, b.s AS source2, a.t AS t1, b.t AS t2, a.c AND b.c AND a.s <> b.s AS same, a.m <> b.m AS differ, a.r - b.r AS far,
   (SELECT min(k) FROM p WHERE contains(a.t, p.a) AND contains(b.t, p.b) OR contains(a.t, p.b) AND contains(b.t, p.a)) AS hit,
-  contains(a.t, ' < 5') AND contains(b.t, ' > 10') OR contains(a.t, ' > 10') AND contains(b.t, ' < 5') AS num
+  CASE WHEN contains(a.t, ' < 5') AND contains(b.t, ' > 10') THEN '<5 vs >10' WHEN contains(a.t, ' > 10') AND contains(b.t, ' < 5') THEN '>10 vs <5' END AS num
   FROM w a JOIN w b ON a.conv_id = b.conv_id AND a.ord < b.ord WHERE len(list_intersect(a.w, b.w)) >= 3),
-f AS (SELECT *, CASE WHEN same AND differ THEN 0.75 WHEN hit IS NOT NULL THEN 0.85 WHEN num THEN 0.8 WHEN same AND abs(far) >= 2 THEN 0.6 END AS confidence FROM m)
-SELECT conv_id, ord1, ord2, source1, source2, CAST(confidence AS DOUBLE) AS confidence FROM f WHERE confidence IS NOT NULL"""
+f AS (SELECT *, CASE WHEN same AND differ THEN 0.75 WHEN hit IS NOT NULL THEN 0.85 WHEN num IS NOT NULL THEN 0.8 WHEN same AND abs(far) >= 2 THEN 0.6 END AS confidence FROM m LEFT JOIN p ON m.hit = p.k)
+SELECT conv_id, ord1, ord2, source1, source2, CAST(confidence AS DOUBLE) AS confidence, CASE confidence
+  WHEN 0.75 THEN 'Same category (c) but different mandatoriness in ' || source1 || ' vs ' || source2
+  WHEN 0.85 THEN 'Contradictory terms: ''' || a || ''' vs ''' || b || ''' - ' || {_near("t1", "a", "b")} || '... vs ' || {_near("t2", "b", "a")} || '...'
+  WHEN 0.8 THEN 'Conflicting numeric ranges: ' || num
+  ELSE 'Different severity levels for c: ' || if(source1 = 'user', 'Critical', 'Low') || ' (' || source1 || ') vs ' || if(source2 = 'user', 'Critical', 'Low') || ' (' || source2 || ')' END AS reason
+FROM f WHERE confidence IS NOT NULL"""
 )
 def runtime_conflicts(spark, sf):
     """Turns as contexts of their conversation; by its number they differ in being mandatory, in terms, in numbers or in severity."""
@@ -427,7 +439,69 @@ def runtime_conflicts(spark, sf):
         "conv_id", F.col("turn").alias("ord"), F.concat("text", told).alias("text"), F.col("role").alias("source_doc"), F.when(kind.isin(0, 3), "c").alias("category"),
         ((kind != 0) | user).alias("mandatory"), F.when(kind == 3, F.when(user, "Critical").otherwise("Low")).alias("severity"),
     )
-    return conflict.runtime_conflicts(c, key="conv_id").select("conv_id", "ord1", "ord2", "source1", "source2", "confidence")
+    return conflict.runtime_conflicts(c, key="conv_id").select("conv_id", "ord1", "ord2", "source1", "source2", "confidence", "reason")
+
+
+# ------------------------------------------------------------ regulations and directives
+
+
+def _law(spark, sf):
+    """Suppliers that say which directive gives way to which, regions as regulations, nations as references between them."""
+    s, n, r = (table(spark, sf, t) for t in ("supplier", "nation", "region"))
+    old = F.concat(F.col("s_nationkey") + 1900, F.lit("/"), "s_suppkey", F.lit("/EC"))
+    new = F.concat(F.col("s_nationkey") + 2000, F.lit("/"), F.col("s_suppkey") % 10, F.lit("/EU"))
+    text = F.concat(F.lit("Rule "), "s_name", F.lit(": "), old, F.lit(" is repealed by "), new)
+    pairs = n.join(r, F.col("n_regionkey") == F.col("r_regionkey"))
+    rows = tables.entity_rows(s, "Requirement", F.col("s_suppkey"), text, F.concat(F.lit("Rules of asia and nation "), "s_nationkey"))
+    rows = rows.unionByName(tables.entity_rows(r, "Regulation", F.col("r_regionkey"), F.col("r_name"), F.initcap("r_name"), name=F.concat(F.lit("Law of "), "r_name", F.lit(" and ASIA"))))
+    kind = F.when(F.col("n_nationkey") % 3 == 0, "refers").otherwise("Supersedes")
+    return rows.unionByName(tables.entity_rows(pairs, "CrossReference", F.col("n_nationkey"), F.col("n_name"), F.col("r_name"), target_doc=F.lit("ASIA"), reference_type=kind))
+
+
+LAW = """WITH s AS (SELECT s_suppkey AS ord, 'Rules of asia and nation ' || s_nationkey AS source, (1900 + s_nationkey) || '/' || s_suppkey || '/EC' AS old, (2000 + s_nationkey) || '/' || (s_suppkey % 10) || '/EU' AS new, s_name FROM supplier),
+g AS (SELECT r_regionkey AS ord, r_name, array_to_string(list_transform(string_split(r_name, ' '), lambda w: w[1] || lower(w[2:])), ' ') AS source, 'Law of ' || r_name || ' and ASIA' AS name FROM region),
+g2 AS (SELECT 'regulation_' || replace(lower(source), ' ', '_') || '_' || substr(md5(lower(name)), 1, 8) AS id, * FROM g),
+d AS (SELECT code, min(ord) AS ord, min_by(source, ord) AS source FROM (SELECT new AS code, ord, source FROM s UNION ALL SELECT old, ord, source FROM s) GROUP BY code)
+"""
+
+
+@query(LAW + "SELECT 'regulation_directive_' || replace(code, '/', '_') AS id, code AS name, CASE WHEN contains(code, 'EU') THEN 'European Union' ELSE 'European Commission' END AS issued_by, source AS source_doc FROM d")
+def directives(spark, sf):
+    found = build.supersessions(build.flat(_law(spark, sf)).where("entity_type = 'Requirement'"))
+    return build.directive_nodes(found).select("id", "name", "issued_by", "source_doc")
+
+
+@query(
+    LAW + """SELECT src, dst, min(evidence) AS evidence FROM (
+  SELECT 'regulation_directive_' || replace(new, '/', '_') AS src, 'regulation_directive_' || replace(old, '/', '_') AS dst, substr('Rule ' || s_name || ': ' || old || ' is repealed by ' || new, 1, 200) AS evidence FROM s
+  UNION ALL SELECT a.id, b.id, NULL FROM nation JOIN region r ON n_regionkey = r.r_regionkey JOIN g2 a ON contains(a.name, r.r_name) JOIN g2 b ON contains(b.name, 'ASIA') WHERE n_nationkey % 3 <> 0) GROUP BY src, dst"""
+)
+def supersedes_edges(spark, sf):
+    e = _law(spark, sf)
+    found = build.supersessions(build.flat(e).where("entity_type = 'Requirement'"))
+    nodes = build.entity_nodes(e, "Regulation").unionByName(build.directive_nodes(found))
+    return build.supersedes(e, nodes).select("src", "dst", "props.evidence")
+
+
+@query(
+    LAW + """SELECT DISTINCT g2.id AS src, 'requirement_' || replace(lower(s.source), ' ', '_') || '_' || substr(md5(lower('Rule ' || s_name || ': ' || old || ' is repealed by ' || new)), 1, 8) AS dst
+FROM g2 JOIN s ON contains(lower(s.source), lower(g2.source)) OR contains(lower(g2.name), lower(s.source))"""
+)
+def contains_by_name(spark, sf):
+    return build.contains_by_name(_law(spark, sf)).select("src", "dst")
+
+
+@query(LAW + "SELECT id, name, source AS source_doc FROM g2")
+def regulation_nodes(spark, sf):
+    return build.entity_nodes(_law(spark, sf), "Regulation").select("id", "name", "source_doc")
+
+
+@query(
+    """WITH x AS (SELECT *, row_number() OVER (PARTITION BY r_name ORDER BY n_nationkey DESC) AS k FROM nation JOIN region ON n_regionkey = r_regionkey)
+SELECT r_name AS source_doc, 'ASIA' AS target_doc, CASE WHEN n_nationkey % 3 = 0 THEN 'refers' ELSE 'Supersedes' END AS reference_type, n_name AS text FROM x WHERE k = 1"""
+)
+def crossreference_nodes(spark, sf):
+    return build.entity_nodes(_law(spark, sf), "CrossReference").select("source_doc", "target_doc", "reference_type", "text")
 
 
 BUILT = f"""WITH r AS ({CANONICAL}), x AS (SELECT r.id, r.t FROM r), d AS (SELECT DISTINCT lower(array_to_string(string_split(text, ' ')[1:4], ' ')) AS t FROM benchmark),
@@ -450,6 +524,18 @@ def build_stats(spark, sf):
     return graph.count_by_label(g).select(F.col("label").alias("kind"), "count").unionByName(graph.count_by_type(g).select(F.col("type").alias("kind"), "count"))
 
 
+@query(ORACLES["build_stats"])
+def delta_build(spark, sf):
+    """The entities in two batches, of each kind the first half before the second."""
+    e = tables.entities(spark, sf)
+    half = e.groupBy("entity_type").agg((F.max("ord") / 2).alias("half"))
+    e, path = e.join(F.broadcast(half), "entity_type"), new_path(spark)  # a row a kind
+    for name, some in (("first", e.where("ord <= half")), ("second", e.where("ord > half"))):
+        delta.add_entities(spark, path, some.drop("half"), name)
+    g = delta.grown_graph(spark, path)
+    return graph.count_by_label(g).select(F.col("label").alias("kind"), "count").unionByName(graph.count_by_type(g).select(F.col("type").alias("kind"), "count"))
+
+
 # ------------------------------------------------------------ retrieval
 
 
@@ -575,9 +661,75 @@ def hybrid_retrieve(spark, sf):
     return found.select("node_id", "retrieval_method", F.round("relevance_score", 6).alias("relevance_score"), "ord")
 
 
+@query(
+    SQL + """SELECT DISTINCT e.src AS id, 0.9::DOUBLE AS score FROM edges e JOIN nodes p ON e.dst = p.id JOIN nodes r ON e.src = r.id AND r.label = 'Requirement'
+WHERE e.type = 'APPLIES_TO' AND p.label = 'Process' AND contains(lower(p.name), 'ring') ORDER BY id LIMIT 200"""
+)
+def by_process(spark, sf):
+    return retrieve.by_process(tables.stored_graph(spark, sf), "Ring", 200).select("id", F.col("score").cast("double").alias("score"))
+
+
+@query(SQL + "SELECT id, term, 0.95::DOUBLE AS score FROM nodes WHERE label = 'Definition' AND contains(lower(term), '00000001') ORDER BY id LIMIT 50")
+def definitions_of(spark, sf):
+    return retrieve.definitions(tables.stored_graph(spark, sf), "00000001", 50).select("id", "term", F.col("score").cast("double").alias("score"))
+
+
+# the three requirements of the highest price as contexts
+@query(
+    SQL + """, s AS (SELECT 'o' || o_orderkey AS src FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 3),
+n AS (SELECT src, dst, type, row_number() OVER (PARTITION BY src ORDER BY dst, type) AS k FROM (SELECT DISTINCT src, dst, type FROM both_ways JOIN s USING (src) WHERE type IN ('APPLIES_TO', 'REQUIRES')))
+SELECT id, coalesce(text, name, term) AS text, citation_text, type FROM n JOIN nodes ON dst = id WHERE k <= 3 ORDER BY id, type LIMIT 10"""
+)
+def related_to_contexts(spark, sf):
+    w = Window.orderBy(F.desc("o_totalprice"), "o_orderkey")
+    first = table(spark, sf, "orders").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(3)
+    contexts = first.select(F.concat(F.lit("o"), "o_orderkey").alias("node_id"), F.lit("Requirement").alias("node_type"), F.row_number().over(w).alias("ord"))
+    return answer.related(tables.stored_graph(spark, sf), contexts)
+
+
+@query("SELECT string_agg(n || ' ' || event_type, ', ' ORDER BY o) AS path FROM (SELECT event_type, count(*) AS n, min(event_id) AS o FROM (SELECT * FROM events ORDER BY event_id LIMIT 500) GROUP BY 1)")
+def path_summary(spark, sf):
+    return answer.path_summary(table(spark, sf, "events").select(F.col("event_type").alias("node_type"), F.col("event_id").alias("ord")), 500)
+
+
+@query(
+    """SELECT count(*) AS models, coalesce(sum(chunks), 0)::BIGINT AS capacity FROM (
+  SELECT event_type, count(*) AS chunks, avg(CAST(value > 5 AS INT)) * 100 AS s, avg(CAST(value > 2 AS INT)) * 100 AS p FROM events GROUP BY 1) WHERE s >= 20 AND p >= 50"""
+)
+def recommended_capacity(spark, sf):
+    runs = table(spark, sf, "events").select(F.col("event_type").alias("model"), (F.col("value") > 5).alias("success"), (F.col("value") > 2).alias("parsed"), F.col("user_id").alias("entities"), F.col("value").alias("seconds"))
+    return extract.capacity(extract.recommended(extract.benchmark(runs), 20, 50), "chunks").select("models", F.col("capacity").cast("long").alias("capacity"))
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderkey LIMIT 700 OFFSET 300")
+def part_of_orders(spark, sf):
+    return graph.part_of(table(spark, sf, "orders").select("o_orderkey", "o_custkey"), "o_orderkey", 300, 700)
+
+
 # ------------------------------------------------------------ functions and sources
 
 
+@query(
+    r"""SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'MHRA' WHEN doc_id % 5 IN (1, 2) THEN 'EU GMP' WHEN doc_id % 5 = 3 THEN 'ICH' ELSE 'Unknown' END AS source,
+  round((len(list_filter(string_split_regex(text, '\s+'), lambda w: w <> '')) * 1.3)::DOUBLE, 6) AS tokens, 'd_' || doc_id || '_html' AS document FROM documents"""
+)
+def source_and_tokens(spark, sf):
+    path = F.concat(F.lit("/x/"), F.element_at(F.array(*map(F.lit, ("MHRA_ich", "eu_gmp", "EudraLex", "ICH", "other"))), (F.col("doc_id") % 5 + 1).cast("int")), F.lit("/d.html"))
+    rows = table(spark, sf, "documents").select("doc_id", "text", path.alias("path"), F.concat(F.lit("d."), "doc_id", F.lit(".html")).alias("file"))
+    return rows.select("doc_id", fn.source_of_path("path").alias("source"), F.round(fn.token_estimate("text"), 6).cast("double").alias("tokens"), files.document_id(F.col("file")).alias("document"))
+
+
+# the pages' links as if they led to PDFs
+@query(
+    r"""WITH l AS (SELECT url, unnest(regexp_extract_all(html, 'href="([^"]+)"', 1)) || '.PDF' AS href FROM pages)
+SELECT DISTINCT CASE WHEN regexp_matches(href, '^[a-zA-Z][a-zA-Z0-9+.-]*://') THEN href ELSE regexp_extract(url, '^[a-zA-Z]+://[^/?#]*') || CASE WHEN href[1] = '/' THEN '' ELSE '/' END || href END AS url,
+  regexp_extract(href, '[^/]*$') AS filename FROM l"""
+)
+def pdf_links(spark, sf):
+    pages = table(spark, sf, "pages").withColumn("html", F.regexp_replace("html", r'href="([^"]+)"', r'href="$1.PDF"'))
+    return files.pdf_links(pages, "mhra")
+
+
 @query(
     r"""WITH w AS (SELECT doc_id, list_distinct(list_filter(string_split_regex(lower(text), '\s+'), lambda w: length(w) > 4 AND regexp_full_match(w, '[\p{L}\p{N}]+'))) AS w FROM documents)
 SELECT a.doc_id, CAST(len(list_intersect(a.w, b.w)) AS INTEGER) AS shared FROM w a JOIN w b ON b.doc_id = a.doc_id + 1"""
