@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import os
 import re
 import zlib
 from array import array
@@ -118,8 +119,9 @@ class Words:
         import regex
 
         said = json.loads(spec)
-        # texts with the string of an added token, in any case, go to the tokenizer whole, which knows when it is one
-        self.added = "(?i)" + "|".join(re.escape(t["content"]) for t in said.get("added_tokens", []) if t["content"]) if said.get("added_tokens") else "[^\\x00-\\x{10ffff}]"
+        # what added tokens begin with, up to a letter: texts that have it go to the tokenizer whole, which knows where it is one ("": all texts)
+        self.added = re.split(r"[^\W\d_]", os.path.commonprefix([t["content"] for t in said.get("added_tokens", [])]), maxsplit=1)[0]
+        self.adds = bool(said.get("added_tokens"))
         steps = [n["type"] for n in (said.get("normalizer") or {}).get("normalizers", [])]
         parting = ((said.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
         pattern = parting.get("pattern", {}).get("Regex") if parting.get("behavior") == "Removed" and parting.get("invert") else None
@@ -165,7 +167,9 @@ class Words:
         only these, and ids are gathered by their numbers.
         """
         texts = pc.fill_null(texts, "")
-        odd = pc.or_(pc.match_substring_regex(texts, ODD_SPACE), pc.match_substring_regex(texts, self.added))
+        odd = pc.match_substring_regex(texts, ODD_SPACE)
+        if self.adds:
+            odd = pc.or_(odd, pc.match_substring(texts, self.added))
         split = pc.utf8_split_whitespace(pc.if_else(odd, "", texts))
         coded = split.flatten().dictionary_encode()
         words, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
@@ -186,8 +190,6 @@ class Words:
 
 
 def words_of(key: str, spec: str) -> Words:
-    import os
-
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
