@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lawmesh.functions import text as fn
-from lawmesh.operators import answer, build, conflict, delta, extract, fulltext, graph, ingest, merge, paths, retrieve
+from lawmesh.operators import answer, build, conflict, delta, extract, fulltext, graph, ingest, merge, paths, retrieve, vectors
 from lawmesh.operators.store import new_path
 from lawmesh.plans import router, tables, templates
 from lawmesh.plans.tables import SQL, table
@@ -550,6 +550,13 @@ def vector_topk(spark, sf):
     return retrieve.vector_top(v, q, 3, "label").select("id", "label", "score", "rank")
 
 
+@query(ORACLES["vector_topk"])
+def vector_pivots(spark, sf):
+    v, path = table(spark, sf, "embeddings"), new_path(spark)
+    vectors.build(v, path, key="vec_id")
+    return vectors.top(vectors.load(spark, path), v.orderBy("vec_id").select("embedding").first()[0], 3)
+
+
 BM25 = r"""WITH t AS (SELECT doc_id, lower(coalesce(text, '')) AS x FROM documents), w AS (SELECT doc_id, list_filter(string_split_regex(x, '\s+'), lambda s: s <> '') AS w FROM t),
 s AS (SELECT count(*)::DOUBLE AS n, avg(len(w)) AS a FROM w), e AS (SELECT doc_id, len(w) AS dl, unnest(w) AS term FROM w),
 tf AS (SELECT term, doc_id, dl, count(*) AS tf FROM e WHERE term IN (TERMS) GROUP BY 1, 2, 3), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1)"""

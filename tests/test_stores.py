@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from lawmesh.operators import build, delta, fulltext, graph, merge, retrieve
+from lawmesh.operators import build, delta, fulltext, graph, merge, retrieve, vectors
 from lawmesh.operators.graph import Graph, as_edges, as_nodes
 from lawmesh.schema import ENTITY
 from tests.test_graph import entity
@@ -162,3 +162,25 @@ def test_graph_built_by_batches_is_that_of_all(spark, tmp_path):
     told = lambda g: ({tuple(x) for x in g.nodes.select("id", "label", "name", "text", "term", "source_doc", "ord").collect()}, {(x.src, x.dst, x.type, x.props) for x in g.edges.collect()})
     assert told(grown)[0] == told(whole)[0] and told(grown)[1] == told(whole)[1]
     assert {x.type for x in grown.edges.collect()} >= {"CONTAINS", "APPLIES_TO", "DEFINES", "REQUIRES", "EXEMPT_FROM", "SUPERSEDES", "CONFLICTS_WITH"}
+
+
+def test_vectors_by_pivots_are_those_of_a_scan(spark, tmp_path):
+    r = random.Random(6)
+    centres = [[r.gauss(0, 1) for _ in range(8)] for _ in range(6)]
+    rows = [(i, r.choice(("a", "b", None)), [c + r.gauss(0, 0.1) for c in centres[i % 6]]) for i in range(400)]
+    rows += [(500, "a", None), (501, "a", []), (502, "a", [0.0] * 8), (503, "b", [1.0, None] + [1.0] * 6), (504, "a", [float("nan")] * 8), (505, "a", [1.0, 2.0]), (506, "b", rows[0][2]), (507, "only", rows[1][2])]
+    items = spark.createDataFrame(rows, "id long, label string, embedding array<float>")
+    path = str(tmp_path / "v")
+    vectors.build(items, path, n=6)
+    index = vectors.load(spark, path)
+    for q in (centres[0], [-x for x in centres[1]], rows[7][2], [1.0] * 8):
+        for k in (1, 5, 300):
+            got = {(x.id, x.label, x.score, x.rank) for x in vectors.top(index, q, k).collect()}
+            assert got == {(x.id, x.label, x.score, x.rank) for x in retrieve.vector_top(items.where("id <> 505"), q, k, "label").collect()}
+    read = {f.split("pivot=")[1].split("/")[0] for f in vectors.top(index, rows[6][2], 5).inputFiles()}
+    near = vectors.top(index, rows[6][2], 5)._jdf.queryExecution().executedPlan().toString()
+    pivots = near.split("PartitionFilters: [")[1].split("]")[0]
+    assert len(read) <= 6 and "pivot" in pivots and not all(f"{p}" in pivots.split("IN")[-1] for p in range(6))  # some folders are not read
+    assert vectors.top(index, [1.0, 2.0], 3).count() == 0 and vectors.top(index, [0.0] * 8, 3).count() == 0
+    vectors.build(items.where("false"), str(tmp_path / "none"))
+    assert vectors.top(vectors.load(spark, str(tmp_path / "none")), [1.0], 3).count() == 0
