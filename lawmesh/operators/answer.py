@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from lawmesh.operators.conflict import runtime_conflicts
 from lawmesh.operators.graph import Graph
 from lawmesh.operators.retrieve import keyword_all, retrieve, retrieve_all
-from lawmesh.operators.store import written
+from lawmesh.operators.store import small, written
 from lawmesh.plans import router, templates
 
 
@@ -66,10 +66,10 @@ def path_summary(contexts: DataFrame, first: int = 5) -> DataFrame:
 def related(g: Graph, contexts: DataFrame, seeds: int = 3, each: int = 3, limit: int = 10) -> DataFrame:
     """Requirements beside the first requirement contexts, by APPLIES_TO or REQUIRES."""
     first = contexts.where("node_type = 'Requirement'").orderBy("ord").limit(seeds).select(F.col("node_id").alias("src"))
-    near = g.both_ways("APPLIES_TO", "REQUIRES").join(F.broadcast(first), "src", "left_semi").select("src", F.col("dst").alias("id"), "type").distinct()
+    near = g.both_ways("APPLIES_TO", "REQUIRES").join(small(first), "src", "left_semi").select("src", F.col("dst").alias("id"), "type").distinct()
     w = Window.partitionBy("src").orderBy("id", "type")
     near = near.withColumn("k", F.row_number().over(w)).where(F.col("k") <= each).select("id", "type")
-    return g.nodes.join(F.broadcast(near), "id").select("id", F.coalesce("text", "description", "name", "term").alias("text"), "citation_text", "type").orderBy("id", "type").limit(limit)
+    return g.nodes.join(small(near), "id").select("id", F.coalesce("text", "description", "name", "term").alias("text"), "citation_text", "type").orderBy("id", "type").limit(limit)
 
 
 def answer(g: Graph, question: str, top_k: int = 7, include_conflicts: bool = True, include_related: bool = True, providers=(extractive,), route: bool = False, **options) -> dict:

@@ -200,6 +200,7 @@ class Rotation:
         return out
 
 
+STATS = "total_chunks long, successful long, failed long, entities long, by_type map<string, long>"
 WHERE = ("source", "section_id", "section_heading")
 
 
@@ -220,7 +221,8 @@ def run_extraction(chunks: DataFrame, provider, path: str, batch: int = 10_000,
     A batch's responses are written first, its entities next, and its chunks
     are logged last, so a run that breaks off goes on with the batch it was
     in; entities that such a batch had already told are merged away on reading
-    (read_extraction). Chunks that gave nothing are logged as well.
+    (read_extraction). Chunks that gave nothing are logged as well. The
+    statistics of all runs so far are written to path/statistics.
     """
     spark = chunks.sparkSession
     todo = remaining(part_of(chunks, "chunk_id", 0, most) if most else chunks, *([spark.read.parquet(f"{path}/processed")] if exists(spark, f"{path}/processed") else []))
@@ -235,7 +237,9 @@ def run_extraction(chunks: DataFrame, provider, path: str, batch: int = 10_000,
         ord_ = F.pmod(F.xxhash64("chunk_id"), F.lit(1 << 40))
         parse_responses(told.where("response is not null").withColumn("ord", ord_)).write.mode("append").parquet(f"{path}/entities")
         answers.select("chunk_id", F.col("response").isNotNull().alias("success")).write.mode("append").parquet(f"{path}/processed")
-    return extraction_stats(spark, path) if exists(spark, f"{path}/processed") else {"total_chunks": 0, "successful": 0, "failed": 0, "entities": 0, "by_type": {}}
+    stats = extraction_stats(spark, path) if exists(spark, f"{path}/processed") else {"total_chunks": 0, "successful": 0, "failed": 0, "entities": 0, "by_type": {}}
+    spark.createDataFrame([(*(stats[c] for c in ("total_chunks", "successful", "failed", "entities")), stats["by_type"])], STATS).coalesce(1).write.mode("overwrite").json(f"{path}/statistics")
+    return stats
 
 
 def read_extraction(spark, path: str) -> DataFrame:
@@ -268,6 +272,62 @@ def counts(entities: DataFrame, by: str) -> DataFrame:
     return entities.groupBy(by).agg(F.count("*").alias("entities")).orderBy(by)
 
 
+def try_models(chunks: DataFrame, models: dict, path: str, start: int = 0, count: int = 30, clock=time.monotonic) -> DataFrame:
+    """Several models over one slice of the chunks, by chunk_id; -> their runs, which are written to path/runs.
+
+    Rows: model, chunk_id, success, parsed, entities, seconds, by_type, error.
+    A model is a function from a prompt to an answer and is asked once a
+    chunk, in the tasks. A run whose call fails has an error and no entities;
+    one whose answer isn't JSON, even when repaired, is parsed = false and no
+    success. After an error that tells of a rate limit a task asks the model
+    no more, and the chunks that are left have no run.
+    """
+    spark = chunks.sparkSession
+    some = written(part_of(chunks, "chunk_id", start, count))
+    runs = None
+    for name, model in models.items():
+
+        def ask(batches, model=model):
+            limited = False
+            for pdf in batches:
+                rows = []
+                for chunk, text in zip(pdf["chunk_id"], pdf["text"], strict=True):
+                    if limited:
+                        break
+                    began, response, error = clock(), None, None
+                    try:
+                        response = model(prompt(text or ""))
+                    except Exception as e:  # becomes the run's error
+                        error = str(e)
+                        limited = "rate_limit" in error.lower() or "429" in error
+                    rows.append((chunk, response, error, clock() - began))
+                yield pd.DataFrame(rows, columns=["chunk_id", "response", "error", "seconds"])
+
+        one = some.select("chunk_id", "text").mapInPandas(ask, "chunk_id string, response string, error string, seconds double").withColumn("model", F.lit(name))
+        runs = one if runs is None else runs.unionByName(one)
+    if runs is None:
+        raise ValueError("no models")
+    runs = written(runs)
+    none = F.lit(None).cast("string")
+    told = parse_responses(runs.select(F.to_json(F.struct("model", "chunk_id")).alias("chunk_id"), none.alias("source_doc"), none.alias("section_id"), none.alias("section_heading"), "response", F.lit(0).cast("long").alias("ord")).where("response is not null"))
+    each = told.groupBy(F.col("source_chunk_id").alias("of"), "entity_type").agg(F.count("*").cast("int").alias("n"))
+    each = each.groupBy("of").agg(F.sum("n").cast("int").alias("entities"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("entity_type", "n")))).alias("by_type"))
+    runs = runs.withColumn("parsed", F.when(F.col("error").isNull(), F.coalesce(repair(without_fence(F.col("response"))).isNotNull(), F.lit(False))).otherwise(True))
+    out = runs.withColumn("of", F.to_json(F.struct("model", "chunk_id"))).join(each, "of", "left")
+    out = out.select("model", "chunk_id", (F.col("error").isNull() & F.col("parsed")).alias("success"), "parsed", F.coalesce("entities", F.lit(0)).alias("entities"), "seconds", "by_type", "error")
+    out.write.mode("overwrite").parquet(f"{path}/runs")
+    return spark.read.parquet(f"{path}/runs")
+
+
+def run_benchmark(chunks: DataFrame, models: dict, path: str, start: int = 0, count: int = 30, success: float = 80, parse: float = 90) -> DataFrame:
+    """Models over a slice of chunks, compared: `benchmark` of their runs with `recommended`, best first; written to path/report."""
+    by_model = benchmark(try_models(chunks, models, path, start, count))
+    fit = recommended(by_model, success, parse).select("model", F.lit(True).alias("recommended"))
+    report = by_model.join(fit, "model", "left").withColumn("recommended", F.coalesce("recommended", F.lit(False)))
+    report.orderBy(F.desc("success_rate"), F.desc("avg_entities"), "model").coalesce(1).write.mode("overwrite").json(f"{path}/report")
+    return report.orderBy(F.desc("success_rate"), F.desc("avg_entities"), "model")
+
+
 def benchmark(runs: DataFrame) -> DataFrame:
     """By model: runs, success and parse rates in percent, means; columns model, success, parsed, entities, seconds.
 

@@ -76,6 +76,12 @@ def test_extraction_goes_on_where_it_broke_off(spark, tmp_path):
     assert extract.estimated_seconds(chunks(spark, 15), 4.0, 2, spark.read.parquet(f"{path}/processed")) == 6.0
 
 
+def test_extraction_statistics_are_written(spark, tmp_path):
+    extract.run_extraction(chunks(spark, 5), lambda texts: [GOOD if i else None for i, _ in enumerate(texts)], str(tmp_path))
+    told = spark.read.schema(extract.STATS).json(str(tmp_path / "statistics")).first()
+    assert told.total_chunks == 5 and told.successful + told.failed == 5 and told.by_type == {"Requirement": told.entities}
+
+
 def test_models_take_turns():
     waits, calls = [], []
 
@@ -153,6 +159,33 @@ def test_models_are_compared(spark):
     assert tuple(extract.capacity(fit).first()) == (1, 200)
 
 
+def test_models_over_a_slice(spark, tmp_path):
+    """One that answers, one that talks, one that is cut off, one that fails and one that is held back after its second call."""
+
+    def fails(question):
+        raise RuntimeError("no connection")
+
+    calls = []
+
+    def limited(question):
+        calls.append(question)
+        if len(calls) > 1:
+            raise RuntimeError("HTTP 429")
+        return GOOD
+
+    models = {"good": lambda q: f"```json\n{GOOD}\n```", "talks": lambda q: "I found nothing", "cut": lambda q: GOOD[:-2] + ", ", "fails": fails, "limited": limited}
+    some = chunks(spark, 12).coalesce(1)
+    report = {r.model: r for r in extract.run_benchmark(some, models, str(tmp_path), start=2, count=4).collect()}
+    assert {m: (r.chunks, r.success_rate, r.parse_rate, r.avg_entities, r.recommended) for m, r in report.items()} == {
+        "good": (4, 100, 100, 1, True), "cut": (4, 100, 100, 1, True), "talks": (4, 0, 0, 0, False), "fails": (4, 0, 100, 0, False), "limited": (2, 50, 100, 0.5, False),
+    }
+    runs = spark.read.parquet(str(tmp_path / "runs"))
+    assert {r.chunk_id for r in runs.where("model = 'good'").collect()} == {"c02", "c03", "c04", "c05"} and report["good"].by_type == {"Requirement": 4}
+    assert {r.error for r in runs.where("model = 'fails'").collect()} == {"no connection"} and spark.read.json(str(tmp_path / "report")).count() == 5
+    with pytest.raises(ValueError):
+        extract.try_models(some, {}, str(tmp_path))
+
+
 def test_build_is_summed_up(spark):
     e = spark.createDataFrame([entity("Requirement", "it shall be so", "MHRA", 1), entity("Process", "p", "MHRA", 2, name="so"), entity("Other", "x", "MHRA", 3)], ENTITY)
     g = build.build_graph(e, AT)
