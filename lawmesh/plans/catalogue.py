@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lawmesh.functions import text as fn
 from lawmesh.operators import answer, build, conflict, delta, extract, fulltext, graph, ingest, merge, paths, retrieve, vectors
-from lawmesh.operators.store import new_path
+from lawmesh.operators.store import exists, new_path
 from lawmesh.plans import router, tables, templates
 from lawmesh.plans.tables import SQL, table
 from lawmesh.sources import files
@@ -45,7 +45,7 @@ FROM edges e JOIN nodes r ON e.src = r.id AND r.label = 'Requirement' JOIN nodes
 WHERE e.type = 'APPLIES_TO' AND contains(lower(p.name), 'ring') ORDER BY r.severity DESC NULLS FIRST, requirement, process LIMIT 500"""
 )
 def template_requirements_for_process(spark, sf):
-    return templates.requirements_for_process(tables.graph(spark, sf), "Ring", 500)
+    return templates.requirements_for_process(tables.stored_graph(spark, sf), "Ring", 500)
 
 
 @query(
@@ -54,7 +54,7 @@ FROM nodes r LEFT JOIN (SELECT src, name FROM edges JOIN nodes ON dst = id WHERE
 WHERE r.label = 'Requirement' AND (contains(lower(r.text), 'urgent') OR contains(lower(r.scope), 'urgent')) GROUP BY 1, 2, 3 ORDER BY 1, 2, 3 LIMIT 500"""
 )
 def template_applicability(spark, sf):
-    return templates.regulation_applicability(tables.graph(spark, sf), "urgent", 500)
+    return templates.regulation_applicability(tables.stored_graph(spark, sf), "urgent", 500)
 
 
 @query(
@@ -62,7 +62,7 @@ def template_applicability(spark, sf):
 WHERE label = 'CrossReference' AND (contains(lower(source_doc), 'c1') OR contains(lower(target_doc), 'low')) ORDER BY 1, 2, 5 LIMIT 1000"""
 )
 def template_crossref(spark, sf):
-    return templates.cross_references(tables.graph(spark, sf), "C1", "low", 1000)
+    return templates.cross_references(tables.stored_graph(spark, sf), "C1", "low", 1000)
 
 
 @query(
@@ -71,7 +71,7 @@ FROM nodes d LEFT JOIN (SELECT src, text FROM edges JOIN nodes ON dst = id WHERE
 WHERE d.label = 'Definition' AND contains(lower(d.term), 'supplier') GROUP BY 1, 2, 3, 4 ORDER BY 1, 2, 3 LIMIT 500"""
 )
 def template_definitions(spark, sf):
-    return templates.term_definitions(tables.graph(spark, sf), "supplier", 500)
+    return templates.term_definitions(tables.stored_graph(spark, sf), "supplier", 500)
 
 
 @query(
@@ -80,7 +80,7 @@ FROM edges e JOIN nodes a ON e.src = a.id JOIN nodes b ON e.dst = b.id
 WHERE e.type = 'CONFLICTS_WITH' AND (contains(lower(a.text), 'medium') OR contains(lower(b.text), 'medium')) ORDER BY 1, 3, 2, 4 LIMIT 500"""
 )
 def template_conflicts(spark, sf):
-    return templates.detect_conflicts(tables.graph(spark, sf), "medium", 500)
+    return templates.detect_conflicts(tables.stored_graph(spark, sf), "medium", 500)
 
 
 @query(
@@ -88,7 +88,7 @@ def template_conflicts(spark, sf):
 WHERE label = 'Exemption' AND (contains(lower(text), 'eco') OR contains(lower(condition), 'eco') OR contains(lower(scope), 'eco')) ORDER BY 1, 2 LIMIT 500"""
 )
 def template_exemptions(spark, sf):
-    return templates.find_exemptions(tables.graph(spark, sf), "eco", 500)
+    return templates.find_exemptions(tables.stored_graph(spark, sf), "eco", 500)
 
 
 def _walk(starts: str, edges: str, depth: int) -> str:
@@ -125,7 +125,7 @@ FROM nodes r LEFT JOIN (SELECT src, name FROM edges JOIN nodes ON dst = id WHERE
 WHERE r.label = 'Requirement' AND contains(lower(r.text), 'order 1') GROUP BY 1, 2, 3, 4 ORDER BY r.severity DESC NULLS FIRST, 1, 2 LIMIT 500"""
 )
 def search_requirements(spark, sf):
-    return templates.search_requirements(tables.graph(spark, sf), "order 1", 500)
+    return templates.search_requirements(tables.stored_graph(spark, sf), "order 1", 500)
 
 
 @query(
@@ -143,17 +143,17 @@ def citation_context(spark, sf):
 
 @query(SQL + "SELECT (SELECT count(*) FROM nodes) AS total_nodes, (SELECT count(*) FROM edges) AS total_relationships")
 def graph_totals(spark, sf):
-    return graph.totals(tables.graph(spark, sf))
+    return graph.totals(tables.stored_graph(spark, sf))
 
 
 @query(SQL + "SELECT label, count(*) AS count FROM nodes GROUP BY label")
 def count_by_label(spark, sf):
-    return graph.count_by_label(tables.graph(spark, sf))
+    return graph.count_by_label(tables.stored_graph(spark, sf))
 
 
 @query(SQL + "SELECT type, count(*) AS count FROM edges GROUP BY type")
 def count_by_type(spark, sf):
-    return graph.count_by_type(tables.graph(spark, sf))
+    return graph.count_by_type(tables.stored_graph(spark, sf))
 
 
 @query(
@@ -162,7 +162,7 @@ SELECT n.id, n.text, CAST(in_degree AS BIGINT) AS in_degree, CAST(out_degree AS
 FROM d JOIN nodes n ON d.id = n.id WHERE n.label = 'Requirement' ORDER BY total_degree DESC, n.id LIMIT 200"""
 )
 def degree_centrality(spark, sf):
-    return graph.degree(tables.graph(spark, sf), "Requirement", 200)
+    return graph.degree(tables.stored_graph(spark, sf), "Requirement", 200)
 
 
 @query(
@@ -170,7 +170,7 @@ def degree_centrality(spark, sf):
 FROM edges e JOIN nodes n ON e.dst = n.id WHERE e.type = 'APPLIES_TO' GROUP BY 1, 2 HAVING count(*) >= 3 ORDER BY requirement_count DESC, process_id LIMIT 50"""
 )
 def communities(spark, sf):
-    return graph.communities(tables.graph(spark, sf), 3, 50)
+    return graph.communities(tables.stored_graph(spark, sf), 3, 50)
 
 
 @query(
@@ -588,7 +588,7 @@ def _indexed(spark, sf):
     """The documents' full-text index: two segments, written once for a session and the table as it is now."""
     docs = table(spark, sf, "documents")
     key = (spark.sparkContext.applicationId, sf, docs.select(F.max("_metadata.file_modification_time")).first()[0])
-    if key not in _indexes:
+    if key not in _indexes or not exists(spark, f"{_indexes[key]}/segments"):
         path, odd = new_path(spark), F.pmod("doc_id", F.lit(2)) == 1
         fulltext.add(docs.where(~odd), path, "doc_id")
         fulltext.add(docs.where(odd), path, "doc_id")

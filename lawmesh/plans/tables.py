@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lawmesh.operators.graph import Graph, as_edges, as_nodes
-from lawmesh.operators.store import new_path
+from lawmesh.operators.store import exists, new_path
 from lawmesh.schema import PROPERTIES
 from lawmesh.sources.files import load_graph, save_graph
 
@@ -66,7 +66,7 @@ _stored: dict = {}
 def stored_graph(spark: SparkSession, sf_dir: str) -> Graph:
     """`graph` saved by label and type in the shared folder, once for a session and the files as they are now; paths and neighbours read that."""
     key = (spark.sparkContext.applicationId, sf_dir, *(table(spark, sf_dir, n).select(F.max("_metadata.file_modification_time")).first()[0] for n in ("orders", "lineitem")))
-    if key not in _stored:
+    if key not in _stored or not exists(spark, f"{_stored[key]}/edges"):
         path = new_path(spark)
         save_graph(graph(spark, sf_dir), path)
         _stored.clear()
