@@ -26,11 +26,12 @@ EXEMPTION_WORDS = ("aseptic", "filling", "sterile", "monitoring")
 SEVERITIES = ("Low", "Medium", "High", "Critical")
 #: Fixed value: a comparison, its number and its unit.
 NUMERIC = r"([<>≤≥]=?)\s*(\d+(?:\.\d+)?)\s*([°C°FK%]*)"
-#: Wording by which a directive gives way to another, by full name and by code.
+#: A directive's code, and the wording by which one gives way to another, by full name and by code.
 CODE = r"[0-9]{2,4}/[0-9]+/[A-Z]+"
-FULL = rf"[A-Z][a-z]+\s+(?:Directive|Regulation)\s+(?:\([A-Z]+\)\s+)?{CODE}"
-GIVES_WAY = r"\s+(?:is\s+)?(repealed|replaced|superseded)\s+by\s+"
-SUPERSEDES = tuple(f"(?i)({p}){GIVES_WAY}({p})" for p in (FULL, CODE))
+SUPERSEDES = (
+    r"(?i)([A-Z][a-z]+\s+(?:Directive|Regulation)\s+(?:\([A-Z]+\)\s+)?[0-9]{2,4}/[0-9]+/[A-Z]+)\s+(?:is\s+)?(repealed|replaced|superseded)\s+by\s+([A-Z][a-z]+\s+(?:Directive|Regulation)\s+(?:\([A-Z]+\)\s+)?[0-9]{2,4}/[0-9]+/[A-Z]+)",
+    r"(?i)([0-9]{2,4}/[0-9]+/[A-Z]+)\s+(?:is\s+)?(repealed|replaced|superseded)\s+by\s+([0-9]{2,4}/[0-9]+/[A-Z]+)",
+)
 
 
 def col(c) -> Column:

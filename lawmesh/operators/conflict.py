@@ -40,6 +40,7 @@ def runtime_conflicts(
     told = lambda reason, confidence: F.struct(reason.alias("reason"), F.lit(confidence).alias("confidence"))
     c1, s1, s2 = F.col("category1"), F.col("s1"), F.col("s2")
     text = F.concat
+    # fixed values: the wording of the four reasons
     found = F.coalesce(
         F.when(
             same & (F.col("mandatory1") != F.col("mandatory2")),
