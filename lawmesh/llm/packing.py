@@ -94,14 +94,16 @@ class Recent:
 
     def missing(self, keys) -> list[str]:
         """Those of the keys that must be made; the others are in the younger generation from now on."""
-        out, young, old = [], self.young, self.old
+        out, young, old, size = [], self.young, self.old, 0
         for k in keys:
             if k not in young:
                 got = old.get(k)
                 if got is None:
                     out.append(k)
                 else:
-                    self.put(k, got)
+                    young[k] = got
+                    size += ENTRY + len(k) + len(got)
+        self.size += size
         return out
 
 
@@ -142,10 +144,10 @@ class Words:
         """The ids of each of a batch's distinct words."""
         self.words.turn()
         self.pieces.turn()
-        parted, whole = {}, []
+        parted, whole, parts, latin = {}, [], self.parts, self.latin
         for w in self.words.missing(words):
-            if self.parts and self.latin(w):
-                parted[w] = self.parts(w.lower())
+            if parts and (w.isascii() and w.isprintable() or latin(w)):
+                parted[w] = parts(w.lower())
             else:
                 whole.append(w)
         wanted = self.pieces.missing(dict.fromkeys(p for found in parted.values() for p in found))
@@ -154,10 +156,12 @@ class Words:
                 some = new[at : at + 4096]
                 for p, e in zip(some, tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
                     kept.put(p, array("I", e.ids).tobytes())
-        pieces = self.pieces.young
+        pieces, known, size = self.pieces.young, self.words.young, 0
         for w, found in parted.items():
-            self.words.put(w, b"".join([pieces[p] for p in found]))
-        return self.words.young
+            known[w] = ids = pieces[found[0]] if len(found) == 1 else b"".join([pieces[p] for p in found])
+            size += ENTRY + len(w) + len(ids)
+        self.words.size += size
+        return known
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of all texts, and where each text's begin and end; null texts have none.
@@ -175,11 +179,16 @@ class Words:
         words, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
         ids_of = self.learn(words)
         made = [ids_of[w] for w in words]
-        n_of = np.array([len(m) // 4 for m in made], dtype="int64")
+        n_of = np.fromiter(map(len, made), "int64", len(made)) // 4
         flat, first = np.frombuffer(b"".join(made), dtype="<u4"), np.cumsum(n_of) - n_of
         n = n_of[at]
         ends = np.concatenate(([0], np.cumsum(n)))
-        ids = flat[np.repeat(first[at] - ends[:-1], n) + np.arange(ends[-1])]
+        # places step by one within a word and jump from a word's last id to the next word's first
+        step = np.ones(ends[-1], dtype="int64")
+        some = np.flatnonzero(n)
+        begin, last = first[at[some]], n[some]
+        step[ends[:-1][some]] = np.diff(begin, prepend=0) - np.concatenate(([0], (last - 1)[:-1])) if len(some) else 0
+        ids = flat[np.cumsum(step, out=step)]
         bounds = ends[split.offsets.to_numpy()]
         if pc.any(odd).as_py():  # few: such texts go to the tokenizer whole
             parts = [ids[i:j] for i, j in zip(bounds, bounds[1:], strict=False)]
@@ -238,8 +247,9 @@ def pack_documents(
         def __call__(self, batch):
             out = []
             ids, bounds = self.words.encode(batch.column(1))
+            bounds = bounds.tolist()
             for k, doc_id in enumerate(batch.column(0).to_pylist()):
-                packed = ids[bounds[k] : bounds[k + 1]].tobytes() + end
+                packed = memoryview(ids[bounds[k] : bounds[k + 1]].tobytes() + end)
                 n = len(packed) // 4
                 for start in range(0, n, longest_piece):
                     length = min(longest_piece, n - start)
