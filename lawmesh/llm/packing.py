@@ -216,6 +216,7 @@ def pack_documents(
     capacity: int = 2048,
     longest_piece: int = 512,
     block_tokens: int = 1 << 19,
+    rows: int = 1024,
 ) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset: one row per piece.
 
@@ -225,7 +226,7 @@ def pack_documents(
     block to ceil(ids / capacity) windows, one more whenever one would exceed
     capacity. Windows are padded to capacity; what is lost is the part of a
     window by which each block's total rounds up. There is no shuffle, and a
-    task holds one block. sequence_id has the partition, block and window, so
+    task holds one block; `rows` documents are encoded at a time. sequence_id has the partition, block and window, so
     a task that runs again gives the same ids.
 
     Null or empty text: one piece with end_id alone. Null or repeated doc_id:
@@ -275,5 +276,5 @@ def pack_documents(
         docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text"),
         Step,
         ", ".join(f"{f} long" for f in fields),
-        1024,
+        rows,
     )

@@ -84,7 +84,7 @@ def op7_packing(spark, sf_dir):
 
     from lawmesh.llm.packing import pack_documents
 
-    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), rows=1536)
 
 
 def op8_neardup(spark, sf_dir):
