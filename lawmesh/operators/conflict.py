@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lawmesh.functions.text import (
@@ -76,15 +81,20 @@ def runtime_conflicts(
     )
 
 
-def entity_conflicts(requirements: DataFrame, shared: int = 3) -> DataFrame:
+#: Requirements a side of a tile; the pairs of a tile are counted in one task.
+TILE = 4096
+
+
+def entity_conflicts(requirements: DataFrame, shared: int = 3, tile: int = TILE) -> DataFrame:
     """Pairs of one category, other sources and other mandatoriness that share words; columns as requirements, by ord.
 
     Rows: req1_id, req2_id, source1, source2, category, reason, confidence.
-    Pairs are made through the words they share, never by category alone. A
-    requirement's words that the other side has too are ordered from rare to
-    frequent, and only those before its last shared - 1 are joined on; pairs
-    met so are then verified on all their words. With a boolean column `fresh`
-    only pairs with a fresh requirement are made.
+    Pairs are made through the words they share, never by category alone: a
+    category's mandatory and optional requirements are dealt in blocks, and a
+    task counts the words that the pairs of two blocks share (`counted`). So
+    words go once to each block of the other side, and a pair is a row only
+    when it is one of the result. With a boolean column `fresh` only pairs with
+    a fresh requirement are made.
     """
     fresh = F.col("fresh") if "fresh" in requirements.columns else F.lit(True)
     r = written(
@@ -93,17 +103,21 @@ def entity_conflicts(requirements: DataFrame, shared: int = 3) -> DataFrame:
             significant_words("text", alphanumeric=False).alias("words"), F.monotonically_increasing_id().alias("row"), fresh.alias("fresh"),
         )
     )
-    # who shares `shared` words shares one that isn't among the last shared - 1 of either, by how many have it
-    each = r.select("row", "category", "mandatory", "fresh", F.explode("words").alias("word"))
-    df = each.groupBy("category", "word").agg(F.count("*").alias("df"), F.count_if("mandatory").alias("yes")).where("yes > 0 and yes < df").drop("yes")
-    place = Window.partitionBy("row").orderBy("df", "word")
-    size = Window.partitionBy("row")
-    prefix = each.join(df, ["category", "word"]).withColumn("k", F.row_number().over(place)).withColumn("of", F.count("*").over(size)).where(F.col("k") <= F.col("of") - (shared - 1))
-    yes, no = (prefix.where(cond).select("category", "word", F.col("row").alias(f"row_{p}"), F.col("fresh").alias(f"fresh_{p}")) for cond, p in (("mandatory", "y"), ("not mandatory", "n")))
-    keys = ["category", "word"]
-    met = yes.where("fresh_y").join(no, keys).unionByName(yes.where("not fresh_y").join(no.where("fresh_n"), keys)).select("row_y", "row_n").distinct()
-    y, n = (r.select(*(F.col(c).alias(f"{c}_{p}") for c in ("row", "ord", "source", "rid", "words")), *(["category"] if p == "y" else [])) for p in "yn")
-    pairs = met.join(y, "row_y").join(n, "row_n").where("source_y <> source_n").where(F.size(F.array_intersect("words_y", "words_n")) >= shared)
+    # words that the other side has too, as numbers
+    each = r.select("row", "category", "mandatory", F.explode("words").alias("word"))
+    common = each.groupBy("category", "word").agg(F.count("*").alias("df"), F.count_if("mandatory").alias("yes")).where("yes > 0 and yes < df")
+    common = written(common.select("category", "word", F.monotonically_increasing_id().alias("code")))
+    codes = each.join(common, ["category", "word"]).groupBy("row").agg(F.collect_list("code").alias("codes")).where(F.size("codes") >= shared)
+    coded = written(r.drop("words").join(codes, "row").drop("row"))
+    many = coded.groupBy("category").agg(*(F.ceil(F.count_if(c) / tile).cast("int").alias(n) for c, n in ((F.col("mandatory"), "of_y"), (~F.col("mandatory"), "of_n")))).where("of_y > 0 and of_n > 0")
+    own = F.pmod(F.xxhash64("rid", "ord"), F.when(F.col("mandatory"), F.col("of_y")).otherwise(F.col("of_n"))).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.when(F.col("mandatory"), F.col("of_n")).otherwise(F.col("of_y")) - 1))
+    dealt = coded.join(many, "category").withColumn("own", own).withColumn("other", every)
+    y, n = (F.when(F.col("mandatory"), F.col(a)).otherwise(F.col(b)) for a, b in (("own", "other"), ("other", "own")))
+    dealt = dealt.select("category", y.alias("y"), n.alias("n"), "mandatory", "fresh", "ord", "source", "rid", "codes")
+    kind = r.schema["ord"].dataType.simpleString()
+    schema = ", ".join(f"ord_{p} {kind}, source_{p} string, rid_{p} string" for p in "yn") + ", category string"
+    pairs = dealt.groupBy("category", "y", "n").applyInArrow(counted(shared), schema).where("source_y <> source_n")
     first = lambda c: F.when(F.col("ord_y") < F.col("ord_n"), F.col(f"{c}_y")).otherwise(F.col(f"{c}_n"))
     second = lambda c: F.when(F.col("ord_y") < F.col("ord_n"), F.col(f"{c}_n")).otherwise(F.col(f"{c}_y"))
     return pairs.select(
@@ -111,3 +125,41 @@ def entity_conflicts(requirements: DataFrame, shared: int = 3) -> DataFrame:
         F.concat("category", F.lit(": mandatory in "), first("source"), F.lit(" but optional in "), second("source")).alias("reason"),
         F.lit(0.7).alias("confidence"),
     )
+
+
+def counted(shared: int, rows: int = 256, most: int = 1 << 22):
+    """For applyInArrow: the pairs of a tile's mandatory and optional rows with `shared` codes in common, a few mandatory rows at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = pa.Table.from_batches(list(batches)).combine_chunks()
+        sides = [whole.filter(c) for c in (whole["mandatory"], pc.invert(whole["mandatory"]))]
+        y, n = (t.select(["ord", "source", "rid"]).combine_chunks() for t in sides)
+        fresh = [t["fresh"].to_numpy() for t in sides]
+        if not (len(y) and len(n)):
+            return
+        (of_y, at_y), (of_n, at_n) = ((np.repeat(np.arange(len(t)), pc.list_value_length(t["codes"]).to_numpy()), pc.list_flatten(t["codes"]).to_numpy()) for t in sides)
+        order = np.argsort(at_n, kind="stable")
+        at_n, of_n = at_n[order], of_n[order]
+        low, high = (np.searchsorted(at_n, at_y, side) for side in ("left", "right"))
+        for begin in range(0, len(y), rows):
+            some = slice(*np.searchsorted(of_y, (begin, begin + rows)))
+            lo, many, base = low[some], (high - low)[some], (of_y[some] - begin) * len(n)
+            told, met = np.cumsum(many), np.zeros(min(rows, len(y) - begin) * len(n), np.int32)
+            at = 0
+            while at < len(many):  # at most `most` places at once, or one code's
+                to = max(at + 1, int(np.searchsorted(told, told[at] - many[at] + most, "right")))
+                m = many[at:to]
+                place = np.repeat(lo[at:to] - (np.cumsum(m) - m), m) + np.arange(m.sum())
+                met += np.bincount(np.repeat(base[at:to], m) + of_n[place], minlength=len(met)).astype(np.int32)
+                at = to
+            row, col = np.divmod(np.flatnonzero(met >= shared), len(n))
+            row += begin
+            new = fresh[0][row] | fresh[1][col]
+            row, col = row[new], col[new]
+            for k in range(0, len(row), 1 << 16):
+                a, b = y.take(row[k : k + (1 << 16)]), n.take(col[k : k + (1 << 16)])
+                columns = [c.combine_chunks() for t in (a, b) for c in t.columns]
+                category = pa.repeat(whole["category"][0], len(a))
+                yield pa.RecordBatch.from_arrays([*columns, category], names=[f"{c}_{p}" for p in "yn" for c in ("ord", "source", "rid")] + ["category"])
+
+    return run

@@ -250,6 +250,18 @@ def test_entity_conflicts_against_all_pairs(spark):
     assert got == sum(a[1] == b[1] and a[2] != b[2] and a[3] != b[3] and len(words[i] & words[j]) >= 3 for i, a in enumerate(rows) for j, b in enumerate(rows) if i < j)
 
 
+def test_entity_conflicts_by_tiles(spark):
+    """Small tiles give the pairs that one gives, and nothing wide is joined to pairs."""
+    r = random.Random(8)
+    rows = [(i, r.choice("ab"), bool(r.random() < 0.3), r.choice(["s", "t", None]), " ".join(r.choice([f"words{k}" for k in range(20)] + ["common"]) for _ in range(8)) or None, r.random() < 0.5) for i in range(80)]
+    d = spark.createDataFrame(rows, "ord long, category string, mandatory boolean, source_doc string, text string, fresh boolean")
+    words = [set(x[4].split()) for x in rows]
+    want = sum(a[1] == b[1] and a[2] != b[2] and None not in (a[3], b[3]) and a[3] != b[3] and (a[5] or b[5]) and len(words[i] & words[j]) >= 3 for i, a in enumerate(rows) for j, b in enumerate(rows) if i < j)
+    whole, parts = conflict.entity_conflicts(d), conflict.entity_conflicts(d, tile=5)
+    assert whole.count() == want > 0 and sorted(map(tuple, whole.collect())) == sorted(map(tuple, parts.collect()))
+    assert "array_intersect" not in parts._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_many_contexts_need_a_key(spark):
     c = spark.range(1200).select(F.lit("some text of words").alias("text"), F.lit("s").alias("source_doc"), F.lit("c").alias("category"), F.lit(True).alias("mandatory"), F.lit("Low").alias("severity"), F.col("id").alias("ord"))
     with pytest.raises(ValueError):
