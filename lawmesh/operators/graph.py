@@ -44,23 +44,21 @@ def as_nodes(df: DataFrame, **values) -> DataFrame:
     )
 
 
-def as_edges(df: DataFrame, kind: str, evidence=None, reason=None, confidence=None) -> DataFrame:
-    """(src, dst) rows as edges, each once; without properties only the ids are shuffled."""
+def as_edges(df: DataFrame, kind: str, evidence=None, reason=None, confidence=None, once: bool = False) -> DataFrame:
+    """(src, dst) rows as edges, each once; without properties only the ids are shuffled. With `once` they are so already, and nothing is."""
+    eid = F.concat_ws("|", F.lit(kind), "src", "dst").alias("eid")
     if evidence is None and reason is None and confidence is None:
-        eid = F.concat_ws("|", F.lit(kind), "src", "dst").alias("eid")
-        return df.select("src", "dst").distinct().select(eid, "src", "dst", F.lit(kind).alias("type"), F.lit(None).cast(EDGE["props"].dataType).alias("props")).to(EDGE)
+        rows = df.select("src", "dst") if once else df.select("src", "dst").distinct()
+        return rows.select(eid, "src", "dst", F.lit(kind).alias("type"), F.lit(None).cast(EDGE["props"].dataType).alias("props")).to(EDGE)
     props = F.struct(
         (F.lit(None) if evidence is None else evidence).cast("string").alias("evidence"),
         (F.lit(None) if reason is None else reason).cast("string").alias("reason"),
         (F.lit(None) if confidence is None else confidence).cast("double").alias("confidence"),
     )
-    return (
-        df.withColumn("props", props)
-        .groupBy("src", "dst")
-        .agg(F.min("props").alias("props"))
-        .select(F.concat_ws("|", F.lit(kind), "src", "dst").alias("eid"), "src", "dst", F.lit(kind).alias("type"), "props")
-        .to(EDGE)
-    )
+    rows = df.withColumn("props", props)
+    if not once:
+        rows = rows.groupBy("src", "dst").agg(F.min("props").alias("props"))
+    return rows.select(eid, "src", "dst", F.lit(kind).alias("type"), "props").to(EDGE)
 
 
 def keep_first(df: DataFrame, key, order="ord") -> DataFrame:

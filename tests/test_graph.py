@@ -123,6 +123,21 @@ def test_containing_against_all_pairs(spark):
     assert "Generate" not in plan  # no row for each word or run of characters
 
 
+def test_many_long_terms_against_all_pairs(spark):
+    """Longer terms by their hashes, shorter ones by automata or joins; letters of two bytes, ends of texts, copies."""
+    r = random.Random(9)
+    text = lambda n: "".join(r.choice("abé ") for _ in range(n))
+    texts = [(str(i), text(r.randint(0, 400)).upper()) for i in range(40)] + [("z", None), ("copy", "b" * 90)]
+    terms = [(str(i), r.choice(texts)[1]) for i in range(90)]
+    terms = [(i, t and t[(k := r.randint(0, len(t))) : k + r.choice((5, 23, 24, 60, 400))]) for i, t in terms] + [("b", "b" * 40), ("no", text(50))]
+    want = {(i, j) for i, t in terms for j, x in texts if t and x is not None and t.lower() in x.lower()}
+    t, x = spark.createDataFrame(terms, "id string, term string"), spark.createDataFrame(texts, "id string, text string")
+    for found in (build.containing(t, x, few=0), build.containing(t, x, few=0, most=0)):
+        assert {tuple(y) for y in found.collect()} == want
+    only = build.containing(t.where("length(term) > 30"), x, few=0)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in only and only.count("MapInArrow") == 1  # one pass over the texts
+
+
 def test_automaton_against_all_pairs():
     r = random.Random(4)
     some = lambda n, signs: bytes(r.choice(signs) for _ in range(n))
@@ -141,6 +156,19 @@ def entity(kind, text, source, ord, **p):
     return (kind, text, f"c{ord}", source, "1", None, tuple(p.get(k) for k in PROPERTIES), 0.9, ord)
 
 
+def test_conflicts_and_exemptions_are_told_once(spark):
+    """Copies before and behind what they are in conflict with; exemptions with several words, in small blocks."""
+    same = "alpha bravo charlie sterile filling"
+    rows = [(1, same, "A", True), (3, same, "A", True), (7, same, "A", True), (5, "charlie bravo alpha sterile", "B", False), (9, "alpha bravo charlie", "C", False)]
+    e = [entity("Requirement", t, s, i, category="c", mandatory=m) for i, t, s, m in rows] + [entity("Exemption", t, "D", 20 + i) for i, t in enumerate(["Sterile filling", "sterile", "sterile room", "aseptic"])]
+    e = spark.createDataFrame(e, ENTITY)
+    got = [(x.src.split("_")[1], x.dst.split("_")[1]) for x in build.conflicts(e).collect()]
+    assert sorted(got) == [("a", "b"), ("a", "c"), ("b", "a")]
+    got = [(x.src, x.dst) for x in build.exempt_from(e, block=1, salts=3).collect()]
+    assert len(got) == len(set(got)) == 6  # three exemptions, two requirements: the third has no word
+    assert "array_contains" not in build.exempt_from(e)._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_build_graph(spark):
     e = [
         entity("Requirement", "Aseptic filling of vials shall be validated every year.", "EU GMP", 1, category="v", mandatory=True),
