@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lawmesh.functions.text import any_contains, contains, severity_rank
 from lawmesh.operators.graph import Graph
 from lawmesh.operators.paths import directed
+from lawmesh.operators.store import small, written
 
 
 def named(nodes: DataFrame, prefix: str, *columns: str) -> DataFrame:
@@ -40,10 +44,28 @@ def requirements_for_process(g: Graph, process_name: str, limit: int = 20, sever
     return by_severity(found, limit, severity_ranked, "requirement", "process")
 
 
+def first_of(req: DataFrame, columns: dict[str, str], order: list, limit: int, width: int = 8) -> DataFrame:
+    """Requirements whose columns, of which results are made, are among the first `limit` in an order; ties by all of the columns.
+
+    So many rows are taken that they have `limit` different ones: what comes
+    after these isn't joined with anything.
+    """
+    keys, n, done = [f"req_{c}" for c in columns], limit, False
+    while not done:
+        n *= width
+        some = written(req.select(*keys).orderBy(*order, *keys).limit(n))
+        first = written(some.distinct().orderBy(*order, *keys).limit(limit))
+        done = first.count() >= limit or some.count() < n
+    first = first.select(*(F.col(k).alias(f"{k}_") for k in keys))
+    return req.join(small(first), reduce(and_, (F.col(k).eqNullSafe(F.col(f"{k}_")) for k in keys)), "left_semi")
+
+
 def with_processes(g: Graph, req: DataFrame, columns: dict[str, str], name: str) -> DataFrame:
-    """Requirements and the distinct names of the processes they apply to, joined by |."""
+    """Requirements and the distinct names of the processes they apply to, joined by |; of the edges only those of the requirements are shuffled."""
+    req = written(req)
     proc = named(g.label("Process"), "proc", "id", "name")
-    got = hop(g, "APPLIES_TO", req, proc, "req_id", "proc_id", "left")
+    edges = g.type("APPLIES_TO").select(F.col("src").alias("req_id"), F.col("dst").alias("proc_id")).join(small(req.select("req_id")), "req_id", "left_semi")
+    got = req.join(edges.distinct().join(proc, "proc_id"), "req_id", "left")
     keys = [F.col(f"req_{c}").alias(a) for c, a in columns.items()]
     return got.groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_set("proc_name")), "|").alias(name))
 
@@ -51,6 +73,7 @@ def with_processes(g: Graph, req: DataFrame, columns: dict[str, str], name: str)
 def regulation_applicability(g: Graph, keyword: str, limit: int = 20) -> DataFrame:
     req = named(g.label("Requirement").where(any_contains(("text", "scope"), keyword)), "req", "id", "text", "citation_text", "scope")
     columns = {"text": "requirement", "citation_text": "source", "scope": "scope"}
+    req = first_of(req, columns, ["req_text", "req_citation_text", "req_scope"], limit)
     return with_processes(g, req, columns, "applicable_processes").orderBy("requirement", "source", "scope").limit(limit)
 
 
@@ -150,7 +173,9 @@ def related_requirements(g: Graph, node_id: str, limit: int = 20) -> DataFrame:
 def search_requirements(g: Graph, search_term: str, limit: int = 20, severity_ranked: bool = False) -> DataFrame:
     req = named(g.label("Requirement").where(contains("text", search_term)), "req", "id", "text", "citation_text", "category", "severity")
     columns = {"text": "requirement", "citation_text": "source", "category": "category", "severity": "severity"}
-    return by_severity(with_processes(g, req, columns, "processes"), limit, severity_ranked, "requirement", "source")
+    severity = severity_rank("req_severity") if severity_ranked else F.col("req_severity")
+    req = first_of(req, columns, [severity.desc_nulls_first(), "req_text", "req_citation_text"], limit)
+    return by_severity(with_processes(g, req, columns, "processes"), limit, severity_ranked, "requirement", "source", "category")
 
 
 def citation_context(g: Graph, citation: str, limit: int = 20, shown: int | None = None) -> DataFrame:
