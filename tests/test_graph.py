@@ -109,6 +109,30 @@ def test_paths_across_hubs(spark):
     assert first == [["a", "a0", "m0", e, "b"] for e in ends[:10]]
 
 
+def test_first_requirements_are_joined_only(spark):
+    """Tried by parts or all at once, the first by id or by severity are the same; edges are not shuffled for the others."""
+    from pyspark.sql import functions as F
+
+    nodes = [(f"r{i:03}", "Requirement", None, f"text {i % 30:02}", "high" if i % 3 else None) for i in range(90)] + [(f"p{i}", "Process", "ring" if i == 3 else f"n{i}", None, None) for i in range(5)]
+    g = Graph(as_nodes(spark.createDataFrame(nodes, "id string, label string, name string, text string, severity string")), as_edges(spark.createDataFrame([(f"r{i:03}", f"p{i * i % 5 if i < 60 else 3}") for i in range(90)], "src string, dst string"), "APPLIES_TO"))
+    want = [f"r{i:03}" for i in range(60, 90)]
+    for limit, width in ((3, 10), (40, 64)):
+        assert [x.id for x in retrieve.by_process(g, "ring", limit, width).collect()] == want[:limit]
+    req = templates.named(g.label("Requirement"), "req", "id", "text", "severity")
+    first = templates.first_of(req, {"text": "t", "severity": "s"}, [F.col("req_severity").desc_nulls_first(), "req_text"], 12, 2)
+    assert {(x.req_severity, x.req_text) for x in first.collect()} == {(None, f"text {i:02}") for i in range(0, 30, 3)} | {("high", "text 01"), ("high", "text 02")} and first.count() == 36
+
+
+def test_shortest_paths_pass_by_hubs(spark):
+    """Nodes by which the end can't be reached any more are not entered."""
+    e = [("a", "h", "CONTAINS"), ("a", "m", "REQUIRES"), ("m", "b", "CONTAINS"), *(("h", f"x{i}", "CONTAINS") for i in range(50)), *((f"x{i}", f"y{i}", "REQUIRES") for i in range(50))]
+    e = [(*x, f"{i}", None) for i, x in enumerate(e)]
+    g = Graph(spark.createDataFrame([("a",)], "id string"), spark.createDataFrame(e, "src string, dst string, type string, eid string, props string"))
+    pairs = spark.createDataFrame([("a", "b"), ("a", "y7"), ("y3", "y4"), ("b", "zzz")], "start string, end string")
+    got = {(x.start, x.end): (x.nodes, x.types) for x in paths.shortest_paths(g, pairs, 4).collect()}
+    assert got == {("a", "b"): (["a", "m", "b"], ["REQUIRES", "CONTAINS"]), ("a", "y7"): (["a", "h", "x7", "y7"], ["CONTAINS", "CONTAINS", "REQUIRES"]), ("y3", "y4"): (["y3", "x3", "h", "x4", "y4"], ["REQUIRES", "CONTAINS", "CONTAINS", "REQUIRES"])}
+
+
 def test_containing_against_all_pairs(spark):
     r = random.Random(8)
     text = lambda n: "".join(r.choice("ab c") for _ in range(n))
