@@ -178,3 +178,19 @@ def test_links(spark):
     df = spark.createDataFrame([("https://a.org/p", page)], "url string, html string")
     assert {r.url for r in files.pdf_links(df, "mhra").collect()} == {"https://a.org/x/Annex1.PDF", "https://o.org/q.pdf"}
     assert {r.filename for r in files.pdf_links(df, "eu").collect()} == {"Annex1.PDF"}
+
+
+def test_html_sections_and_their_sql_decode_references_without_semicolon(spark, tmp_path):
+    import duckdb
+
+    from lawmesh.plans import catalogue
+
+    heads = ["a &amp;&amp", "b &quot", "c &quo", "d &am", "e&amp;lt", "f &lt;g&gt", "&nbsp;h &#39&#39&#39", "i&#x27s", "\n j &copy&middot "]
+    page = "<html><head><title>{0}</title></head><body><article><h1>{0}</h1><p>x {0}<p>{0}</article></body></html>"
+    spark.createDataFrame([(k, page.format(h)) for k, h in enumerate(heads)], "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    rows = lambda df: sorted(tuple(r) for r in df)
+    got = rows(catalogue.html_sections(spark, str(tmp_path)).select("page_id", "title", "section_id", "heading", "content", "level").collect())
+    assert [r[1] for r in got] == ["a &&", 'b "', "c &quo", "d &am", "e&lt", "f <g>", "h '''", "i's", "j ©·"]
+    assert got == rows(con.execute(f"SELECT page_id, title, section_id, heading, content, level FROM ({catalogue.ORACLES['html_sections']})").fetchall())
