@@ -4,6 +4,7 @@ import os
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from lawmesh.operators import build, delta, fulltext, graph, merge, retrieve, vectors
 from lawmesh.operators.graph import Graph, as_edges, as_nodes
@@ -58,6 +59,22 @@ def test_index_reads_the_words_of_the_question_only(spark, tmp_path):
     assert "bucket" in plan.split("PartitionFilters: [")[1].split("]")[0] and "= clean)" in plan
 
 
+def test_questions_are_scored_by_item(spark, tmp_path):
+    """In small blocks and steps as all at once, with ties; no join makes rows for questions and items."""
+    r, path = random.Random(5), str(tmp_path / "index")
+    items = spark.createDataFrame([(f"{k}-{i}", t) for i, t in texts(r, 60) for k in range(3)], "id string, text string")
+    fulltext.add(items, path)
+    index = fulltext.load(spark, path)
+    asked = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts(r, 7))], "query_id int, query string")
+    found = fulltext.search_all(index, asked, 4)
+    assert found._jdf.queryExecution().executedPlan().toString().count("Join") <= 1  # with the words
+    want = [(x.query_id, y.id, y.score) for x in asked.collect() for y in retrieve.keyword_top(items, x.query, 4).collect()]
+    assert sorted((x.query_id, x["rank"], x.id, x.score) for x in found.collect()) == sorted((k, n % 4 + 1, i, s) for n, (k, i, s) in enumerate(want))
+    q = retrieve.with_idf(retrieve.question_terms(asked, "query_id", "query"), index.postings.groupBy("term").agg(F.count("*").alias("df")), index.n)
+    few = retrieve.best_scored(index.postings.select("term", "id", "tf", "dl"), q, index.avgdl, 4, "query_id", block=2, cells=5)
+    assert sorted(tuple(x) for x in few.collect()) == sorted(tuple(x) for x in found.collect())
+
+
 def test_segment_that_broke_off_is_not_read(spark, tmp_path):
     path = str(tmp_path / "index")
     rows = texts(random.Random(2), 30)
