@@ -59,6 +59,17 @@ def test_index_reads_the_words_of_the_question_only(spark, tmp_path):
     assert "bucket" in plan.split("PartitionFilters: [")[1].split("]")[0] and "= clean)" in plan
 
 
+def test_index_stores_lists_of_postings(spark, tmp_path):
+    path, odd = str(tmp_path / "index"), [("x", "a\x1cb a\x1cb\x85c\u00a0d"), ("y", "\u2003É é\x0b")]
+    items = spark.createDataFrame(texts(random.Random(4), 300) + odd, "id string, text string")
+    fulltext.add(items.coalesce(2), path, buckets=2)
+    index, want = fulltext.load(spark, path), retrieve.postings(items)
+    rows = lambda df: sorted(tuple(x) for x in df.select("term", "id", "dl", "tf").collect())
+    assert rows(index.postings) == rows(want)
+    assert 5 * spark.read.parquet(f"{path}/postings").count() < want.count()
+    assert sorted(rows(fulltext.listed(fulltext.inverted(items.repartition(1), 300).where("term is not null"), "term"))) == rows(want)
+
+
 def test_questions_are_scored_by_item(spark, tmp_path):
     """In small blocks and steps as all at once, with ties; no join makes rows for questions and items."""
     r, path = random.Random(5), str(tmp_path / "index")
