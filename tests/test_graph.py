@@ -286,3 +286,19 @@ def test_catalogue_is_whole():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_all_paths_write_edges_near_the_ends_only(spark, monkeypatch):
+    """Far edges are read, not written: of a long chain with some ways between its ends."""
+    rows = [(f"x{i}", f"x{i + 1}", "T") for i in range(300)] + [("a", "m", "T"), ("m", "b", "T"), ("b", "x0", "T"), ("a", "x150", "U"), ("a", "b", "U")]
+    kept, of = [], paths.written
+
+    def written(df):
+        kept.append(of(df))
+        return kept[-1]
+
+    monkeypatch.setattr(paths, "written", written)
+    g = Graph(edges(spark, rows), edges(spark, rows))
+    for depth in (1, 2, 3, 5):
+        assert [x.nodes for x in paths.all_paths(g, "a", "b", depth, 5).collect()] == [["a", "b"], ["a", "m", "b"]][:depth]
+    assert max(x.count() for x in kept) < 30
