@@ -70,6 +70,21 @@ def test_index_stores_lists_of_postings(spark, tmp_path):
     assert sorted(rows(fulltext.listed(fulltext.inverted(items.repartition(1), 300).where("term is not null"), "term"))) == rows(want)
 
 
+def test_lists_go_beyond_batches(spark, tmp_path):
+    """One list of a word for a task with so little text, whatever comes at once; near words are met without functions on arrays."""
+    path, kept = str(tmp_path / "index"), spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        fulltext.add(spark.createDataFrame([(f"d{i:02}", f" the  w{i} ") for i in range(50)], "id string, text string").coalesce(1), path, buckets=2)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", kept)
+    index = fulltext.load(spark, path)
+    assert [len(x.id) for x in index.lists.where("term = 'the'").collect()] == [50] and index.lists.where("term is null or term = ''").count() == 0
+    assert index.n == 50 and index.avgdl == 2.0
+    near = fulltext.near_words(spark.createDataFrame([("then",)], "asked string"), index.lists.select("term", "n"), 1)
+    assert "lambda" not in near._jdf.queryExecution().toString() and [tuple(x) for x in near.select("asked", "term", "n").collect()] == [("then", "the", 50)]
+
+
 def test_questions_are_scored_by_item(spark, tmp_path):
     """In small blocks and steps as all at once, with ties; no join makes rows for questions and items."""
     r, path = random.Random(5), str(tmp_path / "index")
