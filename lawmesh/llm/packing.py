@@ -18,12 +18,16 @@ from pyspark.sql import DataFrame
 
 from lawmesh.llm.common import broadcast_value, kept, map_arrow
 
-#: Bytes of words, and of the pieces they are parted into, that a Python worker keeps between batches.
-WORDS_BYTES, PIECES_BYTES = 128 << 20, 48 << 20
+#: Bytes of the pieces of words that a Python worker keeps between batches.
+PIECES_BYTES = 128 << 20
 #: Bytes of an entry of a dict besides its key's and value's characters, about.
 ENTRY = 190
 #: Splitting at white space also parts at these, the tokenizer does not.
 ODD_SPACE = "[\x1c\x1d\x1e\x1f]"
+#: Words whose normal form is themselves in lower case, letter by letter (the dotted capital I becomes two).
+LATIN = "[\x21-\x7e\xa1-\u012f\u0131-\u024f]+"
+#: Patterns that words are parted by -> what is left of them besides runs of letters, which stay when all else is parted from them.
+BESIDE_LETTERS = {r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{N}]|[^\s\p{L}\p{N}]+"}
 
 
 def difference(sizes: list[int], n_windows: int) -> list[list[int]]:
@@ -107,19 +111,31 @@ class Recent:
         return out
 
 
+def gathered(flat: np.ndarray, bounds: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """flat's parts with these numbers one after another, and where each begins and ends."""
+    first, n = bounds[:-1][at], np.diff(bounds)[at]
+    ends = np.concatenate(([0], np.cumsum(n)))
+    # places step by one within a part and jump from a part's last to the next one's first
+    some = np.flatnonzero(n)
+    if not len(some):
+        return flat[:0], ends
+    step = np.ones(ends[-1], dtype="int32" if len(flat) < 1 << 31 else "int64")
+    begin, last = first[some], first[some] + n[some] - 1
+    step[ends[:-1][some]] = begin - np.concatenate(([0], last[:-1]))
+    return flat[np.cumsum(step, out=step)], ends
+
+
 class Words:
-    """White-space word -> its ids as little-endian bytes; the tokenizer fills it by batches.
+    """Pieces of words -> their ids as little-endian bytes; the tokenizer fills it by batches.
 
     If its file says that it lower-cases and then parts a text by a pattern,
-    new words are parted so first: such pieces repeat far more often than
-    words with their capitals and punctuation do, and only pieces not met
-    before go to the tokenizer. Words with characters beyond Latin letters go
-    to it whole, as their normal forms are its own business.
+    words are parted so first: such pieces repeat far more often than words
+    with their capitals and punctuation do, and only pieces not met before go
+    to the tokenizer. Words with characters beyond Latin letters go to it
+    whole, as their normal forms are its own business.
     """
 
     def __init__(self, tokenizer, spec: str):
-        import regex
-
         said = json.loads(spec)
         # what added tokens begin with, up to a letter: texts that have it go to the tokenizer whole, which knows where it is one ("": all texts)
         self.added = re.split(r"[^\W\d_]", os.path.commonprefix([t["content"] for t in said.get("added_tokens", [])]), maxsplit=1)[0]
@@ -128,9 +144,9 @@ class Words:
         parting = ((said.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
         pattern = parting.get("pattern", {}).get("Regex") if parting.get("behavior") == "Removed" and parting.get("invert") else None
         self.tokenizer, self.bare = tokenizer, tokenizer
-        self.words, self.pieces = Recent(WORDS_BYTES), Recent(PIECES_BYTES)
-        self.parts = regex.compile(pattern).findall if pattern and steps == ["NFC", "Replace", "Lowercase"] else None
-        if self.parts:  # the same model without the steps that its pieces have behind them
+        self.pieces, self.latin = Recent(PIECES_BYTES), re.compile(LATIN).fullmatch
+        self.pattern = pattern if steps == ["NFC", "Replace", "Lowercase"] else None
+        if self.pattern:  # the same model without the steps that its pieces have behind them
             from tokenizers import Tokenizer
 
             rest = {"type": "Sequence", "pretokenizers": said["pre_tokenizer"]["pretokenizers"][1:]}
@@ -138,37 +154,36 @@ class Words:
             empty |= dict.fromkeys(("truncation", "padding", "normalizer", "post_processor", "decoder"))
             self.bare = Tokenizer(tokenizer.model)
             self.bare.pre_tokenizer = Tokenizer.from_str(json.dumps(empty)).pre_tokenizer
-        self.latin = re.compile("[\x21-\x7e\xa1-\u024f]+").fullmatch
 
-    def learn(self, words: list[str]) -> dict[str, bytes]:
-        """The ids of each of a batch's distinct words."""
-        self.words.turn()
+    def parted(self, words: pa.Array) -> pa.ListArray:
+        """Each word's pieces, and empty ones; Arrow parts all words at once."""
+        spaced = pc.binary_join_element_wise("", words, " ")
+        if self.pattern:
+            latin = pc.match_substring_regex(words, f"^{LATIN}$")
+            lower = pc.utf8_lower(pc.if_else(latin, words, ""))
+            spaced = pc.if_else(latin, pc.replace_substring_regex(lower, BESIDE_LETTERS.get(self.pattern, self.pattern), r" \0 "), spaced)
+        return pc.split_pattern(spaced, " ")
+
+    def learn(self, pieces: list[str]) -> dict[str, bytes]:
+        """The ids of each of a batch's distinct pieces."""
         self.pieces.turn()
-        parted, whole, parts, latin = {}, [], self.parts, self.latin
-        for w in self.words.missing(words):
-            if parts and (w.isascii() and w.isprintable() or latin(w)):
-                parted[w] = parts(w.lower())
-            else:
-                whole.append(w)
-        wanted = self.pieces.missing(dict.fromkeys(p for found in parted.values() for p in found))
-        for new, kept, tokenizer in ((wanted, self.pieces, self.bare), (whole, self.words, self.tokenizer)):
+        latin, bare, whole = self.latin, [], []
+        for p in self.pieces.missing(pieces):
+            (bare if self.pattern and latin(p) else whole).append(p)
+        for new, tokenizer in ((bare, self.bare), (whole, self.tokenizer)):
             for at in range(0, len(new), 4096):
                 some = new[at : at + 4096]
                 for p, e in zip(some, tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                    kept.put(p, array("I", e.ids).tobytes())
-        pieces, known, size = self.pieces.young, self.words.young, 0
-        for w, found in parted.items():
-            known[w] = ids = pieces[found[0]] if len(found) == 1 else b"".join([pieces[p] for p in found])
-            size += ENTRY + len(w) + len(ids)
-        self.words.size += size
-        return known
+                    self.pieces.put(p, array("I", e.ids).tobytes())
+        return self.pieces.young
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of all texts, and where each text's begin and end; null texts have none.
 
         Words never share a token: the tokenizer's pieces hold no white space.
-        Splitting and finding the distinct words is Arrow's work; Python sees
-        only these, and ids are gathered by their numbers.
+        Splitting and finding the distinct words and their distinct pieces is
+        Arrow's work; Python sees only these, and ids are gathered by their
+        numbers.
         """
         texts = pc.fill_null(texts, "")
         odd = pc.match_substring_regex(texts, ODD_SPACE)
@@ -176,19 +191,14 @@ class Words:
             odd = pc.or_(odd, pc.match_substring(texts, self.added))
         split = pc.utf8_split_whitespace(pc.if_else(odd, "", texts))
         coded = split.flatten().dictionary_encode()
-        words, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-        ids_of = self.learn(words)
-        made = [ids_of[w] for w in words]
+        parted = self.parted(coded.dictionary)
+        pieces = parted.flatten().dictionary_encode()
+        known = pieces.dictionary.to_numpy(zero_copy_only=False).tolist()
+        ids_of = self.learn(known)
+        made = [ids_of[p] for p in known]
         n_of = np.fromiter(map(len, made), "int64", len(made)) // 4
-        flat, first = np.frombuffer(b"".join(made), dtype="<u4"), np.cumsum(n_of) - n_of
-        n = n_of[at]
-        ends = np.concatenate(([0], np.cumsum(n)))
-        # places step by one within a word and jump from a word's last id to the next word's first
-        step = np.ones(ends[-1], dtype="int64")
-        some = np.flatnonzero(n)
-        begin, last = first[at[some]], n[some]
-        step[ends[:-1][some]] = np.diff(begin, prepend=0) - np.concatenate(([0], (last - 1)[:-1])) if len(some) else 0
-        ids = flat[np.cumsum(step, out=step)]
+        flat, ends = gathered(np.frombuffer(b"".join(made), dtype="<u4"), np.concatenate(([0], np.cumsum(n_of))), pieces.indices.to_numpy())
+        ids, ends = gathered(flat, ends[parted.offsets.to_numpy()], coded.indices.to_numpy())
         bounds = ends[split.offsets.to_numpy()]
         if pc.any(odd).as_py():  # few: such texts go to the tokenizer whole
             parts = [ids[i:j] for i, j in zip(bounds, bounds[1:], strict=False)]

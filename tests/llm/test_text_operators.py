@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from lawmesh.llm import bpe, packing, pii
@@ -73,6 +74,23 @@ def test_packing_has_every_id_once(spark):
     assert packing.pack_documents(no_docs(spark), WORDS).count() == 0
 
 
+def test_packing_looks_up_pieces_not_words(monkeypatch):
+    """Words that differ in capitals and punctuation bring no strings of their own; ids are the tokenizer's, for any letters."""
+    from tokenizers import Tokenizer
+
+    with open(WORDS, encoding="utf-8") as f:
+        spec = f.read()
+    t, seen = Tokenizer.from_str(spec), []
+    words, learn = packing.Words(t, spec), packing.Words.learn
+    monkeypatch.setattr(packing.Words, "learn", lambda self, some: seen.extend(some) or learn(self, some))
+    texts = [f"{w}{e} {b}{w}" for w in ("filter", "Filter", "FILTER", "fIlTeR") for b in "([{\"" for e in ".,;:!?"]
+    more = ["It's we'LL i''ll 'Re don't'S", "\u0130stanbul \u0130x-\u0130", "\u023ab-\u2c65 \u023a", "", None, *(f"a{chr(c)}B'{chr(c)} {chr(c)}" for c in range(0x21, 0x250))]
+    for some in (texts, more):
+        ids, bounds = words.encode(pa.array(some, pa.string()))
+        assert [ids[i:j].tolist() for i, j in zip(bounds, bounds[1:])] == [t.encode(x or "", add_special_tokens=False).ids for x in some]
+        assert some is more or len(seen) <= 12
+
+
 def test_differencing_is_even_and_complete():
     r = random.Random(1)
     for n, k in ((0, 3), (1, 1), (5, 3), (40, 7), (600, 100)):
