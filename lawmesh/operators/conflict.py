@@ -82,7 +82,9 @@ def runtime_conflicts(
 
 
 #: Requirements a side of a tile; the pairs of a tile are counted in one task.
-TILE = 4096
+TILE = 2048
+#: Boolean columns that requirements may have: only pairs are made of which one or the other has each.
+MARKS = ("fresh", "more")
 
 
 def entity_conflicts(requirements: DataFrame, shared: int = 3, tile: int = TILE) -> DataFrame:
@@ -96,28 +98,38 @@ def entity_conflicts(requirements: DataFrame, shared: int = 3, tile: int = TILE)
     when it is one of the result. With a boolean column `fresh` only pairs with
     a fresh requirement are made.
     """
-    fresh = F.col("fresh") if "fresh" in requirements.columns else F.lit(True)
+    return paired(coded(requirements, shared), shared, tile)
+
+
+def coded(requirements: DataFrame, shared: int = 3) -> DataFrame:
+    """Requirements that can be in conflict, with numbers for the words that both sides of their category have; written."""
     r = written(
         requirements.where("category <> '' and mandatory is not null").select(
             "ord", "category", "mandatory", F.col("source_doc").alias("source"), node_id(F.lit("Requirement"), "source_doc", "text").alias("rid"),
-            significant_words("text", alphanumeric=False).alias("words"), F.monotonically_increasing_id().alias("row"), fresh.alias("fresh"),
+            significant_words("text", alphanumeric=False).alias("words"), F.monotonically_increasing_id().alias("row"), *(m for m in MARKS if m in requirements.columns),
         )
     )
-    # words that the other side has too, as numbers
     each = r.select("row", "category", "mandatory", F.explode("words").alias("word"))
     common = each.groupBy("category", "word").agg(F.count("*").alias("df"), F.count_if("mandatory").alias("yes")).where("yes > 0 and yes < df")
     common = written(common.select("category", "word", F.monotonically_increasing_id().alias("code")))
     codes = each.join(common, ["category", "word"]).groupBy("row").agg(F.collect_list("code").alias("codes")).where(F.size("codes") >= shared)
-    coded = written(r.drop("words").join(codes, "row").drop("row"))
-    many = coded.groupBy("category").agg(*(F.ceil(F.count_if(c) / tile).cast("int").alias(n) for c, n in ((F.col("mandatory"), "of_y"), (~F.col("mandatory"), "of_n")))).where("of_y > 0 and of_n > 0")
+    return written(r.drop("words").join(codes, "row").drop("row"))
+
+
+def paired(coded: DataFrame, shared: int = 3, tile: int = TILE, most: int = 10_000) -> DataFrame:
+    """`entity_conflicts` of what is coded. Tiles are dealt to as many tasks, up to `most`: they have few bytes, by which Spark would put many of them into one."""
+    sides = coded.groupBy("category").agg(*(F.ceil(F.count_if(c) / tile).cast("int").alias(n) for c, n in ((F.col("mandatory"), "of_y"), (~F.col("mandatory"), "of_n")))).where("of_y > 0 and of_n > 0")
+    tiles = sides.agg(F.coalesce(F.sum(F.col("of_y").cast("long") * F.col("of_n")), F.lit(0))).first()[0]
     own = F.pmod(F.xxhash64("rid", "ord"), F.when(F.col("mandatory"), F.col("of_y")).otherwise(F.col("of_n"))).cast("int")
     every = F.explode(F.sequence(F.lit(0), F.when(F.col("mandatory"), F.col("of_n")).otherwise(F.col("of_y")) - 1))
-    dealt = coded.join(many, "category").withColumn("own", own).withColumn("other", every)
+    dealt = coded.join(sides, "category").withColumn("own", own).withColumn("other", every)
     y, n = (F.when(F.col("mandatory"), F.col(a)).otherwise(F.col(b)) for a, b in (("own", "other"), ("other", "own")))
-    dealt = dealt.select("category", y.alias("y"), n.alias("n"), "mandatory", "fresh", "ord", "source", "rid", "codes")
-    kind = r.schema["ord"].dataType.simpleString()
+    marks = [F.col(m).cast("int") * (1 << k) for k, m in enumerate(m for m in MARKS if m in coded.columns)]
+    dealt = dealt.select("category", y.alias("y"), n.alias("n"), "mandatory", sum(marks, F.lit(0)).alias("mark"), "ord", "source", "rid", "codes")
+    kind = coded.schema["ord"].dataType.simpleString()
     schema = ", ".join(f"ord_{p} {kind}, source_{p} string, rid_{p} string" for p in "yn") + ", category string"
-    pairs = dealt.groupBy("category", "y", "n").applyInArrow(counted(shared), schema).where("source_y <> source_n")
+    dealt = dealt.repartition(max(1, min(tiles, most)), "category", "y", "n")
+    pairs = dealt.groupBy("category", "y", "n").applyInArrow(counted(shared, (1 << len(marks)) - 1), schema).where("source_y <> source_n")
     first = lambda c: F.when(F.col("ord_y") < F.col("ord_n"), F.col(f"{c}_y")).otherwise(F.col(f"{c}_n"))
     second = lambda c: F.when(F.col("ord_y") < F.col("ord_n"), F.col(f"{c}_n")).otherwise(F.col(f"{c}_y"))
     return pairs.select(
@@ -127,39 +139,44 @@ def entity_conflicts(requirements: DataFrame, shared: int = 3, tile: int = TILE)
     )
 
 
-def counted(shared: int, rows: int = 256, most: int = 1 << 22):
-    """For applyInArrow: the pairs of a tile's mandatory and optional rows with `shared` codes in common, a few mandatory rows at a time."""
+def counted(shared: int, wanted: int = 0, rows: int = 256, most: int = 1 << 22):
+    """For applyInArrow: the pairs of a tile's mandatory and optional rows with `shared` codes in common, a few mandatory rows at a time.
+
+    Only rows whose marks together are all that are wanted are held against each other.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        whole = pa.Table.from_batches(list(batches)).combine_chunks()
-        sides = [whole.filter(c) for c in (whole["mandatory"], pc.invert(whole["mandatory"]))]
-        y, n = (t.select(["ord", "source", "rid"]).combine_chunks() for t in sides)
-        fresh = [t["fresh"].to_numpy() for t in sides]
-        if not (len(y) and len(n)):
-            return
-        (of_y, at_y), (of_n, at_n) = ((np.repeat(np.arange(len(t)), pc.list_value_length(t["codes"]).to_numpy()), pc.list_flatten(t["codes"]).to_numpy()) for t in sides)
+        whole = pa.Table.from_batches(list(batches))
+        yes = whole["mandatory"]
+        sides = [{m: whole.filter(pc.and_(c, pc.equal(whole["mark"], m))).combine_chunks() for m in range(wanted + 1)} for c in (yes, pc.invert(yes))]
+        for a, y in sides[0].items():
+            for b, n in sides[1].items():
+                if a | b == wanted and len(y) and len(n):
+                    yield from met(y, n)
+
+    def met(y: pa.Table, n: pa.Table) -> Iterator[pa.RecordBatch]:
+        (of_y, at_y), (of_n, at_n) = ((np.repeat(np.arange(len(t)), pc.list_value_length(t["codes"]).to_numpy()), pc.list_flatten(t["codes"]).to_numpy()) for t in (y, n))
+        category = y["category"][0]
+        y, n = (t.select(["ord", "source", "rid"]) for t in (y, n))
         order = np.argsort(at_n, kind="stable")
         at_n, of_n = at_n[order], of_n[order]
         low, high = (np.searchsorted(at_n, at_y, side) for side in ("left", "right"))
         for begin in range(0, len(y), rows):
             some = slice(*np.searchsorted(of_y, (begin, begin + rows)))
             lo, many, base = low[some], (high - low)[some], (of_y[some] - begin) * len(n)
-            told, met = np.cumsum(many), np.zeros(min(rows, len(y) - begin) * len(n), np.int32)
+            told, found = np.cumsum(many), np.zeros(min(rows, len(y) - begin) * len(n), np.int32)
             at = 0
             while at < len(many):  # at most `most` places at once, or one code's
                 to = max(at + 1, int(np.searchsorted(told, told[at] - many[at] + most, "right")))
                 m = many[at:to]
                 place = np.repeat(lo[at:to] - (np.cumsum(m) - m), m) + np.arange(m.sum())
-                met += np.bincount(np.repeat(base[at:to], m) + of_n[place], minlength=len(met)).astype(np.int32)
+                found += np.bincount(np.repeat(base[at:to], m) + of_n[place], minlength=len(found)).astype(np.int32)
                 at = to
-            row, col = np.divmod(np.flatnonzero(met >= shared), len(n))
+            row, col = np.divmod(np.flatnonzero(found >= shared), len(n))
             row += begin
-            new = fresh[0][row] | fresh[1][col]
-            row, col = row[new], col[new]
             for k in range(0, len(row), 1 << 16):
                 a, b = y.take(row[k : k + (1 << 16)]), n.take(col[k : k + (1 << 16)])
                 columns = [c.combine_chunks() for t in (a, b) for c in t.columns]
-                category = pa.repeat(whole["category"][0], len(a))
-                yield pa.RecordBatch.from_arrays([*columns, category], names=[f"{c}_{p}" for p in "yn" for c in ("ord", "source", "rid")] + ["category"])
+                yield pa.RecordBatch.from_arrays([*columns, pa.repeat(category, len(a))], names=[f"{c}_{p}" for p in "yn" for c in ("ord", "source", "rid")] + ["category"])
 
     return run

@@ -22,6 +22,14 @@ def test_node_id(spark):
     assert len(one(spark, fn.node_id(F.lit("Process"), "s", "t", 32), s="a", t="x").split("_")[-1]) == 32
 
 
+def test_strip_without_pattern(spark):
+    """The characters taken off are those that the pattern takes, and no pattern is held against each place of a text."""
+    every = [(f"{chr(k)}a{chr(k)} b{chr(k)}\n",) for k in range(1, 0x10000) if not 0xD800 <= k < 0xE000] + [(None,), ("",), (" \t\u3000",), ("\r\n x \r\n\n",)]
+    got = spark.createDataFrame(every, "t string").select("t", fn.strip("t").alias("got"), F.regexp_replace("t", r"(?U)^\s+|\s+$", "").alias("want"))
+    assert got.where("not got <=> want").count() == 0
+    assert "regexp_replace" not in got.select("got")._jdf.queryExecution().optimizedPlan().toString()
+
+
 @pytest.mark.parametrize(
     ("line", "want"),
     [

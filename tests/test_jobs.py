@@ -262,6 +262,23 @@ def test_entity_conflicts_by_tiles(spark):
     assert "array_intersect" not in parts._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_entity_conflicts_tiles_go_to_many_tasks(spark):
+    """Tiles have few bytes and many pairs: they aren't put together by their bytes."""
+    rows = [(i, "a", bool(i % 2), f"s{i % 3}", "alpha bravo charlie delta") for i in range(80)]
+    d = spark.createDataFrame(rows, "ord long, category string, mandatory boolean, source_doc string, text string")
+    tasks = conflict.entity_conflicts(d, tile=5).groupBy(F.spark_partition_id()).count().collect()
+    assert len(tasks) > 8 and sum(r["count"] for r in tasks) == sum(a[2] != b[2] and a[3] != b[3] for i, a in enumerate(rows) for b in rows[:i])
+
+
+def test_entity_conflicts_by_marks(spark):
+    """Of each mark, one row or the other of a pair has it."""
+    r = random.Random(3)
+    rows = [(i, "a", r.random() < 0.5, f"s{i % 3}", "alpha bravo charlie", r.random() < 0.3, r.random() < 0.3) for i in range(60)]
+    d = spark.createDataFrame(rows, "ord long, category string, mandatory boolean, source_doc string, text string, fresh boolean, more boolean")
+    want = sum(a[2] != b[2] and a[3] != b[3] and (a[5] or b[5]) and (a[6] or b[6]) for i, a in enumerate(rows) for b in rows[:i])
+    assert conflict.entity_conflicts(d, tile=7).count() == want > 0
+
+
 def test_many_contexts_need_a_key(spark):
     c = spark.range(1200).select(F.lit("some text of words").alias("text"), F.lit("s").alias("source_doc"), F.lit("c").alias("category"), F.lit(True).alias("mandatory"), F.lit("Low").alias("severity"), F.col("id").alias("ord"))
     with pytest.raises(ValueError):
