@@ -6,13 +6,14 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lawmesh.operators import merge
 from lawmesh.operators.build import (
     IDENTITY,
     applies_to,
     canonical,
-    conflicts_in,
+    conflicts_apart,
     contains_by_name,
     contains_by_source,
     defines,
@@ -31,6 +32,9 @@ from lawmesh.operators.store import exists, small, written
 from lawmesh.schema import EDGE, NODE
 
 LAYOUT = {"parts": 8, "buckets": 4}
+#: Folders beside the merged edges: conflicts that only one batch can make, and the ends of those that the merged edges have again.
+FIRST, REPLACED = "conflicts", "replaced"
+FIRST_SCHEMA = T.StructType([f for f in EDGE if f.name != "eid"])
 
 
 def known(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
@@ -62,6 +66,10 @@ def add_entities(spark: SparkSession, path: str, entities: DataFrame, batch: str
     and the old of the one with the new of the other; supersessions are few
     and are looked up again. A batch named before changes nothing; one that
     broke off may be run again, as its entities are written last.
+
+    Conflicts of which one requirement has no row but one of the batch can't
+    have been made before: they lie beside the merged edges as their tasks
+    make them, a folder a batch, and are neither shuffled nor looked up.
     """
     nodes, edges = (merge.stored(spark, f"{path}/{n}", schema, key, **LAYOUT) for n, schema, key in (("nodes", NODE, "id"), ("edges", EDGE, "eid")))
     if exists(spark, f"{path}/entities/batch={batch}"):
@@ -96,18 +104,51 @@ def add_entities(spark: SparkSession, path: str, entities: DataFrame, batch: str
         *across(contains_by_name, "Regulation", "Requirement"), *across(applies_to, "Process", "Requirement"), *across(defines, "Definition", "Requirement"), *across(exempt_from, "Exemption", "Requirement"),
         requires_between(of(new, "Requirement"), of(whole, "Requirement")), requires_between(of(old, "Requirement"), of(new, "Requirement")),
         supersedes_in(whole, now, of(whole, "Regulation")),
-        conflicts_in(of(old, "Requirement").withColumn("fresh", F.lit(False)).unionByName(of(new, "Requirement").withColumn("fresh", F.lit(True)))),
     ]
+    both = of(old, "Requirement").withColumn("fresh", F.lit(False)).unionByName(of(new, "Requirement").withColumn("fresh", F.lit(True)))
+    again = add_conflicts(spark, path, both, written(requirements.select("id")), batch)
+    found += [] if again is None else [again]
     found = written(union(found))
     # of an edge that is told more than once the least properties stay
     before = edges.rows().join(found.select("eid").distinct(), "eid", "left_semi")
     found = found.unionByName(before).groupBy("eid", "src", "dst", "type").agg(F.min("props").alias("props"))
     ids = now.select("id")
     found = found.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
-    links = merge.upsert_stored(edges, written(found.select(*EDGE.names)), None)
+    links = merge.upsert_stored(edges, written(found.select(*EDGE.names)), None) + spark.read.schema(FIRST_SCHEMA).parquet(f"{path}/{FIRST}/batch={batch}").count()
     new.select(*like.columns).write.mode("overwrite").parquet(f"{path}/entities/batch={batch}")
     return changed, links
 
 
+def add_conflicts(spark: SparkSession, path: str, requirements: DataFrame, ids: DataFrame, batch: str) -> DataFrame | None:
+    """The conflicts with a fresh requirement that no other batch can make, put beside the merged edges; the others are returned, to be merged.
+
+    Of these, what an earlier batch has put there stays as it was, or goes to
+    the merged edges if its properties are less now.
+    """
+    first, again = conflicts_apart(requirements, ids)
+    first.drop("eid").write.mode("overwrite").parquet(f"{path}/{FIRST}/batch={batch}")
+    if again is None:
+        return None
+    again = written(again)
+    had = first_edges(spark, path, batch).join(small(again.select("src", "dst")), ["src", "dst"], "left_semi")
+    again = written(again.join(had.groupBy("src", "dst").agg(F.min("props").alias("had")), ["src", "dst"], "left").where("had is null or props < had"))
+    again.where("had is not null").select("src", "dst").write.mode("overwrite").parquet(f"{path}/{REPLACED}/batch={batch}")
+    return again.drop("had")
+
+
+def first_edges(spark: SparkSession, path: str, but: str | None = None) -> DataFrame:
+    """The conflicts that lie beside the merged edges, with their batch, without those that the merged edges have instead; but for what one batch did."""
+    schema = T.StructType([*FIRST_SCHEMA, T.StructField("batch", T.StringType())])
+    if not exists(spark, f"{path}/{FIRST}"):
+        return spark.createDataFrame([], schema)
+    others = F.lit(True) if but is None else F.col("batch") != but
+    rows = spark.read.schema(schema).parquet(f"{path}/{FIRST}").where(others)
+    if exists(spark, f"{path}/{REPLACED}"):
+        gone = spark.read.schema("src string, dst string, batch string").parquet(f"{path}/{REPLACED}").where(others).select("src", "dst")
+        rows = rows.join(small(gone), ["src", "dst"], "left_anti")
+    return rows.select(*schema.names)
+
+
 def grown_graph(spark: SparkSession, path: str) -> Graph:
-    return merge.merged_graph(spark, path, **LAYOUT)
+    g = merge.merged_graph(spark, path, **LAYOUT)
+    return Graph(g.nodes, g.edges.unionByName(first_edges(spark, path).drop("batch").withColumn("eid", F.concat_ws("|", "type", "src", "dst")).to(EDGE)))

@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from lawmesh.functions.text import node_id
 from lawmesh.operators import build, delta, fulltext, graph, merge, retrieve, vectors
 from lawmesh.operators.graph import Graph, as_edges, as_nodes
 from lawmesh.schema import ENTITY
@@ -227,3 +228,22 @@ def test_vectors_by_pivots_are_those_of_a_scan(spark, tmp_path):
     assert vectors.top(index, [1.0, 2.0], 3).count() == 0 and vectors.top(index, [0.0] * 8, 3).count() == 0
     vectors.build(items.where("false"), str(tmp_path / "none"))
     assert vectors.top(vectors.load(spark, str(tmp_path / "none")), [1.0], 3).count() == 0
+
+
+def test_conflicts_told_again_by_later_batches(spark, tmp_path):
+    """Conflicts that one batch alone can make aren't merged; those told again have one edge, with the least properties, as if all came at once."""
+    text, path = "alpha bravo charlie delta", str(tmp_path / "g")
+    rows = [(1, text, "A_b", True), (2, f"{text} two", "C", False), (3, f"{text} three", "D", False), (11, text, "A b", True), (21, text, "A_b", True), (22, f"{text} two", "C", False), (23, f"{text} five", "F", False)]
+    d = build.flat(spark.createDataFrame([entity("Requirement", t, s, i, category="c", mandatory=m) for i, t, s, m in rows], ENTITY))
+    ids = d.select(node_id(F.lit("Requirement"), "source_doc", "text").alias("id")).distinct()
+    told = lambda edges: {(x.src, x.dst): x.props.reason for x in edges.collect()}
+    merged: dict = {}
+    for k, (a, b) in enumerate(((0, 10), (10, 20), (20, 30))):
+        both = d.where(F.col("ord") < b).withColumn("fresh", F.col("ord") > a)
+        for _ in range(2):  # a batch that broke off is run again
+            again = delta.add_conflicts(spark, path, both, ids, f"b{k}")
+        for pair, reason in (told(again) if again else {}).items():
+            merged[pair] = min(reason, merged.get(pair, reason))
+    first, whole = told(delta.first_edges(spark, path)), build.conflicts_in(d, ids)
+    assert delta.first_edges(spark, path).count() == len(first) == 1 and not first.keys() & merged.keys()
+    assert first | merged == told(whole) and whole.count() == len(first | merged) and any("A b" in x for x in merged.values())
