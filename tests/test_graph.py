@@ -177,6 +177,17 @@ def test_automaton_against_all_pairs():
     assert sorted(nested.found([b"baaa", b"", b"b"])[1].tolist()) == [0, 1, 2, 3]
 
 
+def test_many_pairs_read_edges_as_they_are(spark, monkeypatch):
+    """The edges are not written anew, however many pairs there are; of parallel edges the first type is told."""
+    made, write = [], paths.written
+    monkeypatch.setattr(paths, "written", lambda df: made.append(df.columns) or write(df))
+    ends = spark.range(120).select(F.concat(F.lit("s"), "id").alias("src"), F.lit("hub").alias("dst"))
+    edges = as_edges(ends, "REQUIRES").unionByName(as_edges(ends, "DEFINES")).unionByName(as_edges(spark.createDataFrame([("hub", "end")], "src string, dst string"), "CONTAINS"))
+    got = paths.shortest_paths(Graph(spark.createDataFrame([], NODE), edges), ends.select(F.col("src").alias("start"), F.lit("end").alias("end")), 2).collect()
+    assert len(got) == 120 and all(x.nodes == [x.start, "hub", "end"] and x.types == ["DEFINES", "CONTAINS"] for x in got)
+    assert not any({"src", "dst"} <= set(columns) for columns in made)
+
+
 def entity(kind, text, source, ord, **p):
     return (kind, text, f"c{ord}", source, "1", None, tuple(p.get(k) for k in PROPERTIES), 0.9, ord)
 
